@@ -163,10 +163,10 @@ def keep_one(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
     """The rows of ``docs`` without all but one row of each near-duplicate group.
 
     The row with the smallest doc_id stays; of rows that repeat that id, one
-    stays. Rows without an id stay only as the first of a group that has no id
-    at all. Other columns are untouched, whatever their names.
+    stays. Rows without an id have nothing to be told apart by and all stay.
+    Other columns are untouched, whatever their names.
     """
     found = near_duplicates(docs, distance, width)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    return chosen.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else chosen
+    chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return chosen.union(docs.filter(docs["doc_id"].isNull()))
