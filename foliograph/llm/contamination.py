@@ -17,6 +17,7 @@ a benchmark of ordinary size is one block.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -161,16 +162,16 @@ class Index:
                 yield item_id, len(found), sum(x[2] for x in found), len(item)
 
 
-_indexed: dict[tuple[int, int], Index] = {}
+_indexed: dict[tuple[str, int], Index] = {}
 
 
 def index_of(shared: Broadcast, seed: int) -> Index:
     """The index of a block of items, built once in a worker process."""
-    key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared), seed)
-    if key not in _indexed:
+    name, items = shared.value
+    if (name, seed) not in _indexed:
         _indexed.clear()
-        _indexed[key] = Index(shared.value, seed)
-    return _indexed[key]
+        _indexed[name, seed] = Index(items, seed)
+    return _indexed[name, seed]
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = 16 << 20) -> list[Broadcast]:
@@ -182,7 +183,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = 16 << 20) -> list[Broad
     dealt = F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks))
     context = benchmark.sparkSession.sparkContext
     return [
-        context.broadcast(sorted((-1 if r[0] is None else r[0], bytes(r[1])) for r in items.filter(dealt == n).collect()))
+        context.broadcast((uuid.uuid4().hex, sorted((-1 if r[0] is None else r[0], bytes(r[1])) for r in items.filter(dealt == n).collect())))
         for n in range(blocks)
     ]
 

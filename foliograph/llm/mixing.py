@@ -49,7 +49,7 @@ class Classifier:
 def fit(rows: list[tuple[bytes, str]]) -> Classifier:
     domains = tuple(sorted({d for _, d in rows}))
     where = {d: k for k, d in enumerate(domains)}
-    return Classifier(domains, ngrams.fit([t for t, _ in rows], [where[d] for _, d in rows], len(domains), most=2_000, certainty=5.0))
+    return Classifier(domains, ngrams.fit([t for t, _ in rows], [where[d] for _, d in rows], len(domains), most=2_000))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, sample_rows: int = 4000, longest: int = 65_536) -> Classifier:
@@ -113,6 +113,8 @@ def solve(members: DataFrame, classifier: Classifier, targets: dict[str, float],
     ``tolerance`` or after ``steps`` passes.
     """
     k = len(classifier.domains)
+    if not k:
+        return Mixture(classifier, [], {}, {})
     weight = sum(targets.values()) or 1.0
     goal = budget * np.array([targets.get(d, 0.0) / weight for d in classifier.domains])
 
@@ -137,7 +139,7 @@ def solve(members: DataFrame, classifier: Classifier, targets: dict[str, float],
     moment = first[1 + k :].reshape(k, k) / tokens
     whiten = np.linalg.pinv(moment + 1e-6 * np.eye(k))
     gradients: list[np.ndarray] = []
-    while len(gradients) < steps and k:
+    while len(gradients) < steps:
         gradients.append(whiten @ (share - goal))
         new = sums(gradients, False)[1 : 1 + k] / tokens
         still, share = np.abs(new - share).max() <= tolerance, new
@@ -203,7 +205,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
 
         model = shared.value.classifier
         found = [model.posterior(t.encode("utf-8", "replace") if isinstance(t, str) else b"")[1] for t in texts]
-        return pd.Series(rates(np.array(found).reshape(len(found), -1), shared.value.gradients))
+        return pd.Series(rates(np.array(found).reshape(len(found), len(model.domains)), shared.value.gradients))
 
     chance = F.pmod(F.xxhash64(docs["doc_id"].cast("string"), docs["text"].cast("string")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(rate(docs["text"].cast("string")) + chance).cast("int")

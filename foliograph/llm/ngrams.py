@@ -121,7 +121,7 @@ def fit(texts: list[bytes], labels: list[int], classes: int, smoothing: float =
     own, others = counts + smoothing, counts.sum(axis=0) - counts + smoothing
     ratio = np.log(own / (size + 2 * smoothing)) - np.log(others / (size.sum() - size + 2 * smoothing))
     sure = np.abs(ratio) / np.sqrt(1 / own + 1 / others)
-    sure = (sure * ((size > 0) & (size < size.sum()))).max(axis=0)
+    sure = (sure * ((size > 0) & (size < size.sum()))).max(axis=0, initial=0.0)
     sure[(counts.sum(axis=0) == 0) | (sure < certainty)] = 0
     order = np.argsort(-sure, kind="stable")[: min(most, int((sure > 0).sum()))]
     slots = np.zeros(1 << TABLE_BITS, np.int32)

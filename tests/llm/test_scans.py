@@ -205,7 +205,7 @@ def test_language_corner_cases(spark):
     nothing = langid.learn(frame(spark, odd).filter("lang IS NULL"))
     assert {r.lang_pred for r in langid.identify(frame(spark, odd), nothing).collect()} == {"und"}
     kept = langid.keep_known(frame(spark, rows + odd))
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([*range(40), 103, 103, 104, -1])
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted([*range(40), 103, 103, 104, -1])
     assert langid.identify(frame(spark, odd).filter("doc_id < 0"), nothing).count() == 0
 
 
