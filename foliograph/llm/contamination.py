@@ -33,7 +33,7 @@ from foliograph.llm.common import ASCII_LOWER, table, text_bytes, windows
 #: Bytes to spaces: ASCII that is no letter or digit.
 _TOKEN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
 #: Typographic quotes, dashes, ellipsis and spaces outside ASCII.
-_OUTSIDE = re.compile("[ «» -⁯　﻿]")
+_OUTSIDE = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000\ufeff]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = (1 << 61) - 1
 

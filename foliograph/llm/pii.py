@@ -101,7 +101,7 @@ _LOOKALIKES = dict(
         strict=True,
     )
 )
-_INVISIBLE = "­​‌‍⁠﻿"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Names of the digits in the languages at hand.
 _SPELLED = {
     **dict(zip("zero one two three four five six seven eight nine".split(), "0123456789", strict=True)),
@@ -109,7 +109,7 @@ _SPELLED = {
     **dict(zip("zéro un deux trois quatre cinq six sept huit neuf".split(), "0123456789", strict=True)),
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
 }
-_FOREIGN = re.compile(r"[­Ͱ-ԯ٠-٩۰-۹०-९​-‍⁠﻿！-～]")
+_FOREIGN = re.compile("[\u00ad\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2060\ufeff\uff01-\uff5e]")
 _NAMES = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPOKEN = re.compile(
     rf"(?<!\w)(?:plus[ \t-]{{1,3}})?(?:(?:{_NAMES}|[0-9]+)[ \t.,-]{{1,3}}){{2,}}(?:{_NAMES}|[0-9]+)(?!\w)", re.IGNORECASE
