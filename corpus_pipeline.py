@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each near-duplicate group (five words to a shingle)."""
-    return simhash.keep_one(docs, distance=3, width=5)
+    """One document, the one with the smallest id, of each group that shares 0.8 of its five-word shingles."""
+    return simhash.keep_one(docs, similarity=0.8, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

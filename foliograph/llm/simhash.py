@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import ASCII_LOWER, cut, table, text_bytes, windows
 from foliograph.llm.components import components
+from foliograph.llm.sketches import features, sketch
 
 SEED, BITS, BYTES = 42, 64, 8
 #: Lists up to this length are scanned; longer ones are probed.
@@ -159,14 +160,104 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
+# -- similarity on word shingles --------------------------------------------------------------------------------
+# A similarity of 0.8 changes about a seventh of the bits of a shingle fingerprint, which no positional byte outlives
+# for sure. The words of a text change far less than its shingles, so a long sketch of the words carries the index and
+# a long sketch of the shingles verifies.
+
+#: 64-bit words of the two sketches, and bytes of a posting key.
+WORD_SKETCH, SHINGLE_SKETCH, KEY_BYTES = 24, 32, 4
+#: Positional bytes of the word sketch, out of 192, that two texts have to share.
+SHARED = 60
+#: Entries of a list that one call compares; longer lists are dealt, by another hash for every list.
+CHUNK = 4096
+
+
+def sketched(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, words, shingles, n): both sketches and the number of distinct shingles; one row per input row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in windows(batches, "body"):
+            found = [features(t, width) for t in batch.column(1).to_pylist()]
+            columns = [
+                batch.column(0),
+                pa.array(sketch([w for w, _ in found], WORD_SKETCH), pa.binary()),
+                pa.array(sketch([s for _, s in found], SHINGLE_SKETCH), pa.binary()),
+                pa.array([len(s) for _, s in found], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "shingles", "n"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
+    return rows.mapInArrow(run, "doc_id long, words binary, shingles binary, n long")
+
+
+def similar_within(entries: list[dict], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links of one list: enough shared positional bytes, then enough shared shingles.
+
+    The share of equal bits of the shingle sketches estimates the cosine, and
+    with the numbers of shingles the Jaccard similarity.
+    """
+    ids = np.array([e["id"] for e in entries], np.int64)
+    words = np.frombuffer(b"".join(e["words"] for e in entries), np.uint64).reshape(len(ids), -1)
+    shingles = np.frombuffer(b"".join(e["shingles"] for e in entries), np.uint64).reshape(len(ids), -1)
+    sizes = np.array([e["n"] for e in entries], float)
+    rest, queue = np.arange(len(ids)), []
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+            continue
+        here = queue.pop()
+        tally = ((words[rest] ^ words[here]).view(np.uint8) == 0).sum(axis=1)
+        near = np.flatnonzero(tally >= SHARED)
+        at = rest[near]
+        angle = np.pi * np.bitwise_count(shingles[at] ^ shingles[here]).sum(axis=1) / (64 * SHINGLE_SKETCH)
+        common = np.cos(angle) * np.sqrt(sizes[at] * sizes[here])
+        linked = near[common >= similarity * (sizes[at] + sizes[here] - common)]
+        for other in rest[linked]:
+            yield int(ids[here]), int(ids[other])
+        queue.extend(rest[linked])
+        rest = np.delete(rest, linked)
+
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links between the rows (id, words, shingles, n) of distinct texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {pair for entries in batch.column(0).to_pylist() for pair in similar_within(entries, similarity)}
+            if found:
+                ends = np.array(sorted(found), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    keys = [F.xxhash64(F.substring("words", at + 1, KEY_BYTES), F.lit(at)) for at in range(0, 8 * WORD_SKETCH, KEY_BYTES)]
+    postings = distinct.select("id", F.explode(F.array(*keys)).alias("key"))
+    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
+    chunk = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("own") / CHUNK)).alias("chunk")
+    members = postings.join(counts, "key").select("id", "key", chunk)
+    lists = members.join(distinct, "id").groupBy("key", "chunk").agg(F.collect_list(F.struct("id", "words", "shingles", "n")).alias("entries"))
+    return lists.select("entries").mapInArrow(run, "a long, b long").distinct()
+
+
+def kept_ids(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(kept): the smallest id of each group of texts linked by shingle similarity."""
+    rows = sketched(docs.filter(F.col("doc_id").isNotNull()), width)
+    distinct = cut(rows.groupBy("words", "shingles", "n").agg(F.min("doc_id").alias("id")))
+    members = components(similar_links(distinct, similarity), "a", "b")
+    others = members.filter("node <> root").select(F.col("node").alias("id"))
+    return distinct.select("id").distinct().join(others, "id", "left_anti").select(F.col("id").alias("__kept"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without all but one row of each near-duplicate group.
 
-    The row with the smallest doc_id stays; of rows that repeat that id, one
-    stays. Rows without an id have nothing to be told apart by and all stay.
-    Other columns are untouched, whatever their names.
+    Texts link when their distinct ``width``-word shingles have a Jaccard
+    similarity of at least ``similarity``, as the sketches estimate it (its
+    standard error is about 0.02); groups are what links connect. The row with
+    the smallest doc_id stays; of rows that repeat that id, one stays. Null,
+    empty and blank texts are one group. Rows without an id have nothing to be
+    told apart by and all stay. Other columns are untouched, whatever their
+    names.
     """
-    found = near_duplicates(docs, distance, width)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = kept_ids(docs, similarity, width)
     chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return chosen.union(docs.filter(docs["doc_id"].isNull()))

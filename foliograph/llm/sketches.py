@@ -1,0 +1,95 @@
+"""Long SimHash sketches of many texts at a time.
+
+A sketch bit is one if it is set in over half of the hashes of a text's
+distinct features. Bits are counted for all features at once by carry-save
+addition on 64-bit words: three rows of equal weight become a row of that
+weight and one of the next, until a few rows of each weight are left.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import xxhash
+
+from foliograph.llm.common import ASCII_LOWER
+
+_MIX = np.random.default_rng(64).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+#: Features of one step; longer texts take several.
+STEP = 1 << 15
+
+
+def _expand(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` independent 64-bit words for each hash."""
+    wide = (hashes[..., None] ^ (hashes[..., None] >> np.uint64(32))) * _MIX[:words]
+    wide ^= wide >> np.uint64(29)
+    wide *= np.uint64(0xBF58476D1CE4E5B9)
+    return wide ^ (wide >> np.uint64(32))
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How often each bit is set: (texts, rows, words) to (texts, bits)."""
+    texts, _, words = rows.shape
+    totals = np.zeros((texts, words * 64), np.int64)
+    weight = 1
+    while rows.shape[1]:
+        carried = []
+        while rows.shape[1] >= 3:
+            third = rows.shape[1] // 3
+            a, b, c, rest = rows[:, :third], rows[:, third : 2 * third], rows[:, 2 * third : 3 * third], rows[:, 3 * third :]
+            differ = a ^ b
+            carried.append((a & b) | (differ & c))
+            rows = np.concatenate([differ ^ c, rest], axis=1)
+        for i in range(rows.shape[1]):
+            own = np.ascontiguousarray(rows[:, i]).view(np.uint8).reshape(texts, -1)
+            totals += weight * np.unpackbits(own, axis=1, bitorder="little").astype(np.int64)
+        rows = np.concatenate(carried, axis=1) if carried else rows[:, :0]
+        weight *= 2
+    return totals
+
+
+def sketch(features: Sequence[np.ndarray], words: int) -> list[bytes]:
+    """Sketches of ``words`` 64-bit words from each text's distinct feature hashes; all zero without features."""
+    order = sorted(range(len(features)), key=lambda i: len(features[i]))
+    out = [b"\0" * (8 * words)] * len(features)
+    at = 0
+    while at < len(order):
+        if not len(features[order[at]]):
+            at += 1
+            continue
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(features[order[end]]) <= STEP:
+            end += 1
+        group = [features[i] for i in order[at:end]]
+        longest = len(group[-1])
+        totals = np.zeros((len(group), words * 64), np.int64)
+        for first in range(0, longest, STEP):
+            width = min(STEP, longest - first)
+            rows = np.zeros((len(group), width, words), np.uint64)
+            for k, own in enumerate(group):
+                part = own[first : first + width]
+                rows[k, : len(part)] = _expand(part, words)
+            totals += bit_counts(rows)
+        sizes = np.array([len(x) for x in group])[:, None]
+        packed = np.packbits(2 * totals > sizes, axis=1, bitorder="little")
+        for k, i in enumerate(order[at:end]):
+            out[i] = packed[k].tobytes()
+        at = end
+    return out
+
+
+def features(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, and of the distinct ``width``-word shingles, of a text."""
+    words = text.translate(ASCII_LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    single = np.array([digest(w, 7) for w in set(words)], np.uint64)
+    if not words:
+        return single, single
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return single, np.array([digest(joined, 7)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return single, np.unique(np.fromiter((digest(joined[a:b], 7) for a, b in spans), np.uint64, len(words) - width + 1))

@@ -171,3 +171,44 @@ def test_one_hot_text(spark, size):
     assert tuple(near) == (0, size)
     own = exact.exact_duplicates(docs).agg(F.min("keep_id"), F.max("keep_id"), F.sum(F.col("kept").cast("int")), F.max("group_size")).head()
     assert tuple(own) == (size - 1, size - 1, 1, size)
+
+
+def test_bit_counts_are_exact():
+    from foliograph.llm import sketches
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 10, 257):
+        rows = rng.integers(0, 1 << 63, (3, n, 2), dtype=np.uint64)
+        plain = np.unpackbits(rows.view(np.uint8).reshape(3, n, 16), axis=2, bitorder="little").sum(axis=1)
+        assert (sketches.bit_counts(rows) == plain).all()
+    texts = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 5, 40_000, 1, 300)]
+    together = sketches.sketch(texts, 4)
+    assert together == [sketches.sketch([t], 4)[0] for t in texts] and together[0] == bytes(32)
+
+
+def test_similar_texts_keep_one(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(600)]
+
+    def edited(n):
+        own = list(base)
+        for at in rng.sample(range(600), n):
+            own[at] = "edit"
+        return " ".join(own)
+
+    rows = [(10, " ".join(base)), (11, edited(3)), (12, edited(6)), (13, edited(60)), (14, " ".join(base).upper()), (15, " ".join(rng.choice(vocabulary) for _ in range(600)))]
+    assert sorted(r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()) == [10, 13, 15]
+
+
+def test_recall_of_similar_pairs_on_larger_tables(spark):
+    """Of the pairs that are surely similar by brute force, at least nine in ten end in one group."""
+    from tests.llm.test_pipeline import five_words, groups
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    shingles = {r.doc_id: five_words(r.text) for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    surely = groups(shingles, 0.8)
+    gone, wanted = sum(len(g - kept) for g in surely), sum(len(g) - 1 for g in surely)
+    assert gone >= 0.97 * wanted
+    assert len(shingles) - len(kept) <= sum(len(g) - 1 for g in groups(shingles, 0.75))

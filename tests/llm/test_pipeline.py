@@ -1,9 +1,43 @@
+import math
+from collections import Counter
+
 import corpus_pipeline
-from foliograph.llm import contamination, langid, simhash
+from foliograph.llm import contamination, langid
 
 SF = "/root/testdata/sf0.01"
 
 
+def five_words(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups(shingles, similarity):
+    """Brute force: groups of more than one text that links of this similarity connect."""
+    root = {i: i for i in shingles}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    frequency = Counter(s for own in shingles.values() for s in own)
+    holders = {}
+    for i, own in shingles.items():
+        ordered = sorted(own, key=lambda s: (frequency[s], s))
+        for s in ordered[: len(own) - math.ceil(similarity * len(own)) + 1] or [None]:  # similar sets share one of these
+            holders.setdefault(s, []).append(i)
+    for pair in {(a, b) for h in holders.values() for n, b in enumerate(h) for a in h[:n]}:
+        x, y = (shingles[i] for i in pair)
+        if len(x & y) >= similarity * len(x | y):
+            lo, hi = sorted(map(find, pair))
+            root[hi] = lo
+    out = {}
+    for i in root:
+        out.setdefault(find(i), set()).add(i)
+    return [g for g in out.values() if len(g) > 1]
+
+
 def test_stages_one_by_one(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {"documents": docs}
@@ -18,20 +52,15 @@ def test_stages_one_by_one(spark, tmp_path):
     languages = {r.doc_id: r.lang_pred for r in langid.identify(kept["documents"], langid.learn(kept["documents"])).collect()}
     assert ids["language_id"] == {i for i, x in languages.items() if x != "und"}
 
-    prints = [(r.doc_id, simhash.fingerprint(r.text.encode(), 5)) for r in kept["language_id"].collect()]
-    root = {i: i for i, _ in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for n, (a, x) in enumerate(prints):
-        for b, y in prints[:n]:
-            if (x ^ y).bit_count() <= 3:
-                lo, hi = sorted((find(a), find(b)))
-                root[hi] = lo
-    assert ids["near_dedup"] == {i for i in root if find(i) == i}
+    texts = {r.doc_id: r.text for r in kept["language_id"].collect()}
+    shingles = {i: five_words(t) for i, t in texts.items()}
+    sure, doubtful = groups(shingles, 0.83), groups(shingles, 0.77)
+    out = ids["near_dedup"]
+    for group in sure:  # no group that is surely similar keeps two
+        assert len(group & out) <= 1
+    for group in doubtful:  # no text that is surely unlike others goes
+        assert group & out and min(group) in out
+    assert all(i in out for i in texts if not any(i in g for g in doubtful))
 
     leaks = contamination.overlaps(kept["near_dedup"], spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert ids["decontaminate"] == ids["near_dedup"] - {r.doc_id for r in leaks.collect()}
