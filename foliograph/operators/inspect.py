@@ -109,10 +109,8 @@ def evidence(rows: DataFrame, key: str, kinds: dict[str, Column], verdicts: Sequ
 
 
 def stock_kind(series: Column, volume: Column) -> Column:
-    """Stock chart by number of series and presence of a volume series."""
-    return (
-        F.when(volume & (series >= 5), "Vohlc").when(volume, "Vhlc").when(series >= 4, "Ohlc").otherwise("Hlc")
-    )
+    """Stock chart by number of its own series and presence of a volume chart beside it."""
+    return F.initcap(F.concat(F.when(volume, "v").otherwise(""), F.when(series >= 4, "ohlc").otherwise("hlc")))
 
 
 def migration_report(files: DataFrame, size: str, text: str, limit: int) -> DataFrame:

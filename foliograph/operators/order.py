@@ -96,3 +96,25 @@ def intern(rows: DataFrame, value: str, order: str) -> DataFrame:
     """
     firsts = rows.groupBy(value).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("uses"))
     return firsts.withColumn("id", F.row_number().over(Window.orderBy("first")) - 1)
+
+
+def assign_by_count(parts: DataFrame, owners: DataFrame, keys: Sequence[str], index: str, owner: str, count: str) -> DataFrame:
+    """Parts numbered from 0 dealt to owners in order, each taking as many as it counts.
+
+    An owner's parts are a range of numbers; owner ranges are unrolled to one
+    row for each number, so that the lookup is an equi-join.
+    """
+    first = F.coalesce(F.sum(count).over(_before(keys, [owner])), F.lit(0)).cast("long")
+    ranges = owners.withColumn("__first", first).filter(F.col(count) > 0)
+    each = ranges.select(*keys, owner, F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col(count) - 1)).alias("__n"))
+    joined = parts.withColumn("__n", F.col(index).cast("long")).join(each, [*keys, "__n"], "left")
+    return joined.drop("__n")
+
+
+def split_runs(texts: DataFrame, runs: DataFrame, keys: Sequence[str], text: str, start: str, shape: str) -> DataFrame:
+    """Pieces of each text between the starts of its style runs; text before the first run has shape 0."""
+    starts = runs.select(*keys, start, shape).unionByName(texts.select(*keys, F.lit(0).alias(start), F.lit(0).alias(shape)))
+    starts = starts.groupBy(*keys, start).agg(F.max(shape).alias(shape))
+    pieces = run_ends(starts, keys, start).join(texts.select(*keys, text), list(keys))
+    length = F.coalesce(F.col("end"), F.length(text) + 1) - F.col(start)
+    return pieces.select(*keys, start, shape, F.substring(F.col(text), F.col(start) + 1, length.cast("int")).alias("piece")).filter("piece <> ''")

@@ -70,3 +70,33 @@ def frontmatter(c: Column) -> list[Column]:
     field = lambda k: F.nullif(F.regexp_replace(F.regexp_extract(block, rf"(?m)^{k}:[ \t]*(.*?)[ \t]*$", 1), "^[\"']|[\"']$", ""), F.lit(""))
     body = F.when(found, F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n(---|\.\.\.)\r?(\n|\z)", "")).otherwise(text)
     return [found.alias("has_frontmatter"), field("title").alias("title"), field("author").alias("author"), field("date").alias("created"), body.alias("body")]
+
+
+def font_store(fonts: DataFrame, face: str, order: str) -> DataFrame:
+    """Every font in every language, languages in the order they are written; ids count within a language."""
+    from pyspark.sql import Window
+
+    from foliograph.schema import LANGUAGES
+
+    languages = F.posexplode(F.array(*map(F.lit, LANGUAGES))).alias("rank", "language")
+    firsts = fonts.groupBy(face).agg(F.min(order).alias("first"))
+    numbered = firsts.withColumn("idx", F.row_number().over(Window.orderBy("first")) - 1)  # one row for each font
+    return numbered.select("idx", face, languages)
+
+
+def registry_issues(styles: DataFrame, name: str, font: str, size: str, tab: str) -> DataFrame:
+    """What is wrong with each style: name, font, size, tab definition."""
+    issues = F.array(
+        F.when(~valid_name(F.col(name)), "invalid name"),
+        F.when(F.coalesce(F.col(font), F.lit("")) == "", "font required"),
+        F.when(F.col(size).isNull(), "size required"),
+        F.when(F.col(tab) < 3, "tab id reserved"),
+    )
+    return styles.select(name, F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
+
+
+def outline_numbering(spark) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Ten outline levels with their formats."""
+    #: Number formats and texts of the levels.
+    levels = [("DIGIT", "^1."), ("HANGUL_SYLLABLE", "^2."), ("DIGIT", "^3)"), ("HANGUL_SYLLABLE", "^4)"), ("DIGIT", "(^5)"), ("HANGUL_SYLLABLE", "(^6)"), ("CIRCLED_DIGIT", "^7"), ("CIRCLED_HANGUL_SYLLABLE", "^8"), ("DIGIT", "^9"), ("DIGIT", "^10")]
+    return spark.createDataFrame([(i + 1, f, t) for i, (f, t) in enumerate(levels)], "level int, format string, text string")

@@ -184,7 +184,7 @@ def ref_xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, n, CASE WHEN v AND n >= 5 THEN 'Vohlc' WHEN v THEN 'Vhlc' WHEN n >= 4 THEN 'Ohlc' ELSE 'Hlc' END AS kind
+    SELECT o_orderkey, n, CASE WHEN v AND n >= 4 THEN 'Vohlc' WHEN v THEN 'Vhlc' WHEN n >= 4 THEN 'Ohlc' ELSE 'Hlc' END AS kind
     FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, bool_or(l_quantity > 45) AS v FROM lineitem GROUP BY 1)
 """)
 def ref_stock_chart_kind(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,3 +233,10 @@ def tag_census(rows: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in TAG_NAMES.items() for x in pair])
     named = F.coalesce(F.try_element_at(names, F.col("tag")), F.format_string("Unknown(0x%04X)", "tag"))
     return rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).withColumn("name", named)
+
+
+def convert(nested: DataFrame) -> DataFrame:
+    """(doc_id, content) packages of the paragraphs of decoded files; files that could not be read give none."""
+    from foliograph.sources.packages import encode
+
+    return encode(frame(nested, "paragraphs").select("doc_id", "section", "ordinal", "text"))
