@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliograph.llm.contamination import op1_decontaminate
 from foliograph.llm.exact import op8_exact_dedup
 from foliograph.llm.langid import op7_langid
-from foliograph.llm.licenses import op10_licenses
+from foliograph.llm.licenses import PHRASES, TEMPLATES, op10_licenses
 from foliograph.llm.mixing import op4_mixing
 from foliograph.llm.packing import op6_packing
 from foliograph.llm.pii import op2_pii
@@ -33,7 +33,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _license_sql() -> str:
+    """The license scan in SQL: base phrases by position, templates by containment in a line, with no filter."""
+    listed = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    distinct = lambda text: listed(" ".join(dict.fromkeys(text.split())))
+    phrases = ", ".join(f"('{label}', {listed(p)})" for p, label in PHRASES)
+    templates = ", ".join(f"('{label}', {distinct(t)})" for label, t in TEMPLATES)
+    split = "list_filter(regexp_split_to_array(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        w AS (SELECT doc_id, {split.format(c="body")} AS words FROM d),
+        p(label, phrase) AS (VALUES {phrases}),
+        b AS (SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1:i + len(phrase)] = phrase)) AS place FROM w, p),
+        bases AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY doc_id),
+        l AS (SELECT DISTINCT doc_id, unnest(string_split(body, chr(10))) AS line FROM d),
+        s AS (SELECT doc_id, {split.format(c="line")} AS words FROM l WHERE length(line) >= 8),
+        t(label, words) AS (VALUES {templates}),
+        m AS (SELECT doc_id, label, len(list_intersect(t.words, s.words)) / len(t.words) AS share FROM s, t WHERE 10 * len(list_intersect(t.words, s.words)) >= 8 * len(t.words)),
+        held AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS share FROM m GROUP BY doc_id)
+        SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(bases.labels, ','), '') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(held.labels, [])))), ',') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+        FROM w LEFT JOIN bases USING (doc_id) LEFT JOIN held USING (doc_id)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op10_licenses": _license_sql(),
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
