@@ -121,14 +121,17 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for entries in batch.column(0).to_pylist():
-                own = np.unique(np.array(entries, np.int64).view(np.uint64))
+            entries, ends = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy().cumsum()
+            for first, last in zip([0, *ends], ends):  # noqa: B905
+                own = np.unique(entries[first:last].view(np.uint64))
                 found.update((int(a), int(b)) for a, b in (_scan if len(own) <= SCAN else _probe)(own, distance))
             if found:
-                ends = np.array(sorted(found), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+                pairs = np.array(sorted(found), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    postings = prints.select("fp", F.explode(posting_keys(F.col("fp"), distance)).alias("key"))
+    # fingerprints are few bytes and lie in few partitions; their postings are many
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = prints.select("fp").repartition(parts, "fp").select("fp", F.explode(posting_keys(F.col("fp"), distance)).alias("key"))
     lists = postings.groupBy("key.n", "key.k").agg(F.collect_list("fp").alias("own")).filter(F.size("own") > 1)
     return lists.select("own").mapInArrow(run, "a long, b long").distinct()
 
@@ -150,7 +153,8 @@ def near_duplicates(
     grouped = cut(members.join(least, members.node == least.fp).select("fp", "root", "least"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(named, "root").select("fp", "component_id")
-    classes = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # cut, so that the last join has an exchange of its own on either side and a hot fingerprint can be split
+    classes = cut(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
