@@ -217,7 +217,7 @@ class _Section:
                 self.rows["cells"].append(
                     {
                         "table": number, "row": r, "column": c, "col_span": _int(span, "colSpan", 1), "row_span": _int(span, "rowSpan", 1), "is_header": bool(cells) and all(flags),
-                        "width": _int(extent, "width"), "height": _int(extent, "height"), "border_fill": _int(tc, "borderFillIDRef"), "text": "\n".join(texts),
+                        "width": _int(extent, "width"), "height": _int(extent, "height"), "border_fill": _int(tc, "borderFillIDRef"), "text": "\n".join(texts) if texts else None,
                     }
                 )
                 self.nested(tc, f"{path}.table.rows[{r}].cells[{c}]", "table/tc/subList", None, depth)
