@@ -195,26 +195,22 @@ def sketched(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, words binary, shingles binary, n long")
 
 
-def similar_within(entries: list[dict], similarity: float) -> Iterator[tuple[int, int]]:
+def similar_within(ids: np.ndarray, words: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links of one list: enough shared positional bytes, then enough shared shingles.
 
-    The share of equal bits of the shingle sketches estimates the cosine, and
-    with the numbers of shingles the Jaccard similarity.
+    Sketches are rows of bytes. The share of equal bits of the shingle sketches
+    estimates the cosine, and with the numbers of shingles the Jaccard
+    similarity.
     """
-    ids = np.array([e["id"] for e in entries], np.int64)
-    words = np.frombuffer(b"".join(e["words"] for e in entries), np.uint64).reshape(len(ids), -1)
-    shingles = np.frombuffer(b"".join(e["shingles"] for e in entries), np.uint64).reshape(len(ids), -1)
-    sizes = np.array([e["n"] for e in entries], float)
     rest, queue = np.arange(len(ids)), []
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
             continue
         here = queue.pop()
-        tally = ((words[rest] ^ words[here]).view(np.uint8) == 0).sum(axis=1)
-        near = np.flatnonzero(tally >= SHARED)
+        near = np.flatnonzero((words[rest] == words[here]).sum(axis=1) >= SHARED)
         at = rest[near]
-        angle = np.pi * np.bitwise_count(shingles[at] ^ shingles[here]).sum(axis=1) / (64 * SHINGLE_SKETCH)
+        angle = np.pi * np.bitwise_count(shingles[at] ^ shingles[here]).sum(axis=1, dtype=np.int64) / (64 * SHINGLE_SKETCH)
         common = np.cos(angle) * np.sqrt(sizes[at] * sizes[here])
         linked = near[common >= similarity * (sizes[at] + sizes[here] - common)]
         for other in rest[linked]:
@@ -223,15 +219,29 @@ def similar_within(entries: list[dict], similarity: float) -> Iterator[tuple[int
         rest = np.delete(rest, linked)
 
 
+def _byte_rows(values: pa.Array, width: int) -> np.ndarray:
+    """A column of binaries of one length as rows of bytes, without a Python object for each."""
+    _, offsets, data = values.buffers()
+    first = np.frombuffer(offsets, np.int32)[values.offset]
+    return np.frombuffer(data, np.uint8)[first : first + width * len(values)].reshape(len(values), width)
+
+
 def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     """(a, b) links between the rows (id, words, shingles, n) of distinct texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {pair for entries in batch.column(0).to_pylist() for pair in similar_within(entries, similarity)}
+            entries, ends = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy().cumsum()
+            ids, _, _, n = (c.to_numpy() if pa.types.is_integer(c.type) else None for c in entries.flatten())
+            words, shingles = (_byte_rows(c, 8 * w) for c, w in zip(entries.flatten()[1:3], (WORD_SKETCH, SHINGLE_SKETCH), strict=True))
+            found = {
+                pair
+                for first, last in zip([0, *ends], ends)  # noqa: B905
+                for pair in similar_within(ids[first:last], words[first:last], shingles[first:last], n[first:last].astype(float), similarity)
+            }
             if found:
-                ends = np.array(sorted(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+                pairs = np.array(sorted(found), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     keys = [F.xxhash64(F.substring("words", at + 1, KEY_BYTES), F.lit(at)) for at in range(0, 8 * WORD_SKETCH, KEY_BYTES)]
     postings = distinct.select("id", F.explode(F.array(*keys)).alias("key"))
