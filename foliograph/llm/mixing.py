@@ -209,5 +209,5 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
 
     chance = F.pmod(F.xxhash64(docs["doc_id"].cast("string"), docs["text"].cast("string")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(rate(docs["text"].cast("string")) + chance).cast("int")
-    several = docs.select("*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy"))
-    return several.select(*[several[c] for c in docs.columns])
+    name = "__copy" + "_" * max([0, *map(len, docs.columns)])  # no column of docs has this name
+    return docs.select("*", F.explode(F.array_repeat(F.lit(0), copies)).alias(name)).drop(name)

@@ -108,13 +108,16 @@ _SPELLED = {
     **dict(zip("null eins zwei drei vier fünf sechs sieben acht neun".split(), "0123456789", strict=True)),
     **dict(zip("zéro un deux trois quatre cinq six sept huit neuf".split(), "0123456789", strict=True)),
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
+    "oh": "0",
 }
+_TIMES = {"double": 2, "triple": 3}
 _FOREIGN = re.compile("[\u00ad\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2060\ufeff\uff01-\uff5e]")
 _NAMES = "|".join(sorted(_SPELLED, key=len, reverse=True))
+_ONE = rf"(?:(?:double|triple)[ \t-]{{1,3}})?(?:{_NAMES})"
 _SPOKEN = re.compile(
-    rf"(?<!\w)(?:plus[ \t-]{{1,3}})?(?:(?:{_NAMES}|[0-9]+)[ \t.,-]{{1,3}}){{2,}}(?:{_NAMES}|[0-9]+)(?!\w)", re.IGNORECASE
+    rf"(?<!\w)(?:plus[ \t-]{{1,3}})?(?:(?:{_ONE}|[0-9]+)[ \t.,-]{{1,3}}){{2,}}(?:{_ONE}|[0-9]+)(?!\w)", re.IGNORECASE
 )
-_SPOKEN_WORD = re.compile(rf"(?<!\w)(?:plus[ \t-]{{1,3}}(?=\w)|(?:{_NAMES})(?!\w))", re.IGNORECASE)
+_SPOKEN_WORD = re.compile(rf"(?<!\w)(?:plus[ \t-]{{1,3}}(?=\w)|{_ONE}(?!\w))", re.IGNORECASE)
 _SPOKEN_HINT = re.compile(rf"(?<!\w)(?:{_NAMES})[ \t.,-]{{1,3}}(?:{_NAMES}|[0-9]+)(?!\w)")
 _AT = r"(?:at|arroba|arobase)"
 _DOT = r"(?:dot|punkt|punto|point)"
@@ -130,6 +133,13 @@ _PLAIN = re.compile(
 _QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ \t]+{_DOT}[ \t]+[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _PLAIN_HINT = re.compile(r"[ \t](?:[dD][oO][tT]|[pP][uU][nN][kK][tT]|[pP][uU][nN][tT][oO]|[pP][oO][iI][nN][tT])[ \t]")
 _SIGN = re.compile(rf"[ \t]+(?:(?P<at>{_AT})|(?P<dot>{_DOT}))[ \t]+", re.IGNORECASE)
+#: Signs with a space on either side.
+_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: @ |@)[A-Za-z0-9-]++(?:(?: \. |\.)[A-Za-z0-9-]++)+")
+_SPACED_HINT = re.compile(r"[A-Za-z0-9_%+-] @ [A-Za-z0-9]|@[A-Za-z0-9.-]+ \. [A-Za-z0-9]")
+#: Letters that stand for digits, in tokens of digits.
+_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl.()+-]*?(?:[0-9][.()-]?[OoIl]|[OoIl][.()-]?[0-9])[0-9OoIl.()+-]*+(?![A-Za-z0-9])")
+_MIXED_HINT = re.compile(r"[0-9][.()-]?[OoIl]|(?<![A-Za-z0-9])[OoIl][.()-]?[0-9]")
 #: How far around a spoken dot an address is looked for.
 _AROUND = 320
 
@@ -200,6 +210,14 @@ def _ascii(c: str) -> str:
     return str(unicodedata.digit(c)) if c.isdigit() else c
 
 
+def _spoken(words: str) -> str:
+    """Digits of a spelled digit, also a doubled one; a sign otherwise."""
+    first, *rest = re.split("[ \t-]+", words.lower().strip(" \t-"))
+    if rest:
+        return _SPELLED[rest[0]] * _TIMES[first]
+    return _SPELLED.get(first, "+")
+
+
 def normalise(text: str) -> Copy | None:
     """The normalised copy, or None where no transducer finds anything to replace."""
     copy = Copy(text)
@@ -220,9 +238,15 @@ def normalise(text: str) -> Copy | None:
                     edits += [(*m.span(), "@" if m["at"] else ".") for m in signs]
                     done = whole.end()
         copy.rewrite(edits)
+    if _SPACED_HINT.search(copy.text):
+        spaced = ((m.start() + s.start(), m.start() + s.end(), s[0].strip()) for m in _SPACED.finditer(copy.text) for s in re.finditer(r" [@.] ", m[0]))
+        copy.rewrite(list(spaced))
+    if _MIXED_HINT.search(copy.text):
+        letters = ((m.start() + i, m.start() + i + 1, _LETTERS[c]) for m in _MIXED.finditer(copy.text) for i, c in enumerate(m[0]) if c in _LETTERS)
+        copy.rewrite(list(letters))
     if _SPOKEN_HINT.search(copy.text.lower()):
         words = (w for run in _SPOKEN.finditer(copy.text) for w in _SPOKEN_WORD.finditer(copy.text, *run.span()))
-        copy.rewrite([(*w.span(), _SPELLED.get(w[0].lower(), "+")) for w in words])
+        copy.rewrite([(*w.span(), _spoken(w[0])) for w in words])
     return copy if copy.pieces else None
 
 
