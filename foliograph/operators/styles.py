@@ -100,3 +100,33 @@ def outline_numbering(spark) -> DataFrame:  # type: ignore[no-untyped-def]
     #: Number formats and texts of the levels.
     levels = [("DIGIT", "^1."), ("HANGUL_SYLLABLE", "^2."), ("DIGIT", "^3)"), ("HANGUL_SYLLABLE", "^4)"), ("DIGIT", "(^5)"), ("HANGUL_SYLLABLE", "(^6)"), ("CIRCLED_DIGIT", "^7"), ("CIRCLED_HANGUL_SYLLABLE", "^8"), ("DIGIT", "^9"), ("DIGIT", "^10")]
     return spark.createDataFrame([(i + 1, f, t) for i, (f, t) in enumerate(levels)], "level int, format string, text string")
+
+
+#: Built-in styles besides the outlines, as Korean name, English name, kind, character and paragraph shape.
+_NAMED = (
+    ("쪽 번호", "Page Number", "CHAR", 1, 0),
+    ("머리말", "Header", "PARA", 2, 9),
+    ("각주", "Footnote", "PARA", 3, 10),
+    ("미주", "Endnote", "PARA", 3, 10),
+    ("메모", "Memo", "PARA", 4, 11),
+    ("차례 제목", "TOC Heading", "PARA", 5, 12),
+    ("차례 1", "TOC 1", "PARA", 6, 13),
+    ("차례 2", "TOC 2", "PARA", 6, 14),
+    ("차례 3", "TOC 3", "PARA", 6, 15),
+)
+#: Paragraph shapes of the outlines that came later.
+_LATE_OUTLINES = {8: 18, 9: 16, 10: 17}
+
+
+def style_set(version: str = "modern") -> list[tuple[str, str, str, int, int]]:
+    """Built-in styles of a version (classic, modern, latest); a style's place is its id."""
+    outlines = [(f"개요 {n}", f"Outline {n}", "PARA", 0, _LATE_OUTLINES.get(n, n + 1)) for n in range(1, 8 if version == "classic" else 11)]
+    late = [] if version == "classic" else [("캡션", "Caption", "PARA", 0, 19)]
+    latest = [("줄 번호", "Line Number", "CHAR", 1, 0)] if version == "latest" else []
+    return [("바탕글", "Normal", "PARA", 0, 0), ("본문", "Body", "PARA", 0, 1), *outlines, *_NAMED, *late, *latest]
+
+
+def style_id(name: Column, version: str = "modern") -> Column:
+    """Id of a built-in style by its Korean or English name, or null."""
+    ids = {n: i for i, own in reversed(list(enumerate(style_set(version)))) for n in own[:2]}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), name)
