@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,27 +53,30 @@ def document(blocks: DataFrame, doc: str, section: str, order: str, block: str,
 def grid_places(cells: DataFrame, table: str) -> DataFrame:
     """Grid column of each cell when cells before it span columns or rows.
 
-    The place of a cell depends on all before it, so a table is placed by one
-    call; tables are the groups, and a table is bounded by its format.
+    The place of a cell depends on all before it, so tables are brought
+    together and sorted, and each partition is walked once.
     """
     import pandas as pd
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taken: set[tuple[int, int]] = set()
-        columns = []
-        pdf = pdf.sort_values(["row", "ordinal"])
-        for r in pdf.itertuples():
-            c = 0
-            while (r.row, c) in taken:
-                c += 1
-            taken.update((r.row + i, c + j) for i in range(r.row_span) for j in range(r.col_span))
-            columns.append(c)
-        return pdf.assign(grid_column=columns)
+        now = object()
+        for pdf in batches:
+            columns = []
+            for t, row, cols, rows in zip(pdf[table], pdf["row"], pdf["col_span"], pdf["row_span"], strict=True):
+                if t != now:  # rows of a table stand together, also across batches
+                    now, taken = t, set()
+                c = 0
+                while (row, c) in taken:
+                    c += 1
+                taken.update((row + i, c + j) for i in range(rows) for j in range(cols))
+                columns.append(c)
+            yield pdf.assign(grid_column=columns)
 
     kind = cells.schema[table].dataType.simpleString()
-    return cells.select(table, "row", "ordinal", "col_span", "row_span").groupBy(table).applyInPandas(
-        place, f"{table} {kind}, row int, ordinal int, col_span int, row_span int, grid_column int"
-    )
+    own = cells.select(table, "row", "ordinal", "col_span", "row_span")
+    together = own.repartition(table).sortWithinPartitions(table, "row", "ordinal")
+    return together.mapInPandas(place, f"{table} {kind}, row int, ordinal int, col_span int, row_span int, grid_column int")
 
 
 def pad_rows(rows: DataFrame, keys: Sequence[str], width: int, most: int = 10_000) -> DataFrame:
