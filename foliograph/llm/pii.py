@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 # Each pattern starts where no match can have begun one character earlier, or at a rare sign, so that scanning
 # stays linear in the text whatever it holds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[^0-9]")
@@ -139,7 +139,7 @@ _SPACED_HINT = re.compile(r"[A-Za-z0-9_%+-] @ [A-Za-z0-9]|@[A-Za-z0-9.-]+ \. [A-
 #: Letters that stand for digits, in tokens of digits.
 _LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 _MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl.()+-]*?(?:[0-9][.()-]?[OoIl]|[OoIl][.()-]?[0-9])[0-9OoIl.()+-]*+(?![A-Za-z0-9])")
-_MIXED_HINT = re.compile(r"[0-9][.()-]?[OoIl]|(?<![A-Za-z0-9])[OoIl][.()-]?[0-9]")
+_DIGIT_LETTER, _LETTER_DIGIT = re.compile(r"[0-9][.()-]?[OoIl]"), re.compile(r"[OoIl][.()-]?[0-9]")
 #: How far around a spoken dot an address is looked for.
 _AROUND = 320
 
@@ -238,10 +238,10 @@ def normalise(text: str) -> Copy | None:
                     edits += [(*m.span(), "@" if m["at"] else ".") for m in signs]
                     done = whole.end()
         copy.rewrite(edits)
-    if _SPACED_HINT.search(copy.text):
+    if "@" in copy.text and _SPACED_HINT.search(copy.text):
         spaced = ((m.start() + s.start(), m.start() + s.end(), s[0].strip()) for m in _SPACED.finditer(copy.text) for s in re.finditer(r" [@.] ", m[0]))
         copy.rewrite(list(spaced))
-    if _MIXED_HINT.search(copy.text):
+    if _DIGIT_LETTER.search(copy.text) or _LETTER_DIGIT.search(copy.text):
         letters = ((m.start() + i, m.start() + i + 1, _LETTERS[c]) for m in _MIXED.finditer(copy.text) for i, c in enumerate(m[0]) if c in _LETTERS)
         copy.rewrite(list(letters))
     if _SPOKEN_HINT.search(copy.text.lower()):
