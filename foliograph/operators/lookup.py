@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,14 +95,17 @@ def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: i
 
     A recursive query: each level is one join of the frontier with the edges.
     """
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(f"""
+    view = f"edges_{uuid.uuid4().hex}"
+    edges.createOrReplaceTempView(view)
+    found = spark.sql(f"""
         WITH RECURSIVE up(node, ancestor, distance, seen) AS (
-            SELECT node, parent, 1, array(node) FROM __edges WHERE parent IS NOT NULL
+            SELECT node, parent, 1, array(node) FROM {view} WHERE parent IS NOT NULL
             UNION ALL
             SELECT u.node, e.parent, u.distance + 1, array_append(u.seen, u.ancestor)
-            FROM up u JOIN __edges e ON e.node = u.ancestor
+            FROM up u JOIN {view} e ON e.node = u.ancestor
             WHERE e.parent IS NOT NULL AND u.distance < {depth} AND NOT array_contains(u.seen, u.ancestor)
         )
         SELECT node, ancestor, distance FROM up
     """)
+    spark.catalog.dropTempView(view)  # the query is resolved by now
+    return found
