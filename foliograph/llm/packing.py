@@ -169,9 +169,38 @@ def unpack(rows: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, sepa
     return whole.select("pack", "doc_id", joined(F.transform("own", lambda s: s["part"])).alias("text"))
 
 
+def matrices(rows: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+    """(pack, rows, width, ids, cu_seqlens, position_ids): one row for each pack, ready to be mapped into memory.
+
+    ``ids`` is the row-major id matrix. ``cu_seqlens`` are little-endian 32-bit
+    cumulative segment lengths over the whole matrix, from 0 to its size, where
+    the padding of a row is a segment of its own; ``position_ids`` has for each
+    id its 32-bit place in its segment. A pack is bounded, so one call holds it.
+    """
+    kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
+    schema = "rows int, width int, ids binary, cu_seqlens binary, position_ids binary"
+
+    def build(own) -> tuple[int, int, bytes, bytes, bytes]:  # type: ignore[no-untyped-def]
+        ids = b"".join(bytes(r["ids"]) for r in own)
+        width = len(ids) // kind.itemsize // len(own)
+        ends = [np.append(np.asarray(r["cu_seqlens"][1:]), width) + i * width for i, r in enumerate(own)]
+        cumulative = np.unique(np.concatenate([[0], *ends])).astype("<i4")
+        positions = np.arange(width * len(own)) - np.repeat(cumulative[:-1], np.diff(cumulative))
+        return len(own), width, ids, cumulative.tobytes(), positions.astype("<i4").tobytes()
+
+    @F.pandas_udf(schema)
+    def made(packs):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        return pd.DataFrame([build(own) for own in packs], columns=["rows", "width", "ids", "cu_seqlens", "position_ids"])
+
+    whole = rows.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("row", "ids", "cu_seqlens"))).alias("own"))
+    return whole.select("pack", made("own").alias("m")).select("pack", "m.*")
+
+
 def write_binary(rows: DataFrame, path: str) -> None:
-    """Packed rows as Spark binary part files: a Parquet folder in which ``ids`` is the raw matrix row."""
-    rows.write.parquet(path)
+    """The matrices of all packs as uncompressed Parquet binaries, which Spark's writers commit task by task."""
+    matrices(rows).write.option("compression", "uncompressed").parquet(path)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,3 +212,22 @@ def test_packing_corner_cases(spark):
     back = {r.doc_id: r.text for r in packing.unpack(packed).collect()}
     assert back == {1: "", 2: "", 3: "word " * 9000, None: "no id", 4: "<|endoftext|> is text"}
     assert packing.pack(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_matrices_have_cumulative_lengths_and_position_resets(spark, tmp_path):
+    docs = frame(spark, [(i, "word " * (i * 7 % 90)) for i in range(50)])
+    rows = packing.pack(docs, row=64, size=1000)
+    packing.write_binary(rows, str(tmp_path / "packed"))
+    by_pack = {}
+    for r in rows.collect():
+        by_pack.setdefault(r.pack, {})[r.row] = r
+    found = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert {r.pack for r in found} == set(by_pack)
+    for r in found:
+        own = by_pack[r.pack]
+        assert r.rows == len(own) and r.width == 64
+        assert r.ids == b"".join(own[i].ids for i in range(r.rows))
+        cumulative, positions = np.frombuffer(r.cu_seqlens, "<i4"), np.frombuffer(r.position_ids, "<i4")
+        expected = sorted({0} | {i * 64 + c for i in range(r.rows) for c in [*own[i].cu_seqlens[1:], 64]})
+        assert cumulative.tolist() == expected and len(positions) == 64 * r.rows
+        assert positions.tolist() == [k for a, b in zip(expected, expected[1:], strict=False) for k in range(b - a)]
