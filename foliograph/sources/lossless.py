@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 #: Which elements may hold which.
 INSIDE = {
     "section": {"p"},
@@ -47,3 +51,59 @@ def read(text: str) -> list[dict[str, Any]]:
         return own
 
     return [node(e, {"section"}) for e in root]
+
+
+# -- decoded packages ---------------------------------------------------------------------------------------------
+def sections(rows: dict[str, list[dict[str, Any]]]) -> list[dict[str, Any]]:
+    """Section nodes of one package's rows; nested paragraphs of controls and tables stand inside them."""
+    tables = {t["path"]: t for t in rows["tables"]}
+    cells: dict[int, list[dict[str, Any]]] = {}
+    for c in rows["cells"]:
+        cells.setdefault(c["table"], []).append(c)
+    kinds = {c["control"]: c for c in rows["controls"]}
+    owned: dict[int, list[dict[str, Any]]] = {}
+    for p in rows["paragraphs"]:
+        if p["owner"] is not None:
+            owned.setdefault(p["owner"], []).append(p)
+    runs: dict[tuple[int, int], list[dict[str, Any]]] = {}
+    for r in rows["runs"]:
+        runs.setdefault((r["section"], r["ordinal"]), []).append(r)
+
+    def run(r: dict[str, Any]) -> dict[str, Any]:
+        if r["kind"] == "text":
+            return {"name": "span", "attributes": {"shape": r["char_shape"]}, "text": r["text"]}
+        if r["kind"] == "image":
+            return {"name": "img", "attributes": {"src": r["text"] or ""}, "text": ""}
+        if r["kind"] == "table":
+            own = cells.get(tables[f"{r['path']}.runs[{r['run']}]"]["table"], [])
+            lines = [[c for c in own if c["row"] == n] for n in sorted({c["row"] for c in own})]
+            td = lambda c: {"name": "td", "attributes": {"colspan": c["col_span"], "rowspan": c["row_span"]}, "nodes": [plain(x) for x in (c["text"] or "").split("\n")]}
+            return {"name": "table", "nodes": [{"name": "tr", "nodes": [td(c) for c in line]} for line in lines]}
+        c = kinds[r["control"]]
+        name = c["kind"].lower()
+        if name in INSIDE:
+            return {"name": name, "nodes": [paragraph(p) for p in owned.get(c["control"], [])]}
+        return {"name": "control", "attributes": {"kind": c["kind"], "width": c["width"], "height": c["height"]}, "text": c["detail"] or ""}
+
+    def plain(text: str) -> dict[str, Any]:
+        return {"name": "p", "nodes": [{"name": "span", "text": text}]}
+
+    def paragraph(p: dict[str, Any]) -> dict[str, Any]:
+        own = sorted(runs.get((p["section"], p["ordinal"]), []), key=lambda r: r["run"])
+        return {"name": "p", "attributes": {"shape": p["para_shape"], "style": p["style"]}, "nodes": [run(r) for r in own]}
+
+    body = [p for p in rows["paragraphs"] if p["container"] == "body"]
+    return [{"name": "section", "nodes": [paragraph(p) for p in body if p["section"] == s["section"]]} for s in rows["sections"]]
+
+
+def encode(files: DataFrame) -> DataFrame:
+    """(doc_id, text) of packages (path, content); unreadable packages give no section."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from foliograph.sources.packages import parse
+
+        for batch in batches:
+            texts = ["".join(map(write, sections(parse(bytes(c) if c is not None else b"")))) for c in batch["content"]]
+            yield pd.DataFrame({"doc_id": batch["path"], "text": texts})
+
+    return files.select("path", "content").mapInPandas(run, "doc_id string, text string")

@@ -231,3 +231,13 @@ def test_lossless_round_trip():
     for bad in ("<p></p>", "<section><tr></tr></section>", "<section>text</section>"):
         with pytest.raises(ValueError):
             lossless.read(bad)
+
+
+def test_packages_in_lossless_form(spark):
+    rows = {r.doc_id: r.text for r in lossless.encode(files(spark, {"a": made(), "bad": b"x"})).collect()}
+    assert rows["bad"] == ""
+    first, second = lossless.read(rows["a"])
+    assert [s["text"] for p in first["nodes"] for s in p["nodes"]] == ["Title", "a\tb\nc d & <e>"]
+    table = second["nodes"][0]["nodes"][0]
+    assert [[td["attributes"]["colspan"] for td in tr["nodes"]] for tr in table["nodes"]] == [["1", "1"], ["2"]]
+    assert [s["text"] for p in table["nodes"][1]["nodes"][0]["nodes"] for s in p["nodes"]] == ["wide", "text"]
