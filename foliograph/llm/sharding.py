@@ -9,8 +9,9 @@ blocks that move are rewritten.
 
 The plan needs the bytes and rows of each block and never a document; the
 number of blocks is a parameter and bounds all that the driver sees. A
-document's slot is its block's offset and its place within a part of the block,
-so neither a shard nor a block with a third of the table is sorted by one task.
+document's slot is the offset of a part of its block and its place within that
+part, so neither a shard nor a block with a third of the table is sorted by one
+task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_bytes
+from foliograph.llm.common import cut, table, text_bytes
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -128,8 +129,8 @@ def transfers(blocks: dict[tuple[int, int], int], shards: int) -> dict[tuple[int
     return placed
 
 
-def sized(docs: DataFrame, shards: int, blocks: int, parts: int) -> DataFrame:
-    """Narrow rows: doc_id, size, text_crc32 and where the text lies: old shard, block, part."""
+def sized(docs: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """Narrow rows: doc_id, size, text_crc32 and where the text lies: old shard and block."""
     body = text_bytes()
     code = F.xxhash64(body)
     return docs.select(
@@ -138,11 +139,10 @@ def sized(docs: DataFrame, shards: int, blocks: int, parts: int) -> DataFrame:
         F.crc32(body).alias("text_crc32"),
         F.pmod(code, F.lit(shards)).cast("int").alias("old"),
         F.pmod(F.xxhash64(code), F.lit(blocks)).cast("int").alias("block"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)).cast("int").alias("part"),
     )
 
 
-def assign(docs: DataFrame, shards: int = 8, blocks: int = 512, parts: int = 16) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, blocks: int = 512) -> DataFrame:
     """(doc_id, size, text_crc32, old, block, shard, slot) for every row of ``docs``.
 
     Size is the text's UTF-8 bytes plus one; null counts as empty. Shards have
@@ -150,20 +150,26 @@ def assign(docs: DataFrame, shards: int = 8, blocks: int = 512, parts: int = 16)
     outweigh an equal part gets a shard that is as full as they make it, with
     the others equal. Slots count from 0 without gaps within each shard.
     Repeated rows take a slot each; an empty table gives no row.
+
+    A block is numbered in parts, and gets as many as its share of all rows
+    asks for, so that no part is more than about a ``2 * shards * blocks``-th
+    of the table even where one text is a third of it. The driver sees at most
+    ``3 * shards * blocks`` counts, however many documents there are.
     """
-    rows = sized(docs, shards, blocks, parts)
-    # at most shards * blocks * parts rows come to the driver, however many documents there are
-    cells = rows.groupBy("old", "block", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
-    sizes: dict[tuple[int, int], int] = defaultdict(int)
-    for c in cells:
-        sizes[c["old"], c["block"]] += c["bytes"]
-    placed = transfers(sizes, shards)
+    spark = docs.sparkSession
+    rows = cut(sized(docs, shards, blocks))
+    held = rows.groupBy("old", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
+    placed = transfers({(r["old"], r["block"]): r["bytes"] for r in held}, shards)
+    total = sum(r["n"] for r in held)
+    dealt = [(r["old"], r["block"], placed[r["old"], r["block"]], -(-r["n"] * 2 * shards * blocks // total)) for r in held]
+    parts = spark.createDataFrame(dealt, "old int, block int, shard int, parts int")
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.col("parts")).cast("int")
+    rows = rows.join(F.broadcast(parts), ["old", "block"]).withColumn("part", part).drop("parts")
     following, starts = [0] * shards, []
-    for old, block, part, n in sorted((c["old"], c["block"], c["part"], c["n"]) for c in cells):
-        to = placed[old, block]
-        starts.append((old, block, part, to, following[to]))
+    for old, block, part, to, n in sorted(map(tuple, rows.groupBy("old", "block", "part", "shard").count().collect())):
+        starts.append((old, block, part, following[to]))
         following[to] += n
-    plan = docs.sparkSession.createDataFrame(starts, "old int, block int, part int, shard int, first long")
+    plan = spark.createDataFrame(starts, "old int, block int, part int, first long")
     within = F.row_number().over(Window.partitionBy("old", "block", "part").orderBy("doc_id", "size", "text_crc32"))
     found = rows.join(F.broadcast(plan), ["old", "block", "part"])
     return found.select("doc_id", "size", "text_crc32", "old", "block", "shard", (F.col("first") + within - 1).cast("long").alias("slot"))
