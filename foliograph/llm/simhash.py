@@ -22,6 +22,7 @@ as the full link graph.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import ASCII_LOWER, cut, table, text_bytes, windows
 from foliograph.llm.components import components
-from foliograph.llm.sketches import features, sketch
+from foliograph.llm.sketches import shingles
 
 SEED, BITS, BYTES = 42, 64, 8
 #: Lists up to this length are scanned; longer ones are probed.
@@ -165,98 +166,177 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- similarity on word shingles --------------------------------------------------------------------------------
-# A similarity of 0.8 changes about a seventh of the bits of a shingle fingerprint, which no positional byte outlives
-# for sure. The words of a text change far less than its shingles, so a long sketch of the words carries the index and
-# a long sketch of the shingles verifies.
-
-#: 64-bit words of the two sketches, and bytes of a posting key.
-WORD_SKETCH, SHINGLE_SKETCH, KEY_BYTES = 24, 32, 4
-#: Positional bytes of the word sketch, out of 192, that two texts have to share.
-SHARED = 60
-#: Entries of a list that one call compares; longer lists are dealt, by another hash for every list.
+# An exact set-similarity join. Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles under any
+# order of all shingles (prefix filter). The order puts shingles that many texts hold last; it decides how many
+# candidates there are and never which pairs are found. Sizes, places and a parity bitmap give bounds that no similar
+# pair breaks, and what passes them is decided on the whole sets.
+
+#: Bits of a shingle's heat bucket; bytes of the parity bitmap.
+HEAT_BITS, PARITY_BYTES = 20, 256
+#: Entries of a part of a posting list; all pairs of parts are compared, each pair of parts in a task of its own.
 CHUNK = 4096
+#: Positions of the bitmap that names the texts whose sets are wanted.
+WANTED = 1 << 23
 
 
-def sketched(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, words, shingles, n): both sketches and the number of distinct shingles; one row per input row."""
+def heat(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarray:
+    """For each bucket of shingles how many occurrences its crowded tasks count, 0 for buckets crowded nowhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << HEAT_BITS, np.int64)
         for batch in windows(batches, "body"):
-            found = [features(t, width) for t in batch.column(1).to_pylist()]
-            columns = [
-                batch.column(0),
-                pa.array(sketch([w for w, _ in found], WORD_SKETCH), pa.binary()),
-                pa.array(sketch([s for _, s in found], SHINGLE_SKETCH), pa.binary()),
-                pa.array([len(s) for _, s in found], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "shingles", "n"])
+            own = np.concatenate([shingles(t, width) for t in batch.column(0).to_pylist()])
+            counts += np.bincount((own >> np.uint64(64 - HEAT_BITS)).astype(np.int64), minlength=len(counts))
+        crowded = np.flatnonzero(counts > max(8, 4 * counts.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(crowded, pa.int64()), pa.array(counts[crowded], pa.int64())], ["bucket", "n"])
+
+    rows = docs.select(text_bytes(text_col).alias("body")).mapInArrow(run, "bucket long, n long")
+    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 rows, and few of them crowded
+    out = np.zeros(1 << HEAT_BITS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def needed(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares with every set of this similarity."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def shingled(docs: DataFrame, order: np.ndarray, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, n, bits, prefix) of each text's distinct shingles; one row per input row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in windows(batches, "body"):
+            out = []
+            for text in batch.column(1).to_pylist():
+                own = shingles(text, width)
+                first = np.lexsort((own, order[own >> np.uint64(64 - HEAT_BITS)]))[: len(own) - needed(len(own), similarity) + 1 if len(own) else 0]
+                odd = np.bincount((own % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
+                out.append((_digest(own), len(own), np.packbits(odd.astype(np.uint8)).view(np.int64), own[first].view(np.int64)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "n", "bits", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, words binary, shingles binary, n long")
+    return rows.mapInArrow(run, "doc_id long, digest binary, n long, bits array<long>, prefix array<long>")
 
 
-def similar_within(ids: np.ndarray, words: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links of one list: enough shared positional bytes, then enough shared shingles.
+def _digest(shingles: np.ndarray) -> bytes:
+    """A name for a set of shingles, which are in order."""
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
 
-    Sketches are rows of bytes. The share of equal bits of the shingle sketches
-    estimates the cosine, and with the numbers of shingles the Jaccard
-    similarity.
-    """
-    rest, queue = np.arange(len(ids)), []
-    while len(rest):
-        if not queue:
-            queue, rest = [rest[0]], rest[1:]
-            continue
-        here = queue.pop()
-        near = np.flatnonzero((words[rest] == words[here]).sum(axis=1) >= SHARED)
-        at = rest[near]
-        angle = np.pi * np.bitwise_count(shingles[at] ^ shingles[here]).sum(axis=1, dtype=np.int64) / (64 * SHINGLE_SKETCH)
-        common = np.cos(angle) * np.sqrt(sizes[at] * sizes[here])
-        linked = near[common >= similarity * (sizes[at] + sizes[here] - common)]
-        for other in rest[linked]:
-            yield int(ids[here]), int(ids[other])
-        queue.extend(rest[linked])
-        rest = np.delete(rest, linked)
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, own) the whole sets of the texts that ``wanted`` (id, digest) names; texts of no wanted id are not hashed."""
+    place = F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("at")
+    marks = wanted.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    mask = np.zeros((WANTED // 32768, 4096), np.uint8)
+    for bucket, bits in marks.collect():  # at most 256 rows of 4 KB
+        mask[bucket - 1] = np.frombuffer(bytes(bits), np.uint8)
+    packed = mask.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_wanted = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        for batch in windows(batches, "body"):
+            kept = batch.filter(pa.array(is_wanted[batch.column(1).to_numpy()]))
+            if len(kept):
+                sets = [shingles(t, width) for t in kept.column(2).to_pylist()]
+                columns = [kept.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "own"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("body")).select("id", place, "body")
+    sets = rows.mapInArrow(run, "id long, digest binary, own array<long>")
+    return sets.join(wanted, ["id", "digest"]).select("id", "own")
+
+
+def _near(n: np.ndarray, at: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``others`` may be similar to entry ``i`` by size and by place, if this is the first shingle they share."""
+    least = (n[others] + n[i]) * (similarity / (1 + similarity)) - 1e-6
+    return np.minimum(n[others] - at[others], n[i] - at[i]) >= least
+
+
+def stars(ids: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of one list that are worth a first look: each entry with one smaller head that it may be similar to."""
+    rest = np.argsort(ids, kind="stable")
+    while len(rest) > 1:
+        head, rest = rest[0], rest[1:]
+        near = _near(n, at, head, rest, similarity)
+        yield from ((int(ids[head]), int(b)) for b in ids[rest[near]])
+        rest = rest[~near]
 
 
-def _byte_rows(values: pa.Array, width: int) -> np.ndarray:
-    """A column of binaries of one length as rows of bytes, without a Python object for each."""
-    _, offsets, data = values.buffers()
-    first = np.frombuffer(offsets, np.int32)[values.offset]
-    return np.frombuffer(data, np.uint8)[first : first + width * len(values)].reshape(len(values), width)
+def crossing(ids: np.ndarray, n: np.ndarray, at: np.ndarray, part: np.ndarray, root: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """All pairs of a list, or between its two parts, that are in different groups and that no bound rules out."""
+    two, everyone = len(np.unique(part)) > 1, np.arange(len(ids))
+    for i in everyone[part == part.min()] if two else everyone:
+        others = everyone[part != part[i]] if two else everyone[i + 1 :]
+        others = others[root[others] != root[i]]
+        others = others[_near(n, at, i, others, similarity)]
+        differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        # the symmetric difference has an element for each position of odd parity, at least
+        for j in others[differ <= (n[others] + n[i]) * ((1 - similarity) / (1 + similarity)) + 1e-6]:
+            yield tuple(sorted((int(ids[i]), int(ids[j]))))
 
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links between the rows (id, words, shingles, n) of distinct texts."""
+def _pairs(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(a, b), a < b: what ``stars`` or, with ``every``, ``crossing`` finds in the lists of entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entries, ends = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy().cumsum()
-            ids, _, _, n = (c.to_numpy() if pa.types.is_integer(c.type) else None for c in entries.flatten())
-            words, shingles = (_byte_rows(c, 8 * w) for c, w in zip(entries.flatten()[1:3], (WORD_SKETCH, SHINGLE_SKETCH), strict=True))
-            found = {
-                pair
-                for first, last in zip([0, *ends], ends)  # noqa: B905
-                for pair in similar_within(ids[first:last], words[first:last], shingles[first:last], n[first:last].astype(float), similarity)
-            }
+            own = dict(zip([f.name for f in entries.type], entries.flatten(), strict=True))
+            columns = [own[c].to_numpy() for c in (("id", "n", "at", "part", "root") if every else ("id", "n", "at"))]
+            columns += [own["bits"].flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_BYTES // 8)] if every else []
+            find = crossing if every else stars
+            found = {pair for first, last in zip([0, *ends], ends) for pair in find(*(c[first:last] for c in columns), similarity)}  # noqa: B905
             if found:
                 pairs = np.array(sorted(found), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    keys = [F.xxhash64(F.substring("words", at + 1, KEY_BYTES), F.lit(at)) for at in range(0, 8 * WORD_SKETCH, KEY_BYTES)]
-    postings = distinct.select("id", F.explode(F.array(*keys)).alias("key"))
-    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
-    chunk = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("own") / CHUNK)).alias("chunk")
-    members = postings.join(counts, "key").select("id", "key", chunk)
-    lists = members.join(distinct, "id").groupBy("key", "chunk").agg(F.collect_list(F.struct("id", "words", "shingles", "n")).alias("entries"))
-    return lists.select("entries").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("entries").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity."""
+    bits = distinct.select("id", "n", "bits")
+    sides = [bits.select(*[F.col(c).alias(f"{c}_{s}") for c in bits.columns]) for s in "ab"]
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    bound = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    near = cut(pairs.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b")).filter(apart <= bound).select("a", "b").distinct())
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = shingle_sets(docs, cut(distinct.join(ids, "id", "left_semi").select("id", "digest")), width)
+    whole = near.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    linked = common >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - common)
+    return cut(whole.filter(linked).select("a", "b").distinct())
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b) links whose components are those of all similar pairs of the rows (id, digest, n, bits, prefix)."""
+    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key"))
+    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    parts = F.ceil(F.col("held") / CHUNK)
+    dealt = cut(postings.join(counts, "key").select("id", "n", "at", "key", "held", F.pmod(F.xxhash64("id", "key"), parts).alias("part")))
+    # first the true families, in about as many pairs as they have entries
+    lists = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("id", "n", "at")).alias("entries"))
+    links = verified(docs, distinct, cut(_pairs(lists, similarity, every=False)), similarity, width)
+    # then every pair of a list that is not in one group yet; part i meets part j, i <= j, in a task of their own
+    groups = components(links, "a", "b")
+    rooted = dealt.filter("held > 2").join(groups, dealt["id"] == groups["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    still = cut(rooted.join(mixed, "key").select("id", "n", "at", "key", "held", "part", "root"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    meeting = still.join(distinct.select("id", "bits"), "id").withColumn("meets", F.explode(meets))
+    lists = meeting.groupBy("key", "meets").agg(F.collect_list(F.struct("id", "n", "at", "part", "root", "bits")).alias("entries"))
+    more = cut(_pairs(lists, similarity, every=True).join(links, ["a", "b"], "left_anti"))
+    return links.unionByName(verified(docs, distinct, more, similarity, width)).distinct()
 
 
 def kept_ids(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(kept): the smallest id of each group of texts linked by shingle similarity."""
-    rows = sketched(docs.filter(F.col("doc_id").isNotNull()), width)
-    distinct = cut(rows.groupBy("words", "shingles", "n").agg(F.min("doc_id").alias("id")))
-    members = components(similar_links(distinct, similarity), "a", "b")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    rows = shingled(named, heat(named, width), similarity, width)
+    distinct = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))))
+    members = components(similar_links(named, distinct, similarity, width), "a", "b")
     others = members.filter("node <> root").select(F.col("node").alias("id"))
     return distinct.select("id").distinct().join(others, "id", "left_anti").select(F.col("id").alias("__kept"))
 
@@ -264,13 +344,12 @@ def kept_ids(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without all but one row of each near-duplicate group.
 
-    Texts link when their distinct ``width``-word shingles have a Jaccard
-    similarity of at least ``similarity``, as the sketches estimate it (its
-    standard error is about 0.02); groups are what links connect. The row with
-    the smallest doc_id stays; of rows that repeat that id, one stays. Null,
-    empty and blank texts are one group. Rows without an id have nothing to be
-    told apart by and all stay. Other columns are untouched, whatever their
-    names.
+    Texts link when their distinct ``width``-word shingles, as 64-bit hashes,
+    have a Jaccard similarity of at least ``similarity``; groups are what links
+    connect. The row with the smallest doc_id stays; of rows that repeat that
+    id, one stays. Null, empty and blank texts are one group. Rows without an
+    id have nothing to be told apart by and all stay. Other columns are
+    untouched, whatever their names.
     """
     kept = kept_ids(docs, similarity, width)
     chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])

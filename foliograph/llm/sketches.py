@@ -81,15 +81,19 @@ def sketch(features: Sequence[np.ndarray], words: int) -> list[bytes]:
 
 def features(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words, and of the distinct ``width``-word shingles, of a text."""
+    return np.array([xxhash.xxh64_intdigest(w, 7) for w in set(text.translate(ASCII_LOWER).split())], np.uint64), shingles(text, width)
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the distinct ``width``-word shingles of a text, in order; a shorter text is one shingle."""
     words = text.translate(ASCII_LOWER).split()
     digest = xxhash.xxh64_intdigest
-    single = np.array([digest(w, 7) for w in set(words)], np.uint64)
     if not words:
-        return single, single
+        return np.array([], np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return single, np.array([digest(joined, 7)], np.uint64)
+        return np.array([digest(joined, 7)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return single, np.unique(np.fromiter((digest(joined[a:b], 7) for a, b in spans), np.uint64, len(words) - width + 1))
+    return np.unique(np.fromiter((digest(joined[a:b], 7) for a, b in spans), np.uint64, len(words) - width + 1))

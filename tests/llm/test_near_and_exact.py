@@ -212,3 +212,55 @@ def test_recall_of_similar_pairs_on_larger_tables(spark):
     gone, wanted = sum(len(g - kept) for g in surely), sum(len(g) - 1 for g in surely)
     assert gone >= 0.97 * wanted
     assert len(shingles) - len(kept) <= sum(len(g) - 1 for g in groups(shingles, 0.75))
+
+
+def kept_and_expected(spark, texts):
+    """What keep_one keeps of the texts, and what brute force keeps."""
+    from tests.llm.test_pipeline import five_words, groups
+
+    rows = list(enumerate(texts))
+    gone = {i for g in groups({i: five_words(t) for i, t in rows}, 0.8) for i in g if i != min(g)}
+    return {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}, {i for i, _ in rows} - gone
+
+
+def test_cut_extended_and_short_copies_match_brute_force(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(40_000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base, short, at = fresh(rng.randint(150, 400)), fresh(rng.randint(9, 20)), rng.randrange(100)
+        n = len(base)
+        copies = [base[: int(n * 0.84)], base[: int(n * 0.78)], base[:at] + fresh(int(n * 0.15)) + base[at:], base[int(n * 0.1) :]]
+        texts += [" ".join(t) for t in (base, rng.choice(copies), short, [*short, "more"])]
+    found, expected = kept_and_expected(spark, texts)
+    assert len(expected) < 110 and found == expected
+
+
+def test_every_pair_of_a_long_list_is_compared(spark, monkeypatch):
+    """Pages that share most of a template or all of their words, with true pairs between them, in lists of many parts."""
+    monkeypatch.setattr(simhash, "CHUNK", 2)
+    rng = random.Random(22)
+    template = [f"t{i}" for i in range(120)]
+    pages = [template + [f"p{k}x{i}" for i in range(rng.randint(20, 24))] for k in range(60)]
+    pages += [rng.sample(template, 120) for _ in range(80)]
+    copies = [[*p, "more"] for p in pages[::2]]
+    found, expected = kept_and_expected(spark, [" ".join(p) for p in pages + copies])
+    assert len(expected) == 140 and found == expected
+    lists = [(k, 1, 0, k % 4, k, np.zeros(32, np.uint64)) for k in range(9)]
+    ids, n, at, _, root, bits = (np.array(c) for c in zip(*lists, strict=True))
+    meet = lambda i, j: np.flatnonzero(np.isin(ids % 4, (i, j)))
+    own = [m for i in range(4) for j in range(i, 4) for m in [meet(i, j)]]
+    pairs = {p for m in own for p in simhash.crossing(ids[m], n[m], at[m], ids[m] % 4, root[m], bits[m], 0.8)}
+    assert pairs == set(combinations(range(9), 2))
+
+
+def test_the_threshold_is_exact(spark):
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randrange(40_000)}" for _ in range(n)]
+    texts = []
+    for n in (7, 8, 9, 10, 11, 36, 37, 100, 101, 400):
+        base, kept = fresh(n), n - 4
+        for total in (kept * 5 // 4, kept * 5 // 4 + 1):  # shingles of the longer text: at 0.8 or just above, and below
+            texts += [" ".join([f"s{total}x{n}", *base]), " ".join([f"s{total}x{n}", *base, *fresh(total - kept)])]
+    found, expected = kept_and_expected(spark, texts)
+    assert len(expected) < len(texts) and found == expected
