@@ -1,6 +1,6 @@
 """License notices by an exact set-similarity join of text blocks with templates.
 
-A block, a line of a document, matches a template when it holds at least a
+A block, a line of a document or a window of its words, matches a template when it holds at least a
 given share of the template's distinct words (containment). The join is exact
 and filtered: words are ordered by how many blocks of the whole corpus hold
 them, rarest first; a match must share one of the template's first
@@ -64,6 +64,7 @@ class Template:
     label: str
     words: tuple[bytes, ...]  # rarest first
     needed: int
+    length: int  # words with repetitions
 
 
 class Templates:
@@ -78,7 +79,7 @@ class Templates:
             needed = max(1, -(-round(threshold * len(own) * 1e9) // 10**9))
             for at in range(len(own) - needed + 1):
                 self.prefix[own[at]].append((len(self.all), at))
-            self.all.append(Template(label, own, needed))
+            self.all.append(Template(label, own, needed, len(words(text.encode()))))
         self.rare = frozenset(self.prefix)
         self.known = frozenset(w for t in self.all for w in t.words)
 
@@ -102,6 +103,27 @@ class Templates:
                     yield t.label, shared / len(t.words)
 
 
+def wrapped(index: Templates, own: list[bytes]) -> Iterator[tuple[str, float]]:
+    """(label, best containment) of the templates that some window of a text's words, as long as the template, holds."""
+    held = index.known.intersection(own)
+    for t in index.all:
+        wanted = held.intersection(t.words)
+        if len(wanted) < t.needed:
+            continue
+        inside: Counter[bytes] = Counter()
+        spots, first, best = [i for i, w in enumerate(own) if w in wanted], 0, 0
+        for spot in spots:
+            inside[own[spot]] += 1
+            while spots[first] <= spot - t.length:
+                inside[own[spots[first]]] -= 1
+                if not inside[own[spots[first]]]:
+                    del inside[own[spots[first]]]
+                first += 1
+            best = max(best, len(inside))
+        if best >= t.needed:
+            yield t.label, best / len(t.words)
+
+
 def frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
     """For each word of a template, the number of blocks of all documents that hold it."""
     known = frozenset(w for _, text in TEMPLATES for w in words(text.encode()))
@@ -135,9 +157,11 @@ def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
 def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks).
 
-    ``blocks`` lists every matching block as struct<line, label, containment>;
-    ``score`` is 1 with a base label and else the best containment of any
-    block, 0 without a match. Null is the empty text; rows with null or
+    ``blocks`` lists every matching line as struct<line, label, containment>;
+    ``labels`` and ``score`` also count notices that are wrapped over lines,
+    by windows of words as long as the template. ``score`` is 1 with a base
+    label and else the best containment of any line or window, 0 without a
+    match. Null is the empty text; rows with null or
     repeated ids give a row each.
     """
     templates = Templates(frequencies(docs, text_col), threshold)
@@ -164,8 +188,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                 if not index.rare.isdisjoint(own):
                     for n, line in enumerate(body.split(b"\n")):
                         held += [(n, label, share) for label, share in index.matches(set(line.translate(_WORDS).split()))]
-                best = 1.0 if base else max((share for *_, share in held), default=0.0)
-                labels = base.union(label for _, label, _ in held)
+                across = list(wrapped(index, own)) if b"\n" in body else []
+                best = 1.0 if base else max((share for *_, share in [*held, *across]), default=0.0)
+                labels = base.union((label for _, label, _ in held), (label for label, _ in across))
                 out.append(
                     (
                         len(own), len(starts), min(starts, default=None), max(starts, default=None),

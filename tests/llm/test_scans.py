@@ -284,3 +284,13 @@ def test_license_corner_cases(spark):
     assert by[None] == [(5, 1, 0, 0, "cc-by")]
     assert by[3] == [(5, 2, 0, 3, "mit")]
     assert licenses.scan(frame(spark, rows).filter("doc_id < 0")).count() == 0
+
+
+def test_wrapped_notices_are_found(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    apart = "redistribution and use in source and binary\n" + "word " * 30 + "\nforms with or without modification are permitted"
+    rows = [(1, bsd, "en"), (2, mit, "en"), (3, "x y\n" + isc, "en"), (4, apart, "en")]
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert found == {1: ("bsd-terms", 1.0), 2: ("mit-grant", 1.0), 3: ("isc-grant", 1.0), 4: ("", 0.0)}
