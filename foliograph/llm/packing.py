@@ -1,55 +1,76 @@
-"""Token ids packed into fixed-length rows by best-fit decreasing.
+"""Token ids packed into fixed-length rows by best-fit decreasing over the whole corpus.
 
 Documents are tokenized whole, each ended by a separator id. A document longer
 than a row is split into full rows and a rest; nothing is dropped. The pieces
-of a pack, a stream of documents of bounded size within one task, are placed in
-decreasing order, each into the fullest row that still holds it. That row is
-found by a segment tree over the free lengths, in time logarithmic in the row
-length and independent of the number of rows.
+are placed in decreasing order, each into the fullest row that still holds it,
+which a segment tree over the free lengths finds.
+
+Best-fit decreasing looks at lengths alone, and pieces of one length are alike.
+So the corpus is planned from its counts by length: rows with equal free length
+are intervals of row numbers, and all pieces of a length go into intervals at a
+time, as they would one after the other. The plan has an entry for each length
+and interval, at most about the square of the row length and in practice a few
+thousand, however many documents there are. Pieces are numbered within their
+length in parts of bounded size, looked up in the plan, and gathered by row.
 
 Rows come out as an id matrix, with the cumulative lengths of their segments
-and the positions at which position ids start again. Packing is done where the
-documents are read: no text and no id is shuffled.
+and the positions at which position ids start again.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_bytes, windows
+from foliograph.llm.common import cut, table, text_bytes, windows
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROW, SEPARATOR = 2048, 50_256
-#: Token ids of a pack at least, but for a task's last.
-PACK = 1 << 21
+#: Long runs of white space, which the pattern's look-ahead would walk by recursion.
+_SPACES = re.compile("[\t-\r \x85\xa0  -     　]{4096,}")
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str):  # type: ignore[no-untyped-def]
+def tokenizer(vocabulary: bytes, pattern: str):  # type: ignore[no-untyped-def]
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoding, text: str) -> list[int]:  # type: ignore[no-untyped-def]
+    """Ids of a text of any form.
+
+    Of a run of white space the pattern takes all but the last character as one
+    word, and the last one too at the end of the text. Long runs are cut out
+    there and merged without the pattern, so the ids are those of the whole.
+    """
+    ids, at = [], 0
+    for run in _SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 class Free:
-    """Segment tree over free lengths 0..top: which rows have how much left."""
+    """Segment tree over free lengths 0..top: which intervals of rows have how much left."""
 
     def __init__(self, top: int) -> None:
         self.size = 1 << top.bit_length()
         self.count = [0] * (2 * self.size)
-        self.rows: list[list[int]] = [[] for _ in range(top + 1)]
+        self.rows: list[list[tuple[int, int]]] = [[] for _ in range(top + 1)]
 
     def _add(self, length: int, n: int) -> None:
         at = self.size + length
@@ -57,12 +78,14 @@ class Free:
             self.count[at] += n
             at >>= 1
 
-    def put(self, row: int, length: int) -> None:
-        self.rows[length].append(row)
-        self._add(length, 1)
+    def put(self, length: int, first: int, n: int) -> None:
+        """Rows ``first`` to ``first + n - 1`` have ``length`` left."""
+        if n:
+            self.rows[length].append((first, n))
+            self._add(length, 1)
 
-    def take(self, length: int) -> tuple[int, int] | None:
-        """(row, free length) with the least free length that is at least ``length``, removed; None without one."""
+    def take(self, length: int) -> tuple[int, int, int] | None:
+        """(free length, first row, rows) with the least free length that is at least ``length``, removed; None without one."""
         at, count = self.size + length, self.count
         if not count[at]:
             while at > 1 and (at & 1 or not count[at + 1]):
@@ -74,99 +97,155 @@ class Free:
                 at = 2 * at if count[2 * at] else 2 * at + 1
         free = at - self.size
         self._add(free, -1)
-        return self.rows[free].pop(), free
+        return free, *self.rows[free].pop()
+
+
+class Step(NamedTuple):
+    """Pieces ``first``.. of a length go into rows from ``row``, ``each`` of them in a row, side by side from ``offset``."""
+
+    length: int
+    first: int
+    each: int
+    row: int
+    offset: int
+
+
+def best_fit(counts: dict[int, int], row: int) -> tuple[list[Step], int]:
+    """(steps, number of rows) of best-fit decreasing for so many pieces of each length, ordered by (length, first)."""
+    free, steps, opened = Free(row), [], 0
+    for length in sorted(counts, reverse=True):
+        done, left = 0, counts[length]
+        while left:
+            found = free.take(length)
+            if found is None:
+                found = row, opened, -(-left // (row // length))
+                opened += found[2]
+            room, first, rows = found
+            # the fullest row stays the fullest until no piece of this length fits into it
+            each = room // length
+            whole = min(rows, left // each)
+            steps.append(Step(length, done, each, first, row - room))
+            done, left = done + whole * each, left - whole * each
+            free.put(room - each * length, first, whole)
+            if whole < rows and left and left < each:
+                free.put(room - left * length, first + whole, 1)
+                done, left, whole = done + left, 0, whole + 1
+            free.put(room, first + whole, rows - whole)
+    return sorted(steps), opened
+
+
+def pieces(docs: DataFrame, row: int, vocabulary: bytes, pattern: str, separator: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, doc_id, start, n, ids): a number for each input row, and its ids in pieces of at most ``row``."""
+    kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one file of a few MB at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tokenizer(shared.value, pattern)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in windows(batches, "body", 2 << 20):
+            out = []
+            for doc, doc_id, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.array([*encode(encoding, body.decode("utf-8", "replace")), separator], kind)
+                out += [(doc, doc_id, at, len(ids[at : at + row]), ids[at : at + row].tobytes()) for at in range(0, len(ids), row)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc", "doc_id", "start", "n", "ids"])
 
-def best_fit(lengths: list[int], row: int) -> list[list[int]]:
-    """Rows as lists of piece numbers; pieces of equal length keep their order."""
-    free, rows = Free(row), []
-    for piece in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        found = free.take(lengths[piece])
-        if found is None:
-            found = len(rows), row
-            rows.append([])
-        rows[found[0]].append(piece)
-        free.put(found[0], found[1] - lengths[piece])
-    return rows
+    rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
+    return rows.mapInArrow(run, "doc long, doc_id long, start long, n int, ids binary")
 
 
-def pack(docs: DataFrame, row: int = ROW, path: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR, size: int = PACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each packed row: pack, row, ids, cu_seqlens, resets, doc_ids, starts.
+def pack(
+    docs: DataFrame, row: int = ROW, path: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR, pack_rows: int = 1024, slices: int = 65_536, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row for each packed row: pack, row, ids, cu_seqlens, resets, docs, doc_ids, starts.
 
     ``ids`` are ``row`` little-endian unsigned 16-bit integers (32-bit where the
     separator does not fit), padded with the separator; ``cu_seqlens`` are the
     cumulative segment lengths from 0, ``resets`` the positions in the row at
-    which position ids start again, ``doc_ids`` and ``starts`` name each
-    segment's document and its first token's place in it. Null and empty texts
-    are a lone separator; rows with null or repeated ids are packed like any
-    other; an empty table gives no row.
+    which position ids start again; ``docs`` number the input row that a segment
+    comes from, ``doc_ids`` and ``starts`` name its document and its first
+    token's place in it. A pack is ``pack_rows`` rows, which bounds a matrix.
+
+    Null and empty texts are a lone separator; rows with null or repeated ids
+    are packed like any other; texts may have any length and any run of white
+    space; an empty table gives no row. Which of the pieces of one length comes
+    first follows from the order in which the table is read; the lengths in each
+    row do not.
+
+    A length is numbered in parts, and gets as many of the ``slices`` as its
+    share of all pieces asks for, so no task sorts a hot length alone. The
+    driver sees two counts at most for each slice and length.
     """
+    spark = docs.sparkSession
+    with open(path, "rb") as file:
+        vocabulary = file.read()
+    held = cut(pieces(docs, row, vocabulary, pattern, separator, id_col, text_col))
+    counts = {r["n"]: r["count"] for r in held.groupBy("n").count().collect()}
+    total = max(sum(counts.values()), 1)
+    steps, rows = best_fit(counts, row)
+    of = np.array(steps, np.int64).reshape(-1, len(Step._fields))
+    plan = spark.sparkContext.broadcast(of)  # bounded by the row length, as said above
+    parts = spark.createDataFrame([(n, -(-c * slices // total)) for n, c in counts.items()], "n int, parts int")
+    dealt = held.join(F.broadcast(parts), "n").withColumn("part", F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int")).drop("parts")
+    ahead, starts = dict.fromkeys(counts, 0), []
+    for n, part, own in sorted(map(tuple, dealt.groupBy("n", "part").count().collect())):
+        starts.append((n, part, ahead[n]))
+        ahead[n] += own
+    before = spark.createDataFrame(starts, "n int, part int, before long")
+    within = F.row_number().over(Window.partitionBy("n", "part").orderBy("doc", "start")) - 1
+    ranked = dealt.join(F.broadcast(before), ["n", "part"]).withColumn("rank", F.col("before") + within)
+
+    @F.pandas_udf("row long, offset int")
+    def place(lengths, ranks):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        length, rank, steps = lengths.to_numpy().astype(np.int64), ranks.to_numpy(), plan.value
+        # steps are in order of (length, first); ranks of a length stay below 2 ** 40
+        at = np.searchsorted((steps[:, 0] << 40) + steps[:, 1], (length << 40) + rank, "right") - 1
+        _, first, each, row, offset = steps[at].T
+        return pd.DataFrame({"row": row + (rank - first) // each, "offset": (offset + (rank - first) % each * length).astype(np.int32)})
+
+    placed = ranked.withColumn("at", place("n", "rank"))
+    segment = F.struct(F.col("at.offset").alias("offset"), "doc", "doc_id", "start", "n", "ids")
+    # a row holds at most ``row`` ids, so a group is small whatever the corpus
+    gathered = placed.groupBy(F.col("at.row").alias("number")).agg(F.array_sort(F.collect_list(segment)).alias("own"))
     kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, context = tokenizer(path, pattern), TaskContext.get()
-        part, number = context.partitionId() if context else 0, 0
-        pieces: list[tuple[int | None, int, np.ndarray]] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = best_fit([len(x) for *_, x in pieces], row)
-            for first in range(0, len(rows), 512):
-                own = rows[first : first + 512]
-                matrix = np.full((len(own), row), separator, kind)
-                cumulative, doc_ids, starts = [], [], []
-                for r, members in enumerate(own):
-                    at = [0]
-                    for i in members:
-                        matrix[r, at[-1] : at[-1] + len(pieces[i][2])] = pieces[i][2]
-                        at.append(at[-1] + len(pieces[i][2]))
-                    cumulative.append(at)
-                    doc_ids.append([pieces[i][0] for i in members])
-                    starts.append([pieces[i][1] for i in members])
-                ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(own), (part << 32) + number)), pa.array(np.arange(first, first + len(own), dtype=np.int32)),
-                        pa.array([m.tobytes() for m in matrix], pa.binary()), pa.array(cumulative, ints), pa.array([c[:-1] for c in cumulative], ints),
-                        pa.array(doc_ids, longs), pa.array(starts, longs),
-                    ],
-                    ["pack", "row", "ids", "cu_seqlens", "resets", "doc_ids", "starts"],
-                )
-
-        for batch in windows(batches, "body", 2 << 20):
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encoding.encode_ordinary(body.decode("utf-8", "replace")), separator], kind)
-                pieces += [(doc, at, ids[at : at + row]) for at in range(0, len(ids), row)]
-                held += len(ids)
-                if held >= size:
-                    yield from flush()
-                    pieces, held, number = [], 0, number + 1
-        if pieces:
-            yield from flush()
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(
-        run, "pack long, row int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, starts array<long>"
-    )
+        padding = np.full(row, separator, kind).tobytes()
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        for batch in batches:
+            out = []
+            for number, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ends = np.cumsum([s["n"] for s in own]).tolist()
+                ids = b"".join(s["ids"] for s in own)
+                names = ([s[k] for s in own] for k in ("doc", "doc_id", "start"))
+                out.append((number // pack_rows, number % pack_rows, ids + padding[len(ids) :], [0, *ends], [0, *ends[:-1]], *names))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), ints, ints, longs, longs, longs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["pack", "row", "ids", "cu_seqlens", "resets", "docs", "doc_ids", "starts"])
+
+    schema = "pack long, row int, ids binary, cu_seqlens array<int>, resets array<int>, docs array<long>, doc_ids array<long>, starts array<long>"
+    return gathered.mapInArrow(run, schema)
 
 
 def unpack(rows: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR) -> DataFrame:
-    """(pack, doc_id, text) from packed rows: the inverse of ``pack``, for documents with ids that do not repeat in a pack."""
+    """(doc, doc_id, text) from packed rows: the inverse of ``pack``, a row for each of its input rows, repeated and null ids included."""
     kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
+    with open(path, "rb") as file:
+        shared = rows.sparkSession.sparkContext.broadcast(file.read())
 
     @F.pandas_udf("string")
     def joined(parts):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        encoding = tokenizer(path, pattern)
+        encoding = tokenizer(shared.value, pattern)
         return pd.Series([encoding.decode(np.frombuffer(b"".join(bytes(x) for x in own), kind)[:-1].tolist()) for own in parts])
 
     n = F.lit(kind.itemsize)
-    each = rows.select("pack", "ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "starts")).alias("k", "s"))
+    each = rows.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("docs", "doc_ids", "starts")).alias("k", "s"))
     first, last = F.col("cu_seqlens")[F.col("k")], F.col("cu_seqlens")[F.col("k") + 1]
-    each = each.select("pack", F.col("s.doc_ids").alias("doc_id"), F.col("s.starts").alias("start"), F.substring("ids", first * n + 1, (last - first) * n).alias("part"))
-    whole = each.groupBy("pack", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("own"))
-    return whole.select("pack", "doc_id", joined(F.transform("own", lambda s: s["part"])).alias("text"))
+    each = each.select(F.col("s.docs").alias("doc"), F.col("s.doc_ids").alias("doc_id"), F.col("s.starts").alias("start"), F.substring("ids", first * n + 1, (last - first) * n).alias("part"))
+    whole = each.groupBy("doc", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("own"))
+    return whole.select("doc", "doc_id", joined(F.transform("own", lambda s: s["part"])).alias("text"))
 
 
 def matrices(rows: DataFrame, separator: int = SEPARATOR) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -171,28 +172,38 @@ def test_resharding_rewrites_moved_blocks_alone(spark, tmp_path):
 
 # -- packing ----------------------------------------------------------------------------------------------------
 def plain_best_fit(lengths, row):
-    free, rows = [], []
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        fits = [f for f in free if f >= lengths[i]]
+    """Free lengths of the rows, piece by piece."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fits = [f for f in free if f >= n]
         if fits:
-            r = free.index(min(fits))
-            free[r] -= lengths[i]
-            rows[r].append(i)
+            free[free.index(min(fits))] -= n
         else:
-            free.append(row - lengths[i])
-            rows.append([i])
-    return sorted(sorted(lengths[i] for i in r) for r in rows)
+            free.append(row - n)
+    return sorted(free)
 
 
 def test_best_fit_decreasing_matches_a_plain_search():
     rng = random.Random(9)
     for row in (1, 7, 64, 100):
-        for _ in range(20):
+        for _ in range(60):
             lengths = [rng.randint(1, row) for _ in range(rng.randint(0, 60))]
-            rows = packing.best_fit(lengths, row)
-            assert sorted(i for r in rows for i in r) == list(range(len(lengths)))
-            assert all(sum(lengths[i] for i in r) <= row for r in rows)
-            assert len(rows) == len(plain_best_fit(lengths, row))
+            counts = Counter(lengths)
+            steps, number = packing.best_fit(counts, row)
+            rows = {i: [] for i in range(number)}
+            for n in counts:
+                for rank in range(counts[n]):
+                    step = max(s for s in steps if s.length == n and s.first <= rank)
+                    at, side = divmod(rank - step.first, step.each)
+                    rows[step.row + at].append((step.offset + side * n, n))
+            for own in rows.values():  # side by side from 0
+                assert own and [o for o, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1]
+            assert sorted(row - sum(n for _, n in own) for own in rows.values()) == plain_best_fit(lengths, row)
+
+
+def test_a_plan_is_small_whatever_the_counts():
+    steps, rows = packing.best_fit({n: 10**9 // n for n in range(1, 2049)}, 2048)
+    assert len(steps) < 20_000 and rows * 2048 >= sum(n * (10**9 // n) for n in range(1, 2049))
 
 
 def test_packing_is_lossless(spark, sf_dir):
@@ -200,23 +211,44 @@ def test_packing_is_lossless(spark, sf_dir):
     packed = packing.op6_packing(spark, sf_dir)
     back = {r.doc_id: r.text for r in packing.unpack(packed).collect()}
     assert back == docs
-    for r in packed.collect():
+    rows = packed.collect()
+    lengths = []
+    for r in rows:
         assert len(r.ids) == 2 * packing.ROW and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] <= packing.ROW
-        assert r.resets == r.cu_seqlens[:-1] and len(r.doc_ids) == len(r.starts) == len(r.resets)
+        assert r.resets == r.cu_seqlens[:-1] and len(r.docs) == len(r.doc_ids) == len(r.starts) == len(r.resets)
         assert set(np.frombuffer(r.ids, "<u2")[r.cu_seqlens[-1] :]) <= {packing.SEPARATOR}
+        lengths += [b - a for a, b in itertools.pairwise(r.cu_seqlens)]
+    # the whole table is packed as one list of pieces is
+    assert sorted(packing.ROW - r.cu_seqlens[-1] for r in rows) == plain_best_fit(lengths, packing.ROW)
+    assert sorted((r.pack, r.row) for r in rows) == [divmod(i, 1024) for i in range(len(rows))]
 
 
 def test_packing_corner_cases(spark):
-    docs = frame(spark, [(1, None), (2, ""), (3, "word " * 9000), (None, "no id"), (4, "<|endoftext|> is text")])
-    packed = packing.pack(docs, row=64, size=1000)
-    back = {r.doc_id: r.text for r in packing.unpack(packed).collect()}
-    assert back == {1: "", 2: "", 3: "word " * 9000, None: "no id", 4: "<|endoftext|> is text"}
+    texts = [(1, None), (2, ""), (3, "word " * 9000), (None, "no id"), (None, "nor here"), (4, "<|endoftext|> is text"), (2, "again"), (2, "again")]
+    docs = frame(spark, texts)
+    packed = packing.pack(docs, row=64, slices=4)
+    back = [(r.doc_id, r.text) for r in packing.unpack(packed).collect()]
+    assert sorted(back, key=str) == sorted(((i, t or "") for i, t in texts), key=str)
     assert packing.pack(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_long_runs_of_white_space_are_packed(spark):
+    texts = [(1, " " * 1_000_000 + "a"), (2, "\n" * 700_000), (3, "a" * 1_000_000)]
+    packed = packing.pack(frame(spark, texts))
+    assert {r.doc_id: r.text for r in packing.unpack(packed).collect()} == dict(texts)
+
+
+def test_runs_are_cut_where_the_pattern_splits():
+    with open(packing.VOCABULARY, "rb") as file:
+        encoding = packing.tokenizer(file.read(), packing.PATTERN)
+    space = " " * 5000
+    for text in (f"a{space}b", f"a{space}", "\n" * 4096 + "b", f"{space}\tb", f"{space}\n", "x" + "\xa0" * 4500 + "y", f"x\x1c{space}\x1cy", f"{space}1{space}.{space}"):
+        assert packing.encode(encoding, text) == encoding.encode_ordinary(text)
+
+
 def test_matrices_have_cumulative_lengths_and_position_resets(spark, tmp_path):
     docs = frame(spark, [(i, "word " * (i * 7 % 90)) for i in range(50)])
-    rows = packing.pack(docs, row=64, size=1000)
+    rows = packing.pack(docs, row=64, pack_rows=10)
     packing.write_binary(rows, str(tmp_path / "packed"))
     by_pack = {}
     for r in rows.collect():
