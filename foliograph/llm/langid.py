@@ -7,9 +7,12 @@ match ends. The fewer phrases a text needs, the closer it is to that language;
 the counts are divided by the symbols parsed, and the lowest wins.
 
 Texts are lower-cased; each letter is a symbol and every run of other
-characters is one separator. A text is parsed whole, in blocks of ``BLOCK``
-symbols whose phrase counts add up, so that the walk of the automata runs over
-many blocks at a time in array operations, whatever the lengths of the texts.
+characters is one separator. The walk of the automata runs over many blocks of
+symbols at a time in array operations. A text of several blocks is parsed as a
+whole all the same: each block is first parsed as if a phrase began at its
+start, and then the phrase that reaches into it from the block before is
+followed until it ends where a phrase of the block begins. From there on both
+parses are one, because they continue alike from equal places.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import held_out, table, text_bytes, windows
 
-#: Symbols of a block; phrases end at its end.
-BLOCK = 1024
+#: Symbols of a block, and cells (blocks by languages by symbols) that are walked at a time; neither changes a result.
+BLOCK, CELLS = 1024, 1 << 25
+#: The most frequent symbols have a column of the transition table; the transitions of others are looked up.
+COLUMNS = 64
 UNSEEN, SEPARATOR = 0, 1
 UNKNOWN = "und"
 #: Sharpness of the score: languages weigh as (1 / phrase rate) to this power.
@@ -39,18 +44,29 @@ class Samples:
     """Labelled text by language: all that the model is made from, and bounded."""
 
     texts: tuple[tuple[str, tuple[str, ...]], ...]
-    max_letters: int = 253
 
 
 @dataclass(frozen=True)
 class Parser:
     languages: tuple[str, ...]
     symbols: np.ndarray  # code point -> symbol
-    letters: np.ndarray  # code point -> is a letter
-    step: np.ndarray  # state * width + symbol -> state, or -1
+    step: np.ndarray  # state * COLUMNS + symbol -> state, or -1
+    rare: np.ndarray  # state << 21 | symbol of the transitions beyond COLUMNS, in order
+    rare_step: np.ndarray  # their states
     restart: np.ndarray  # language, symbol -> state after a phrase's first symbol
     roots: np.ndarray
-    width: int
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state after a symbol, -1 where no match goes on."""
+        if not len(self.rare):
+            return self.step[state * COLUMNS + symbol]
+        to = self.step[state * COLUMNS + np.minimum(symbol, COLUMNS - 1)]
+        beyond = np.broadcast_to(symbol >= COLUMNS, to.shape)
+        if beyond.any():
+            key = (state.astype(np.int64)[beyond] << 21) + np.broadcast_to(symbol, to.shape)[beyond]
+            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            to[beyond] = np.where(self.rare[at] == key, self.rare_step[at], -1)
+        return to
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -94,63 +110,130 @@ def encode(text: str, symbols: np.ndarray) -> np.ndarray:
 
 
 def build(samples: Samples) -> Parser:
-    letters = np.zeros(0x110000, bool)
-    letters[:0xD800] = [chr(i).isalpha() for i in range(0xD800)]
-    letters[0xE000:] = [chr(i).isalpha() for i in range(0xE000, 0x110000)]
     seen = Counter(c for _, texts in samples.texts for t in texts for c in t.lower() if c.isalpha())
-    alphabet = sorted(seen, key=lambda c: (-seen[c], c))[: samples.max_letters]
-    symbols = np.where(letters, UNSEEN, SEPARATOR).astype(np.uint8)
+    alphabet = sorted(seen, key=lambda c: (-seen[c], c))
+    symbols = np.full(0x110000, SEPARATOR, np.int32)
+    symbols[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = UNSEEN
     symbols[[ord(c) for c in alphabet]] = np.arange(2, 2 + len(alphabet))
-    width = 2 + len(alphabet)
-    parts, roots, restarts, base = [], [], [], 0
+    width = max(2 + len(alphabet), COLUMNS)
+    parts, roots, restarts, rare, base = [], [], [], [], 0
     for _, texts in samples.texts:
-        training = encode(" ".join(texts), symbols).tolist()
-        moves = suffix_automaton([c for c in training if c != UNSEEN])
+        moves = suffix_automaton(encode(" ".join(texts), symbols).tolist())
         moves.append({})  # where a phrase of one unseen symbol ends
-        dense = np.full((len(moves), width), -1, np.int32)
+        dense = np.full((len(moves), COLUMNS), -1, np.int32)
         for state, own in enumerate(moves):
             for c, to in own.items():
-                dense[state, c] = base + to
-        dead = base + len(moves) - 1
-        restarts.append(np.where(dense[0] < 0, dead, dense[0]))
+                if c < COLUMNS:
+                    dense[state, c] = base + to
+                else:
+                    rare.append(((base + state << 21) + c, base + to))
+        restart = np.full(width, base + len(moves) - 1, np.int32)
+        for c, to in moves[0].items():
+            restart[c] = base + to
+        restarts.append(restart)
         roots.append(base)
         parts.append(dense)
         base += len(moves)
     step = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
-    restart = np.array(restarts, np.int32).reshape(len(parts), width)
-    return Parser(tuple(x for x, _ in samples.texts), symbols, letters, step, restart, np.array(roots, np.int32), width)
+    keys = np.array(sorted(rare), np.int64).reshape(-1, 2)
+    return Parser(
+        tuple(x for x, _ in samples.texts), symbols, step, keys[:, 0].copy(), keys[:, 1].astype(np.int32), np.array(restarts, np.int32).reshape(len(parts), width), np.array(roots, np.int32)
+    )
+
+
+def _walk(parser: Parser, grid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrases, last states, phrase starts) of blocks side by side, longest first, each as if a phrase began at its start."""
+    k, (height, lanes) = len(parser.languages), grid.shape
+    starts = np.zeros((height, k, lanes), bool)
+    starts[0] = True
+    state = parser.restart[:, grid[0]]
+    live = lanes
+    for j in range(1, height):
+        while sizes[live - 1] <= j:
+            live -= 1
+        now = grid[j, :live]
+        to = parser.move(state[:, :live], now)
+        ended = to < 0
+        starts[j, :, :live] = ended
+        state[:, :live] = np.where(ended, parser.restart[:, now], to)
+    return starts.sum(axis=0), state, starts
+
+
+def _follow(parser: Parser, symbols: np.ndarray, language: int, state: int, starts: np.ndarray) -> tuple[int, int]:
+    """(phrases, last state) of a block whose first phrase began in the block before; -1 for the state of its own parse."""
+    step, restart, begins = memoryview(parser.step), memoryview(parser.restart[language]), starts.tolist()
+    own = 0
+    for j, symbol in enumerate(symbols.tolist()):
+        if symbol < COLUMNS:
+            to = step[state * COLUMNS + symbol]
+        else:
+            key = (state << 21) + symbol
+            at = int(np.searchsorted(parser.rare, key))
+            to = int(parser.rare_step[at]) if at < len(parser.rare) and parser.rare[at] == key else -1
+        if to < 0:
+            if begins[j]:
+                return own + sum(begins[j:]), -1
+            own, to = own + 1, restart[symbol]
+        state = to
+    return own, state
 
 
 def phrases(parser: Parser, coded: list[np.ndarray]) -> np.ndarray:
     """Phrase counts, text by language."""
     k = len(parser.languages)
     counts = np.zeros((len(coded), k), np.int64)
-    owners, blocks = [], []
-    for i, own in enumerate(coded):
-        for at in range(0, len(own), BLOCK):
-            owners.append(i)
-            blocks.append(own[at : at + BLOCK])
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for first in range(0, len(order), 8192):
-        lane = order[first : first + 8192]
-        sizes = np.array([len(blocks[i]) for i in lane])
-        grid = np.zeros((len(lane), sizes[0]), np.uint8)
-        for row, i in enumerate(lane):
-            grid[row, : sizes[row]] = blocks[i]
+    blocks = [(i, at) for i, own in enumerate(coded) for at in range(0, len(own), BLOCK)]
+    lanes = max(1, CELLS // (k * BLOCK))
+    carried = np.zeros(k, np.int32)  # the states at the end of the last block of the group before
+    for first in range(0, len(blocks), lanes):
+        group = blocks[first : first + lanes]
+        size_of = np.array([min(BLOCK, len(coded[i]) - at) for i, at in group])
+        order = np.argsort(-size_of, kind="stable")
+        sizes = size_of[order]
+        grid = np.zeros((len(group), sizes[0]), np.int32)
+        for row, n in enumerate(order):
+            i, at = group[n]
+            grid[row, : sizes[row]] = coded[i][at : at + BLOCK]
         grid = np.ascontiguousarray(grid.T)
-        state = np.repeat(parser.roots[:, None], len(lane), axis=1)
-        made = np.ones((k, len(lane)), np.int32)  # the phrase at a block's end
-        state[:] = parser.restart[:, grid[0]]
-        live = len(lane)
-        for j in range(1, int(sizes[0])):
-            while sizes[live - 1] <= j:
-                live -= 1
-            now = grid[j, :live]
-            to = parser.step[state[:, :live] * parser.width + now]
-            ended = to < 0
-            made[:, :live] += ended
-            state[:, :live] = np.where(ended, parser.restart[:, now], to)
-        np.add.at(counts, np.array(owners)[lane], made.T)
+        made, state, starts = _walk(parser, grid, sizes)
+        lane_of = np.empty(len(group), np.int64)
+        lane_of[order] = np.arange(len(group))
+        owner = np.array([i for i, _ in group])
+        later = np.flatnonzero([at > 0 for _, at in group])  # blocks into which a phrase may reach
+        # all of them at once, as if the block before had ended in the state of its own parse
+        place, tongue = (x.ravel() for x in np.meshgrid(lane_of[later], np.arange(k), indexing="ij"))
+        before = np.stack([carried if n == 0 else state[:, lane_of[n - 1]] for n in later]).ravel() if len(later) else np.zeros(0, np.int32)
+        total, last = made.copy(), state.copy()
+        met = np.ones_like(made, dtype=bool)
+        own, passed, j = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), 0
+        while len(place):
+            over = sizes[place] <= j  # never met
+            if over.any():
+                total[tongue[over], place[over]], last[tongue[over], place[over]], met[tongue[over], place[over]] = own[over], before[over], False
+                place, tongue, before, own, passed = (x[~over] for x in (place, tongue, before, own, passed))
+                continue
+            symbol = grid[j, place]
+            to = parser.move(before, symbol)
+            ended, begins = to < 0, starts[j, tongue, place]
+            meets = ended & begins
+            total[tongue[meets], place[meets]] = own[meets] + made[tongue[meets], place[meets]] - passed[meets]
+            before = np.where(ended, parser.restart[tongue, symbol], to)
+            own, passed = own + ended, passed + begins
+            place, tongue, before, own, passed = (x[~meets] for x in (place, tongue, before, own, passed))
+            j += 1
+        # where a parse has not met its block's own, what was assumed for the next block is put right in order
+        wrong = np.zeros(k, bool)
+        for n in range(len(group)) if not met.all() else ():
+            lane = lane_of[n]
+            if group[n][1] == 0:
+                wrong[:] = False
+            for language in np.flatnonzero(wrong):
+                count, end = _follow(parser, grid[: sizes[lane], lane], language, int(last[language, lane_of[n - 1]]), starts[: sizes[lane], language, lane])
+                total[language, lane], met[language, lane] = count, end < 0
+                last[language, lane] = state[language, lane] if end < 0 else end
+            wrong = ~met[:, lane]
+        carried = last[:, lane_of[-1]]
+        np.add.at(counts, owner, total[:, lane_of].T)
     return counts
 
 
@@ -181,37 +264,40 @@ def classify(samples: Samples, texts: list[str]) -> tuple[list[str], list[float]
     return [parser.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], scores.tolist()
 
 
-def learn(
-    docs: DataFrame, sample_rows: int = 60, sample_chars: int = 32_768, longest: int = 65_536, languages: int = 64
-) -> Samples:
+def learn(docs: DataFrame, sample_rows: int = 60, sample_chars: int = 32_768, all_chars: int = 262_144, languages: int = 4096) -> Samples:
     """Labelled text for the automata, from rows that are not held out.
 
-    The sample is bounded: about ``sample_rows`` rows a language, chosen by a
-    hash of id and text, of at most ``longest`` characters each, taken until
-    they hold ``sample_chars`` characters (the last is cut there); the
-    ``languages`` most frequent labels are learned. Rows whose text is null or
-    has no letter teach nothing.
+    The sample is bounded: about ``2 * sample_rows`` rows a language, chosen by
+    a hash of id and text length, of which the beginnings are taken until they
+    hold ``sample_chars`` characters; with more than eight languages each has an
+    equal part of ``all_chars``, of 64 characters at least. Every label is
+    learned, and a table with more than ``languages`` labels is refused. Rows
+    whose text is null or has no letter teach nothing, and rows that repeat an
+    id and a length count as one.
     """
     rows = docs.select(
         F.col("lang").cast("string").alias("lang"),
-        F.col("text").cast("string").alias("text"),
+        F.left(F.col("text").cast("string"), F.lit(sample_chars)).alias("piece"),
         F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("h"),
         held_out().alias("held"),
-    ).filter("lang IS NOT NULL AND NOT held")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    ).filter(F.col("lang").isNotNull() & ~F.col("held") & F.col("piece").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").count().limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"lang has more than {languages} values")
     if not counts:
         return Samples(())
+    room = min(sample_chars, all_chars // len(counts))
     share = {r["lang"]: min(1.0, 2.0 * sample_rows / r["count"]) for r in counts}
     rate = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
     low = (F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)) < rate
-    taken = rows.filter(low & (F.length("text") <= longest)).select("lang", "h", "text").collect()
+    taken = rows.filter(low).groupBy("lang", "h").agg(F.min(F.left("piece", F.lit(room))).alias("piece")).collect()
     texts: dict[str, list[str]] = {}
-    for lang, _, text in sorted(taken, key=lambda r: (r["lang"], r["h"], r["text"])):
+    for lang, _, text in sorted(taken, key=lambda r: (r["lang"], r["h"])):
         own = texts.setdefault(lang, [])
-        room = sample_chars - sum(map(len, own))
-        if room > 0 and any(c.isalpha() for c in text):
-            own.append(text[:room])
-    return Samples(tuple(sorted((x, tuple(own)) for x, own in texts.items() if own)))
+        left = room - sum(map(len, own))
+        if left > 0:
+            own.append(text[:left])
+    return Samples(tuple(sorted((x, tuple(own)) for x, own in texts.items())))
 
 
 def identify(docs: DataFrame, samples: Samples) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -175,19 +176,41 @@ def plain_phrases(training, text):
 
 
 def test_phrases_match_the_definition():
+    """Texts of many blocks, of symbols with and without a column, some of which repeat so that no block meets its own parse."""
     rng = random.Random(7)
-    training = "".join(rng.choice("abc d") for _ in range(400))
-    parser = langid.build(langid.Samples((("xx", (training,)),)))
-    known = "".join(parser_text(langid.encode(training, parser.symbols)))
-    for n in (1, 5, 300, 3000):
-        text = langid.encode("".join(rng.choice("abcz d") for _ in range(n)), parser.symbols)
-        blocks = [text[i : i + langid.BLOCK] for i in range(0, len(text), langid.BLOCK)]
-        expected = sum(plain_phrases(known, parser_text(b)) for b in blocks)
-        assert langid.phrases(parser, [text])[0, 0] == expected
+    letters = [chr(0x4E00 + i) for i in range(100)]
+    training = "".join(rng.choice("abc d") for _ in range(400)) + "xxx " + "".join(rng.choice(letters) for _ in range(300))
+    other = "".join(rng.choice("abz d") for _ in range(300))
+    parser = langid.build(langid.Samples((("xx", (training,)), ("yy", (other,)))))
+    assert len(parser.rare)
+    known = [parser_text(langid.encode(t, parser.symbols)) for t in (training, other)]
+    texts = ["", "a", "x" * 5000, "x" * 3000 + "ab", training * 8, "abcd" * 2000, "Ж" * 2100]
+    texts += ["".join(rng.choice("abcz d") for _ in range(n)) for n in (5, 300, 1024, 1025, 3000, 9000)]
+    texts += ["".join(rng.choice(letters) for _ in range(4000)), "".join(rng.choice(["x" * 1500, "ab", training]) for _ in range(20))]
+    coded = [langid.encode(t, parser.symbols) for t in texts]
+    expected = [[plain_phrases(t, parser_text(c)) for t in known] for c in coded]
+    assert langid.phrases(parser, coded).tolist() == expected
+    for block, cells in ((16, 64), (7, 4096), (1, 1 << 20)):  # the execution's sizes change nothing
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(langid, "BLOCK", block)
+            patch.setattr(langid, "CELLS", cells)
+            assert langid.phrases(parser, coded[:12]).tolist() == expected[:12]
+
+
+def test_every_label_is_learned(spark):
+    rows = [(1000 * k + i, chr(0x4E00 + 40 * k) * 3 + "".join(chr(0x4E00 + 40 * k + j % 30) for j in range(i * 7)), f"l{k}") for k in range(70) for i in range(8)]
+    rows.append((99_999, "only one very long text " * 9000, "long"))
+    docs = frame(spark, rows)
+    samples = langid.learn(docs)
+    assert len(samples.texts) == 71 and sum(len(t) for _, own in samples.texts for t in own) <= 262_144
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, samples).collect()}
+    assert found == {i: lang for i, _, lang in rows}
+    with pytest.raises(ValueError):
+        langid.learn(docs, languages=70)
 
 
 def parser_text(symbols):
-    return "".join(chr(97 + int(s)) for s in symbols)
+    return "".join(chr(97 + int(s)) if s else chr(33 + n % 2) for n, s in enumerate(symbols))  # unseen letters match nothing
 
 
 def test_languages_of_held_out_documents(spark, sf_dir):
