@@ -43,13 +43,16 @@ class Span(NamedTuple):
     end: int
 
 
-def _local_start(text: str, at: int, floor: int) -> int:
-    """Start of the run of local-part characters that ends before ``at``."""
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+
+
+def _run_start(text: str, at: int, floor: int, chars: str) -> int:
+    """Start of the run of ``chars`` that ends before ``at``, in time proportional to the run."""
     start, step = at, 32
     while start > floor:
         low = max(floor, start - step)
         tail = text[low:start]
-        own = len(tail) - len(tail.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"))
+        own = len(tail) - len(tail.rstrip(chars))
         start -= own
         if own < len(tail):
             break
@@ -60,7 +63,7 @@ def _local_start(text: str, at: int, floor: int) -> int:
 def emails(text: str) -> Iterator[Span]:
     floor = at = 0
     while (at := text.find("@", at)) >= 0:
-        start = _local_start(text, at, floor)
+        start = _run_start(text, at, floor, _LOCAL)
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             yield Span("email", start, m.end())
             floor = at = m.end()
@@ -121,27 +124,31 @@ _SPOKEN_WORD = re.compile(rf"(?<!\w)(?:plus[ \t-]{{1,3}}(?=\w)|{_ONE}(?!\w))", r
 _SPOKEN_HINT = re.compile(rf"(?<!\w)(?:{_NAMES})[ \t.,-]{{1,3}}(?:{_NAMES}|[0-9]+)(?!\w)")
 _AT = r"(?:at|arroba|arobase)"
 _DOT = r"(?:dot|punkt|punto|point)"
-_BRACKETED = re.compile(
-    rf"[ \t]*(?:[\[({{<][ \t]*(?:(?P<at>@|{_AT})|(?P<dot>\.|{_DOT}))[ \t]*[\])}}>])[ \t]*", re.IGNORECASE
-)
-_BRACKET = re.compile(rf"[\[({{<][ \t]*(?:@|\.|{_AT}|{_DOT})[ \t]*[\])}}>]", re.IGNORECASE)
-_PLAIN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ \t]+{_DOT}[ \t]+[A-Za-z0-9_%+-]++)*?(?:[ \t]+{_AT}[ \t]+|@)"
-    rf"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:[ \t]+{_DOT}[ \t]+[A-Za-z0-9-]++)+(?![A-Za-z0-9-])",
+_BRACKETED = re.compile(rf"[\[({{<][ \t]*+(?:(?P<at>@|{_AT})|(?P<dot>\.|{_DOT}))[ \t]*+[\])}}>][ \t]*+", re.IGNORECASE)
+#: An ``at``, and what has to stand behind one: a domain with a spelled dot.
+_ANCHOR = re.compile(rf"[ \t]{_AT}(?=[ \t])|@", re.IGNORECASE)
+_DOMAIN_SPELLED = re.compile(rf"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:[ \t]++{_DOT}[ \t]++[A-Za-z0-9-]++)+", re.IGNORECASE)
+_GAP = re.compile(r"[ \t]*+")
+_DOT_END = re.compile(rf"{_DOT}\Z", re.IGNORECASE)
+_QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ \t]++{_DOT}[ \t]++[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_PLAIN_HINT = re.compile(r"[ \t](?:[dD][oO][tT]|[pP][uU][nN][kK][tT]|[pP][uU][nN][tT][oO]|[pP][oO][iI][nN][tT])[ \t]")
+_SIGN = re.compile(rf"[ \t]++(?:(?P<at>{_AT})|(?P<dot>{_DOT}))[ \t]++", re.IGNORECASE)
+#: Words that announce an address; behind one, a spelled at before a dotted domain is enough.
+_LEADS = ("mail", "contact", "kontakt", "correo", "courriel", "contacto")
+_LED = re.compile(
+    rf"(?<!\w)(?:(?:e-?)?mail|contact|kontakt|correo|courriel|contacto)(?:[ \t]{{1,3}}(?:me|us|to|an|a|à))?:?[ \t]{{1,3}}"
+    rf"[A-Za-z0-9._%+-]++(?P<at>[ \t]++{_AT}[ \t]++)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:(?<=\.[A-Za-z]{{2}})|(?<=\.[A-Za-z]{{3}})|(?<=\.[A-Za-z]{{4}}))(?!/)",
     re.IGNORECASE,
 )
-_QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ \t]+{_DOT}[ \t]+[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-_PLAIN_HINT = re.compile(r"[ \t](?:[dD][oO][tT]|[pP][uU][nN][kK][tT]|[pP][uU][nN][tT][oO]|[pP][oO][iI][nN][tT])[ \t]")
-_SIGN = re.compile(rf"[ \t]+(?:(?P<at>{_AT})|(?P<dot>{_DOT}))[ \t]+", re.IGNORECASE)
 #: Signs with a space on either side.
 _SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: @ |@)[A-Za-z0-9-]++(?:(?: \. |\.)[A-Za-z0-9-]++)+")
 _SPACED_HINT = re.compile(r"[A-Za-z0-9_%+-] @ [A-Za-z0-9]|@[A-Za-z0-9.-]+ \. [A-Za-z0-9]")
 #: Letters that stand for digits, in tokens of digits.
 _LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
-_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl.()+-]*?(?:[0-9][.()-]?[OoIl]|[OoIl][.()-]?[0-9])[0-9OoIl.()+-]*+(?![A-Za-z0-9])")
+_MIXED = re.compile(r"[0-9][.()-]?[OoIl]|[OoIl][.()-]?[0-9]")
 _DIGIT_LETTER, _LETTER_DIGIT = re.compile(r"[0-9][.()-]?[OoIl]"), re.compile(r"[OoIl][.()-]?[0-9]")
-#: How far around a spoken dot an address is looked for.
-_AROUND = 320
+_MIXED_SIGNS = "0123456789OoIl.()+-"
+_MIXED_REST = re.compile(r"[0-9OoIl.()+-]*+")
 
 
 class Copy:
@@ -218,32 +225,88 @@ def _spoken(words: str) -> str:
     return _SPELLED.get(first, "+")
 
 
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Signs in brackets, with the blanks around them."""
+    done = 0
+    for m in _BRACKETED.finditer(text):
+        yield _run_start(text, m.start(), done, " \t"), m.end(), "@" if m["at"] else "."
+        done = m.end()
+
+
+def _spelled_dot(text: str, start: int, floor: int) -> int | None:
+    """Where the blanks before a spelled dot begin, if one stands before ``start``."""
+    gap = _run_start(text, start, floor, " \t")
+    if gap == start or not (m := _DOT_END.search(text[max(floor, gap - 5) : gap])):
+        return None
+    word = gap - len(m[0])
+    before = _run_start(text, word, floor, " \t")
+    return before if before < word else None
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with spelled dots, leftmost first.
+
+    Each begins at an ``at`` with a domain behind it and is followed back over
+    the words and spelled dots before it, so no stretch is walked twice however
+    long its words are.
+    """
+    done = 0
+    for sign in _ANCHOR.finditer(text):
+        if sign.start() < done:
+            continue
+        begins = sign.end() if sign[0] == "@" else _GAP.match(text, sign.end()).end()  # type: ignore[union-attr]
+        domain = _DOMAIN_SPELLED.match(text, begins)
+        if domain is None:
+            continue
+        end = sign.start() if sign[0] == "@" else _run_start(text, sign.start() + 1, done, " \t")
+        start = _run_start(text, end, done, _LOCAL)
+        if start == end:
+            continue
+        while "." not in text[start:end] and (dot := _spelled_dot(text, start, done)) is not None:
+            first = _run_start(text, dot, done, _LOCAL)
+            if first == dot:
+                break
+            start, end = first, dot
+        yield start, domain.end()
+        done = domain.end()
+
+
+def _mixed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Letters that stand for digits, in tokens that join the two."""
+    done = 0
+    for m in _MIXED.finditer(text):
+        if m.start() < done:
+            continue
+        start, end = _run_start(text, m.start(), done, _MIXED_SIGNS), _MIXED_REST.match(text, m.end()).end()  # type: ignore[union-attr]
+        if start and text[start - 1].isascii() and text[start - 1].isalnum():  # the token begins behind the first sign
+            start = next((i + 1 for i in range(start, end) if text[i] in ".()+-"), end)
+        done = end
+        if start < end and not (end < len(text) and text[end].isascii() and text[end].isalnum()) and _MIXED.search(text, start, end):
+            yield from ((i, i + 1, _LETTERS[text[i]]) for i in range(start, end) if text[i] in _LETTERS)
+
+
 def normalise(text: str) -> Copy | None:
     """The normalised copy, or None where no transducer finds anything to replace."""
     copy = Copy(text)
     if not text.isascii() and _FOREIGN.search(text):
         changes = ((m.start(), m.end(), _ascii(m[0])) for m in _FOREIGN.finditer(text))
         copy.rewrite([x for x in changes if x[2] != text[x[0] : x[1]]])
-    if _BRACKET.search(copy.text):
-        copy.rewrite([(*m.span(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(copy.text)])
+    if _BRACKETED.search(copy.text):
+        copy.rewrite(list(_bracketed(copy.text)))
     if _PLAIN_HINT.search(copy.text):
         edits, done = [], 0
-        for hint in _PLAIN_HINT.finditer(copy.text):
-            if hint.start() < done:
-                continue
-            low, high = max(done, hint.start() - _AROUND), min(len(copy.text), hint.end() + _AROUND)
-            for whole in (m for p in (_PLAIN, _QUAD) for m in p.finditer(copy.text, low, high)):
-                if whole.start() >= done:
-                    signs = _SIGN.finditer(copy.text, *whole.span())
-                    edits += [(*m.span(), "@" if m["at"] else ".") for m in signs]
-                    done = whole.end()
+        for start, end in sorted([*_spelled(copy.text), *(m.span() for m in _QUAD.finditer(copy.text))]):
+            if start >= done:
+                edits += [(*m.span(), "@" if m["at"] else ".") for m in _SIGN.finditer(copy.text, start, end)]
+                done = end
         copy.rewrite(edits)
+    if any(w in copy.text.lower() for w in _LEADS):
+        copy.rewrite([(*m.span("at"), "@") for m in _LED.finditer(copy.text)])
     if "@" in copy.text and _SPACED_HINT.search(copy.text):
         spaced = ((m.start() + s.start(), m.start() + s.end(), s[0].strip()) for m in _SPACED.finditer(copy.text) for s in re.finditer(r" [@.] ", m[0]))
         copy.rewrite(list(spaced))
     if _DIGIT_LETTER.search(copy.text) or _LETTER_DIGIT.search(copy.text):
-        letters = ((m.start() + i, m.start() + i + 1, _LETTERS[c]) for m in _MIXED.finditer(copy.text) for i, c in enumerate(m[0]) if c in _LETTERS)
-        copy.rewrite(list(letters))
+        copy.rewrite(list(_mixed(copy.text)))
     if _SPOKEN_HINT.search(copy.text.lower()):
         words = (w for run in _SPOKEN.finditer(copy.text) for w in _SPOKEN_WORD.finditer(copy.text, *run.span()))
         copy.rewrite([(*w.span(), _spoken(w[0])) for w in words])
@@ -271,7 +334,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, spans): every identifier as struct<kind, start, end, text, added>.
 
     Offsets count code points, the end is exclusive. Null and empty texts have
-    no span; rows with null or repeated ids give a row each.
+    no span; rows with null or repeated ids give a row each, and an empty table
+    none. Texts are searched whole, in time proportional to their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -137,6 +138,7 @@ def test_disguises_map_back_to_the_source():
         "mail kate @ example . org today": ("email", "kate @ example . org"),
         "host 192.168.O.l is down": ("ip", "192.168.O.l"),
         "call +1 (55O) l23-4567 now": ("phone", "+1 (55O) l23-4567"),
+        "mail me: jane at mail.example.org now": ("email", "jane at mail.example.org"),
         "call plus one double five oh triple two nine nine four one": ("phone", "plus one double five oh triple two nine nine four one"),
         "ruf plus vier neun drei null eins zwei drei vier fünf sechs an": ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
     }
@@ -147,13 +149,27 @@ def test_disguises_map_back_to_the_source():
 
 
 def test_plain_prose_gains_no_span():
-    for text in ("We met at noon and the dot com era ended.", "one two three go", "un deux trois", "f(at) and [dot]", "Das ist ein Punkt hier", "see me @ home. Thanks", "Il o 1l O2 x", ""):
+    for text in ("We met at noon and the dot com era ended.", "one two three go", "un deux trois", "f(at) and [dot]", "Das ist ein Punkt hier", "see me @ home. Thanks", "Il o 1l O2 x", "contact us at www.example.com/help or meet at example.com", ""):
         assert pii.find(text) == ([], [])
 
 
 def test_long_runs_stay_linear():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "+1 " * 100_000, "@" * 100_000, "a@" * 100_000, "zero " * 50_000, " dot a" * 30_000, "1l" * 100_000, "1o " * 100_000, "a @ b . " * 40_000, "double " * 50_000):
+    n = 200_000
+    texts = ["a" * n, "1" * n, "1." * n, "+1 " * n, "@" * n, "a@" * n, "zero " * n, " dot a" * n, "1l" * n, "1o " * n, "a @ b . " * n, "double " * n]
+    texts += ["-" * n + " 0O", "." * n + " 1l", " " * n + "x a [at] b", " at b dot" * n, "a at" * n, "( " * n + "[at]", "(at" * n, "O-" * n + "1", "x" * n + " dot a at b", "mail " * n, "1 dot " * n]
+    for text in texts:
+        began = time.process_time()
         pii.find(text)
+        assert time.process_time() - began < 2 * max(1, len(text) / n), text[:20]
+
+
+def test_spelled_addresses_of_any_length_are_found():
+    for name, domain in (("a" * 400, "example"), ("joe", "b" * 400), ("x" * 50_000, "y" * 50_000)):
+        text = f"see {name} at {domain} dot com today"
+        assert [(s.kind, text[s.start : s.end]) for s in pii.find(text)[1]] == [("email", f"{name} at {domain} dot com")]
+    chain = " dot ".join(f"p{i}" for i in range(200))
+    text = f"to {chain} at x dot y, and jo at a dot b dot c"
+    assert [text[s.start : s.end] for s in pii.find(text)[1]] == [f"{chain} at x dot y", "jo at a dot b dot c"]
 
 
 def test_pii_rows_with_nulls_and_empty_tables(spark):
