@@ -10,8 +10,8 @@ search length shrinks until the shortest tile that counts.
 Every tile holds a run of ``seed`` tokens that both sides share. So the items'
 seeds are an index, documents stream past it once without being shuffled, and
 only the few document regions under a seed go on to the tiling. The items are
-gathered in blocks of bounded size, one pass over the documents for each block;
-a benchmark of ordinary size is one block.
+gathered in blocks of bounded size, one pass over the documents for each block,
+and one block is held at a time; a benchmark of ordinary size is one block.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from heapq import heapify, heappop, heappush
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ASCII_LOWER, table, text_bytes, windows
+from foliograph.llm.common import ASCII_LOWER, cut, table, text_bytes, windows
 
 #: Bytes to spaces: ASCII that is no letter or digit.
 _TOKEN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
@@ -66,7 +68,9 @@ def tiles(item: Sequence[int], text: Sequence[int], shortest: int) -> list[tuple
     """Greedy string tiling: (start in item, start in text, length), longest first.
 
     Ids below zero match nothing. Ties go to the tile that starts first in the
-    item, then in the text.
+    item, then in the text. What is left of a match that a longer one has partly
+    taken waits in the queue at its new length, so the longest free match is
+    always the next.
     """
     item_marked, text_marked, found = bytearray(len(item)), bytearray(len(text)), []
     width = max(shortest, min(len(item), len(text)))
@@ -74,9 +78,11 @@ def tiles(item: Sequence[int], text: Sequence[int], shortest: int) -> list[tuple
         heads = defaultdict(list)
         for value, at in _windows(text, text_marked, width):
             heads[value].append(at)
-        matches = []
+        queue = []
         for value, p in _windows(item, item_marked, width) if heads else ():
             for t in heads.get(value, ()):
+                if p and t and item[p - 1] == text[t - 1] >= 0 and not item_marked[p - 1] and not text_marked[t - 1]:
+                    continue  # part of the match that starts one token before
                 n = 0
                 while (
                     p + n < len(item)
@@ -88,16 +94,20 @@ def tiles(item: Sequence[int], text: Sequence[int], shortest: int) -> list[tuple
                 ):
                     n += 1
                 if n >= width:
-                    matches.append((-n, p, t))
-        hidden = False
-        for n, p, t in sorted(matches):
-            if any(item_marked[p : p - n]) or any(text_marked[t : t - n]):
-                hidden = True  # what is left of it is looked for again
+                    queue.append((-n, p, t))
+        heapify(queue)
+        while queue:
+            n, p, t = heappop(queue)
+            taken = bytes(map(or_, item_marked[p : p - n], text_marked[t : t - n]))
+            if any(taken):
+                at = 0
+                for free in taken.split(b"\x01"):
+                    if len(free) >= width:
+                        heappush(queue, (-len(free), p + at, t + at))
+                    at += len(free) + 1
                 continue
             item_marked[p : p - n] = text_marked[t : t - n] = b"\x01" * -n
             found.append((p, t, -n))
-        if hidden:
-            continue
         if width == shortest:
             break
         width = max(shortest, width // 2)
@@ -107,15 +117,16 @@ def tiles(item: Sequence[int], text: Sequence[int], shortest: int) -> list[tuple
 class Index:
     """Seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], seed: int) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], seed: int) -> None:
         self.seed, self.vocabulary = seed, {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[int | None, np.ndarray]] = []
         postings = []
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text)]
             if len(ids) >= seed:
-                postings.append((self.hashes(np.array(ids, np.int64), np.arange(len(ids) - seed + 1)), len(self.items)))
-                self.items.append((item_id, ids))
+                own = np.array(ids, np.int32)
+                postings.append((self.hashes(own, np.arange(len(own) - seed + 1)), len(self.items)))
+                self.items.append((item_id, own))
         flat = np.concatenate([h for h, _ in postings]) if postings else np.zeros(0, np.uint64)
         owner = np.concatenate([np.full(len(h), n) for h, n in postings]) if postings else np.zeros(0, np.int64)
         order = np.lexsort((owner, flat))
@@ -128,7 +139,7 @@ class Index:
             value ^= value >> np.uint64(29)
         return value
 
-    def leaks(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    def leaks(self, text: bytes) -> Iterator[tuple[int | None, int, int, int]]:
         """(item_id, tiles, tokens covered, tokens of the item) for items with a tile in the text."""
         get = self.vocabulary.get
         words = tokens(text)
@@ -157,7 +168,7 @@ class Index:
                     end = at
                 region.extend(ids[end : at + self.seed].tolist())
                 end = at + self.seed
-            found = tiles(item, region, self.seed)
+            found = tiles(item.tolist(), region, self.seed)
             if found:
                 yield item_id, len(found), sum(x[2] for x in found), len(item)
 
@@ -174,29 +185,39 @@ def index_of(shared: Broadcast, seed: int) -> Index:
     return _indexed[name, seed]
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = 16 << 20) -> list[Broadcast]:
-    """The items, dealt by hash into blocks of about ``block_bytes`` of text, each shared with the executors."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in blocks of about ``block_bytes`` of text, and whether a block is the only one.
+
+    Items are dealt by a hash of id and text; rows that repeat both count once.
+    A block is collected and shared with the executors when it is asked for,
+    so the driver holds one at a time, or one item that is longer.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body"))
-    items = items.filter("length(body) > 0")
+    items = items.filter("length(body) > 0").distinct()
     total = items.agg(F.sum(F.length("body"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     dealt = F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks))
     context = benchmark.sparkSession.sparkContext
-    return [
-        context.broadcast((uuid.uuid4().hex, sorted((-1 if r[0] is None else r[0], bytes(r[1])) for r in items.filter(dealt == n).collect())))
-        for n in range(blocks)
-    ]
+    for n in range(blocks):
+        rows = items.filter(dealt == n).collect()
+        own = sorted(((r[0], bytes(r[1])) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield context.broadcast((uuid.uuid4().hex, own)), blocks == 1
 
 
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """(doc_id, item_id, n_tiles, covered, item_tokens, coverage) with coverage >= threshold.
 
     ``seed`` is the shortest tile, in tokens. Items with fewer tokens, null or
     empty ones among them, are no evidence and never match; null texts match
-    nothing. Rows that repeat an id are looked at one by one. ``block_bytes``
-    bounds the benchmark text that one pass holds.
+    nothing, and an empty benchmark matches nothing. Null ids of documents and
+    items stay null; documents that repeat an id are looked at one by one, items
+    that repeat id and text once. Texts are read whole, however long; only what
+    lies under a seed is tiled, and a text and an item that both repeat the same
+    tokens over and over take time in the product of those parts. ``block_bytes``
+    bounds the benchmark text that one pass over the documents holds; the
+    results of the passes before the last are written to the shared folder.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     schema = "doc_id long, item_id long, n_tiles long, covered long, item_tokens long, coverage double"
@@ -221,7 +242,13 @@ def overlaps(
 
         return rows.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(block, item_blocks(benchmark, block_bytes)))
+    found = []
+    for shared, only in item_blocks(benchmark, block_bytes):
+        if only:
+            return block(shared)
+        found.append(cut(block(shared)))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,14 +256,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that leak no benchmark item.
 
     The decision is taken row by row in the scan, so nothing is shuffled, rows
     with null or repeated ids are judged like any other, and columns of any
-    name pass through untouched.
+    name pass through untouched. With several blocks of items the rows that are
+    left after each are written to the shared folder.
     """
-    for shared in item_blocks(benchmark):
+    for shared, only in item_blocks(benchmark, block_bytes):
 
         @F.pandas_udf("boolean")
         def clean(texts, shared=shared):  # type: ignore[no-untyped-def]
@@ -247,4 +275,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold
             return pd.Series([all(c < threshold * n for _, _, c, n in index.leaks(b)) for b in bodies], dtype="bool")
 
         docs = docs.filter(clean(docs["text"].cast("string")))
+        if not only:
+            docs = cut(docs)
+            shared.unpersist()
     return docs
