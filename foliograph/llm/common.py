@@ -8,7 +8,9 @@ columns it carries.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,22 +22,58 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which
-    all executors share, so a lost executor costs one task and no recomputation
-    of the stages before. Only where the setting is absent (local tests) is a
-    folder of our own chosen.
+    All executors share it, so a lost one costs tasks and no recomputation of
+    the stages before. Where the setting is absent a folder of our own is
+    chosen, which is right in local mode alone; a cluster without the setting
+    is refused.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliograph-")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliograph-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and drop its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one job in the shared folder.
+
+    They are written as Parquet and read again, so that lineage ends there and
+    the planner knows how big they are when it chooses between sending a side
+    to all tasks and shuffling both.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.place, self.tables = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.place}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete the tables; frames over them can no longer be read."""
+        remove(self.spark, self.place)
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of any file system that Spark knows."""
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null is the empty text."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b""))

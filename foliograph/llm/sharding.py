@@ -17,12 +17,11 @@ task.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut, table, text_bytes
+from foliograph.llm.common import cut, remove, table, text_bytes
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -211,7 +210,7 @@ def reshard(spark: SparkSession, path: str, shards: int = 8) -> dict[int, tuple[
     whole = {r["block"]: r["shard"] for r in sorted(sizes, key=lambda r: (r["bytes"], r["shard"]))}
     extra = [f"{path}/shard={r['shard']}/block={r['block']}" for r in sizes if whole[r["block"]] != r["shard"]]
     if extra:
-        _delete(spark, extra)
+        remove(spark, *extra)
         return reshard(spark, path, shards)
     placed = transfers({(r["shard"], r["block"]): r["bytes"] for r in sizes}, shards)
     moved = {block: (old, to) for (old, block), to in placed.items() if old != to}
@@ -219,11 +218,5 @@ def reshard(spark: SparkSession, path: str, shards: int = 8) -> dict[int, tuple[
         plan = spark.createDataFrame([(b, o, t) for b, (o, t) in moved.items()], "block int, shard int, to int")
         going = stored.join(F.broadcast(plan), ["block", "shard"]).drop("shard").withColumnRenamed("to", "shard")
         going.write.mode("append").partitionBy("shard", "block").parquet(path)
-        _delete(spark, (f"{path}/shard={old}/block={block}" for block, (old, _) in moved.items()))
+        remove(spark, *(f"{path}/shard={old}/block={block}" for block, (old, _) in moved.items()))
     return moved
-
-
-def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
-    for folder in folders:
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

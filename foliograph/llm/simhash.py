@@ -29,10 +29,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ASCII_LOWER, cut, table, text_bytes, windows
+from foliograph.llm.common import ASCII_LOWER, Scratch, cut, table, text_bytes, windows
 from foliograph.llm.components import components
 from foliograph.llm.sketches import shingles
 
@@ -166,13 +166,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- similarity on word shingles --------------------------------------------------------------------------------
-# An exact set-similarity join. Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles under any
-# order of all shingles (prefix filter). The order puts shingles that many texts hold last; it decides how many
-# candidates there are and never which pairs are found. Sizes, places and a parity bitmap give bounds that no similar
-# pair breaks, and what passes them is decided on the whole sets.
-
-#: Bits of a shingle's heat bucket; bytes of the parity bitmap.
-HEAT_BITS, PARITY_BYTES = 20, 256
+# An exact set-similarity join with count filtering. Under any order of all shingles, two sets of similarity t share
+# at least m of their first n - ceil(t n) + m. So each set is indexed by that many, with m from 1 + n / SLACK, and the
+# guaranteed minimum of a pair is the smaller m. A pair that shares m of its indexed shingles shares one that is not
+# among the m - 1 most held ones of either; those need not be looked at. As nearly all shingles have one holder, long
+# texts that share a passage and no more drop out there. The first order puts shingles that many texts hold last. Both
+# orders decide how many candidates there are and never which pairs are found. What is left is bounded by sizes,
+# places and a parity bitmap, bounds that no similar pair breaks, and decided on the whole sets.
+
+#: Bits of a shingle's heat bucket; bytes of the parity bitmap; shingles for each one that a pair must share more.
+HEAT_BITS, PARITY_BYTES, SLACK = 20, 256, 32
 #: Entries of a part of a posting list; all pairs of parts are compared, each pair of parts in a task of its own.
 CHUNK = 4096
 #: Positions of the bitmap that names the texts whose sets are wanted.
@@ -202,79 +205,96 @@ def needed(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def shingled(docs: DataFrame, order: np.ndarray, similarity: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n, bits, prefix) of each text's distinct shingles; one row per input row."""
+def minimum(n: np.ndarray) -> np.ndarray:
+    """Indexed shingles that a set of ``n`` shares with every similar set that is not smaller."""
+    return 1 + n // SLACK
+
+
+def indexed(n: int, similarity: float) -> int:
+    """How many of its shingles a set of ``n`` is indexed by."""
+    return n - needed(n, similarity) + minimum(n) if n else 0
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    """A name for a set of shingles, which are in order."""
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def shingled(docs: DataFrame, order: np.ndarray, similarity: float, width: int, text_col: str = "text") -> DataFrame:
+    """(id, text_key, digest, n, bits, keys) of each text's distinct shingles; one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in windows(batches, "body"):
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingles(text, width)
-                first = np.lexsort((own, order[own >> np.uint64(64 - HEAT_BITS)]))[: len(own) - needed(len(own), similarity) + 1 if len(own) else 0]
+                first = np.lexsort((own, order[own >> np.uint64(64 - HEAT_BITS)]))[: indexed(len(own), similarity)]
                 odd = np.bincount((own % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
                 out.append((_digest(own), len(own), np.packbits(odd.astype(np.uint8)).view(np.int64), own[first].view(np.int64)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "n", "bits", "prefix"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_key", "digest", "n", "bits", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, n long, bits array<long>, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("body"))
+    return rows.mapInArrow(run, "id long, text_key long, digest binary, n long, bits array<long>, keys array<long>")
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    """A name for a set of shingles, which are in order."""
-    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, own) the whole sets of the texts that ``wanted`` (id, digest) names; texts of no wanted id are not hashed."""
-    place = F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("at")
-    marks = wanted.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """(node, own) the whole sets of the texts that ``wanted`` (node, id, text_key) names; other texts are not hashed."""
+    place = lambda *names: F.pmod(F.xxhash64(*names), F.lit(WANTED))
+    marks = wanted.select((place("id", "text_key") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
     mask = np.zeros((WANTED // 32768, 4096), np.uint8)
-    for bucket, bits in marks.collect():  # at most 256 rows of 4 KB
+    for bucket, bits in marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():  # at most 256 rows of 4 KB
         mask[bucket - 1] = np.frombuffer(bytes(bits), np.uint8)
     packed = mask.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_wanted = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for batch in windows(batches, "body"):
-            kept = batch.filter(pa.array(is_wanted[batch.column(1).to_numpy()]))
+            kept = batch.filter(pa.array(is_wanted[batch.column(2).to_numpy()]))
             if len(kept):
-                sets = [shingles(t, width) for t in kept.column(2).to_pylist()]
-                columns = [kept.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "own"])
+                sets = [shingles(t, width).view(np.int64) for t in kept.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "text_key", "own"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("body")).select("id", place, "body")
-    sets = rows.mapInArrow(run, "id long, digest binary, own array<long>")
-    return sets.join(wanted, ["id", "digest"]).select("id", "own")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("body"))
+    sets = rows.select("id", "text_key", place("id", "text_key").alias("at"), "body").mapInArrow(run, "id long, text_key long, own array<long>")
+    return sets.join(wanted, ["id", "text_key"]).select("node", "own")
 
 
-def _near(n: np.ndarray, at: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of ``others`` may be similar to entry ``i`` by size and by place, if this is the first shingle they share."""
-    least = (n[others] + n[i]) * (similarity / (1 + similarity)) - 1e-6
-    return np.minimum(n[others] - at[others], n[i] - at[i]) >= least
+def _near(n: np.ndarray, left: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``others`` may be similar to entry ``i`` by size and by place, if this is the first shingle they share.
+
+    ``left`` counts the indexed shingles from this one on, the rarest first.
+    """
+    fits = np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]) - 1e-6
+    return fits & (np.minimum(left[others], left[i]) >= minimum(np.minimum(n[others], n[i])))
 
 
-def stars(ids: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+def stars(nodes: np.ndarray, n: np.ndarray, left: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
     """Pairs of one list that are worth a first look: each entry with one smaller head that it may be similar to."""
-    rest = np.argsort(ids, kind="stable")
+    rest = np.argsort(nodes, kind="stable")
     while len(rest) > 1:
         head, rest = rest[0], rest[1:]
-        near = _near(n, at, head, rest, similarity)
-        yield from ((int(ids[head]), int(b)) for b in ids[rest[near]])
+        near = _near(n, left, head, rest, similarity)
+        yield from ((int(nodes[head]), int(b)) for b in nodes[rest[near]])
         rest = rest[~near]
 
 
-def crossing(ids: np.ndarray, n: np.ndarray, at: np.ndarray, part: np.ndarray, root: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+def crossing(nodes: np.ndarray, n: np.ndarray, left: np.ndarray, part: np.ndarray, root: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
     """All pairs of a list, or between its two parts, that are in different groups and that no bound rules out."""
-    two, everyone = len(np.unique(part)) > 1, np.arange(len(ids))
+    two, everyone = len(np.unique(part)) > 1, np.arange(len(nodes))
     for i in everyone[part == part.min()] if two else everyone:
         others = everyone[part != part[i]] if two else everyone[i + 1 :]
         others = others[root[others] != root[i]]
-        others = others[_near(n, at, i, others, similarity)]
+        others = others[_near(n, left, i, others, similarity)]
         differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
         # the symmetric difference has an element for each position of odd parity, at least
         for j in others[differ <= (n[others] + n[i]) * ((1 - similarity) / (1 + similarity)) + 1e-6]:
-            yield tuple(sorted((int(ids[i]), int(ids[j]))))
+            yield tuple(sorted((int(nodes[i]), int(nodes[j]))))
 
 
 def _pairs(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
@@ -284,7 +304,7 @@ def _pairs(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
         for batch in batches:
             entries, ends = batch.column(0).flatten(), batch.column(0).value_lengths().to_numpy().cumsum()
             own = dict(zip([f.name for f in entries.type], entries.flatten(), strict=True))
-            columns = [own[c].to_numpy() for c in (("id", "n", "at", "part", "root") if every else ("id", "n", "at"))]
+            columns = [own[c].to_numpy() for c in (("node", "n", "left", "part", "root") if every else ("node", "n", "left"))]
             columns += [own["bits"].flatten().to_numpy().view(np.uint64).reshape(-1, PARITY_BYTES // 8)] if every else []
             find = crossing if every else stars
             found = {pair for first, last in zip([0, *ends], ends) for pair in find(*(c[first:last] for c in columns), similarity)}  # noqa: B905
@@ -295,50 +315,77 @@ def _pairs(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
     return lists.select("entries").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+def verified(scratch: Scratch, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have the similarity."""
-    bits = distinct.select("id", "n", "bits")
+    bits = distinct.select("node", "n", "bits")
     sides = [bits.select(*[F.col(c).alias(f"{c}_{s}") for c in bits.columns]) for s in "ab"]
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     bound = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    near = cut(pairs.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b")).filter(apart <= bound).select("a", "b").distinct())
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shingle_sets(docs, cut(distinct.join(ids, "id", "left_semi").select("id", "digest")), width)
-    whole = near.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
+    near = scratch.put(pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b")).filter(apart <= bound).select("a", "b"))
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.put(distinct.join(nodes, "node", "left_semi").select("node", "id", "text_key"))
+    sets = scratch.put(shingle_sets(docs, wanted, width))
+    # a head's set goes once to all that it is paired with
+    heads = sets.join(near.select(F.col("a").alias("node")).distinct(), "node", "left_semi").toDF("a", "own_a")
+    whole = near.join(sets.toDF("b", "own_b"), "b").join(heads, "a")
     common = F.size(F.array_intersect("own_a", "own_b"))
     linked = common >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - common)
-    return cut(whole.filter(linked).select("a", "b").distinct())
-
-
-def similar_links(docs: DataFrame, distinct: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(a, b) links whose components are those of all similar pairs of the rows (id, digest, n, bits, prefix)."""
-    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key"))
-    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    parts = F.ceil(F.col("held") / CHUNK)
-    dealt = cut(postings.join(counts, "key").select("id", "n", "at", "key", "held", F.pmod(F.xxhash64("id", "key"), parts).alias("part")))
+    return scratch.put(whole.filter(linked).select("a", "b"))
+
+
+def entries_of(scratch: Scratch, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, key, left, held, part): the postings that a similar pair must meet in, by lists of more than one."""
+    postings = distinct.select("node", "n", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    counts = scratch.put(postings.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    shared = scratch.put(postings.join(counts, "key"))
+    of_node = Window.partitionBy("node")
+    rank = F.row_number().over(of_node.orderBy("held", "key"))
+    # the shingles that no other text is indexed by come first
+    left = F.count(F.lit(1)).over(of_node) - rank + 1
+    least = 1 + F.floor(F.ceil(F.lit(similarity) * F.col("n") - 1e-9) / SLACK)
+    kept = scratch.put(shared.select("node", "n", "key", left.alias("left")).filter(F.col("left") >= least))
+    lists = kept.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("held") / CHUNK))
+    return scratch.put(kept.join(lists, "key").select("node", "n", "key", "left", "held", part.alias("part")))
+
+
+def similar_links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b) links whose components are those of all similar pairs of the rows (node, id, text_key, n, bits, keys)."""
+    dealt = entries_of(scratch, distinct, similarity)
     # first the true families, in about as many pairs as they have entries
-    lists = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("id", "n", "at")).alias("entries"))
-    links = verified(docs, distinct, cut(_pairs(lists, similarity, every=False)), similarity, width)
+    lists = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "left")).alias("entries"))
+    links = verified(scratch, docs, distinct, scratch.put(_pairs(lists, similarity, every=False)), similarity, width)
     # then every pair of a list that is not in one group yet; part i meets part j, i <= j, in a task of their own
-    groups = components(links, "a", "b")
-    rooted = dealt.filter("held > 2").join(groups, dealt["id"] == groups["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    groups = scratch.put(components(links, "a", "b").withColumnRenamed("node", "member"))
+    rooted = dealt.filter("held > 2").join(groups, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    still = cut(rooted.join(mixed, "key").select("id", "n", "at", "key", "held", "part", "root"))
+    still = scratch.put(rooted.join(mixed, "key").select("node", "n", "left", "key", "held", "part", "root"))
+    parts = F.ceil(F.col("held") / CHUNK)
     meets = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    meeting = still.join(distinct.select("id", "bits"), "id").withColumn("meets", F.explode(meets))
-    lists = meeting.groupBy("key", "meets").agg(F.collect_list(F.struct("id", "n", "at", "part", "root", "bits")).alias("entries"))
-    more = cut(_pairs(lists, similarity, every=True).join(links, ["a", "b"], "left_anti"))
-    return links.unionByName(verified(docs, distinct, more, similarity, width)).distinct()
+    meeting = still.join(distinct.select("node", "bits"), "node").withColumn("meets", F.explode(meets))
+    lists = meeting.groupBy("key", "meets").agg(F.collect_list(F.struct("node", "n", "left", "part", "root", "bits")).alias("entries"))
+    more = scratch.put(_pairs(lists, similarity, every=True).join(links, ["a", "b"], "left_anti"))
+    return scratch.put(links.unionByName(verified(scratch, docs, distinct, more, similarity, width)).distinct())
 
 
-def kept_ids(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(kept): the smallest id of each group of texts linked by shingle similarity."""
+def chosen_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(id, text_key): the row with the smallest id of each group of texts linked by shingle similarity.
+
+    ``text_key`` is a 64-bit hash of the text, which tells rows that repeat an
+    id apart.
+    """
+    scratch = Scratch(docs.sparkSession)
     named = docs.filter(F.col("doc_id").isNotNull())
     rows = shingled(named, heat(named, width), similarity, width)
-    distinct = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))))
-    members = components(similar_links(named, distinct, similarity, width), "a", "b")
-    others = members.filter("node <> root").select(F.col("node").alias("id"))
-    return distinct.select("id").distinct().join(others, "id", "left_anti").select(F.col("id").alias("__kept"))
+    first = F.min(F.struct("id", "text_key")).alias("first")
+    sets = rows.groupBy("digest").agg(first, *(F.first(c).alias(c) for c in ("n", "bits", "keys")))
+    distinct = scratch.put(sets.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.text_key", "n", "bits", "keys"))
+    members = components(similar_links(scratch, named, distinct, similarity, width), "a", "b").withColumnRenamed("node", "member")
+    own = distinct.select("node", "id", "text_key").join(members, F.col("node") == F.col("member"), "left")
+    chosen = own.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "text_key")).alias("first"))
+    kept = Scratch(docs.sparkSession).put(chosen.select("first.*"))
+    scratch.remove()
+    return kept
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -346,11 +393,20 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
 
     Texts link when their distinct ``width``-word shingles, as 64-bit hashes,
     have a Jaccard similarity of at least ``similarity``; groups are what links
-    connect. The row with the smallest doc_id stays; of rows that repeat that
-    id, one stays. Null, empty and blank texts are one group. Rows without an
-    id have nothing to be told apart by and all stay. Other columns are
-    untouched, whatever their names.
+    connect. The row with the smallest doc_id stays; where that id repeats with
+    several texts of the group, one of them does, and of rows that repeat id and
+    text one does. Different texts with one id are judged each for itself. Null,
+    empty and blank texts are one group. Rows without an id have nothing to be
+    told apart by and all stay. Texts of any length are compared whole; an empty
+    table gives no row. Other columns are untouched, whatever their names.
     """
-    kept = kept_ids(docs, similarity, width)
-    chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.union(docs.filter(docs["doc_id"].isNull()))
+    kept = chosen_rows(docs, similarity, width)
+    row_id, key = docs["doc_id"].cast("long"), _text_key(docs["text"])
+    here = lambda of: docs.join(of, (row_id == of["id"]) & (key == of["text_key"]), "left_semi")
+    again = here(kept).select(row_id.alias("id"), key.alias("text_key")).groupBy("id", "text_key").count().filter("count > 1")
+    again = Scratch(docs.sparkSession).put(again.select("id", "text_key"))
+    nameless = docs.filter(docs["doc_id"].isNull())
+    if again.isEmpty():
+        return here(kept).union(nameless)
+    once = here(kept.join(again, ["id", "text_key"], "left_anti"))
+    return once.union(here(again).dropDuplicates(["doc_id", "text"])).union(nameless)

@@ -113,6 +113,15 @@ def test_near_duplicates_with_nulls_ties_and_empty_tables(spark):
     kept = simhash.keep_one(frame(spark, rows))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 3]
     assert kept.columns == frame(spark, rows).columns
+    assert simhash.keep_one(frame(spark, rows).filter("doc_id < 0")).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    other = " ".join(f"v{i}" for i in range(40))
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, other), (6, text + " more"), (7, "third text of its own kind"), (5, text), (8, other), (5, text.upper()), (9, None), (9, "")]
+    kept = sorted(((r.doc_id, (r.text or "").lower()) for r in simhash.keep_one(frame(spark, rows)).collect()))
+    assert kept == sorted([(5, text), (5, other), (7, "third text of its own kind"), (9, "")])
 
 
 def test_cut_points_follow_the_content():
@@ -246,14 +255,36 @@ def test_every_pair_of_a_long_list_is_compared(spark, monkeypatch):
     copies = [[*p, "more"] for p in pages[::2]]
     found, expected = kept_and_expected(spark, [" ".join(p) for p in pages + copies])
     assert len(expected) == 140 and found == expected
-    lists = [(k, 1, 0, k % 4, k, np.zeros(32, np.uint64)) for k in range(9)]
-    ids, n, at, _, root, bits = (np.array(c) for c in zip(*lists, strict=True))
+    lists = [(k, 1, 1, k % 4, k, np.zeros(32, np.uint64)) for k in range(9)]
+    ids, n, left, _, root, bits = (np.array(c) for c in zip(*lists, strict=True))
     meet = lambda i, j: np.flatnonzero(np.isin(ids % 4, (i, j)))
     own = [m for i in range(4) for j in range(i, 4) for m in [meet(i, j)]]
-    pairs = {p for m in own for p in simhash.crossing(ids[m], n[m], at[m], ids[m] % 4, root[m], bits[m], 0.8)}
+    pairs = {p for m in own for p in simhash.crossing(ids[m], n[m], left[m], ids[m] % 4, root[m], bits[m], 0.8)}
     assert pairs == set(combinations(range(9), 2))
 
 
+def test_long_texts_that_share_passages_match_brute_force(spark):
+    """Texts long enough that a pair has to share several shingles, with passages in common, copies and parts."""
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randrange(400_000)}" for _ in range(n)]
+    passages = [fresh(rng.randint(20, 90)) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        own = fresh(rng.randint(200, 1500))
+        for passage in rng.sample(passages, 3):
+            own += passage
+        texts.append(own)
+    for own in texts[:30]:
+        n = len(own)
+        cut = int(n * rng.choice([0.76, 0.79, 0.81, 0.84, 0.9]))
+        copy = own[:cut] if rng.random() < 0.5 else own[n - cut :]
+        for at in rng.sample(range(len(copy)), rng.choice([0, 1, n // 60])):
+            copy[at] = "edited"
+        texts.append(copy)
+    found, expected = kept_and_expected(spark, [" ".join(t) for t in texts])
+    assert 60 < len(expected) < 90 and found == expected
+
+
 def test_the_threshold_is_exact(spark):
     rng = random.Random(23)
     fresh = lambda n: [f"w{rng.randrange(40_000)}" for _ in range(n)]
