@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import ngrams
 from foliograph.llm.common import cut, table, text_bytes, windows
-from foliograph.llm.ngrams import Model, probabilities
+from foliograph.llm.ngrams import Model, fit_frame, probabilities, sample
 
 #: Production targets: shares of the corpus's tokens by domain of the labelled table.
 TARGETS = {"high": 0.88, "low": 0.08, "toxic": 0.04}
@@ -46,25 +45,25 @@ class Classifier:
         return len(text.split()), own / own.sum() if len(own) else own
 
 
-def fit(rows: list[tuple[bytes, str]]) -> Classifier:
-    domains = tuple(sorted({d for _, d in rows}))
-    where = {d: k for k, d in enumerate(domains)}
-    return Classifier(domains, ngrams.fit([t for t, _ in rows], [where[d] for _, d in rows], len(domains), most=2_000))
-
-
-def learn(docs: DataFrame, labelled: DataFrame, sample_rows: int = 4000, longest: int = 65_536) -> Classifier:
+def learn(docs: DataFrame, labelled: DataFrame, sample_rows: int = 4000, longest: int = 65_536, characters: int = 32 << 20, domains: int = 256) -> Classifier:
     """The classifier of about ``sample_rows`` rows of ``labelled`` (doc_id, domain).
 
-    The rows are chosen by a hash of their id and have at most ``longest``
-    characters; these two bounds are the only ones. An id with several labels
-    counts for the first by name.
+    The rows are chosen by a hash of their id, one for each id; a text gives its
+    first ``longest`` characters, or fewer where the sample would be more than
+    ``characters``. Of the n-grams the 2,000 surest are kept. An id with several
+    labels counts for the first by name; more than ``domains`` domains are
+    refused.
     """
-    marks = labelled.select(F.col("doc_id").alias("__id"), F.col("domain").cast("string").alias("domain"))
-    marks = marks.filter("__id IS NOT NULL AND domain IS NOT NULL").groupBy("__id").agg(F.min("domain").alias("domain"))
-    low = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 40)) / float(1 << 40) < sample_rows / max(marks.count(), 1)
-    texts = docs.filter(F.length("text") <= longest).select(F.col("doc_id").alias("__doc"), text_bytes().alias("body"))
-    rows = texts.join(F.broadcast(marks.filter(low)), F.col("__doc") == F.col("__id")).select("__id", "body", "domain").collect()
-    return fit([(bytes(r[1]), r[2]) for r in sorted((r[0], bytes(r[1]), r[2]) for r in rows)])
+    marks = labelled.select(F.col("doc_id").alias("id"), F.col("domain").cast("string").alias("domain"))
+    marks = marks.filter("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.min("domain").alias("label"))
+    rows = sample(docs, marks, sample_rows, longest, characters)
+    names = [r[0] for r in rows.select("label").distinct().limit(domains + 1).collect()]
+    if len(names) > domains:
+        raise ValueError(f"more than {domains} domains")
+    if not names:
+        return Classifier((), fit_frame(rows.select("id", F.lit(0).alias("label"), "body"), 0))
+    number = F.array_position(F.array(*[F.lit(d) for d in sorted(names)]), F.col("label")).cast("int") - 1
+    return Classifier(tuple(sorted(names)), fit_frame(rows.select("id", number.alias("label"), "body"), len(names), most=2_000))
 
 
 def rates(posteriors: np.ndarray, gradients: list[np.ndarray]) -> np.ndarray:

@@ -1,11 +1,14 @@
 """A linear classifier over character n-grams with naive Bayes scaling.
 
-Features are the n-grams of bytes of the lower-cased text, hashed into a table.
-A feature's value is its log-count ratio, the logarithm of how much more often
-documents of a class hold it than others, times the logarithm of one plus its
-count; a ridge logistic regression over these values gives the weights. N-grams
-whose ratio is not surely apart from zero are left out, so a text of any length
-is scored by what it holds and not by how much it holds.
+Features are the n-grams of characters of the lower-cased text, hashed into a
+table. A feature's value is its log-count ratio, the logarithm of how much more
+often documents of a class hold it than others, times the logarithm of one plus
+its count; a ridge logistic regression over these values gives the weights.
+N-grams whose ratio is not surely apart from zero are left out, so a text of any
+length is scored by what it holds and not by how much it holds.
+
+The executors count the n-grams of the labelled rows; the driver gets the
+counts, picks the features, and solves the regression over the rows' features.
 """
 
 from __future__ import annotations
@@ -14,9 +17,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliograph.llm.common import cut
 
 ORDERS, TABLE_BITS = (3, 4, 5, 6), 20
 _MIX = np.uint32(0x9E3779B1)
+#: Characters that are hashed at a time; a longer text takes several steps.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -27,7 +37,7 @@ class Model:
 
 
 def grams(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashed n-grams by order; the one at i starts at byte i."""
+    """Hashed n-grams by order; the one at i starts at character i."""
     value = np.zeros(len(data), np.uint32)
     done = 0
     for n in ORDERS:
@@ -35,33 +45,44 @@ def grams(data: np.ndarray) -> Iterator[np.ndarray]:
             if len(data) <= done:
                 return
             size = len(data) - done
-            value = (value[:size] + data[done:].astype(np.uint32) + np.uint32(1)) * _MIX
+            value = (value[:size] + data[done:] + np.uint32(1)) * _MIX
             value ^= value >> np.uint32(15)
             done += 1
         yield ((value + np.uint32(n)) * _MIX) >> np.uint32(32 - TABLE_BITS)
 
 
 def fold(text: bytes) -> np.ndarray:
-    """Lower case, with a space before and after, as bytes."""
-    lowered = text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
-    return np.frombuffer(b" " + lowered + b" ", np.uint8)
+    """Lower case, with a space before and after, as code points."""
+    lowered = f" {text.decode('utf-8', 'replace').lower()} "
+    return np.frombuffer(lowered.encode("utf-32-le", "replace"), "<u4")
+
+
+def _steps(text: bytes) -> Iterator[np.ndarray]:
+    """All hashed n-grams of a text, a bounded number of characters at a time."""
+    data = fold(text)
+    for at in range(0, len(data), STEP):
+        parts = [own[:STEP] for own in grams(data[at : at + STEP + max(ORDERS) - 1])]
+        if parts:
+            yield np.concatenate(parts)
 
 
 def present(text: bytes) -> np.ndarray:
-    parts = list(grams(fold(text)))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+    found = [np.unique(own) for own in _steps(text)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
 
 def features(slots: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, amounts) of the features in a text; an amount is the logarithm of one plus the count."""
-    parts = []
-    for hashed in grams(fold(text)):
+    found = []
+    for hashed in _steps(text):
         own = slots[hashed]
-        parts.append(own[own > 0])
-    if not parts:
+        found.append(np.unique(own[own > 0], return_counts=True))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0)
-    numbers, counts = np.unique(np.concatenate(parts), return_counts=True)
-    return numbers, np.log1p(counts)
+    if len(found) == 1:
+        return found[0][0], np.log1p(found[0][1])
+    numbers, places = np.unique(np.concatenate([n for n, _ in found]), return_inverse=True)
+    return numbers, np.log1p(np.bincount(places, np.concatenate([c for _, c in found])))
 
 
 def logistic(rows: list[np.ndarray], amounts: list[np.ndarray], values: np.ndarray, target: np.ndarray, strength: float, rounds: int = 15) -> tuple[np.ndarray, float]:
@@ -105,37 +126,119 @@ def logistic(rows: list[np.ndarray], amounts: list[np.ndarray], values: np.ndarr
     return x[:k], float(x[k])
 
 
-def fit(texts: list[bytes], labels: list[int], classes: int, smoothing: float = 1.0, certainty: float = 3.0, most: int = 20_000, strength: float = 1e-4) -> Model:
-    """One regression for each class against the others; ``labels`` are 0 to ``classes`` - 1.
+def ratios(counts: np.ndarray, size: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log-count ratios, how many standard errors they are from zero) by class and slot.
 
-    A feature is kept when its log-count ratio for some class is at least
-    ``certainty`` standard errors from zero, and of those the ``most`` surest.
-    A class that all or none of the texts have gets no feature, and its bias is
-    the prior's log odds.
+    ``counts`` are the texts of a class that hold a slot, ``size`` its texts. A
+    class that all or none of the texts have is sure of nothing.
     """
-    goal = np.array(labels, np.int64)
-    counts = np.zeros((classes, 1 << TABLE_BITS))
-    for text, label in zip(texts, labels, strict=True):
-        counts[label, present(text)] += 1
-    size = np.bincount(goal, minlength=classes)[:, None]
+    size = size[:, None]
     own, others = counts + smoothing, counts.sum(axis=0) - counts + smoothing
     ratio = np.log(own / (size + 2 * smoothing)) - np.log(others / (size.sum() - size + 2 * smoothing))
     sure = np.abs(ratio) / np.sqrt(1 / own + 1 / others)
-    sure = (sure * ((size > 0) & (size < size.sum()))).max(axis=0, initial=0.0)
-    sure[(counts.sum(axis=0) == 0) | (sure < certainty)] = 0
-    order = np.argsort(-sure, kind="stable")[: min(most, int((sure > 0).sum()))]
+    return ratio, sure * ((size > 0) & (size < size.sum())) * (counts.sum(axis=0) > 0)
+
+
+def chosen(sure: np.ndarray, certainty: float, most: int) -> np.ndarray:
+    """The slots that become features 1, 2, ...: the surest for some class, of equal ones the first."""
+    best = sure.max(axis=0, initial=0.0)
+    best[best < certainty] = 0
+    return np.argsort(-best, kind="stable")[: min(most, int((best > 0).sum()))]
+
+
+def _numbered(order: np.ndarray) -> np.ndarray:
     slots = np.zeros(1 << TABLE_BITS, np.int32)
     slots[order] = np.arange(1, len(order) + 1)
-    found = [features(slots, t) for t in texts]
+    return slots
+
+
+def _model(found: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, ratio: np.ndarray, order: np.ndarray, size: np.ndarray, strength: float) -> Model:
+    classes, texts = len(size), len(goal)
     weights, bias = np.zeros((1 + len(order), classes)), np.zeros(classes)
     for k in range(classes):
-        if 0 < size[k, 0] < len(texts):
+        if 0 < size[k] < texts:
             values = np.concatenate(([0.0], ratio[k, order]))
-            own_weights, bias[k] = logistic([n for n, _ in found], [x for _, x in found], values, goal == k, strength)
-            weights[:, k] = own_weights * values
+            own, bias[k] = logistic([n for n, _ in found], [x for _, x in found], values, goal == k, strength)
+            weights[:, k] = own * values
         else:
-            bias[k] = np.log((size[k, 0] + 0.5) / (len(texts) - size[k, 0] + 0.5))
-    return Model(slots, weights, bias)
+            bias[k] = np.log((size[k] + 0.5) / (texts - size[k] + 0.5)) if texts else NEVER
+    return Model(_numbered(order), weights, bias)
+
+
+#: Log odds of a class of which nothing is known, as there is no labelled text.
+NEVER = -40.0
+
+
+def fit(texts: list[bytes], labels: list[int], classes: int, smoothing: float = 1.0, certainty: float = 3.0, most: int = 20_000, strength: float = 1e-4) -> Model:
+    """One regression for each class against the others; ``labels`` are 0 to ``classes`` - 1.
+
+    A feature is kept when its log-count ratio for some class is at least
+    ``certainty`` standard errors from zero, and of those the ``most`` surest.
+    A class that all or none of the texts have gets no feature, and its bias is
+    the prior's log odds; without any text no class has a chance.
+    """
+    goal = np.array(labels, np.int64)
+    counts = np.zeros((classes, 1 << TABLE_BITS))
+    for text, label in zip(texts, labels, strict=True):
+        counts[label, present(text)] += 1
+    size = np.bincount(goal, minlength=classes)
+    ratio, sure = ratios(counts, size, smoothing)
+    order = chosen(sure, certainty, most)
+    slots = _numbered(order)
+    return _model([features(slots, t) for t in texts], goal, ratio, order, size, strength)
+
+
+def sample(docs: DataFrame, marks: DataFrame, rows: int, longest: int, characters: int) -> DataFrame:
+    """(id, label, body): about ``rows`` texts of the labelled ids ``marks`` (id, label), one for each id.
+
+    Ids are chosen by a hash; of the texts of a repeated id the first by hash
+    is taken. A text gives its first ``longest`` characters, or fewer where all
+    together would be more than ``characters``, so what is learned from is
+    bounded whatever the tables hold.
+    """
+    low = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)) / float(1 << 40) < rows / max(marks.count(), 1)
+    own = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    near = own.join(F.broadcast(marks.filter(low)), F.col("__doc") == F.col("id"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.left("text", F.lit(longest)).alias("piece"), "label")).alias("first")
+    one = cut(near.groupBy("id").agg(first).select("id", "first.label", "first.piece"))
+    found = one.agg(F.count(F.lit(1)), F.sum(F.length("piece"))).head()
+    room = longest if (found[1] or 0) <= characters else max(1, characters // found[0])
+    return one.select("id", "label", F.left("piece", F.lit(room)).cast("binary").alias("body"))
+
+
+def fit_frame(rows: DataFrame, classes: int, smoothing: float = 1.0, certainty: float = 3.0, most: int = 20_000, strength: float = 1e-4) -> Model:
+    """``fit`` over a bounded frame (id, label, body), whose n-grams the executors count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((classes, 1 << TABLE_BITS), np.int32)
+        for batch in batches:
+            for label, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[label, present(body)] += 1
+        for label in range(classes):
+            held = np.flatnonzero(counts[label]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), label, np.int32)), pa.array(held), pa.array(counts[label][held])], ["label", "slot", "n"])
+
+    table = rows.select("label", "body").mapInArrow(count, "label int, slot int, n int").groupBy("label", "slot").agg(F.sum("n").alias("n"))
+    held = table.toArrow()  # a row for each class and slot of the table at most
+    counts = np.zeros((classes, 1 << TABLE_BITS))
+    counts[held.column("label").to_numpy(), held.column("slot").to_numpy()] = held.column("n").to_numpy()
+    size = np.zeros(classes, np.int64)
+    for label, n in rows.groupBy("label").count().collect():
+        size[label] = n
+    ratio, sure = ratios(counts, size, smoothing)
+    order = chosen(sure, certainty, most)
+    shared = rows.sparkSession.sparkContext.broadcast(_numbered(order))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(shared.value, body) for body in batch.column(2).to_pylist()]
+            columns = [pa.array([n for n, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "label", "numbers", "amounts"])
+
+    marked = rows.select(F.col("id").cast("string").alias("id"), "label", "body").mapInArrow(mark, "id string, label int, numbers array<int>, amounts array<double>")
+    found = sorted(zip(*(c.to_pylist() if k < 2 else [x.values.to_numpy() for x in c] for k, c in enumerate(marked.toArrow().columns)), strict=True), key=lambda r: r[0])
+    goal = np.array([r[1] for r in found], np.int64)
+    return _model([(r[2].astype(np.int64), r[3]) for r in found], goal, ratio, order, size, strength)
 
 
 def probabilities(model: Model, text: bytes) -> np.ndarray:

@@ -1,14 +1,17 @@
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliograph.llm import contamination, langid, licenses, pii, toxicity
+from foliograph.llm import contamination, langid, licenses, ngrams, pii, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string, held_out string"
 
@@ -287,8 +290,75 @@ def test_toxicity_corner_cases(spark):
     empty = {r.score for r in found if r.doc_id in (200, 201)}
     assert len(empty) == 1
     none = toxicity.learn(docs, labels.filter("toxic = 9"))
-    assert toxicity.rate(docs, none).count() == docs.count()
+    nothing = toxicity.rate(docs, none).collect()
+    assert len(nothing) == docs.count() and {r.predicted for r in nothing} == {0} and max(r.score for r in nothing) < 1e-15
+    assert {r.predicted for r in toxicity.rate(docs, toxicity.learn(docs, labels.filter("toxic = 0"))).collect()} == {0}
     assert toxicity.rate(docs.filter("doc_id < 0"), model).count() == 0
+    again = frame(spark, [(i, f"text {k} of a repeated id", "en") for i in (0, 4) for k in range(500)])
+    assert ngrams.sample(again, spark.createDataFrame([(0, 1), (4, 0)], "id long, label int"), 1000, 100, 10_000).count() == 2
+    short = ngrams.sample(docs, spark.createDataFrame([(i, 0) for i in range(90)], "id long, label int"), 10_000, 100, 450).collect()
+    assert len(short) == 90 and sum(len(r.body) for r in short) <= 450
+
+
+def slot_of(gram):
+    """The slot of one n-gram, character by character."""
+    value = 0
+    for c in gram:
+        value = (value + ord(c) + 1) * 0x9E3779B1 % 2**32
+        value ^= value >> 15
+    return (value + len(gram)) * 0x9E3779B1 % 2**32 >> 12
+
+
+def plain_slots(text):
+    padded = f" {text.lower()} "
+    return Counter(slot_of(padded[i : i + n]) for n in (3, 4, 5, 6) for i in range(len(padded) - n + 1))
+
+
+def test_ratios_and_weights_match_brute_force(spark):
+    rng = random.Random(13)
+    words, bad = "alpha beta gamma delta épsilon ζήτα 漢字".split(), "awful vile scheußlich".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(3, 9)) + rng.choices(bad, k=2 * (i % 3 == 0))), i % 3 == 0) for i in range(120)]
+    counted = [plain_slots(t) for _, t, _ in rows]
+    for own, (_, text, _) in zip(counted, rows, strict=True):
+        assert ngrams.present(text.encode()).tolist() == sorted(own)
+    toxic = sum(y for *_, y in rows)
+    held = Counter(s for own, (*_, y) in zip(counted, rows, strict=True) for s in own if y)
+    others = Counter(s for own, (*_, y) in zip(counted, rows, strict=True) for s in own if not y)
+    ratio, sure = {}, {}
+    for s in {*held, *others}:
+        a, b = held[s] + 1, others[s] + 1
+        ratio[s] = math.log(a / (toxic + 2)) - math.log(b / (len(rows) - toxic + 2))
+        sure[s] = abs(ratio[s]) / math.sqrt(1 / a + 1 / b)
+    model = ngrams.fit([t.encode() for _, t, _ in rows], [int(y) for *_, y in rows], 2)
+    chosen = {s: int(k) for s, k in enumerate(model.slots) if k}
+    assert set(chosen) == {s for s in sure if sure[s] >= 3} and chosen
+    # the weights minimise the ridge logistic loss over the scaled features: its gradient is zero
+    values = np.zeros((len(rows), 1 + len(chosen)))
+    for r, own in enumerate(counted):
+        for s, n in own.items():
+            if s in chosen:
+                values[r, chosen[s]] = ratio[s] * math.log1p(n)
+    scale = np.array([0.0, *(ratio[s] for s, _ in sorted(chosen.items(), key=lambda x: x[1]))])
+    solved = np.divide(model.weights[:, 1], scale, out=np.zeros(len(scale)), where=scale != 0)
+    y = np.array([y for *_, y in rows], float)
+    p = 1 / (1 + np.exp(-(values @ solved + model.bias[1])))
+    slope = values.T @ (p - y) + 1e-4 * len(rows) * solved
+    start = np.abs(values.T @ (0.5 - y)).max()
+    assert np.abs(slope).max() < 2e-2 * start and abs((p - y).sum()) < 2e-2 * len(rows)
+    for (_, text, _), q in zip(rows, p, strict=True):
+        assert abs(ngrams.probabilities(model, text.encode())[1] - q) < 1e-9
+    rows_frame = spark.createDataFrame([(i, int(y), t.encode()) for i, t, y in rows], "id long, label int, body binary")
+    spread = ngrams.fit_frame(rows_frame.repartition(5), 2)
+    assert (spread.slots == model.slots).all() and np.allclose(spread.weights, model.weights, atol=1e-3) and np.allclose(spread.bias, model.bias, atol=1e-2)
+
+
+def test_long_texts_are_counted_in_steps():
+    text = ("some words and ä 漢 " * 40).encode()
+    slots = np.arange(1 << ngrams.TABLE_BITS) % 7
+    whole = ngrams.present(text).tolist(), [x.tolist() for x in ngrams.features(slots, text)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngrams, "STEP", 64)
+        assert (ngrams.present(text).tolist(), [x.tolist() for x in ngrams.features(slots, text)]) == whole
 
 
 # -- licenses ---------------------------------------------------------------------------------------------------
