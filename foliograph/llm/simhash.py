@@ -10,14 +10,16 @@ have reached the minimum, none that reaches it is missed, and the tallies of
 pairs below it are never made. Within a list the tally over all eight
 positions is taken, and the pairs are verified bit by bit.
 
-A list is bounded however skewed the corpus is: equal fingerprints are one
-entry, and five fixed bytes leave 24 free bits. Lists with one entry, which are
-nearly all, go away in the JVM. Within a list links are followed breadth first
-from one entry to those not reached yet, so a dense list of near copies costs
-about one pass and yields a spanning forest and never all its pairs; very long
-lists are probed by the bit patterns allowed on the free bytes instead, in time
-proportional to their length. The forests of all lists have the same components
-as the full link graph.
+A list is bounded however skewed the corpus is. Equal fingerprints are one
+entry, and a list longer than ``LIST`` is keyed further in the same way: the
+half bytes that its key leaves free are positions too, and of twice ``d`` of
+them at least ``d`` agree, so its entries meet again in lists keyed by each
+choice of that many half bytes, which have 2 ** 12 entries at most for ``d = 3``.
+Keys with one entry, which are nearly all, are counted and not collected. Within
+a list links are followed breadth first from one entry to those not reached
+yet, so a dense list of near copies costs about one pass and yields a spanning
+forest and never all its pairs. The forests of all lists have the same
+components as the full link graph.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from foliograph.llm.components import components
 from foliograph.llm.sketches import shingles
 
 SEED, BITS, BYTES = 42, 64, 8
-#: Lists up to this length are scanned; longer ones are probed.
-SCAN = 20_000
+#: Lists longer than this are keyed further; no result depends on it.
+LIST = 4096
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -77,14 +79,25 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def byte_masks(distance: int) -> list[int]:
+    """The bits of each choice of ``8 - distance`` positions."""
+    return [sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(BYTES), BYTES - distance)]
+
+
+def half_byte_masks(mask: int, distance: int) -> list[int]:
+    """The bits of a choice of positions, and of each choice of ``distance`` of the half bytes that it leaves."""
+    free = [0xF << (4 * p) for p in range(2 * BYTES) if not mask >> (4 * p) & 0xF]
+    return [mask | sum(kept) for kept in combinations(free, distance)]
+
+
 def posting_keys(fp: Column, distance: int) -> Column:
     """The keys of a fingerprint: each choice of ``8 - distance`` positions with their bytes."""
-    keys = []
-    for n, kept in enumerate(combinations(range(BYTES), BYTES - distance)):
-        mask = sum(0xFF << (8 * p) for p in kept)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).cast("byte").alias("n"), fp.bitwiseAND(F.lit(signed)).alias("k")))
-    return F.array(*keys)
+    masks = enumerate(map(_signed, byte_masks(distance)))
+    return F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), fp.bitwiseAND(F.lit(mask)).alias("k")) for n, mask in masks])
 
 
 def _scan(entries: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
@@ -104,36 +117,30 @@ def _scan(entries: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
         rest = rest[~near]
 
 
-def _probe(entries: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """The links of one long list, by flipping the bits in which its entries can differ."""
-    spread = int(np.bitwise_or.reduce(entries ^ entries[0]))
-    bits = [b for b in range(BITS) if spread >> b & 1]
-    for n in range(1, distance + 1):
-        for flip in combinations(bits, n):
-            other = entries ^ np.uint64(sum(1 << b for b in flip))
-            at = np.minimum(np.searchsorted(entries, other), len(entries) - 1)
-            for i in np.flatnonzero((entries[at] == other) & (entries < other)):
-                yield entries[i], other[i]
-
-
-def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all links."""
+def links(scratch: Scratch, prints: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b): links between the distinct fingerprints ``fp`` whose components are those of all links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
             entries, ends = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy().cumsum()
             for first, last in zip([0, *ends], ends):  # noqa: B905
-                own = np.unique(entries[first:last].view(np.uint64))
-                found.update((int(a), int(b)) for a, b in (_scan if len(own) <= SCAN else _probe)(own, distance))
+                found.update((int(a), int(b)) for a, b in _scan(np.unique(entries[first:last].view(np.uint64)), distance))
             if found:
                 pairs = np.array(sorted(found), np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     # fingerprints are few bytes and lie in few partitions; their postings are many
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = prints.select("fp").repartition(parts, "fp").select("fp", F.explode(posting_keys(F.col("fp"), distance)).alias("key"))
-    lists = postings.groupBy("key.n", "key.k").agg(F.collect_list("fp").alias("own")).filter(F.size("own") > 1)
+    spark = prints.sparkSession
+    spread = prints.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    postings = spread.select("fp", F.explode(posting_keys(F.col("fp"), distance)).alias("key")).select("fp", "key.n", "key.k")
+    counts = scratch.put(postings.groupBy("n", "k").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    shared = scratch.put(postings.join(counts, ["n", "k"]))
+    short = shared.filter(F.col("held") <= LIST).select("fp", "n", F.lit(-1).alias("m"), "k")
+    masks = [(n, m, _signed(x)) for n, mask in enumerate(byte_masks(distance)) for m, x in enumerate(half_byte_masks(mask, distance))]
+    further = F.broadcast(spark.createDataFrame(masks, "n byte, m int, mask long"))  # a fixed number of rows
+    long = shared.filter(F.col("held") > LIST).join(further, "n").select("fp", "n", "m", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+    lists = short.unionByName(long).groupBy("n", "m", "k").agg(F.collect_list("fp").alias("own")).filter(F.size("own") > 1)
     return lists.select("own").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -145,12 +152,15 @@ def near_duplicates(
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null id keep a row; they count as copies but never name a component
     unless it has no other row, when component_id is null. Repeated rows give
-    repeated rows. Only ids and fingerprints leave the scan: texts are read
-    once and never shuffled.
+    repeated rows, and an empty table gives none. Texts of any length are hashed
+    whole. Only ids and fingerprints leave the scan: texts are read once and
+    never shuffled.
     """
+    scratch = Scratch(docs.sparkSession)
     prints = cut(fingerprints(docs, width, id_col, text_col))
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = components(links(least.select("fp"), distance), "a", "b")
+    members = components(links(scratch, least.select("fp"), distance), "a", "b")
+    scratch.remove()
     grouped = cut(members.join(least, members.node == least.fp).select("fp", "root", "least"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(named, "root").select("fp", "component_id")

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliograph.llm import exact, simhash
+from foliograph.llm.common import Scratch
 from foliograph.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id int, keep_id int, recipe string"
@@ -68,33 +69,33 @@ def test_links_of_random_fingerprints_match_brute_force(spark):
             values.append(v ^ sum(1 << b for b in flips))
     values = sorted(set(values))
     signed = np.array(values, np.uint64).view(np.int64).tolist()
-    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    found = {r.node: r.root for r in components(links, "a", "b").collect()}
     expected = brute_components(list(zip(signed, values, strict=True)))
-    assert {x: found.get(x, x) for x in signed} == {x: min(y for y in signed if expected[y] == expected[x]) for x in signed}
-
-
-def test_scan_and_probe_of_a_list_agree():
-    rng = random.Random(2)
-    base = rng.getrandbits(64) & ~0xFFFFFF
-    entries = np.array(sorted({base | rng.getrandbits(12) for _ in range(60)}), np.uint64)
-    own = lambda pairs: brute_like(entries, pairs)
-    assert own(simhash._scan(entries, 3)) == own(simhash._probe(entries, 3))
-
-
-def brute_like(entries, pairs):
-    root = {int(x): int(x) for x in entries}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        assert (int(a) ^ int(b)).bit_count() <= 3
-        lo, hi = sorted((find(int(a)), find(int(b))))
-        root[hi] = lo
-    return {x: find(x) for x in root}
+    for longest in (simhash.LIST, 1, 2):  # with lists of any length keyed further
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "LIST", longest)
+            links = simhash.links(Scratch(spark), spark.createDataFrame([(x,) for x in signed], "fp long"))
+            found = {r.node: r.root for r in components(links, "a", "b").collect()}
+        assert {x: found.get(x, x) for x in signed} == {x: min(y for y in signed if expected[y] == expected[x]) for x in signed}
+
+
+def test_a_long_list_is_keyed_further(spark):
+    """6,000 fingerprints that share five bytes: far more than LIST, in groups and alone."""
+    rng = np.random.default_rng(6)
+    free = rng.choice(1 << 24, 3000, replace=False).astype(np.uint64)
+    free = np.unique(np.concatenate([free, free ^ np.uint64(1 << 3) ^ np.uint64(1 << 12)]))
+    values = free | np.uint64(0xABCDEF0123 << 24)
+    distinct = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    found = {r.node: r.root for r in components(simhash.links(Scratch(spark), distinct), "a", "b").collect()}
+    near = np.bitwise_count(free[:, None] ^ free[None, :]) <= 3
+    root = np.arange(len(free))
+    while True:  # the least index that each reaches
+        new = np.where(near, root[None, :], len(free)).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    signed = values.view(np.int64)
+    for i in range(len(free)):
+        assert found.get(int(signed[i]), int(signed[i])) == int(signed[root[i]])
 
 
 def test_components_walk_long_chains_and_empty_input(spark):
