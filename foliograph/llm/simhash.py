@@ -188,8 +188,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEAT_BITS, PARITY_BYTES, SLACK = 20, 256, 32
 #: Entries of a part of a posting list; all pairs of parts are compared, each pair of parts in a task of its own.
 CHUNK = 4096
-#: Positions of the bitmap that names the texts whose sets are wanted.
-WANTED = 1 << 23
+#: Slots of the bitmap of texts that a pass has to look at; the others go past unread or stay where they are.
+SLOTS = 1 << 23
 
 
 def heat(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarray:
@@ -215,7 +215,7 @@ def needed(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def minimum(n: np.ndarray) -> np.ndarray:
+def minimum(n: int) -> int:
     """Indexed shingles that a set of ``n`` shares with every similar set that is not smaller."""
     return 1 + n // SLACK
 
@@ -225,6 +225,13 @@ def indexed(n: int, similarity: float) -> int:
     return n - needed(n, similarity) + minimum(n) if n else 0
 
 
+def shared_minimum(n: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Indexed shingles that entry ``i`` shares with each of ``others`` if they are similar."""
+    common = np.ceil((n[others] + n[i]) * (similarity / (1 + similarity)) - 1e-6).astype(np.int64)
+    beyond = np.ceil(similarity * n - 1e-9).astype(np.int64) - 1 - n // SLACK  # shingles that are not indexed
+    return common - np.maximum(beyond[others], beyond[i])
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     """A name for a set of shingles, which are in order."""
     return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
@@ -253,14 +260,22 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "text") -> DataFrame:
-    """(node, own) the whole sets of the texts that ``wanted`` (node, id, text_key) names; other texts are not hashed."""
-    place = lambda *names: F.pmod(F.xxhash64(*names), F.lit(WANTED))
-    marks = wanted.select((place("id", "text_key") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
-    mask = np.zeros((WANTED // 32768, 4096), np.uint8)
+def _slot(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(SLOTS))
+
+
+def bitmap(rows: DataFrame) -> bytes:
+    """A bit for each slot that a row (id, text_key) falls into."""
+    marks = rows.select((_slot("id", "text_key") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+    mask = np.zeros((SLOTS // 32768, 4096), np.uint8)
     for bucket, bits in marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():  # at most 256 rows of 4 KB
         mask[bucket - 1] = np.frombuffer(bytes(bits), np.uint8)
-    packed = mask.tobytes()
+    return mask.tobytes()
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """(node, own) the whole sets of the texts that ``wanted`` (node, id, text_key) names; other texts are not hashed."""
+    packed = bitmap(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_wanted = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
@@ -271,7 +286,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str =
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "text_key", "own"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("body"))
-    sets = rows.select("id", "text_key", place("id", "text_key").alias("at"), "body").mapInArrow(run, "id long, text_key long, own array<long>")
+    sets = rows.select("id", "text_key", _slot("id", "text_key").alias("at"), "body").mapInArrow(run, "id long, text_key long, own array<long>")
     return sets.join(wanted, ["id", "text_key"]).select("node", "own")
 
 
@@ -281,7 +296,7 @@ def _near(n: np.ndarray, left: np.ndarray, i: int, others: np.ndarray, similarit
     ``left`` counts the indexed shingles from this one on, the rarest first.
     """
     fits = np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]) - 1e-6
-    return fits & (np.minimum(left[others], left[i]) >= minimum(np.minimum(n[others], n[i])))
+    return fits & (np.minimum(left[others], left[i]) >= shared_minimum(n, i, others, similarity))
 
 
 def stars(nodes: np.ndarray, n: np.ndarray, left: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
@@ -412,11 +427,22 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     """
     kept = chosen_rows(docs, similarity, width)
     row_id, key = docs["doc_id"].cast("long"), _text_key(docs["text"])
-    here = lambda of: docs.join(of, (row_id == of["id"]) & (key == of["text_key"]), "left_semi")
-    again = here(kept).select(row_id.alias("id"), key.alias("text_key")).groupBy("id", "text_key").count().filter("count > 1")
-    again = Scratch(docs.sparkSession).put(again.select("id", "text_key"))
-    nameless = docs.filter(docs["doc_id"].isNull())
-    if again.isEmpty():
-        return here(kept).union(nameless)
-    once = here(kept.join(again, ["id", "text_key"], "left_anti"))
-    return once.union(here(again).dropDuplicates(["doc_id", "text"])).union(nameless)
+    held = docs.select(row_id.alias("id"), key.alias("text_key")).filter("id IS NOT NULL").groupBy("id", "text_key").count()
+    judged = held.join(kept.withColumn("stays", F.lit(True)), ["id", "text_key"], "left")
+    # most rows stay and stand alone; only texts in a slot with another kind of row are moved and looked up
+    unsure = Scratch(docs.sparkSession).put(judged.filter("stays IS NULL OR count > 1"))
+    packed = bitmap(unsure)
+
+    @F.pandas_udf("boolean")
+    def sure(ids, keys):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        marked = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        return pd.Series(~marked[ids.to_numpy()] | keys.isna().to_numpy())
+
+    is_sure = sure(F.pmod(F.xxhash64(row_id, key), F.lit(SLOTS)), row_id)
+    rest = docs.filter(~is_sure)
+    here = lambda of: rest.join(of, (row_id == of["id"]) & (key == of["text_key"]), "left_semi")
+    again = unsure.filter("stays AND count > 1").select("id", "text_key")
+    once = docs.filter(is_sure).union(here(kept.join(again, ["id", "text_key"], "left_anti")))
+    return once if again.isEmpty() else once.union(here(again).dropDuplicates(["doc_id", "text"]))
