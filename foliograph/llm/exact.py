@@ -4,7 +4,7 @@ Every text is cut where a rolling hash of its last bytes has a given form, so
 equal passages are cut alike wherever they stand. A chunk's digest becomes its
 identifier once it is verified: the distinct contents behind each digest are
 brought together, each content once per task and not once per occurrence, and
-where a digest has several contents they are numbered. A text is then its
+where a digest has several contents they stand for themselves. A text is then its
 recipe, the ordered list of chunk identifiers; texts are equal exactly when
 their recipes are, and only recipes, not texts, are compared and moved.
 """
@@ -12,7 +12,7 @@ their recipes are, and only recipes, not texts, are compared and moved.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +55,15 @@ def chunks(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
-def _digest(chunk: bytes) -> bytes:
+def digest(chunk: bytes) -> bytes:
+    """128 bits that name a chunk."""
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _names(data: bytes) -> list[bytes]:
-    return [_digest(c) for c in chunks(data)]
+Digest = Callable[[bytes], bytes]
 
 
-def chunk_rows(docs: DataFrame, text_col: str) -> DataFrame:
+def chunk_rows(docs: DataFrame, text_col: str, named: Digest) -> DataFrame:
     """(name, content): the distinct chunks of each input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,49 +71,45 @@ def chunk_rows(docs: DataFrame, text_col: str) -> DataFrame:
             own = {c for body in batch.column(0).to_pylist() for c in chunks(body)}
             if own:
                 content = sorted(own)
-                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, content), pa.binary()), pa.array(content, pa.binary())], ["name", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(named, content), pa.binary()), pa.array(content, pa.binary())], ["name", "content"])
 
     return docs.select(text_bytes(text_col).alias("body")).mapInArrow(run, "name binary, content binary")
 
 
-def clashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(name, content, rank) of the digests with several contents; rank numbers them from 1.
+def clashes(docs: DataFrame, text_col: str = "text", named: Digest = digest) -> DataFrame:
+    """(name): the digests with several contents; none verifies every digest as the identifier of one content."""
+    distinct = chunk_rows(docs, text_col, named).groupBy("name", "content").agg(F.count(F.lit(1)).alias("n"))
+    return cut(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"))
 
-    An empty result verifies every digest as the identifier of one content.
+
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: Digest = digest, most: int = 100_000) -> DataFrame:
+    """(doc_id, text_sha256, recipe): recipe is the text's ordered identifiers, joined.
+
+    A verified digest identifies its chunk. Where a digest has several contents
+    the content itself is the identifier, so recipes are equal for equal texts
+    alone. More than ``most`` such digests are refused: 128 bits have none in
+    practice, so the function would be at fault.
     """
-    distinct = chunk_rows(docs, text_col).groupBy("name", "content").agg(F.count(F.lit(1)).alias("n"))
-    several = distinct.groupBy("name").agg(F.count("content").alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
-    doubtful = cut(several.filter("n > 1").select("name"))
-    if doubtful.isEmpty():
-        return doubtful.select("name", F.lit(b"").alias("content"), F.lit(0).alias("rank"))
-    contents = chunk_rows(docs, text_col).join(doubtful, "name", "left_semi").distinct()
-    others = contents.select("name", F.col("content").alias("other"))
-    below = contents.join(others, "name").filter("other <= content")
-    return cut(below.groupBy("name", "content").agg(F.count("other").cast("int").alias("rank")))
-
-
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_sha256, recipe): recipe is the text's ordered identifiers, joined."""
-    doubtful = {(bytes(r[0]), bytes(r[1])): r[2] for r in clashes(docs, text_col).collect()}
-    suspects = {name for name, _ in doubtful}
+    doubtful = frozenset(bytes(r[0]) for r in clashes(docs, text_col, named).limit(most + 1).collect())
+    if len(doubtful) > most:
+        raise ValueError(f"more than {most} digests have several contents")
+
+    def identifier(chunk: bytes) -> bytes:
+        name = named(chunk)
+        return b"\1" + len(chunk).to_bytes(4) + chunk if name in doubtful else b"\0" + name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in windows(batches, "body"):
-            lists, sums = [], []
-            for body in batch.column(1).to_pylist():
-                own = chunks(body)
-                names = [_digest(c) for c in own]
-                if suspects:
-                    names = [n + doubtful.get((n, c), 0).to_bytes(4) for n, c in zip(names, own, strict=True)]
-                lists.append(b"".join(names))
-                sums.append(hashlib.sha256(body).hexdigest())
+            bodies = batch.column(1).to_pylist()
+            lists = [b"".join(map(identifier, chunks(body))) for body in bodies]
+            sums = [hashlib.sha256(body).hexdigest() for body in bodies]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums), pa.array(lists, pa.binary())], ["doc_id", "text_sha256", "recipe"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     return rows.mapInArrow(run, "doc_id long, text_sha256 string, recipe binary")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, named: Digest = digest) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Null is the empty text, whose recipe is empty. Of equal texts the row with
@@ -121,9 +117,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and repeated rows with the largest id are all reported as kept, for they
     name the same document. Groups are counted with map-side combine, and a
     group's name goes back to its rows over ``salts`` parts, so a text with
-    copies in a third of the table loads no single task.
+    copies in a third of the table loads no single task. Texts of any length are
+    read whole; an empty table gives no row; other columns are not looked at.
     """
-    rows = cut(recipes(docs, id_col, text_col))
+    rows = cut(recipes(docs, id_col, text_col, named))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     several = groups.filter("group_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))

@@ -161,17 +161,18 @@ def test_exact_duplicates_with_nulls_ties_and_long_texts(spark):
     assert exact.exact_duplicates(frame(spark, rows).filter("doc_id < 0")).count() == 0
 
 
-def test_clashing_digests_are_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(exact, "_digest", lambda chunk: bytes([len(chunk) % 2]) * 16)
-    import foliograph.llm.exact as module
-
-    docs = frame(spark, [(1, "aa"), (2, "bb"), (3, "aa"), (4, "ccc")])
-
-    # the workers import the module afresh, so the digest is replaced on the way: by a frame made here
-    rows = [(module._digest(c), c) for t in ("aa", "bb", "aa", "ccc") for c in module.chunks(t.encode())]
-    monkeypatch.setattr(module, "chunk_rows", lambda docs, text_col: spark.createDataFrame(rows, "name binary, content binary"))
-    found = {(bytes(r.name), bytes(r.content)): r["rank"] for r in module.clashes(docs).collect()}
-    assert found == {(b"\0" * 16, b"aa"): 1, (b"\0" * 16, b"bb"): 2}
+def test_clashing_digests_are_told_apart(spark):
+    """With a digest of one bit every recipe is full of clashes, and the result is that of the texts."""
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcdef ") for _ in range(20_000))
+    texts = ["aa", "bb", "aa", "ccc", "", None, long, long + "x", long, "x" + long, "c" * 600, "cc" * 300]
+    docs = frame(spark, list(enumerate(texts)))
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(docs, named=lambda chunk: bytes([len(chunk) % 2])).collect()}
+    groups = {i: [j for j, t in enumerate(texts) if (t or "") == (texts[i] or "")] for i in range(len(texts))}
+    assert found == {i: (max(g), len(g), i == max(g)) for i, g in groups.items()}
+    assert exact.clashes(docs, named=lambda chunk: bytes([len(chunk) % 2])).count() == 2 and exact.clashes(docs).count() == 0
+    with pytest.raises(ValueError):
+        exact.recipes(docs, named=lambda chunk: bytes([len(chunk) % 2]), most=1)
 
 
 @pytest.mark.parametrize("size", [1, 2000])
