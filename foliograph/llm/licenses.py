@@ -130,7 +130,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in windows(batches, "body"):
             for body in batch.column(0).to_pylist():
                 for line in body.split(b"\n"):
                     counts.update(known.intersection(line.translate(_WORDS).split()))
@@ -161,8 +161,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     ``labels`` and ``score`` also count notices that are wrapped over lines,
     by windows of words as long as the template. ``score`` is 1 with a base
     label and else the best containment of any line or window, 0 without a
-    match. Null is the empty text; rows with null or
-    repeated ids give a row each.
+    match. Null is the empty text; rows with null or repeated ids give a row
+    each, and an empty table none; texts of any length are read whole. Several
+    templates with one label give the label once, of equally good lines all are
+    listed, in order.
     """
     templates = Templates(frequencies(docs, text_col), threshold)
     frequency = {w: n for w, n in ((w, templates.order(w)[0]) for w in templates.known)}

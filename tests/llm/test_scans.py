@@ -416,3 +416,27 @@ def test_wrapped_notices_are_found(spark):
     rows = [(1, bsd, "en"), (2, mit, "en"), (3, "x y\n" + isc, "en"), (4, apart, "en")]
     found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows)).collect()}
     assert found == {1: ("bsd-terms", 1.0), 2: ("mit-grant", 1.0), 3: ("isc-grant", 1.0), 4: ("", 0.0)}
+
+
+def test_license_sql_gives_what_the_scan_does(spark, tmp_path):
+    import duckdb
+
+    from foliograph.llm.queries import ORACLE
+
+    rng = random.Random(15)
+    texts = [None, "", "MIT\nLicense", "see the mit license\nand cc by 4 0 licensed"]
+    for _ in range(120):
+        own = rng.choice(licenses.TEMPLATES)[1].split()
+        for at in rng.sample(range(len(own)), rng.choice([0, 0, 1, 3])):
+            own[at] = rng.choice(["x", "the", "license"])
+        own = [*rng.choices("some words before the license".split(), k=rng.randint(0, 6)), *own, *rng.choices("and after of".split(), k=rng.randint(0, 6))]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", ", "]) for w in own))
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(None, texts[5], None), (3, texts[6], None)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = [*"doc_id n_words n_base first_word last_word base_labels labels".split(), "round(score, 9)"]
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['op10_licenses']})").fetchall()
+    found = licenses.op10_licenses(spark, str(tmp_path)).selectExpr(*columns).collect()
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in found)
+    assert len({e[6] for e in expected}) > 10
