@@ -34,14 +34,38 @@ def resolve_image(references: DataFrame, store: DataFrame, key: str, name: str)
     return found.withColumn("image_key", F.coalesce("__exact", "__by_stem")).drop("__name", "__exact", "__stem", "__by_stem")
 
 
-def asset_join(records: DataFrame, streams: DataFrame, hints: DataFrame, on: str, hint_on: str, value: str) -> DataFrame:
-    """Records with their stream and hint, and how sure the match is."""
-    streams = streams.withColumn("__stream", F.lit(True))
-    hints = hints.select(hint_on, value).withColumn("__hint", F.lit(True))
-    joined = records.join(streams, on, "left").join(hints, hint_on, "left")
-    sure = F.when(F.col("__stream").isNotNull() & F.col("__hint").isNotNull(), "High").when(F.col("__stream").isNotNull(), "Medium").otherwise("Low")
-    note = F.when(F.col("__stream").isNull(), "stream missing").when(F.col("__hint").isNull(), "hint missing").otherwise("")
-    return joined.withColumn("confidence", sure).withColumn("note", note).drop("__stream", "__hint")
+def asset_join(objects: DataFrame, records: DataFrame, streams: DataFrame, on: str, name: str, extension: str) -> DataFrame:
+    """Embedded objects with their record's first row and its stream, how sure the match is, and notes on it.
+
+    The match is High with record and stream. Without a stream of the record's
+    name it is Medium and says so, and Medium as well without a record.
+    ``records`` have an ``ordinal``.
+    """
+    first = records.groupBy(on).agg(F.min_by(F.struct(name, extension), "ordinal").alias("__r"))
+    stored = streams.select(F.col(name).alias("__stream")).distinct()
+    joined = objects.join(first, on, "left").join(stored, F.col(f"__r.{name}") == F.col("__stream"), "left")
+    record, stream = F.col("__r").isNotNull(), F.col("__stream").isNotNull()
+    named = F.concat(F.lit("storage_name="), F.col(f"__r.{name}"), F.lit("; storage_extension="), F.col(f"__r.{extension}"))
+    note = F.when(~record, "ole bin data record missing").when(stream, named).otherwise(F.concat(named, F.lit("; bin_data_stream_missing")))
+    payload = F.when(stream, F.concat(F.lit("BinData/"), F.col("__stream")))
+    return joined.select(*objects.columns, F.when(stream, "High").otherwise("Medium").alias("confidence"), payload.alias("package_path"), note.alias("notes"))
+
+
+#: Extensions of the images that are taken over.
+IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "wmf", "emf")
+
+
+def image_assets(records: DataFrame, streams: DataFrame, hints: DataFrame, on: str, name: str, extension: str, sizes: Sequence[str]) -> DataFrame:
+    """Records of images whose stream is there, with the size hint of their id, and whether they are the last of their id."""
+    own = records.filter(F.lower(extension).isin(*IMAGES)).join(streams.select(name).distinct(), name, "left_semi").join(hints.select(on, *sizes), on, "left")
+    return own.withColumn("wins", F.col("ordinal") == F.max("ordinal").over(Window.partitionBy(on)))
+
+
+def supplement(wanted: DataFrame, assets: DataFrame, on: str, value: str) -> DataFrame:
+    """Every wanted id with its asset's value, or a warning that it has none."""
+    found = wanted.select(on).distinct().join(assets.select(on, value), on, "left")
+    missing_note = F.concat(F.lit("missing_image_asset_for_binary_data_id="), F.col(on).cast("string"))
+    return found.withColumn("warning", F.when(F.col(value).isNull(), missing_note))
 
 
 def owner_counts(children: DataFrame, owners: DataFrame, owner: str, kind: str) -> DataFrame:
@@ -91,21 +115,25 @@ def as_of(points: DataFrame, runs: DataFrame, keys: Sequence[str], at: str, valu
 
 
 def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: ignore[no-untyped-def]
-    """(node, ancestor, distance) of parent edges (node, parent); a chain that is longer or returns to itself ends.
+    """(node, ancestor, distance, error) of parent edges (node, parent).
 
-    A recursive query: each level is one join of the frontier with the edges.
+    A chain that returns to itself, leads to a parent that is no node, or is
+    longer than ``depth`` ends in a row that names the error. A recursive query:
+    each level is one join of the frontier with the edges.
     """
     view = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(view)
     found = spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, distance, seen) AS (
-            SELECT node, parent, 1, array(node) FROM {view} WHERE parent IS NOT NULL
+        WITH RECURSIVE up(node, ancestor, distance, seen, error) AS (
+            SELECT node, parent, 1, array(node), CASE WHEN parent = node THEN 'circular' END FROM {view} WHERE parent IS NOT NULL
             UNION ALL
-            SELECT u.node, e.parent, u.distance + 1, array_append(u.seen, u.ancestor)
+            SELECT u.node, e.parent, u.distance + 1, array_append(u.seen, u.ancestor),
+                   CASE WHEN array_contains(u.seen, e.parent) OR e.parent = u.ancestor THEN 'circular' WHEN u.distance + 1 > {depth} THEN 'too deep' END
             FROM up u JOIN {view} e ON e.node = u.ancestor
-            WHERE e.parent IS NOT NULL AND u.distance < {depth} AND NOT array_contains(u.seen, u.ancestor)
+            WHERE e.parent IS NOT NULL AND u.error IS NULL
         )
-        SELECT node, ancestor, distance FROM up
+        SELECT u.node, u.ancestor, u.distance, CASE WHEN u.error IS NOT NULL THEN u.error WHEN e.node IS NULL THEN 'not found' END AS error
+        FROM up u LEFT JOIN (SELECT DISTINCT node FROM {view}) e ON e.node = u.ancestor
     """)
     spark.catalog.dropTempView(view)  # the query is resolved by now
     return found

@@ -113,8 +113,13 @@ def assign_by_count(parts: DataFrame, owners: DataFrame, keys: Sequence[str], in
 
 def split_runs(texts: DataFrame, runs: DataFrame, keys: Sequence[str], text: str, start: str, shape: str) -> DataFrame:
     """Pieces of each text between the starts of its style runs; text before the first run has shape 0."""
-    starts = runs.select(*keys, start, shape).unionByName(texts.select(*keys, F.lit(0).alias(start), F.lit(0).alias(shape)))
-    starts = starts.groupBy(*keys, start).agg(F.max(shape).alias(shape))
-    pieces = run_ends(starts, keys, start).join(texts.select(*keys, text), list(keys))
-    length = F.coalesce(F.col("end"), F.length(text) + 1) - F.col(start)
-    return pieces.select(*keys, start, shape, F.substring(F.col(text), F.col(start) + 1, length.cast("int")).alias("piece")).filter("piece <> ''")
+    at = F.struct(F.col(start).cast("long").alias(start), shape)
+    starts = runs.select(*keys, at.alias("__at")).unionByName(texts.select(*keys, F.struct(F.lit(0).cast("long").alias(start), F.lit(0).cast(runs.schema[shape].dataType).alias(shape)).alias("__at")))
+    starts = starts.groupBy(*keys, F.col(f"__at.{start}").alias("__s")).agg(F.max("__at").alias("__at"))
+    every = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__every"))
+    # each text is joined once, with all its starts, and cut where it stands
+    last = F.length(text) + 1
+    end = lambda i: F.coalesce(F.try_element_at("__every", (i + 2).cast("int"))[start], last)
+    piece = lambda r, i: F.struct(r[start].alias(start), r[shape].alias(shape), F.substring(F.col(text), (r[start] + 1).cast("int"), (end(i) - r[start]).cast("int")).alias("piece"))
+    pieces = texts.join(every, list(keys)).select(*keys, F.explode(F.transform("__every", piece)).alias("__p"))
+    return pieces.select(*keys, f"__p.{start}", f"__p.{shape}", "__p.piece").filter("piece <> ''")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text
+from foliograph.functions.equation import latex
 from foliograph.operators import order, render
 
 _KEYS = ["doc_id", "section", "ordinal"]
@@ -73,3 +74,37 @@ def footnotes(controls: DataFrame) -> DataFrame:
     """Notes numbered through the document, footnotes and endnotes apart."""
     notes = controls.filter(F.col("kind").isin("Footnote", "Endnote"))
     return notes.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("section", "control")))
+
+
+def control_text(controls: DataFrame, paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, section, control, kind, shown): what each control leaves in style-aware Markdown.
+
+    Notes leave a reference, which is numbered elsewhere, and have null here;
+    equations are converted, too. Shapes without text, bookmarks and index marks
+    leave nothing.
+    """
+    keys = ["doc_id", "section", "control"]
+    texts = runs.filter("kind = 'text'").groupBy(*_KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "").alias("t"))
+    owned = paragraphs.filter("owner IS NOT NULL").join(texts, _KEYS, "left").select("doc_id", "section", F.col("owner").alias("control"), "ordinal", F.coalesce("t", F.lit("")).alias("t"))
+    inner = owned.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "t"))), lambda r: r["t"]), " ").alias("body"))
+    found = controls.join(inner, keys, "left")
+    kind, detail, hint = F.col("kind"), F.coalesce("detail", F.lit("")), F.coalesce("hint", F.lit(""))
+    body = text.trim(F.coalesce("body", F.lit("")))
+    safe = lambda c: F.replace(c, F.lit("--"), F.lit("\\-\\-"))
+    memo = F.when(body == "", "").otherwise(F.concat(F.lit("<!-- memo(): "), safe(body), F.lit(" -->")))
+    link = F.when(text.dangerous_url(detail), F.replace(hint, F.lit("]"), F.lit("\\]"))).otherwise(text.hyperlink(hint, detail))
+    shown = (
+        F.when(kind == "Hyperlink", link)
+        .when(kind.isin("TextBox", "Ellipse", "Polygon"), body)
+        .when(kind == "Equation", latex(detail))
+        .when(kind == "Chart", "<!-- chart -->")
+        .when(kind == "Dutmal", F.concat(detail, F.lit("("), hint, F.lit(")")))
+        .when(kind == "Compose", detail)
+        .when(kind == "CrossRef", F.concat(F.lit("["), detail, F.lit("]")))
+        .when(kind == "Field", F.coalesce("hint", F.lit("____")))
+        .when(kind == "Memo", memo)
+        .when(kind.isin("Footnote", "Endnote"), F.lit(None).cast("string"))
+        .when(kind.startswith("Unknown("), F.concat(F.lit("`["), F.regexp_extract(kind, r"\((.*)\)", 1), F.lit("]`")))
+        .otherwise("")
+    )
+    return found.select(*keys, "kind", shown.alias("shown"))

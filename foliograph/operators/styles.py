@@ -12,20 +12,33 @@ from foliograph.schema import PRESETS
 
 
 def inherit(spark, templates: DataFrame, name: str, parent: str, fields: Sequence[str], depth: int = 10, root_first: bool = False) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Each template with every field from itself or its nearest ancestor that sets it.
+    """Each template with every field from itself or its nearest ancestor that sets it, and the error of its chain.
 
-    ``root_first`` reproduces the older fold, in which the root wins over the
-    templates between it and the leaf.
+    A chain that is circular, too deep or leads nowhere resolves to nothing: its
+    fields are null. ``root_first`` reproduces the older fold, in which the root
+    wins over the templates between it and the leaf.
     """
     own = templates.select(F.col(name).alias("node"), F.col(parent).alias("parent"), *fields)
     chain = ancestors(spark, own.select("node", "parent"), depth)
-    reach = chain.unionByName(own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
-    order = F.when(F.col("distance") == 0, 0).otherwise(-F.col("distance") if root_first else F.col("distance"))
-    if root_first:
-        order = F.when(F.col("distance") == 0, F.lit(-1_000_000)).otherwise(-F.col("distance"))
-    joined = reach.join(own.select(F.col("node").alias("ancestor"), *fields), "ancestor").withColumn("__o", order)
+    none = F.lit(None).cast("string").alias("error")
+    reach = chain.unionByName(own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"), none))
+    order = F.when(F.col("distance") == 0, F.lit(-1_000_000)).otherwise(F.col("distance") * (-1 if root_first else 1))
+    joined = reach.join(own.select(F.col("node").alias("ancestor"), *fields), "ancestor", "left").withColumn("__o", order)
     picks = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("__o"))).alias(f) for f in fields]
-    return joined.groupBy(F.col("node").alias(name)).agg(F.max("distance").alias("depth"), *picks)
+    resolved = joined.groupBy(F.col("node").alias(name)).agg(F.max("distance").alias("depth"), F.max("error").alias("error"), *picks)
+    return resolved.select(name, "depth", "error", *[F.when(F.col("error").isNull(), F.col(f)).alias(f) for f in fields])
+
+
+def with_base_font(fonts: DataFrame, face: str, old: str, preset: str) -> DataFrame:
+    """Faces where the preset's font stands for the base font, and for no other."""
+    return fonts.withColumn("new_face", F.when(F.col(face) == old, F.lit(PRESETS[preset])).otherwise(F.col(face)))
+
+
+def merge_borders(child: DataFrame, parent: DataFrame, key: str, sides: Sequence[str], default: str = "NONE") -> DataFrame:
+    """Border fills with each side from the child, else the parent, else the default; keys of both."""
+    a = child.select(key, *[F.col(s).alias(f"{s}_c") for s in sides])
+    b = parent.select(key, *[F.col(s).alias(f"{s}_p") for s in sides])
+    return a.join(b, key, "full_outer").select(key, *[F.coalesce(f"{s}_c", f"{s}_p", F.lit(default)).alias(s) for s in sides])
 
 
 def merge(child: dict[str, Column], parent: dict[str, Column], defaults: dict[str, object]) -> list[Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliograph.operators import order
 from foliograph.operators.rules import first_issue, verdicts
 from foliograph.schema import RULES
+from foliograph.sources.charts import POINTS
 
 _PLACE = ["doc_id", "section", "ordinal", "item"]
 
@@ -37,6 +38,12 @@ def issues(docs: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     nested = frames["paragraphs"].filter("owner IS NOT NULL").select("doc_id", F.col("owner").alias("control")).distinct()
     hollow = anchored.join(nested, ["doc_id", "control"], "left_anti")
     s, o, c = F.col("section"), F.col("ordinal"), F.col("control")
+    charts, points = frames["charts"], frames["chart_points"]
+    corners = frames["points"].groupBy("doc_id", "control").agg(F.count(F.lit(1)).alias("corners"))
+    crooked = anchored.filter("kind = 'Polygon'").join(corners, ["doc_id", "control"], "left").filter("coalesce(corners, 0) < 3")
+    drawn = anchored.filter("kind = 'Chart'").join(charts.select("doc_id", F.col("chart").alias("detail"), F.col("kind").alias("plot"), "categories", "series"), ["doc_id", "detail"], "left")
+    uneven = points.groupBy("doc_id", F.col("chart").alias("detail"), "series").agg((F.count("x") != F.count("y")).alias("uneven")).filter("uneven").select("doc_id", "detail").distinct()
+    by_points = F.col("plot").isin(*POINTS)
     flat = anchored.filter(F.col("kind").isin("Ellipse", "Polygon", "Chart", "Equation") & ((F.col("width") <= 0) | (F.col("height") <= 0)))
     parts = [
         _rows(docs.join(frames["sections"], "doc_id", "left_anti"), "EmptyDocument"),
@@ -50,6 +57,10 @@ def issues(docs: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
         _rows(hollow.filter("kind = 'TextBox'"), "EmptyTextBox", s, o, c),
         _rows(hollow.filter("kind = 'Footnote'"), "EmptyFootnote", s, o, c),
         _rows(hollow.filter("kind = 'Endnote'"), "EmptyEndnote", s, o, c),
+        _rows(crooked, "InvalidPolygon", s, o, c),
+        _rows(drawn.filter("coalesce(series, 0) = 0"), "EmptyChart", s, o, c),
+        _rows(drawn.filter((F.col("series") > 0) & ~by_points & (F.col("categories") == 0)), "EmptyCategories", s, o, c),
+        _rows(drawn.filter(by_points).join(uneven, ["doc_id", "detail"], "left_semi"), "SeriesLengthMismatch", s, o, c),
         _rows(flat, "InvalidShapeSize", s, o, c),
         _rows(anchored.filter("kind = 'Equation' AND coalesce(trim(detail), '') = ''"), "EmptyEquation", s, o, c),
     ]

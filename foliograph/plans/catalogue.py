@@ -223,18 +223,46 @@ def ref_missing_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o.o_orderkey, o.o_custkey, c.c_acctbal,
-           CASE WHEN l.o_orderkey IS NOT NULL AND c.o_custkey IS NOT NULL THEN 'High' WHEN l.o_orderkey IS NOT NULL THEN 'Medium' ELSE 'Low' END AS confidence,
-           CASE WHEN l.o_orderkey IS NULL THEN 'stream missing' WHEN c.o_custkey IS NULL THEN 'hint missing' ELSE '' END AS note
-    FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 30) l USING (o_orderkey)
-    LEFT JOIN (SELECT c_custkey AS o_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) c USING (o_custkey)
+    WITH r AS (SELECT p_brand AS id, arg_min(p_name, p_partkey) AS name, arg_min(p_type, p_partkey) AS ext FROM part WHERE p_size > 20 GROUP BY p_brand),
+    s AS (SELECT DISTINCT p_name AS name FROM part WHERE p_retailprice < 1500)
+    SELECT p_partkey, p_brand AS id, CASE WHEN s.name IS NOT NULL THEN 'High' ELSE 'Medium' END AS confidence, 'BinData/' || s.name AS package_path,
+           CASE WHEN r.id IS NULL THEN 'ole bin data record missing'
+                ELSE 'storage_name=' || r.name || '; storage_extension=' || r.ext || CASE WHEN s.name IS NULL THEN '; bin_data_stream_missing' ELSE '' END END AS notes
+    FROM part p LEFT JOIN r ON p.p_brand = r.id LEFT JOIN s ON r.name = s.name
 """)
 def ref_asset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with stream and hint, and how sure the match is."""
-    records = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    streams = _t(spark, sf_dir, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    hints = _t(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    return lookup.asset_join(records, streams, hints, "o_orderkey", "o_custkey", "c_acctbal")
+    """Embedded objects with record and stream, how sure the match is, and why not surer."""
+    part = _t(spark, sf_dir, "part")
+    records = part.filter("p_size > 20").select(F.col("p_brand").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("ext"), F.col("p_partkey").alias("ordinal"))
+    streams = part.filter("p_retailprice < 1500").select(F.col("p_name").alias("name"))
+    return lookup.asset_join(part.select("p_partkey", F.col("p_brand").alias("id")), records, streams, "id", "name", "ext")
+
+
+@query("""
+    WITH s AS (SELECT DISTINCT p_name FROM part WHERE p_retailprice < 1500),
+    r AS (SELECT s_suppkey AS ordinal, s_nationkey AS id, n.p_name AS name, CASE WHEN s_acctbal > 5000 THEN 'PNG' WHEN s_acctbal > 2000 THEN 'jpeg' ELSE 'xls' END AS ext
+          FROM supplier JOIN part n ON s_suppkey = n.p_partkey)
+    SELECT ordinal, id, name, ext, n_regionkey AS width, ordinal = max(ordinal) OVER (PARTITION BY id) AS wins
+    FROM r LEFT JOIN nation ON id = n_nationkey AND n_regionkey > 0 WHERE lower(ext) IN ('png', 'jpeg') AND name IN (SELECT p_name FROM s)
+""")
+def ref_image_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with their streams and sizes; the last record of an id wins."""
+    part = _t(spark, sf_dir, "part")
+    ext = F.when(F.col("s_acctbal") > 5000, "PNG").when(F.col("s_acctbal") > 2000, "jpeg").otherwise("xls")
+    records = _t(spark, sf_dir, "supplier").join(part, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("ordinal"), F.col("s_nationkey").alias("id"), F.col("p_name").alias("name"), ext.alias("ext"))
+    hints = _t(spark, sf_dir, "nation").filter("n_regionkey > 0").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("width"))
+    found = lookup.image_assets(records, part.filter("p_retailprice < 1500").select(F.col("p_name").alias("name")), hints, "id", "name", "ext", ["width"])
+    return found.select("ordinal", "id", "name", "ext", "width", "wins")
+
+
+@query("""
+    SELECT DISTINCT c_nationkey AS id, s.name, CASE WHEN s.name IS NULL THEN 'missing_image_asset_for_binary_data_id=' || c_nationkey END AS warning
+    FROM customer LEFT JOIN (SELECT n_nationkey, n_name AS name FROM nation WHERE n_regionkey <> 2) s ON c_nationkey = n_nationkey
+""")
+def ref_border_image_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that border fills ask for, with a warning for each that is not there."""
+    assets = _t(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return lookup.supplement(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id")), assets, "id", "name")
 
 
 @query("SELECT n_regionkey AS kind, count(*) AS n, count(DISTINCT c_nationkey) AS owners FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -247,11 +275,11 @@ def ref_owner_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT l.l_orderkey, l.l_linenumber, CASE WHEN p.p_partkey IS NULL THEN 'index out of range' WHEN l_quantity > 25 AND NOT p_size > 25 THEN 'checkable definition required'
            WHEN NOT l_quantity > 25 AND p_size > 25 THEN 'plain definition required' END AS issue
-    FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 3) p ON l_partkey = p_partkey
+    FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_size <> 13) p ON l_partkey = p_partkey
 """)
 def ref_list_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List references against their definitions."""
-    defs = _t(spark, sf_dir, "part").filter("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 25).alias("checkable"))
+    defs = _t(spark, sf_dir, "part").filter("p_size <> 13").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 25).alias("checkable"))
     found = lookup.resolve_definition(_t(spark, sf_dir, "lineitem"), defs, "l_partkey", "checkable", F.col("l_quantity") > 25)
     return found.select("l_orderkey", "l_linenumber", "issue")
 
@@ -270,14 +298,14 @@ def ref_style_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.name ELSE a.name END AS name, CASE WHEN b.k IS NOT NULL THEN b.size ELSE a.size END AS size
-    FROM (SELECT p_partkey AS k, p_brand AS name, p_size AS size FROM part WHERE p_partkey % 3 <> 0) a
-    FULL JOIN (SELECT p_partkey AS k, p_type AS name, CAST(NULL AS INTEGER) AS size FROM part WHERE p_partkey % 2 = 0) b ON a.k = b.k
+    FROM (SELECT p_partkey AS k, p_brand AS name, p_size AS size FROM part WHERE p_size > 12) a
+    FULL JOIN (SELECT p_partkey AS k, p_type AS name, CAST(NULL AS INTEGER) AS size FROM part WHERE p_retailprice > 1000) b ON a.k = b.k
 """)
 def ref_overlay_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The child's definitions over the parent's."""
     part = _t(spark, sf_dir, "part")
-    parent = part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("name"), F.col("p_size").alias("size"))
-    child = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("name"), F.lit(None).cast("int").alias("size"))
+    parent = part.filter("p_size > 12").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("name"), F.col("p_size").alias("size"))
+    child = part.filter("p_retailprice > 1000").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("name"), F.lit(None).cast("int").alias("size"))
     return lookup.overlay(parent, child, "k", ["name", "size"])
 
 
@@ -285,25 +313,27 @@ def ref_overlay_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(a.lang, b.lang) AS lang, a.n AS n_source, b.n AS n_output, a.s AS s_source, b.s AS s_output,
            CASE WHEN a.n IS NOT DISTINCT FROM b.n AND a.s IS NOT DISTINCT FROM b.s THEN 'MATCH' ELSE 'DIFF' END AS status
     FROM (SELECT lang, count(*) AS n, count(DISTINCT source) AS s FROM documents GROUP BY lang) a
-    FULL JOIN (SELECT lang, count(*) AS n, count(DISTINCT source) AS s FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) b ON a.lang = b.lang
+    FULL JOIN (SELECT lang, count(*) AS n, count(DISTINCT source) AS s FROM documents WHERE n_chars > 800 GROUP BY lang) b ON a.lang = b.lang
 """)
 def ref_audit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of source and output side by side."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    docs = _t(spark, sf_dir, "documents").select("n_chars", "lang", "source")
     side = lambda d: d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("s"))
-    return lookup.compare_sides(side(docs), side(docs.filter("doc_id % 2 = 0")), ["lang"], ["n", "s"])
+    return lookup.compare_sides(side(docs), side(docs.filter("n_chars > 800")), ["lang"], ["n", "s"])
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 10 THEN p_partkey // 10 END AS parent FROM part),
+    WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 10 THEN p_partkey // 10 END AS parent FROM part
+                         UNION ALL SELECT -1 - s_suppkey, -2 - s_suppkey FROM supplier),
     up AS (SELECT node, parent AS ancestor, 1 AS distance FROM e WHERE parent IS NOT NULL
-           UNION ALL SELECT u.node, e.parent, u.distance + 1 FROM up u JOIN e ON e.node = u.ancestor WHERE e.parent IS NOT NULL AND u.distance < 10)
-    SELECT node, ancestor, distance FROM up
+           UNION ALL SELECT u.node, e.parent, u.distance + 1 FROM up u JOIN e ON e.node = u.ancestor WHERE e.parent IS NOT NULL AND u.distance < 11)
+    SELECT node, ancestor, distance, CASE WHEN distance > 10 THEN 'too deep' WHEN ancestor NOT IN (SELECT node FROM e) THEN 'not found' END AS error FROM up
 """)
 def ref_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestor chain of every template."""
+    """Ancestor chain of every template; chains that are too deep or lead nowhere say so."""
     edges = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.expr("IF(p_partkey > 10, p_partkey div 10, NULL)").alias("parent"))
-    return lookup.ancestors(spark, edges)
+    chain = _t(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("node"), (-2 - F.col("s_suppkey")).alias("parent"))
+    return lookup.ancestors(spark, edges.unionByName(chain))
 
 
 # -- document order ---------------------------------------------------------------------------------------------

@@ -12,30 +12,31 @@ from foliograph.schema import LANGUAGES, LIMITS, TAG_NAMES
 
 
 @query("""
-    WITH r AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(regexp_replace(url, '^BinData/', ''), '\\.[^.]*$', '') END AS reference FROM pages),
-    e AS (SELECT url AS name, min(page_id) AS k FROM pages WHERE page_id % 5 <> 0 GROUP BY url),
-    s AS (SELECT regexp_replace(regexp_replace(url, '^BinData/', ''), '\\.[^.]*$', '') AS stem, min(page_id) AS k FROM pages WHERE page_id % 5 <> 0 GROUP BY 1)
+    WITH r AS (SELECT page_id, CASE WHEN length(html) > 3000 THEN url ELSE regexp_replace(regexp_replace(url, '^BinData/', ''), '\\.[^.]*$', '') END AS reference FROM pages),
+    e AS (SELECT url AS name, min(page_id) AS k FROM pages WHERE length(html) > 2000 GROUP BY url),
+    s AS (SELECT regexp_replace(regexp_replace(url, '^BinData/', ''), '\\.[^.]*$', '') AS stem, min(page_id) AS k FROM pages WHERE length(html) > 2000 GROUP BY 1)
     SELECT r.page_id, coalesce(e.k, s.k) AS image_key FROM r LEFT JOIN e ON reference = e.name LEFT JOIN s ON reference = s.stem
 """)
 def ref_image_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images by full name, else by stem; the first wins."""
     pages = _t(spark, sf_dir, "pages")
     stem = F.regexp_replace(F.regexp_replace("url", "^BinData/", ""), r"\.[^.]*$", "")
-    references = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(stem).alias("reference"))
-    store = pages.filter("page_id % 5 <> 0").select(F.col("page_id").alias("k"), "url")
+    references = pages.select("page_id", F.when(F.length("html") > 3000, F.col("url")).otherwise(stem).alias("reference"))
+    store = pages.filter("length(html) > 2000").select(F.col("page_id").alias("k"), "url")
     return lookup.resolve_image(references, store, "k", "url").select("page_id", "image_key")
 
 
 @query("""
-    WITH t AS (SELECT doc_id, left(text, 100) AS text FROM documents), r AS (SELECT doc_id, x AS start, CAST(x AS INTEGER) AS shape FROM t, (VALUES (7), (30), (64)) v(x) WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 0, 0 FROM t),
-    e AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM r)
-    SELECT e.doc_id, start, shape, substring(text, start + 1, coalesce(stop, length(text) + 1) - start) AS piece FROM e JOIN t ON e.doc_id = t.doc_id WHERE substring(text, start + 1, coalesce(stop, length(text) + 1) - start) <> ''
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS shape, len(string_split(text, chr(10))) AS n FROM documents),
+    s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY shape ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
+    SELECT doc_id, CAST(start AS BIGINT) AS start, shape, line || CASE WHEN shape < n - 1 THEN chr(10) ELSE '' END AS piece FROM s WHERE shape < n - 1 OR line <> ''
 """)
 def ref_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts split at the starts of their style runs."""
-    texts = _t(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(100)).alias("text"))
-    runs = texts.filter("doc_id % 3 <> 0").select("doc_id", F.explode(F.array(F.lit(7), F.lit(30), F.lit(64))).alias("start"))
-    return order.split_runs(texts, runs.withColumn("shape", F.col("start")), ["doc_id"], "text", "start", "shape")
+    """Whole texts split at the starts of their style runs, one for each line."""
+    texts = _t(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL")
+    lines = inspect.lines(texts).withColumn("size", F.length("text") + 1)
+    runs = order.offsets(lines, ["doc_id"], ["ordinal"], "size").select("doc_id", F.col("offset").alias("start"), F.col("ordinal").cast("long").alias("shape"))
+    return order.split_runs(texts, runs, ["doc_id"], "text", "start", "shape")
 
 
 @query("SELECT l_orderkey, l_linenumber, bool_and(l_returnflag = 'R') AS is_header, bool_or(l_returnflag = 'R') AND NOT bool_and(l_returnflag = 'R') AS mixed FROM lineitem GROUP BY 1, 2")
@@ -100,10 +101,10 @@ def ref_shape_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.box(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey", "l_suppkey")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size - 10 = 0 THEN 0 ELSE CAST(p_partkey * 7 // (p_size - 10) AS BIGINT) END AS scaled FROM part WHERE p_size >= 10")
+@query("SELECT p_partkey, CASE WHEN p_size - 10 = 0 THEN 0 ELSE CAST(trunc(p_partkey * 7 / (p_size - 10)) AS BIGINT) END AS scaled FROM part")
 def ref_scaled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates scaled between boxes."""
-    return _t(spark, sf_dir, "part").filter("p_size >= 10").select("p_partkey", shapes.scale(F.col("p_partkey"), F.lit(7), F.col("p_size") - 10).alias("scaled"))
+    return _t(spark, sf_dir, "part").select("p_partkey", shapes.scale(F.col("p_partkey"), F.lit(7), F.col("p_size") - 10).alias("scaled"))
 
 
 _LANGS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(LANGUAGES))
@@ -150,10 +151,10 @@ def ref_wire_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", shapes.named(F.col("event_id") % 4, shapes.PAGE_BREAKS).alias("page_break"), shapes.positive(F.col("user_id") - 5).alias("positive"))
 
 
-@query("SELECT l_orderkey, l_partkey, p_brand AS shape, p_brand IS NULL AS out_of_range FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey")
+@query("SELECT l_orderkey, l_partkey, p_brand AS shape, p_brand IS NULL AS out_of_range FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <> 4) ON l_partkey = p_partkey")
 def ref_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local shape ids rebound to a store's, with what is out of range."""
-    store = _t(spark, sf_dir, "part").filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("shape"))
+    store = _t(spark, sf_dir, "part").filter("p_size <> 4").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("shape"))
     bound = lookup.style_lookup(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), store, ["l_partkey"], ["shape"])
     return bound.select("l_orderkey", "l_partkey", "shape", F.col("shape").isNull().alias("out_of_range"))
 

@@ -60,14 +60,14 @@ _SIDE = "SELECT CAST(count(*) AS VARCHAR) AS documents, CAST(count(DISTINCT sour
 
 @query(f"""
     WITH a AS (UNPIVOT ({_SIDE}) ON documents, sources, langs, longest INTO NAME metric VALUE source),
-    b AS (UNPIVOT ({_SIDE} WHERE doc_id % 2 = 0) ON documents, sources, langs, longest INTO NAME metric VALUE output)
+    b AS (UNPIVOT ({_SIDE} WHERE n_chars > 800) ON documents, sources, langs, longest INTO NAME metric VALUE output)
     SELECT metric, source, output, CASE WHEN source IS NOT DISTINCT FROM output THEN 'MATCH' ELSE 'DIFF' END AS status FROM a FULL JOIN b USING (metric)
 """)
 def ref_audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of source and output side by side."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     side = lambda d: d.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.max("n_chars").alias("longest"))
-    return rules.audit(side(docs), side(docs.filter("doc_id % 2 = 0")), ["documents", "sources", "langs", "longest"])
+    return rules.audit(side(docs), side(docs.filter("n_chars > 800")), ["documents", "sources", "langs", "longest"])
 
 
 @query("""
@@ -208,12 +208,12 @@ def ref_image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT page_id, url = '' OR regexp_matches(url, '^(?i:https?://|mailto:)') AS safe, regexp_matches(lower(url), '^(javascript|data|vbscript|file):') AS dangerous,
-           '[' || replace(left(html, 20), ']', chr(92) || ']') || '](' || replace(replace(url, '(', '%28'), ')', '%29') || ')' AS link
+           '[' || replace(html, ']', chr(92) || ']') || '](' || replace(replace(url, '(', '%28'), ')', '%29') || ')' AS link
     FROM pages
 """)
 def ref_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which targets are safe, and links."""
-    return _t(spark, sf_dir, "pages").select("page_id", text.safe_url("url").alias("safe"), text.dangerous_url("url").alias("dangerous"), text.hyperlink(F.left("html", F.lit(20)), "url").alias("link"))
+    return _t(spark, sf_dir, "pages").select("page_id", text.safe_url("url").alias("safe"), text.dangerous_url("url").alias("dangerous"), text.hyperlink(F.col("html"), "url").alias("link"))
 
 
 @query(r"""
@@ -315,18 +315,24 @@ def ref_days_to_ymd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- styles -----------------------------------------------------------------------------------------------------
 @query("""
-    WITH RECURSIVE t AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 10 THEN p_partkey // 10 END AS parent, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand, CASE WHEN p_size % 2 = 0 THEN p_size END AS size FROM part),
-    up AS (SELECT node, node AS ancestor, 0 AS distance FROM t UNION ALL SELECT u.node, t.parent, u.distance + 1 FROM up u JOIN t ON t.node = u.ancestor WHERE t.parent IS NOT NULL)
-    SELECT u.node AS p_partkey, max(distance) AS depth, arg_min(brand, distance) FILTER (WHERE brand IS NOT NULL) AS brand, arg_min(size, distance) FILTER (WHERE size IS NOT NULL) AS size
-    FROM up u JOIN t ON t.node = u.ancestor GROUP BY u.node
+    WITH RECURSIVE t AS (
+        SELECT p_partkey AS node, CASE WHEN p_partkey > 10 THEN p_partkey // 10 END AS parent, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand, CASE WHEN p_size % 2 = 0 THEN p_size END AS size FROM part
+        UNION ALL SELECT -1 - s_suppkey, -2 - s_suppkey, s_name, NULL FROM supplier),
+    up AS (SELECT node, node AS ancestor, 0 AS distance FROM t UNION ALL SELECT u.node, t.parent, u.distance + 1 FROM up u JOIN t ON t.node = u.ancestor WHERE t.parent IS NOT NULL AND u.distance < 11),
+    r AS (
+        SELECT u.node AS p_partkey, max(distance) AS depth, max(CASE WHEN distance > 10 THEN 'too deep' WHEN t.node IS NULL THEN 'not found' END) AS error,
+               arg_min(brand, distance) FILTER (WHERE brand IS NOT NULL) AS brand, arg_min(size, distance) FILTER (WHERE size IS NOT NULL) AS size
+        FROM up u LEFT JOIN t ON t.node = u.ancestor GROUP BY u.node)
+    SELECT p_partkey, depth, error, CASE WHEN error IS NULL THEN brand END AS brand, CASE WHEN error IS NULL THEN size END AS size FROM r
 """)
 def ref_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each field from the nearest template that sets it."""
+    """Each field from the nearest template that sets it; chains that are too deep or lead nowhere are errors."""
     templates = _t(spark, sf_dir, "part").select(
         "p_partkey", F.expr("IF(p_partkey > 10, p_partkey div 10, NULL)").alias("parent"),
         F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"),
     )
-    return styles.inherit(spark, templates, "p_partkey", "parent", ["brand", "size"])
+    chain = _t(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("p_partkey"), (-2 - F.col("s_suppkey")).alias("parent"), F.col("s_name").alias("brand"), F.lit(None).cast("int").alias("size"))
+    return styles.inherit(spark, templates.unionByName(chain), "p_partkey", "parent", ["brand", "size"])
 
 
 @query("SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_size END, CASE WHEN p_partkey % 2 = 0 THEN 12 END, 10) AS size, coalesce(CASE WHEN p_size < 5 THEN p_brand END, 'body') AS font FROM part")
@@ -377,7 +383,7 @@ def ref_text_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT conv_id, turn, text, sha256(text) AS h FROM conversations), n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || chr(10) WHEN turn % 3 = 1 THEN upper(text) ELSE text END AS text FROM conversations WHERE turn % 7 <> 6)
+    WITH b AS (SELECT conv_id, turn, text, sha256(text) AS h FROM conversations), n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || chr(10) WHEN turn % 3 = 1 THEN upper(text) ELSE text END AS text FROM conversations WHERE length(text) > 100)
     SELECT b.conv_id, b.turn, CASE WHEN n.turn IS NULL THEN 'slot count differs' WHEN b.text <> n.text AND (contains(n.text, chr(10)) OR contains(n.text, chr(9)) OR contains(n.text, chr(160))) THEN 'inline markup needed' END AS refused,
            coalesce(b.text <> n.text, false) AS changed FROM b LEFT JOIN n ON b.conv_id = n.conv_id AND b.turn = n.turn
 """)
@@ -385,7 +391,7 @@ def ref_patch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands in the way of a text patch."""
     base = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     changed = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n"))).when(F.col("turn") % 3 == 1, F.upper("text")).otherwise(F.col("text"))
-    new = base.filter("turn % 7 <> 6").select("conv_id", "turn", changed.alias("text"))
+    new = base.filter("length(text) > 100").select("conv_id", "turn", changed.alias("text"))
     return patch.guarded(base, new, ["conv_id", "turn"], "text").select("conv_id", "turn", "refused", "changed")
 
 

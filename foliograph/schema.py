@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "double": T.DoubleType()}
 
 
 def _struct(fields: str) -> T.StructType:
@@ -18,10 +18,19 @@ def _struct(fields: str) -> T.StructType:
 
 
 FRAMES: dict[str, T.StructType] = {
-    "sections": _struct("doc_id string, section int, width int, height int, left int, right int, top int, bottom int, landscape boolean, has_header boolean, has_footer boolean, page_number string, columns int"),
+    "sections": _struct("doc_id string, section int, width int, height int, left int, right int, top int, bottom int, landscape boolean, has_header boolean, has_footer boolean, page_number string, columns int, masters int"),
     "paragraphs": _struct("doc_id string, section int, path string, ordinal int, container string, owner int, para_shape int, style int, heading int, page_break boolean"),
     "runs": _struct("doc_id string, section int, path string, ordinal int, run int, kind string, text string, char_shape int, control int"),
-    "controls": _struct("doc_id string, section int, control int, kind string, container string, anchor int, width int, height int, detail string"),
+    "controls": _struct("doc_id string, section int, control int, kind string, container string, anchor int, width int, height int, detail string, hint string"),
+    "points": _struct("doc_id string, section int, control int, point int, x int, y int"),
+    "charts": _struct("doc_id string, chart string, kind string, title string, categories int, series int"),
+    "chart_points": _struct("doc_id string, chart string, series int, name string, point int, category string, x double, y double"),
+    "masters": _struct("doc_id string, master int, type string, ordinal int, para_shape int, text string"),
+    "borders": _struct("doc_id string, idx int, left string, right string, top string, bottom string, fill string, color string, image string"),
+    "tabs": _struct("doc_id string, idx int, stop int, position int, type string, leader string"),
+    "numberings": _struct("doc_id string, idx int, start int, level int, format string, text string"),
+    "bullets": _struct("doc_id string, idx int, mark string, checked_mark string"),
+    "begins": _struct("doc_id string, page int, footnote int, endnote int, pic int, tbl int, equation int"),
     "tables": _struct("doc_id string, table int, section int, path string, rows int, width int, page_break string, repeat_header boolean, cell_spacing int, border_fill int"),
     "cells": _struct("doc_id string, table int, row int, column int, col_span int, row_span int, is_header boolean, width int, height int, border_fill int, text string"),
     "char_shapes": _struct("doc_id string, idx int, font string, size int, bold boolean, italic boolean, underline string, strikeout string, color int"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from foliograph.schema import LIMITS
 
@@ -66,3 +67,16 @@ def parse(xml: bytes) -> dict[str, Any]:
         kind = "stock" + stock_kind(sum(_name(k) == "ser" for k in own), "barChart" in names)
     shown = "".join(t.text or "" for t in title.iter() if _name(t) == "t") if title is not None else ""
     return {"kind": kind, "title": shown or None, "categories": categories, "series": series}
+
+
+def write(kind: str, title: str | None, categories: list[str], series: list[tuple[str, list[float]]]) -> bytes:
+    """A chart part of category series, as ``parse`` reads it."""
+
+    def cached(tag: str, values: list[Any]) -> str:
+        points = "".join(f'<c:pt idx="{i}"><c:v>{escape(str(v))}</c:v></c:pt>' for i, v in enumerate(values))
+        return f"<c:{tag}><c:strRef><c:strCache>{points}</c:strCache></c:strRef></c:{tag}>"
+
+    shown = f"<c:title><c:tx><c:rich><a:p><a:r><a:t>{escape(title)}</a:t></a:r></a:p></c:rich></c:tx></c:title>" if title else ""
+    own = "".join(f'<c:ser><c:idx val="{n}"/>{cached("tx", [name])}{cached("cat", categories)}{cached("val", values)}</c:ser>' for n, (name, values) in enumerate(series))
+    names = 'xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    return f"<c:chartSpace {names}><c:chart>{shown}<c:plotArea><c:{kind}>{own}</c:{kind}></c:plotArea></c:chart></c:chartSpace>".encode()

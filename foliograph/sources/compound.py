@@ -103,6 +103,52 @@ def entries(data: bytes) -> list[Entry]:
     return sorted(found)
 
 
+def build(streams: dict[str, bytes]) -> bytes:
+    """A compound file of streams, at the top or in one storage each; all lie in large sectors."""
+    size, end, none, table_mark = 512, 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
+    sectors: list[bytes] = []
+    links: list[int] = []
+
+    def put(body: bytes) -> int:
+        first, count = len(sectors), -(-len(body) // size)
+        if not count:
+            return end
+        sectors.extend(body[i * size : (i + 1) * size].ljust(size, b"\0") for i in range(count))
+        links.extend([*range(first + 1, first + count), end])
+        return first
+
+    def node(name: str, kind: int, right: int = none, child: int = none, start: int = 0, total: int = 0) -> bytes:
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + struct.pack("<III", none, right, child) + bytes(36) + struct.pack("<IQ", start, total)
+
+    inside: dict[str, list[str]] = {}
+    for path in sorted(streams):
+        storage, _, _ = path.rpartition("/")
+        inside.setdefault(storage, []).append(path)
+    tops = [("", path) for path in inside.get("", [])] + [(storage, "") for storage in inside if storage]
+    nodes, later = [node("Root Entry", 5, child=1 if tops else none)], 1 + len(tops)
+    below: list[bytes] = []
+    for n, (storage, path) in enumerate(tops):
+        right = n + 2 if n + 1 < len(tops) else none
+        if path:
+            nodes.append(node(path, 2, right, start=put(streams[path]), total=len(streams[path])))
+            continue
+        own = inside[storage]
+        nodes.append(node(storage, 1, right, child=later))
+        for i, p in enumerate(own):
+            below.append(node(p[len(storage) + 1 :], 2, later + i + 1 if i + 1 < len(own) else none, start=put(streams[p]), total=len(streams[p])))
+        later += len(own)
+    directory = put(b"".join(nodes + below))
+    count = 1
+    while count * 128 < len(links) + count:
+        count += 1
+    tables = list(range(len(sectors), len(sectors) + count))
+    links += [table_mark] * count
+    table = struct.pack(f"<{len(links)}I", *links).ljust(count * size, b"\xff")
+    head = MAGIC + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIII", 0, count, directory, 0, 0, end, 0, end, 0)
+    return head.ljust(76, b"\0") + struct.pack("<109I", *tables, *[none] * (109 - count)) + b"".join(sectors) + table
+
+
 def inflate(data: bytes) -> bytes:
     """Raw deflate, or with a zlib head; within the limits of size and of whole-number ratio."""
     last: Exception | None = None
@@ -200,6 +246,42 @@ def parse(data: bytes) -> dict[str, list[dict[str, Any]]]:
     return out
 
 
+def record_rows(streams: DataFrame, id_col: str = "doc_id", data: str = "data") -> DataFrame:
+    """(doc_id, ordinal, tag, level, data, text, error) of record streams; a stream that breaks off gives an error row behind its records."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[Any, ...]] = []
+            for doc, body in zip(batch["doc_id"], batch["data"], strict=True):
+                n = 0
+                try:
+                    for n, r in enumerate(records(bytes(body) if body is not None else b""), 1):
+                        text = paragraph_text(r.data) if TAG_NAMES.get(r.tag) == "ParaText" else None
+                        out.append((doc, n - 1, r.tag, r.level, r.data, text, None))
+                except ValueError as e:
+                    out.append((doc, n, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "tag", "level", "data", "text", "error"]).astype({"ordinal": "Int32", "tag": "Int32", "level": "Int32"})
+
+    rows = streams.select(F.col(id_col).cast("string").alias("doc_id"), F.col(data).cast("binary").alias("data"))
+    return rows.mapInPandas(run, "doc_id string, ordinal int, tag int, level int, data binary, text string, error string")
+
+
+def inflated(streams: DataFrame, data: str = "data") -> DataFrame:
+    """Streams with what they expand to, or why they do not."""
+
+    @F.pandas_udf("body binary, error string")
+    def expand(bodies: pd.Series) -> pd.DataFrame:
+        out = []
+        for body in bodies:
+            try:
+                out.append((inflate(bytes(body)), None))
+            except (ValueError, TypeError) as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["body", "error"])
+
+    return streams.withColumn("__x", expand(data)).select("*", "__x.body", "__x.error").drop("__x")
+
+
 _PARTS = {
     "entries": "path: string, kind: string, size: bigint",
     "records": "stream: string, ordinal: int, tag: int, level: int, size: bigint, data: binary",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,3 +154,23 @@ def resolve(templates: dict[str, dict[str, Any]], name: str) -> dict[str, Any]:
         page = out.get("page") if out.get("page") is not None else parent.get("page")
         out = merge(out, parent) | lists | ({"page": page} if page is not None else {})
     return out
+
+
+def template_styles(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, name, extends, style, font, size, error) of YAML templates, a row for each style; an unreadable one is an error row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[Any, ...]] = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                try:
+                    found = read_yaml(text) or {}
+                    meta = found.get("meta") or {}
+                    for style, own in (found.get("styles") or {}).items():
+                        out.append((doc, meta.get("name"), meta.get("extends"), style, (own or {}).get("font"), (own or {}).get("size"), None))
+                except (ValueError, AttributeError, TypeError) as e:
+                    out.append((doc, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["doc_id", "name", "extends", "style", "font", "size", "error"]).astype({"size": "Int32"})
+
+    texts = rows.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInPandas(run, "doc_id string, name string, extends string, style string, font string, size int, error string")

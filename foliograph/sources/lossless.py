@@ -107,3 +107,23 @@ def encode(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["path"], "text": texts})
 
     return files.select("path", "content").mapInPandas(run, "doc_id string, text string")
+
+
+def decode(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, section, ordinal, run, name, text, error) of the runs of lossless texts; an unreadable text is one error row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[Any, ...]] = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                try:
+                    for s, section in enumerate(read(text or "")):
+                        for o, p in enumerate(section["nodes"]):
+                            out += [(doc, s, o, r, n["name"], n.get("text"), None) for r, n in enumerate(p["nodes"])]
+                except (ValueError, ElementTree.ParseError) as e:
+                    out.append((doc, None, None, None, None, None, str(e)))
+            kinds = {"section": "Int32", "ordinal": "Int32", "run": "Int32"}
+            yield pd.DataFrame(out, columns=["doc_id", "section", "ordinal", "run", "name", "text", "error"]).astype(kinds)
+
+    rows = texts.selectExpr(f"CAST(`{id_col}` AS STRING) AS doc_id", f"`{text_col}` AS text")
+    return rows.mapInPandas(run, "doc_id string, section int, ordinal int, run int, name string, text string, error string")

@@ -21,15 +21,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.schema import FRAMES, INTERESTING, LIMITS
+from foliograph.sources import charts
 
 #: Contents of the mimetype entry.
 MIMETYPES = ("application/hwp+zip", "application/haansofthwp+zip", "application/vnd.hancom.hwpx")
 Rows = dict[str, list[dict[str, Any]]]
 _SECTION = re.compile(r"Contents/section([0-9]+)\.xml\Z")
+_MASTER = re.compile(r"Contents/masterpage([0-9]+)\.xml\Z")
 #: Controls whose text is a sub-list of paragraphs.
 _NESTED = {"rect": "TextBox", "footNote": "Footnote", "endNote": "Endnote", "ellipse": "Ellipse", "polygon": "Polygon"}
 #: Controls without paragraphs of their own.
 _SIMPLE = {"line": "Line", "arc": "Arc", "curve": "Curve", "connectLine": "ConnectLine", "equation": "Equation", "dutmal": "Dutmal", "compose": "Compose", "chart": "Chart", "ole": "Ole"}
+#: The order in which the contents of a run count, whatever their order in the file.
+_ORDER = "t tbl pic ctrl rect line ellipse arc polygon curve connectLine equation dutmal compose chart ole".split()
+_IN_CTRL = "header footer footNote endNote bookmark indexmark fieldBegin".split()
+#: Types of fields that are kept as they are, and what the commands of summary fields stand for.
+_FIELDS = ("CLICK_HERE", "DATE", "TIME", "PAGE_NUM", "DOC_SUMMARY", "USER_INFO")
+_SUMMARY = {"$modifiedtime": "DATE", "$createtime": "TIME", "$lastsaveby": "USER_INFO"}
 
 
 class Unreadable(ValueError):
@@ -82,8 +90,43 @@ def read_entries(data: bytes) -> tuple[dict[str, bytes], list[dict[str, Any]]]:
     return parts, [{"path": i.filename, "kind": "entry", "size": i.file_size, "compressed": i.compress_size} for i in infos]
 
 
+def kids_of(e: ElementTree.Element) -> dict[str, ElementTree.Element]:
+    return {_name(k): k for k in e}
+
+
+def read_border(rows: Rows, e: ElementTree.Element, kids: dict[str, ElementTree.Element]) -> None:
+    """A border fill: the type of each side, and what fills it."""
+    sides = {side: kids[f"{side}Border"].get("type", "NONE") if f"{side}Border" in kids else None for side in ("left", "right", "top", "bottom")}
+    brush = next((k for k in kids.get("fillBrush", ())), None)
+    names = {"winBrush": "color", "gradation": "gradient", "imgBrush": "image"}
+    kind = names.get(_name(brush)) if brush is not None else None
+    image = next((k for k in brush.iter() if _name(k) == "img"), None) if brush is not None else None
+    colour = brush.get("faceColor") if kind == "color" and brush is not None else None
+    rows["borders"].append({"idx": _int(e, "id")} | sides | {"fill": kind, "color": colour, "image": image.get("binaryItemIDRef") if image is not None else None})
+
+
+def read_master(rows: Rows, number: int, xml: bytes) -> None:
+    """Paragraphs of a master page; an unknown type applies to both kinds of pages."""
+    root = ElementTree.fromstring(xml)
+    kind = root.get("type", "BOTH")
+    for n, p in enumerate(e for e in root.iter() if _name(e) == "p"):
+        text = "".join(text_of(t) for run in _kids(p, "run") for t in _kids(run, "t"))
+        rows["masters"].append({"master": number, "type": kind if kind in ("BOTH", "EVEN", "ODD") else "BOTH", "ordinal": n, "para_shape": _int(p, "paraPrIDRef"), "text": text})
+
+
+def read_chart(rows: Rows, name: str, xml: bytes) -> None:
+    """A chart part: its kind, and each value of its series as a row."""
+    found = charts.parse(xml)
+    rows["charts"].append({"chart": name, "kind": found["kind"], "title": found["title"], "categories": len(found["categories"]), "series": len(found["series"])})
+    for n, series in enumerate(found["series"]):
+        values, xs, names = series.get("values", series.get("y", [])), series.get("x"), found["categories"]
+        for point in range(max(len(values), len(xs or []))):
+            at = lambda own: own[point] if own is not None and point < len(own) else None  # noqa: E731, B023
+            rows["chart_points"].append({"chart": name, "series": n, "name": series["name"], "point": point, "category": at(names) if xs is None else None, "x": at(xs), "y": at(values)})
+
+
 def read_header(rows: Rows, xml: bytes) -> None:
-    """Fonts, character and paragraph shapes, styles."""
+    """Fonts, border fills, character and paragraph shapes, tabs, numberings, bullets, styles, first numbers."""
     root = ElementTree.fromstring(xml)
     for face in (e for e in root.iter() if _name(e) == "fontface"):
         for font in _kids(face, "font"):
@@ -91,7 +134,7 @@ def read_header(rows: Rows, xml: bytes) -> None:
     hangul = {f["idx"]: f["face"] for f in rows["fonts"] if f["language"] == "HANGUL"}
     for e in root.iter():
         kind = _name(e)
-        kids = {_name(k): k for k in e} if kind in ("charPr", "paraPr") else {}
+        kids = kids_of(e) if kind in ("charPr", "paraPr") else {}
         if kind == "charPr":
             colour = e.get("textColor", "#000000").lstrip("#")
             bgr = int("".join(re.findall("..", colour)[::-1]), 16) if re.fullmatch("[0-9a-fA-F]{6}", colour) else 0
@@ -113,6 +156,19 @@ def read_header(rows: Rows, xml: bytes) -> None:
                     "level": _int(heading, "level"), "indent": _int(margin, "value"), "line_spacing": _int(spacing, "value", 160),
                 }
             )
+        elif kind == "borderFill":
+            read_border(rows, e, kids_of(e))
+        elif kind == "tabPr":
+            stops = [k for k in e.iter() if _name(k) == "tabItem"]
+            for n, stop in enumerate(stops):
+                rows["tabs"].append({"idx": _int(e, "id"), "stop": n, "position": _int(stop, "pos"), "type": stop.get("type", ""), "leader": stop.get("leader", "")})
+        elif kind == "numbering":
+            for head in _kids(e, "paraHead"):
+                rows["numberings"].append({"idx": _int(e, "id"), "start": _int(e, "start"), "level": _int(head, "level"), "format": head.get("numFormat", ""), "text": head.text or ""})
+        elif kind == "bullet":
+            rows["bullets"].append({"idx": _int(e, "id"), "mark": e.get("char", ""), "checked_mark": e.get("checkedChar")})
+        elif kind == "beginNum":
+            rows["begins"].append({k: _int(e, k, 1) for k in ("page", "footnote", "endnote", "pic", "tbl", "equation")})
         elif kind == "style":
             rows["styles"].append({"idx": _int(e, "id"), "name": e.get("name", ""), "english": e.get("engName", ""), "para_shape": _int(e, "paraPrIDRef"), "char_shape": _int(e, "charPrIDRef")})
 
@@ -141,9 +197,23 @@ class _Section:
         )
         n = 0
         for run in _kids(p, "run"):
-            for e in [*_kids(run, "t"), *(k for k in run if _name(k) != "t")]:
+            for e in self.contents(run):
                 n += self.run(e, place | {"ordinal": ordinal, "run": n, "char_shape": _int(run, "charPrIDRef")}, container, depth)
 
+    def contents(self, run: ElementTree.Element) -> list[ElementTree.Element]:
+        """What a run holds, in the fixed order of kinds; the text between the marks of a field belongs to the field."""
+
+        def rank(e: ElementTree.Element) -> tuple[int, int]:
+            name, first = _name(e), next((_name(k) for k in e), "")
+            return _ORDER.index(name) if name in _ORDER else len(_ORDER), _IN_CTRL.index(first) if name == "ctrl" and first in _IN_CTRL else 0
+
+        marks = {_name(k): k for c in _kids(run, "ctrl") for k in c}
+        kept = sorted(run, key=rank)
+        if "fieldBegin" in marks and "fieldEnd" in marks:
+            marks["fieldBegin"].set("shown", "".join(text_of(t) for t in _kids(run, "t")))
+            kept = [e for e in kept if _name(e) != "t"]
+        return kept
+
     def run(self, e: ElementTree.Element, at: dict[str, Any], container: str, depth: int) -> int:
         kind, path = _name(e), f"{at['path']}.runs[{at['run']}]"
         if kind == "t":
@@ -171,15 +241,48 @@ class _Section:
             return 0
         return 1
 
+    def field(self, e: ElementTree.Element) -> tuple[str, str | None, str | None] | None:
+        """(kind, detail, hint) of a field; None for a type that is not known."""
+        own = {k.get("name"): k.text or "" for k in e.iter() if _name(k).endswith("Param")}
+        kind = e.get("type", "")
+        if kind == "HYPERLINK":
+            return "Hyperlink", own.get("Path", ""), e.get("shown", "")
+        if kind == "BOOKMARK":
+            return "Bookmark", e.get("name"), None
+        if kind in _FIELDS:
+            return "Field", kind, own.get("Direction")
+        if kind == "SUMMERY":
+            return "Field", _SUMMARY.get(own.get("Command", ""), "DOC_SUMMARY"), None
+        if kind == "CROSSREF":
+            return "CrossRef", own.get("RefPath", "").lstrip("?#"), own.get("RefType")
+        return ("Memo", None, None) if kind == "MEMO" else None
+
     def control(self, e: ElementTree.Element, at: dict[str, Any], path: str, container: str, depth: int) -> None:
-        name = _name(e)
-        kind = _NESTED.get(name) or _SIMPLE.get(name) or {"bookmark": "Bookmark", "indexmark": "IndexMark"}.get(name, "Field")
-        size = next((k for k in e.iter() if _name(k) == "sz"), None)
+        name, own = _name(e), {_name(k): k for k in e}
         script = next((k.text for k in e.iter() if _name(k) == "script"), None)
+        chart = e.get("chartIDRef")
+        detail, hint = script or e.get("name") or chart, None
+        if name == "fieldBegin":
+            field = self.field(e)
+            if field is None:
+                return
+            kind, detail, hint = field
+        elif name == "rect" and "drawText" not in own:
+            kind = "Rect"
+        elif name == "dutmal":
+            kind, detail, hint = "Dutmal", *((own[k].text or "" if k in own else "") for k in ("mainText", "subText"))
+        elif name == "compose":
+            kind, detail = "Compose", e.get("composeText", "")
+        else:
+            kind = _NESTED.get(name) or _SIMPLE.get(name) or {"bookmark": "Bookmark", "indexmark": "IndexMark"}[name]
+        size = next((k for k in e.iter() if _name(k) == "sz"), None)
         number = len(self.rows["controls"])
         self.rows["controls"].append(
-            {"section": self.index, "control": number, "kind": kind, "container": container, "anchor": at["ordinal"], "width": _int(size, "width"), "height": _int(size, "height"), "detail": script or e.get("name") or e.get("chartIDRef")}
+            {"section": self.index, "control": number, "kind": kind, "container": container, "anchor": at["ordinal"], "width": _int(size, "width"), "height": _int(size, "height"), "detail": detail, "hint": hint}
         )
+        corners = [(k, "x", "y") for k in e.iter() if _name(k) in ("pt", "startPt", "endPt")]
+        corners += [(k, f"x{n}", f"y{n}") for k in e.iter() if _name(k) == "seg" for n in (1, 2)]
+        self.rows["points"] += [{"section": self.index, "control": number, "point": n, "x": _int(k, x), "y": _int(k, y)} for n, (k, x, y) in enumerate(corners)]
         self.rows["runs"].append(at | {"kind": "control", "text": None, "control": number})
         self.nested(e, path, {"TextBox": "rect/drawText/subList"}.get(kind, f"{kind.lower()}/subList"), number, depth)
 
@@ -239,6 +342,7 @@ class _Section:
         self.rows["sections"].append(
             dict.fromkeys(("width", "height", "left", "right", "top", "bottom", "landscape"))
             | {"section": self.index, "has_header": "header" in names, "has_footer": "footer" in names, "page_number": number.get("pos") if number is not None else None, "columns": _int(columns, "colCount", 1)}
+            | {"masters": _int(next((e for e in root.iter() if e.get("masterPageCnt") is not None), None), "masterPageCnt")}
         )
         for i, p in enumerate(_kids(root, "p")):
             self.paragraph(p, f"paragraphs[{i}]", "body", None, 0)
@@ -261,7 +365,10 @@ class _Section:
         walk(root, "")
 
 
-PARTS = ("sections", "paragraphs", "runs", "controls", "tables", "cells", "char_shapes", "para_shapes", "styles", "fonts", "entries", "xml_paths", "images", "warnings")
+PARTS = (
+    "sections", "paragraphs", "runs", "controls", "points", "tables", "cells", "charts", "chart_points", "masters", "char_shapes", "para_shapes", "styles",
+    "fonts", "borders", "tabs", "numberings", "bullets", "begins", "entries", "xml_paths", "images", "warnings",
+)
 
 
 def parse(data: bytes) -> Rows:
@@ -276,14 +383,18 @@ def parse(data: bytes) -> Rows:
         numbered = sorted((int(m[1]), n) for n in parts if (m := _SECTION.match(n)))
         for i, (_, name) in enumerate(numbered):
             _Section(rows, i).read(parts[name])
+        for number, name in sorted((int(m[1]), n) for n in parts if (m := _MASTER.match(n))):
+            read_master(rows, number, parts[name])
         for name, body in parts.items():
+            if name.startswith("Chart/") and name.endswith(".xml"):
+                read_chart(rows, name, body)
             if name.startswith("BinData/"):
                 key = "/".join(x for x in name[8:].split("/") if x and x != "..")
                 extension = key.rpartition(".")[2].lower() if "." in key else ""
                 rows["images"].append({"key": key, "format": extension, "data": body})
     except Unreadable as e:
         rows["warnings"].append({"code": e.args[0], "detail": e.args[1]})
-    except (ElementTree.ParseError, zipfile.BadZipFile, OSError, EOFError, NotImplementedError) as e:
+    except (ElementTree.ParseError, zipfile.BadZipFile, OSError, EOFError, NotImplementedError, ValueError) as e:
         rows["warnings"].append({"code": 4002, "detail": str(e)})
     return rows
 
@@ -359,45 +470,115 @@ def _table(cells: list[dict[str, Any]]) -> str:
     return f'<hp:tbl rowCnt="{len(rows)}">{"".join(out)}</hp:tbl>'
 
 
-def build(sections: list[list[dict[str, Any]]], images: dict[str, bytes] | None = None, styles: list[str] = ["Normal"]) -> bytes:  # noqa: B006
-    """A package of sections; a block has text, style and, for a table, cells."""
-    box = io.BytesIO()
+_SIZED = {"TextBox": "rect", "Rect": "rect", "Line": "line", "Ellipse": "ellipse", "Arc": "arc", "Polygon": "polygon", "Curve": "curve", "ConnectLine": "connectLine", "Equation": "equation", "Chart": "chart"}
+
+
+def _control(c: dict[str, Any]) -> str:
+    """A control, or a part of the page: kind, width, height, detail, hint, text of its paragraphs, and points."""
+    kind, detail, hint, text = c["kind"], c.get("detail") or "", c.get("hint"), c.get("text")
+    body = f"<hp:subList>{''.join(map(_p, text.split(chr(10))))}</hp:subList>" if text is not None else ""
+    field = lambda name, **own: (
+        f'<hp:ctrl><hp:fieldBegin type="{name}"><hp:parameters>{"".join(f"<hp:stringParam name={quoteattr(k)}>{escape(v)}</hp:stringParam>" for k, v in own.items() if v is not None)}</hp:parameters>{body}'
+        f"</hp:fieldBegin></hp:ctrl>{_t(hint) if name == 'HYPERLINK' and hint else ''}<hp:ctrl><hp:fieldEnd/></hp:ctrl>"
+    )
+    if kind in ("Header", "Footer"):
+        return f'<hp:ctrl><hp:{kind.lower()} applyPageType="BOTH">{body}</hp:{kind.lower()}></hp:ctrl>'
+    if kind in ("Footnote", "Endnote"):
+        name = {"Footnote": "footNote", "Endnote": "endNote"}[kind]
+        return f"<hp:ctrl><hp:{name}>{body}</hp:{name}></hp:ctrl>"
+    if kind == "PageNumber":
+        return f"<hp:ctrl><hp:pageNum pos={quoteattr(detail)}/></hp:ctrl>"
+    if kind == "Columns":
+        return f"<hp:ctrl><hp:colPr colCount={quoteattr(detail)}/></hp:ctrl>"
+    if kind == "Page":
+        return f'<hp:secPr masterPageCnt="{detail or 0}"><hp:pagePr landscape="{hint or "WIDELY"}" width="{c["width"]}" height="{c["height"]}"><hp:margin left="8504" right="8504" top="5668" bottom="4252"/></hp:pagePr></hp:secPr>'
+    if kind in ("Bookmark", "IndexMark"):
+        return f"<hp:ctrl><hp:{kind.lower()} name={quoteattr(detail)}/></hp:ctrl>"
+    if kind == "Hyperlink":
+        return field("HYPERLINK", Path=detail)
+    if kind == "CrossRef":
+        return field("CROSSREF", RefPath=f"?#{detail}", RefType=hint)
+    if kind == "Field":
+        return field(detail, Direction=hint)
+    if kind == "Memo":
+        return field("MEMO")
+    if kind == "Image":
+        return f"<hp:pic><hp:img binaryItemIDRef={quoteattr(detail)}/></hp:pic>"
+    if kind == "Dutmal":
+        return f"<hp:dutmal><hp:mainText>{escape(detail)}</hp:mainText><hp:subText>{escape(hint or '')}</hp:subText></hp:dutmal>"
+    if kind == "Compose":
+        return f"<hp:compose composeText={quoteattr(detail)}/>"
+    name = _SIZED[kind]
+    corners = list(c["points"]) if c.get("points") is not None else []
+    if kind in ("Line", "ConnectLine"):
+        inner = "".join(f'<hp:{n}Pt x="{p["x"]}" y="{p["y"]}"/>' for n, p in zip(("start", "end"), corners, strict=False))
+    elif kind == "Curve":
+        inner = "".join(f'<hp:seg x1="{p["x"]}" y1="{p["y"]}" x2="{q["x"]}" y2="{q["y"]}"/>' for p, q in zip(corners[::2], corners[1::2], strict=False))
+    else:
+        inner = "".join(f'<hp:pt x="{p["x"]}" y="{p["y"]}"/>' for p in corners)
+    if kind == "Equation":
+        inner += f"<hp:script>{escape(detail)}</hp:script>"
+    chart = f" chartIDRef={quoteattr(detail)}" if kind == "Chart" else ""
+    body = f"<hp:drawText>{body}</hp:drawText>" if body else ""
+    return f'<hp:{name}{chart}><hp:sz width="{c.get("width") or 0}" height="{c.get("height") or 0}"/>{inner}{body}</hp:{name}>'
+
+
+def build(sections: list[list[dict[str, Any]]], parts: dict[str, bytes] | None = None, styles: list[str] = ["Normal"]) -> bytes:  # noqa: B006
+    """A package of sections and further parts by path; a block has text, style, a control, and, for a table, cells."""
+    box, parts = io.BytesIO(), dict(parts or {})
     with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as out:
         out.writestr(zipfile.ZipInfo("mimetype"), MIMETYPES[0], zipfile.ZIP_STORED)
         named = "".join(f'<hh:style id="{i}" type="PARA" name={quoteattr(s)} engName={quoteattr(s)} paraPrIDRef="0" charPrIDRef="0"/>' for i, s in enumerate(styles))
-        out.writestr(
-            "Contents/header.xml",
-            f'<hh:head {_HH} secCnt="{len(sections)}"><hh:refList><hh:fontfaces><hh:fontface lang="HANGUL"><hh:font id="0" face="함초롬돋움"/></hh:fontface></hh:fontfaces>'
+        usual = (
+            '<hh:fontfaces><hh:fontface lang="HANGUL"><hh:font id="0" face="함초롬돋움"/></hh:fontface></hh:fontfaces>'
             '<hh:charProperties><hh:charPr id="0" height="1000" textColor="#000000"><hh:fontRef hangul="0"/></hh:charPr></hh:charProperties>'
-            f'<hh:paraProperties><hh:paraPr id="0"><hh:align horizontal="LEFT"/></hh:paraPr></hh:paraProperties><hh:styles>{named}</hh:styles></hh:refList></hh:head>',
+            f'<hh:paraProperties><hh:paraPr id="0"><hh:align horizontal="LEFT"/></hh:paraPr></hh:paraProperties><hh:styles>{named}</hh:styles>'
         )
+        lists = parts.pop("refList", None)  # the lists of the header, where they are given
+        head = lists.decode() if lists is not None else f"<hh:refList>{usual}</hh:refList>"
+        out.writestr("Contents/header.xml", f'<hh:head {_HH} secCnt="{len(sections)}">{head}</hh:head>')
         for i, blocks in enumerate(sections):
-            body = "".join(_p(b.get("text") or "", 0, b.get("style") or 0, _table(b["cells"]) if b.get("cells") else "") for b in blocks)
+            body = "".join(_p(b.get("text") or "", 0, b.get("style") or 0, (_table(b["cells"]) if b.get("cells") else "") + (_control(b["control"]) if b.get("control") else "")) for b in blocks)
             out.writestr(f"Contents/section{i}.xml", f"<hs:sec {_HP}>{body}</hs:sec>")
-        for key, data in sorted((images or {}).items()):
-            out.writestr(zipfile.ZipInfo(f"BinData/{key}"), data, zipfile.ZIP_STORED)
+        for path, data in sorted(parts.items()):
+            out.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_STORED)
         items = "".join(f'<opf:item id="section{i}" href="Contents/section{i}.xml"/>' for i in range(len(sections)))
         out.writestr("Contents/content.hpf", f'<opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:metadata><opf:title/></opf:metadata><opf:manifest>{items}</opf:manifest></opf:package>')
     return box.getvalue()
 
 
-def encode(blocks: DataFrame) -> DataFrame:
-    """(doc_id, content) packages of blocks (doc_id, section, ordinal, text, style, cells)."""
-    cell = "struct<row: int, column: int, col_span: int, row_span: int, is_header: boolean, width: int, height: int, text: string>"
-    rows = blocks if "cells" in blocks.columns else blocks.withColumn("cells", F.lit(None).cast(f"array<{cell}>"))
-    rows = rows if "style" in rows.columns else rows.withColumn("style", F.lit(0))
-    own = F.struct(F.col("section").cast("int").alias("section"), F.col("ordinal").cast("long").alias("ordinal"), "text", "style", "cells")
+CELL = "struct<row: int, column: int, col_span: int, row_span: int, is_header: boolean, width: int, height: int, text: string>"
+CONTROL = "struct<kind: string, width: int, height: int, detail: string, hint: string, text: string, points: array<struct<x: int, y: int>>>"
+
+
+def encode(blocks: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content) packages of blocks (doc_id, section, ordinal, text, style, cells, control).
+
+    The last three may be missing. ``parts`` (doc_id, path, data) are further
+    parts of the packages: images, charts, master pages, or as ``refList`` the
+    lists of the header.
+    """
+    absent = {"style": F.lit(0), "cells": F.lit(None).cast(f"array<{CELL}>"), "control": F.lit(None).cast(CONTROL)}
+    rows = blocks.withColumns({k: v for k, v in absent.items() if k not in blocks.columns})
+    own = F.struct(F.col("section").cast("int").alias("section"), F.col("ordinal").cast("long").alias("ordinal"), "text", "style", "cells", "control")
     whole = rows.groupBy("doc_id").agg(F.collect_list(own).alias("blocks"))
+    more = F.lit(None).cast("array<struct<path: string, data: binary>>").alias("parts")
+    if parts is not None:
+        of = parts.groupBy("doc_id").agg(F.collect_list(F.struct("path", F.col("data").cast("binary").alias("data"))).alias("parts"))
+        whole = whole.join(of, "doc_id", "left")
+    else:
+        whole = whole.select("*", more)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = lambda x: x.asDict(recursive=True) if hasattr(x, "asDict") else x
         for batch in batches:
             made = []
-            for blocks in batch["blocks"]:
+            for blocks, extra in zip(batch["blocks"], batch["parts"], strict=True):
                 sections: dict[int, list[dict[str, Any]]] = {}
-                for b in sorted(map(dict, blocks), key=lambda b: (b["section"], b["ordinal"])):
-                    cells = [dict(c) for c in b["cells"]] if b["cells"] is not None else None
-                    sections.setdefault(b["section"], []).append(b | {"cells": cells})
-                made.append(build(list(sections.values())))
+                for b in sorted(map(dict, map(plain, blocks)), key=lambda b: (b["section"], b["ordinal"])):
+                    cells = [dict(plain(c)) for c in b["cells"]] if b["cells"] is not None else None
+                    sections.setdefault(b["section"], []).append(b | {"cells": cells, "control": plain(b["control"])})
+                made.append(build(list(sections.values()), {plain(x)["path"]: bytes(plain(x)["data"]) for x in extra} if extra is not None else None))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "content": made})
 
     return whole.mapInPandas(run, "doc_id string, content binary")

@@ -53,7 +53,9 @@ def test_inheritance_nearest_wins_and_root_first_reproduces_the_fold(spark):
     from foliograph.operators.styles import inherit
 
     rows = spark.createDataFrame([("leaf", "mid", None, None), ("mid", "root", "m", None), ("root", None, "r", "x"), ("loop", "loop2", None, None), ("loop2", "loop", "l", None)], "name string, parent string, a string, b string")
-    near = {r.name: (r.a, r.b) for r in inherit(spark, rows, "name", "parent", ["a", "b"]).collect()}
-    assert near["leaf"] == ("m", "x") and near["root"] == ("r", "x") and near["loop"] == ("l", None)
+    found = inherit(spark, rows, "name", "parent", ["a", "b"]).collect()
+    near = {r.name: (r.a, r.b) for r in found}
+    assert near["leaf"] == ("m", "x") and near["root"] == ("r", "x") and near["loop"] == (None, None)
+    assert {r.name: r.error for r in found} == {"leaf": None, "mid": None, "root": None, "loop": "circular", "loop2": "circular"}
     fold = {r.name: (r.a, r.b) for r in inherit(spark, rows, "name", "parent", ["a", "b"], root_first=True).collect()}
     assert fold["leaf"] == ("r", "x") and fold["mid"] == ("m", "x")

@@ -16,7 +16,7 @@ CELLS = [
 
 
 def made():
-    return packages.build([[{"text": "Title", "style": 1}, {"text": "a\tb\nc d & <e>"}], [{"text": "", "cells": CELLS}]], {"pic.PNG": b"\x89PNG"}, ["Normal", "개요 1"])
+    return packages.build([[{"text": "Title", "style": 1}, {"text": "a\tb\nc d & <e>"}], [{"text": "", "cells": CELLS}]], {"BinData/pic.PNG": b"\x89PNG"}, ["Normal", "개요 1"])
 
 
 def files(spark, rows):

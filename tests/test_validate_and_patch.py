@@ -35,7 +35,10 @@ CASES = {
     "table": (package(p("<tbl/>")), 2003),
     "row": (package(p(f"<tbl><tr>{cell()}</tr><tr/></tbl>")), 2004),
     "span": (package(p(f"<tbl><tr>{cell(span=0)}</tr></tbl>")), 2005),
-    "box": (package(p("<rect/>")), 2006),
+    "box": (package(p("<rect><drawText/></rect>")), 2006),
+    "rect": (package(p("<rect/>")), None),
+    "polygon": (package(p('<polygon><sz width="5" height="5"/><pt x="0" y="0"/><pt x="1" y="1"/></polygon>')), 2010),
+    "chart": (package(p('<chart chartIDRef="Chart/none.xml"><sz width="5" height="5"/></chart>')), 2013),
     "note": (package(p("<ctrl><footNote/></ctrl>")), 2007),
     "cell": (package(p(f"<tbl><tr>{cell(inner='')}</tr></tbl>")), 2008),
     "endnote": (package(p("<ctrl><endNote/></ctrl>")), 2009),
