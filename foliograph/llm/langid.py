@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from foliograph.llm.common import held_out, table, text_bytes, windows
 
 #: Symbols of a block, and cells (blocks by languages by symbols) that are walked at a time; neither changes a result.
-BLOCK, CELLS = 1024, 1 << 25
+BLOCK, CELLS = 1024, 1 << 23
 #: The most frequent symbols have a column of the transition table; the transitions of others are looked up.
 COLUMNS = 64
 UNSEEN, SEPARATOR = 0, 1
