@@ -56,10 +56,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.place, self.tables = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.tables += 1
         path = f"{self.place}/{self.tables}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

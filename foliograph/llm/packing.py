@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut, table, text_bytes, windows
+from foliograph.llm.common import Scratch, table, text_bytes, windows
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROW, SEPARATOR = 2048, 50_256
+#: Number of the first pack of rows that one piece fills.
+FULL = 1 << 52
 #: Long runs of white space, which the pattern's look-ahead would walk by recursion.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]{4096,}")
 
@@ -163,7 +165,9 @@ def pack(
     cumulative segment lengths from 0, ``resets`` the positions in the row at
     which position ids start again; ``docs`` number the input row that a segment
     comes from, ``doc_ids`` and ``starts`` name its document and its first
-    token's place in it. A pack is ``pack_rows`` rows, which bounds a matrix.
+    token's place in it. A pack is at most ``pack_rows`` rows, which bounds a
+    matrix. Pieces as long as a row fill one and are not moved; their packs are
+    numbered from ``FULL`` on, by the partition that they lie in.
 
     Null and empty texts are a lone separator; rows with null or repeated ids
     are packed like any other; texts may have any length and any run of white
@@ -178,7 +182,8 @@ def pack(
     spark = docs.sparkSession
     with open(path, "rb") as file:
         vocabulary = file.read()
-    held = cut(pieces(docs, row, vocabulary, pattern, separator, id_col, text_col))
+    every = Scratch(spark).put(pieces(docs, row, vocabulary, pattern, separator, id_col, text_col), compression="zstd")
+    held = every.filter(F.col("n") < row)
     counts = {r["n"]: r["count"] for r in held.groupBy("n").count().collect()}
     total = max(sum(counts.values()), 1)
     steps, rows = best_fit(counts, row)
@@ -224,7 +229,14 @@ def pack(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["pack", "row", "ids", "cu_seqlens", "resets", "docs", "doc_ids", "starts"])
 
     schema = "pack long, row int, ids binary, cu_seqlens array<int>, resets array<int>, docs array<long>, doc_ids array<long>, starts array<long>"
-    return gathered.mapInArrow(run, schema)
+    number, ends, zero = F.monotonically_increasing_id(), F.array(F.lit(0), F.lit(row)), F.array(F.lit(0))
+    full = every.filter(F.col("n") == row).withColumn("number", number)
+    part, place_in = F.shiftright("number", 33), F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    full = full.select(
+        (F.lit(FULL) + F.shiftleft(part, 24) + F.floor(place_in / pack_rows)).cast("long").alias("pack"), (place_in % pack_rows).cast("int").alias("row"), "ids", ends.alias("cu_seqlens"), zero.alias("resets"),
+        F.array("doc").alias("docs"), F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"),
+    )
+    return gathered.mapInArrow(run, schema).unionByName(full)
 
 
 def unpack(rows: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR) -> DataFrame:
