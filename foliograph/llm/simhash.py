@@ -10,16 +10,17 @@ have reached the minimum, none that reaches it is missed, and the tallies of
 pairs below it are never made. Within a list the tally over all eight
 positions is taken, and the pairs are verified bit by bit.
 
-A list is bounded however skewed the corpus is. Equal fingerprints are one
-entry, and a list longer than ``LIST`` is keyed further in the same way: the
-half bytes that its key leaves free are positions too, and of twice ``d`` of
-them at least ``d`` agree, so its entries meet again in lists keyed by each
-choice of that many half bytes, which have 2 ** 12 entries at most for ``d = 3``.
-Keys with one entry, which are nearly all, are counted and not collected. Within
-a list links are followed breadth first from one entry to those not reached
-yet, so a dense list of near copies costs about one pass and yields a spanning
-forest and never all its pairs. The forests of all lists have the same
-components as the full link graph.
+A list is bounded however skewed the corpus is: equal fingerprints are one
+entry, and five fixed bytes leave 24 free bits. A list longer than ``LIST`` is
+keyed further in the same way: the half bytes that its key leaves free are
+positions too, and of twice ``d`` of them at least ``d`` agree, so its entries
+meet again in lists keyed by each choice of that many half bytes, which have
+2 ** 12 entries at most for ``d = 3``. Postings are dealt by key over as many
+partitions as they need and sorted there, so lists with one entry, which are
+nearly all, cost no more than their sort. Within a list links are followed
+breadth first from one entry to those not reached yet, so a dense list of near
+copies costs about one pass and yields a spanning forest and never all its
+pairs. The forests of all lists have the same components as the full link graph.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ from foliograph.llm.components import components
 from foliograph.llm.sketches import shingles
 
 SEED, BITS, BYTES = 42, 64, 8
-#: Lists longer than this are keyed further; no result depends on it.
-LIST = 4096
+#: Lists longer than this are keyed further, and a partition has about so many postings; no result depends on either.
+LIST, POSTINGS = 4096, 1 << 22
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -94,12 +95,6 @@ def half_byte_masks(mask: int, distance: int) -> list[int]:
     return [mask | sum(kept) for kept in combinations(free, distance)]
 
 
-def posting_keys(fp: Column, distance: int) -> Column:
-    """The keys of a fingerprint: each choice of ``8 - distance`` positions with their bytes."""
-    masks = enumerate(map(_signed, byte_masks(distance)))
-    return F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), fp.bitwiseAND(F.lit(mask)).alias("k")) for n, mask in masks])
-
-
 def _scan(entries: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of one list's links, breadth first."""
     rest, queue = entries, []
@@ -117,31 +112,48 @@ def _scan(entries: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
         rest = rest[~near]
 
 
-def links(scratch: Scratch, prints: DataFrame, distance: int = 3) -> DataFrame:
+def _forest(entries: np.ndarray, mask: int, distance: int, further: bool = True) -> Iterator[np.ndarray]:
+    """Links of distinct entries in the lists of one choice of positions, as rows of two."""
+    keys = entries & np.uint64(mask)
+    order = np.argsort(keys, kind="stable")
+    own, keys = entries[order], keys[order]
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    sizes = np.diff(ends, prepend=0)
+    two = ends[sizes == 2]  # most lists that have links at all
+    pairs = np.stack([own[two - 2], own[two - 1]], axis=1)
+    yield pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= distance]
+    for end, size in zip(ends[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        held = own[end - size : end]
+        if size > LIST and further:
+            for wider in half_byte_masks(mask, distance):
+                yield from _forest(held, wider, distance, further=False)
+        else:
+            yield np.array(list(_scan(held, distance)), np.uint64).reshape(-1, 2)
+
+
+def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fp`` whose components are those of all links."""
+    masks = byte_masks(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            entries, ends = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy().cumsum()
-            for first, last in zip([0, *ends], ends):  # noqa: B905
-                found.update((int(a), int(b)) for a, b in _scan(np.unique(entries[first:last].view(np.uint64)), distance))
-            if found:
-                pairs = np.array(sorted(found), np.uint64).view(np.int64)
+        held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        prints, choices = (np.concatenate(x) for x in zip(*held, strict=True))
+        for n, mask in enumerate(masks):
+            found = np.concatenate(list(_forest(np.unique(prints[choices == n]), mask, distance)))
+            if len(found):
+                pairs = np.sort(found, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # fingerprints are few bytes and lie in few partitions; their postings are many
-    spark = prints.sparkSession
-    spread = prints.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
-    postings = spread.select("fp", F.explode(posting_keys(F.col("fp"), distance)).alias("key")).select("fp", "key.n", "key.k")
-    counts = scratch.put(postings.groupBy("n", "k").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
-    shared = scratch.put(postings.join(counts, ["n", "k"]))
-    short = shared.filter(F.col("held") <= LIST).select("fp", "n", F.lit(-1).alias("m"), "k")
-    masks = [(n, m, _signed(x)) for n, mask in enumerate(byte_masks(distance)) for m, x in enumerate(half_byte_masks(mask, distance))]
-    further = F.broadcast(spark.createDataFrame(masks, "n byte, m int, mask long"))  # a fixed number of rows
-    long = shared.filter(F.col("held") > LIST).join(further, "n").select("fp", "n", "m", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
-    lists = short.unionByName(long).groupBy("n", "m", "k").agg(F.collect_list("fp").alias("own")).filter(F.size("own") > 1)
-    return lists.select("own").mapInArrow(run, "a long, b long").distinct()
+    spread = prints.select("fp").repartition(parts, "fp")
+    postings = spread.select("fp", F.explode(F.array(*[F.lit(n).cast("byte") for n in range(len(masks))])).alias("n"))
+    # the key follows from fingerprint and choice, so it need not be sent along
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("n") + 1))
+    dealt = postings.repartition(max(parts, -(-prints.count() * len(masks) // POSTINGS)), F.col("n"), key)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -156,11 +168,9 @@ def near_duplicates(
     whole. Only ids and fingerprints leave the scan: texts are read once and
     never shuffled.
     """
-    scratch = Scratch(docs.sparkSession)
     prints = cut(fingerprints(docs, width, id_col, text_col))
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = components(links(scratch, least.select("fp"), distance), "a", "b")
-    scratch.remove()
+    members = components(links(least.select("fp"), distance), "a", "b")
     grouped = cut(members.join(least, members.node == least.fp).select("fp", "root", "least"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(named, "root").select("fp", "component_id")

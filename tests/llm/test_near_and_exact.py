@@ -8,7 +8,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from foliograph.llm import exact, simhash
-from foliograph.llm.common import Scratch
 from foliograph.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id int, keep_id int, recipe string"
@@ -60,6 +59,22 @@ def test_components_on_small_tables_match_brute_force(spark, sf_dir):
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in rows} == {i: (prints[i], expected[i]) for i in docs}
 
 
+def brute_like(entries, pairs):
+    """The least entry that links reach, for each; links are real."""
+    root = {int(x): int(x) for x in entries}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        assert (int(a) ^ int(b)).bit_count() <= 3
+        lo, hi = sorted((find(int(a)), find(int(b))))
+        root[hi] = lo
+    return {x: find(x) for x in root}
+
+
 def test_links_of_random_fingerprints_match_brute_force(spark):
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(40)]
@@ -70,12 +85,15 @@ def test_links_of_random_fingerprints_match_brute_force(spark):
     values = sorted(set(values))
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     expected = brute_components(list(zip(signed, values, strict=True)))
-    for longest in (simhash.LIST, 1, 2):  # with lists of any length keyed further
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    found = {r.node: r.root for r in components(links, "a", "b").collect()}
+    assert {x: found.get(x, x) for x in signed} == {x: min(y for y in signed if expected[y] == expected[x]) for x in signed}
+    y2 = dict(zip(values, signed, strict=True)).__getitem__
+    for longest in (2, 3, simhash.LIST):  # with lists of any length keyed further
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(simhash, "LIST", longest)
-            links = simhash.links(Scratch(spark), spark.createDataFrame([(x,) for x in signed], "fp long"))
-            found = {r.node: r.root for r in components(links, "a", "b").collect()}
-        assert {x: found.get(x, x) for x in signed} == {x: min(y for y in signed if expected[y] == expected[x]) for x in signed}
+            own = [p for m in simhash.byte_masks(3) for p in np.concatenate(list(simhash._forest(np.array(values, np.uint64), m, 3)))]
+        assert brute_like(np.array(values, np.uint64), own) == {x: min(y for y in values if expected[y2(y)] == expected[y2(x)]) for x in values}
 
 
 def test_a_long_list_is_keyed_further(spark):
@@ -85,7 +103,7 @@ def test_a_long_list_is_keyed_further(spark):
     free = np.unique(np.concatenate([free, free ^ np.uint64(1 << 3) ^ np.uint64(1 << 12)]))
     values = free | np.uint64(0xABCDEF0123 << 24)
     distinct = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    found = {r.node: r.root for r in components(simhash.links(Scratch(spark), distinct), "a", "b").collect()}
+    found = {r.node: r.root for r in components(simhash.links(distinct), "a", "b").collect()}
     near = np.bitwise_count(free[:, None] ^ free[None, :]) <= 3
     root = np.arange(len(free))
     while True:  # the least index that each reaches
