@@ -213,3 +213,39 @@ def notes(**values: Column) -> Column:
     """``key: value`` strings of the values that are above zero or not empty."""
     parts = [F.when(v.cast("string").isNotNull() & ~v.cast("string").isin("", "0"), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in values.items()]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+def inline_format(c: Column | str, bold: Column, italic: Column, strike: Column, underline: Column, superscript: Column, subscript: Column) -> Column:
+    """A run with its formats: Markdown marks where they are safe, else HTML tags.
+
+    Tags are for formats without a mark, and for texts that hold marks or begin
+    or end with ASCII punctuation. White space stays outside; blank text stays
+    as it is.
+    """
+    text = _col(c)
+    lead, tail, body = F.regexp_extract(text, r"(?U)^(\s*)", 1), F.regexp_extract(text, r"(?U)(\s*)$", 1), trim(text)
+    basic, only_html = bold | italic | strike, underline | superscript | subscript
+    conflict = body.rlike(r"[*_~]|^[!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]$")
+    marks = F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
+    struck = F.when(strike, "~~").otherwise("")
+    marked = F.concat(struck, marks, markdown(body), marks, struck)
+    in_html = tagged(html(body), {"sub": subscript, "sup": superscript, "u": underline, "del": strike, "em": italic, "strong": bold})
+    wrapped = F.when(only_html | (basic & conflict), in_html).otherwise(marked)
+    plain = ~(basic | only_html)
+    return F.when(text == "", "").when(plain, markdown(text)).when(body == "", text).otherwise(F.concat(lead, wrapped, tail))
+
+
+def audit_key(path: Column) -> Column:
+    """A container path as one key."""
+    return F.array_join(path, "/")
+
+
+def render_frontmatter(title: Column, author: Column, created: Column, subject: Column, keywords: Column, modified: Column) -> Column:
+    """A front matter block of the fields that are there; strings that YAML would read otherwise are quoted."""
+    risky = r"^$|^[-?:,\[\]{}#&*!|>'\"%@` ]|: |:$| #| $|[\n\t]|^(?i:true|false|null|yes|no|on|off|~)$|^[-+.]?[0-9][0-9_.,eE+-]*$"
+    safe = lambda v: F.when(v.rlike(risky), F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(v)
+    line = lambda k, v, pad="": F.when(v.isNotNull(), F.concat(F.lit(f"{pad}{k}: "), safe(v), F.lit("\n"))).otherwise("")
+    listed = F.array_join(F.transform(keywords, lambda k: F.concat(F.lit("  - "), safe(k), F.lit("\n"))), "")
+    listed = F.when(F.size(keywords) > 0, F.concat(F.lit("  keywords:\n"), listed)).otherwise("")
+    inner = F.concat(listed, line("modified", modified, "  "), line("subject", subject, "  "))
+    return F.concat(F.lit("---\n"), line("title", title), line("author", author), line("date", created), F.when(inner != "", F.concat(F.lit("metadata:\n"), inner)).otherwise(""), F.lit("---\n"))

@@ -88,3 +88,10 @@ def semantic_counts(controls: DataFrame, kind: str = "kind") -> DataFrame:
     return controls.withColumn("__k", first).groupBy("doc_id", "section").agg(
         *[F.count_if(F.col("__k") == n).alias(a) for n, a in names.items()], *[F.coalesce(F.bool_or(F.col("__k") == n), F.lit(False)).alias(a) for n, a in has.items()]
     )
+
+
+def totals(sections: DataFrame) -> DataFrame:
+    """One row for each document: sums over the rows of ``summary``, and how many sections have which parts."""
+    sums = ("paragraphs", "non_empty", "deep_paragraphs", "tables", "images", "text_boxes", "ole_objects", "lines", "rectangles", "polygons")
+    flags = {"headers": F.col("has_header"), "footers": F.col("has_footer"), "page_numbers": F.col("page_number").isNotNull(), "landscape": F.col("landscape")}
+    return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), *[F.sum(c).alias(c) for c in sums], *[F.count_if(c).alias(n) for n, c in flags.items()])

@@ -123,3 +123,42 @@ def path_inventory(pages: DataFrame, id_col: str, markup: str) -> DataFrame:
     """Count of each element of a markup column, by document."""
     names = F.transform(F.regexp_extract_all(F.col(markup), F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
     return pages.select(id_col, F.explode(names).alias("element")).groupBy(id_col, "element").agg(F.count(F.lit(1)).alias("n"))
+
+
+def audit_snapshot(paragraphs: DataFrame, controls: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(doc_id, section, metric, key, other, n): counts of a parse by section, and by document where section is null.
+
+    Paragraphs have a container and the kind of their owner, controls a
+    container and a kind, unresolved items a container that may be null. All
+    metrics are counted in one pass over grouping sets.
+    """
+    none = F.lit(None).cast("string")
+
+    def tagged(df: DataFrame, metric: str, key: Column, other: Column = none) -> DataFrame:
+        return df.select("doc_id", "section", F.lit(metric).alias("metric"), key.cast("string").alias("key"), other.cast("string").alias("other"))
+
+    container = F.col("container")
+    rows = tagged(paragraphs, "container", container).unionByName(tagged(controls, "container", container))
+    for part in (
+        tagged(paragraphs, "paragraph_container", container),
+        tagged(controls, "control_container", container),
+        tagged(unresolved, "unresolved_container", container),
+        tagged(controls, "control", F.col("kind")),
+        tagged(paragraphs.filter("owner_kind IS NOT NULL"), "container_owner", container, F.col("owner_kind")),
+        tagged(controls, "container_control", container, F.col("kind")),
+    ):
+        rows = rows.unionByName(part)
+    keys = [F.col(c) for c in ("doc_id", "metric", "key", "other")]
+    return rows.groupingSets([[*keys, F.col("section")], keys], *keys, F.col("section")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", "section", "metric", "key", "other", "n")
+
+
+def with_emptiness(parents: DataFrame, children: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Parents with whether they have no child at all; blank children count."""
+    there = children.select(*on).distinct().withColumn("__some", F.lit(True))
+    return parents.join(there, list(on), "left").withColumn("is_empty", F.col("__some").isNull()).drop("__some")
+
+
+def list_reference(kind: Column, level: Column, checked: Column) -> list[Column]:
+    """heading, level and checked of a paragraph's list reference: outline, number, bullet, or a bullet to check."""
+    heading = F.when(kind == "CheckBullet", "BULLET").when(kind.isin("Outline", "Number", "Bullet"), F.upper(kind)).otherwise("NONE")
+    return [heading.alias("heading"), F.when(heading != "NONE", level).alias("level"), F.when(kind == "CheckBullet", checked).alias("checked")]

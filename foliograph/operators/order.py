@@ -123,3 +123,15 @@ def split_runs(texts: DataFrame, runs: DataFrame, keys: Sequence[str], text: str
     piece = lambda r, i: F.struct(r[start].alias(start), r[shape].alias(shape), F.substring(F.col(text), (r[start] + 1).cast("int"), (end(i) - r[start]).cast("int")).alias("piece"))
     pieces = texts.join(every, list(keys)).select(*keys, F.explode(F.transform("__every", piece)).alias("__p"))
     return pieces.select(*keys, f"__p.{start}", f"__p.{shape}", "__p.piece").filter("piece <> ''")
+
+
+def path_order(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a path inventory numbered by section, path, kind, reference and text; what is missing comes first."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in ("section", "path", "kind", "ref_id", "text")])
+    return rows.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def by_place(rows: DataFrame, keys: Sequence[str], place: str, order: Sequence[str], number: str = "number") -> DataFrame:
+    """Rows numbered through the body, then the headers, then the footers, each in its own order."""
+    rank = F.array_position(F.array(*map(F.lit, ("body", "header", "footer"))), F.col(place))
+    return rows.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(rank, *order)) - 1)

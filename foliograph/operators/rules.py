@@ -80,3 +80,43 @@ def patch_guard(slots: DataFrame) -> DataFrame:
         .when((F.col("text_base") != F.col("text_new")) & needs_inline_markup("text_new"), "inline markup needed")
     )
     return slots.withColumn("refused", reason).withColumn("changed", F.coalesce(F.col("text_base") != F.col("text_new"), F.lit(False)))
+
+
+def graph_issues(frames: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, issue, a, b) of a legacy document's graph, each once: repeated ids, references to nothing, and summaries that differ.
+
+    Frames: sections (section_id), paragraphs (paragraph_id, owner, control_ids,
+    inline_control_ids, text, inline_text), controls (node_id, anchor), edges
+    (from_id, to_id) and unresolved (item_id, section_id), all with doc_id. Every
+    reference is an anti-join within its document.
+    """
+    sections, paragraphs, controls, edges, unresolved = (frames[n] for n in ("sections", "paragraphs", "controls", "edges", "unresolved"))
+
+    def row(df: DataFrame, issue: str, a: str, b: str | None = None) -> DataFrame:
+        return df.select("doc_id", F.lit(issue).alias("issue"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"))
+
+    def repeated(df: DataFrame, key: str, issue: str) -> DataFrame:
+        return row(df.groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), issue, key)
+
+    def loose(df: DataFrame, own: str, ref: str, targets: DataFrame, key: str, issue: str) -> DataFrame:
+        refs = df.filter(F.col(ref).isNotNull()).select("doc_id", F.col(own).alias("__a"), F.col(ref).alias("__b"))
+        there = targets.select("doc_id", F.col(key).alias("__b")).distinct()
+        return row(refs.join(there, ["doc_id", "__b"], "left_anti"), issue, "__a", "__b")
+
+    held = paragraphs.select("doc_id", "paragraph_id", F.explode("control_ids").alias("control_id"))
+    swapped = edges.select("doc_id", "from_id", "to_id")
+    parts = [
+        repeated(sections, "section_id", "DuplicateSectionId"),
+        repeated(paragraphs, "paragraph_id", "DuplicateParagraphId"),
+        repeated(controls, "node_id", "DuplicateControlId"),
+        repeated(unresolved, "item_id", "DuplicateUnresolvedId"),
+        row(paragraphs.filter(~F.col("text").eqNullSafe(F.col("inline_text"))), "ParagraphTextSummaryMismatch", "paragraph_id"),
+        row(paragraphs.filter(~F.col("control_ids").eqNullSafe(F.col("inline_control_ids"))), "ParagraphControlInventoryMismatch", "paragraph_id"),
+        loose(held, "paragraph_id", "control_id", controls, "node_id", "DanglingParagraphControlRef"),
+        loose(paragraphs, "paragraph_id", "owner", controls, "node_id", "DanglingParagraphOwnerControlRef"),
+        loose(controls, "node_id", "anchor", paragraphs, "paragraph_id", "DanglingControlAnchorParagraphRef"),
+        loose(swapped, "to_id", "from_id", controls, "node_id", "DanglingControlEdgeFrom").select("doc_id", "issue", F.col("b").alias("a"), F.col("a").alias("b")),
+        loose(swapped, "from_id", "to_id", controls, "node_id", "DanglingControlEdgeTo"),
+        loose(unresolved, "item_id", "section_id", sections, "section_id", "DanglingUnresolvedSectionRef"),
+    ]
+    return integrity(*parts)

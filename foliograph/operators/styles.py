@@ -34,11 +34,22 @@ def with_base_font(fonts: DataFrame, face: str, old: str, preset: str) -> DataFr
     return fonts.withColumn("new_face", F.when(F.col(face) == old, F.lit(PRESETS[preset])).otherwise(F.col(face)))
 
 
-def merge_borders(child: DataFrame, parent: DataFrame, key: str, sides: Sequence[str], default: str = "NONE") -> DataFrame:
-    """Border fills with each side from the child, else the parent, else the default; keys of both."""
-    a = child.select(key, *[F.col(s).alias(f"{s}_c") for s in sides])
-    b = parent.select(key, *[F.col(s).alias(f"{s}_p") for s in sides])
-    return a.join(b, key, "full_outer").select(key, *[F.coalesce(f"{s}_c", f"{s}_p", F.lit(default)).alias(s) for s in sides])
+def merge_borders(child: DataFrame, parent: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
+    """Border fills of both: border and fill each whole from the child, else from the parent, else the default."""
+    a = child.select(key, *[F.col(c).alias(f"{c}_c") for c in defaults])
+    b = parent.select(key, *[F.col(c).alias(f"{c}_p") for c in defaults])
+    return a.join(b, key, "full_outer").select(key, *[F.coalesce(f"{c}_c", f"{c}_p", F.lit(d)).alias(c) for c, d in defaults.items()])
+
+
+def border_images(styles: DataFrame, keys: Sequence[str], image: str) -> DataFrame:
+    """The images that each document's border fills ask for: distinct ids in order."""
+    return styles.filter(F.col(image).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(image)).alias("images"))
+
+
+def builtin_styles(spark, version: str = "modern") -> DataFrame:  # type: ignore[no-untyped-def]
+    """Built-in styles of a version, a style's place as its id."""
+    rows = [(version, i, *own) for i, own in enumerate(style_set(version))]
+    return spark.createDataFrame(rows, "version string, id int, name string, english string, kind string, char_shape int, para_shape int")
 
 
 def merge(child: dict[str, Column], parent: dict[str, Column], defaults: dict[str, object]) -> list[Column]:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.schema import LIMITS, TAG_NAMES
@@ -317,6 +317,12 @@ def tag_census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).withColumn("name", named)
 
 
+def stream_sizes(rows: DataFrame) -> DataFrame:
+    """Streams of each file with size and place by name, in the order of bytes."""
+    streams = rows.filter("kind = 'Stream'")
+    return streams.select("doc_id", "path", "size", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).alias("rank"))
+
+
 def convert(nested: DataFrame) -> DataFrame:
     """(doc_id, content) packages of the paragraphs of decoded files; files that could not be read give none."""
     from foliograph.sources.packages import encode
