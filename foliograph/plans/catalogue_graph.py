@@ -234,7 +234,7 @@ def ref_container_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH t AS (SELECT p_partkey, p_size, '  ' || p_name || CASE WHEN p_size % 5 = 0 THEN '!' ELSE '' END || ' ' AS raw, p_name || CASE WHEN p_size % 5 = 0 THEN '!' ELSE '' END AS body, p_size > 25 AS b, p_size % 2 = 0 AS i, p_size % 3 = 0 AS s, p_size > 45 AS u, p_size % 5 = 0 AS punct FROM part),
     h AS (SELECT *, CASE WHEN b THEN '<strong>' || body || '</strong>' ELSE body END AS h1 FROM t),
-    m AS (SELECT *, CASE WHEN i THEN '<em>' || h1 || '</em>' ELSE h1 END AS h2, CASE WHEN b AND i THEN '***' WHEN b THEN '**' WHEN i THEN '*' ELSE '' END AS mark, CASE WHEN punct THEN p_name || '\\!' ELSE body END AS md FROM h),
+    m AS (SELECT *, CASE WHEN i THEN '<em>' || h1 || '</em>' ELSE h1 END AS h2, CASE WHEN b AND i THEN '***' WHEN b THEN '**' WHEN i THEN '*' ELSE '' END AS mark FROM h),
     n AS (SELECT *, CASE WHEN s THEN '<del>' || h2 || '</del>' ELSE h2 END AS h3 FROM m)
     SELECT p_partkey, CASE WHEN NOT (b OR i OR s OR u) THEN raw WHEN u THEN '  <u>' || h3 || '</u> ' WHEN punct THEN '  ' || h3 || ' '
            ELSE '  ' || CASE WHEN s THEN '~~' ELSE '' END || mark || body || mark || CASE WHEN s THEN '~~' ELSE '' END || ' ' END AS shown FROM n
