@@ -61,11 +61,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+    return int(_majority(hashes)[0])
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes, as one integer."""
     ones, step = np.zeros(BITS, np.int64), 1 << 16
     for i in range(0, len(hashes), step):
         part = hashes[i : i + step].astype("<u8").view(np.uint8).reshape(-1, BYTES)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,13 +191,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- similarity on word shingles --------------------------------------------------------------------------------
-# An exact set-similarity join with count filtering. Under any order of all shingles, two sets of similarity t share
-# at least m of their first n - ceil(t n) + m. So each set is indexed by that many, with m from 1 + n / SLACK, and the
-# guaranteed minimum of a pair is the smaller m. A pair that shares m of its indexed shingles shares one that is not
-# among the m - 1 most held ones of either; those need not be looked at. As nearly all shingles have one holder, long
-# texts that share a passage and no more drop out there. The first order puts shingles that many texts hold last. Both
-# orders decide how many candidates there are and never which pairs are found. What is left is bounded by sizes,
-# places and a parity bitmap, bounds that no similar pair breaks, and decided on the whole sets.
+# The byte-position index finds texts whose fingerprints differ in three bits at most, the closest of copies; a
+# similarity of 0.8 guarantees no such distance. What that guarantee does not reach is found by the same count
+# filtering on the shingles themselves, an exact set-similarity join. Under any order of all shingles, two sets of
+# similarity t share at least m of their first n - ceil(t n) + m. So each set is indexed by that many, with m from
+# 1 + n / SLACK, and the guaranteed minimum of a pair follows from its two sizes. A pair that shares m of its indexed
+# shingles shares one that is not among the m - 1 most held ones of either; those need not be looked at. As nearly all
+# shingles have one holder, long texts that share a passage and no more drop out there. The first order puts shingles
+# that many texts hold last. Both orders decide how many candidates there are and never which pairs are found. What is
+# left is bounded by sizes, places and a parity bitmap, bounds that no similar pair breaks, and decided on whole sets.
 
 #: Bits of a shingle's heat bucket; bytes of the parity bitmap; shingles for each one that a pair must share more.
 HEAT_BITS, PARITY_BYTES, SLACK = 20, 256, 32
@@ -248,22 +255,22 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def shingled(docs: DataFrame, order: np.ndarray, similarity: float, width: int, text_col: str = "text") -> DataFrame:
-    """(id, text_key, digest, n, bits, keys) of each text's distinct shingles; one row per input row."""
+    """(id, text_key, digest, fp, n, bits, keys) of each text's distinct shingles; one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in windows(batches, "body"):
             out = []
             for text in batch.column(2).to_pylist():
                 own = shingles(text, width)
                 first = np.lexsort((own, order[own >> np.uint64(64 - HEAT_BITS)]))[: indexed(len(own), similarity)]
                 odd = np.bincount((own % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES) & 1
-                out.append((_digest(own), len(own), np.packbits(odd.astype(np.uint8)).view(np.int64), own[first].view(np.int64)))
+                out.append((_digest(own), _majority(own).view(np.int64)[0], len(own), np.packbits(odd.astype(np.uint8)).view(np.int64), own[first].view(np.int64)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_key", "digest", "n", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_key", "digest", "fp", "n", "bits", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(run, "id long, text_key long, digest binary, n long, bits array<long>, keys array<long>")
+    return rows.mapInArrow(run, "id long, text_key long, digest binary, fp long, n long, bits array<long>, keys array<long>")
 
 
 def _text_key(text: Column) -> Column:
@@ -384,12 +391,22 @@ def entries_of(scratch: Scratch, distinct: DataFrame, similarity: float) -> Data
     return scratch.put(kept.join(lists, "key").select("node", "n", "key", "left", "held", part.alias("part")))
 
 
+def near_prints(scratch: Scratch, distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b), a < b: texts whose fingerprints are equal or linked by the byte-position index, by one text of each fingerprint."""
+    first = scratch.put(distinct.groupBy("fp").agg(F.min("node").alias("first")))
+    same = distinct.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    sides = [first.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab"]
+    linked = links(first.select("fp"), distance).join(sides[0], "a").join(sides[1], "b")
+    return same.unionByName(linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def similar_links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(a, b) links whose components are those of all similar pairs of the rows (node, id, text_key, n, bits, keys)."""
+    """(a, b) links whose components are those of all similar pairs of the rows (node, id, text_key, fp, n, bits, keys)."""
     dealt = entries_of(scratch, distinct, similarity)
-    # first the true families, in about as many pairs as they have entries
+    # first the true families, in about as many pairs as they have entries: by the fingerprints, and by stars in the lists
     lists = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "left")).alias("entries"))
-    links = verified(scratch, docs, distinct, scratch.put(_pairs(lists, similarity, every=False)), similarity, width)
+    first = scratch.put(_pairs(lists, similarity, every=False).unionByName(near_prints(scratch, distinct)).distinct())
+    links = verified(scratch, docs, distinct, first, similarity, width)
     # then every pair of a list that is not in one group yet; part i meets part j, i <= j, in a task of their own
     groups = scratch.put(components(links, "a", "b").withColumnRenamed("node", "member"))
     rooted = dealt.filter("held > 2").join(groups, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
@@ -413,8 +430,8 @@ def chosen_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     named = docs.filter(F.col("doc_id").isNotNull())
     rows = shingled(named, heat(named, width), similarity, width)
     first = F.min(F.struct("id", "text_key")).alias("first")
-    sets = rows.groupBy("digest").agg(first, *(F.first(c).alias(c) for c in ("n", "bits", "keys")))
-    distinct = scratch.put(sets.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.text_key", "n", "bits", "keys"))
+    sets = rows.groupBy("digest").agg(first, *(F.first(c).alias(c) for c in ("fp", "n", "bits", "keys")))
+    distinct = scratch.put(sets.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.text_key", "fp", "n", "bits", "keys"))
     members = components(similar_links(scratch, named, distinct, similarity, width), "a", "b").withColumnRenamed("node", "member")
     own = distinct.select("node", "id", "text_key").join(members, F.col("node") == F.col("member"), "left")
     chosen = own.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "text_key")).alias("first"))

@@ -283,6 +283,18 @@ def test_every_pair_of_a_long_list_is_compared(spark, monkeypatch):
     assert pairs == set(combinations(range(9), 2))
 
 
+def test_a_family_of_thousands_is_one_group(spark):
+    """Each of 4,500 texts is similar to the first and to hardly any other, in lists of more than one part."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(4500):
+        at = i % 60
+        rows.append((i + 1, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])))
+    rows += [(10_000 + i, " ".join(f"y{i}z{j}" for j in range(60))) for i in range(300)]
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert kept == {0, *range(10_000, 10_300)}
+
+
 def test_long_texts_that_share_passages_match_brute_force(spark):
     """Texts long enough that a pair has to share several shingles, with passages in common, copies and parts."""
     rng = random.Random(24)

@@ -75,5 +75,19 @@ def test_run_returns_what_the_stages_give(spark):
 
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 0")
-    for _, stage in corpus_pipeline.STAGES[:3]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_nulls_ties_and_clashing_columns(spark, tmp_path):
+    """Every stage takes rows without text or id, repeated rows and columns with names of its own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    odd = docs.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars").unionByName(docs.limit(3)).unionByName(docs.limit(2).selectExpr("doc_id + 90000000 AS doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars"))
+    own = docs.unionByName(odd).selectExpr("*", "1 AS shard", "2 AS row", "3 AS id", "4 AS text_key", "5 AS node", "'x' AS body", "6 AS domain", "7 AS part")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, own, SF)
+        if name != "sharding":
+            assert out.columns == own.columns
+        out.write.parquet(str(tmp_path / name))
+        own = spark.read.parquet(str(tmp_path / name))
+        assert own.count() > 0
