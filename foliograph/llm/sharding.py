@@ -33,6 +33,8 @@ from foliograph.llm.common import Scratch, remove, shared_folder, table, text_by
 
 #: The layout that the query brings to eight shards: shards, files of a shard, atoms of a file.
 OLD_SHARDS, FILES, ATOMS = 6, 64, 64
+#: Text that one task writes to a file at most.
+TASK_BYTES = 256 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -160,9 +162,9 @@ def _atom(text: Column, atoms: int) -> Column:
 
 
 def _write(rows: DataFrame, path: str, version: int) -> None:
-    """Rows (row, shard, file) as folders of a version; a file with many bytes is written by several tasks."""
+    """Rows (row, shard, file) as folders of a version; a file with many bytes is written by as many tasks as it asks for."""
     held = rows.groupBy("shard", "file").agg(F.sum(F.length(text_bytes("row.text")) + 1).alias("bytes")).collect()
-    part = max(1, 2 * sum(r["bytes"] for r in held) // max(len(held), 1))
+    part = min(TASK_BYTES, max(1, 2 * sum(r["bytes"] for r in held) // max(len(held), 1)))
     parts = rows.sparkSession.createDataFrame([(r["shard"], r["file"], -(-r["bytes"] // part)) for r in held], "shard int, file int, parts long")
     dealt = rows.join(F.broadcast(parts), ["shard", "file"])  # a row for each file
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))).repartition("shard", "file", "part")
