@@ -9,27 +9,32 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import deep, lookup, styled, styles, validate
 from foliograph.operators.styles import frontmatter
+from foliograph.plans.staging import settled
 from foliograph.schema import PRESETS
 from foliograph.sources import compound, exchange, markdown, packages, patching
 
 
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    """Packages of a folder, each opened and parsed once however many frames are read."""
+    return settled(packages.read(spark, path))
+
+
 def _frames(nested: DataFrame) -> dict[str, DataFrame]:
     return {n: packages.frame(nested, n) for n in packages.PARTS}
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """Counts of each section of each package, shallow and deep."""
-    f = _frames(packages.read(spark, path))
-    return deep.deep_counts(f["paragraphs"], f["runs"], f["controls"])
+    return deep.summary(_frames(_decoded(spark, path)))
 
 
 def to_md(spark: SparkSession, path: str) -> DataFrame:
     """Style-aware Markdown of each package."""
-    return styled.markdown(_frames(packages.read(spark, path)))
+    return styled.markdown(_frames(_decoded(spark, path)))
 
 
 def to_json(spark: SparkSession, path: str, section: int | None = None) -> DataFrame:
-    f = _frames(packages.read(spark, path))
+    f = _frames(_decoded(spark, path))
     return exchange.to_json(exchange.documents(f["paragraphs"], f["runs"]), section)
 
 
@@ -45,12 +50,12 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
 
 def check(spark: SparkSession, path: str) -> DataFrame:
     """Validity and first issue of each package."""
-    nested = packages.read(spark, path)
+    nested = _decoded(spark, path)
     return validate.validate(nested.select("doc_id"), _frames(nested))
 
 
 def convert(spark: SparkSession, path: str, preset: str | None = None) -> DataFrame:
-    """Packages of Markdown files; front matter is taken off."""
+    """Packages of Markdown files; front matter is taken off, and the preset's font stands for the base font."""
     texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("md"))
     body = texts.select("doc_id", *frontmatter(F.col("md"))).select("doc_id", "body")
     blocks = markdown.decode(body, "doc_id", "body")
@@ -59,7 +64,7 @@ def convert(spark: SparkSession, path: str, preset: str | None = None) -> DataFr
     )
     cells = F.flatten(F.transform("rows", lambda r, i: F.transform(r, cell(i))))
     style = F.when(F.col("kind") == "heading", F.col("level") + 1).otherwise(0)
-    return packages.encode(blocks.select("doc_id", "section", "ordinal", "text", style.cast("int").alias("style"), cells.alias("cells")))
+    return packages.encode(blocks.select("doc_id", "section", "ordinal", "text", style.cast("int").alias("style"), cells.alias("cells")), font=PRESETS[preset] if preset else packages.BASE_FONT)
 
 
 def convert_legacy(spark: SparkSession, path: str) -> DataFrame:
@@ -97,11 +102,8 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def restyle(spark: SparkSession, path: str, preset: str) -> DataFrame:
-    """Fonts of each package with the first replaced by the preset's."""
-    fonts = packages.frame(packages.read(spark, path), "fonts")
-    first = fonts.filter("language = 'HANGUL'").groupBy("doc_id").agg(F.min_by("face", "idx").alias("first"))
-    new = F.when(F.col("face") == F.col("first"), F.lit(PRESETS[preset])).otherwise(F.col("face"))
-    return fonts.join(first, "doc_id", "left").withColumn("new_face", new).drop("first")
+    """Packages whose first font has the preset's face wherever it occurs; everything else stays as it is."""
+    return patching.restyle(spark.read.format("binaryFile").load(path), PRESETS[preset])
 
 
 def patch(spark: SparkSession, path: str, changes: str) -> DataFrame:
@@ -112,7 +114,7 @@ def patch(spark: SparkSession, path: str, changes: str) -> DataFrame:
 
 def issues(spark: SparkSession, path: str) -> DataFrame:
     """Every issue and reader warning of each package."""
-    nested = packages.read(spark, path)
+    nested = _decoded(spark, path)
     frames = _frames(nested)
     found = validate.issues(nested.select("doc_id"), frames).select("doc_id", "code", F.col("rule").alias("detail"))
     return reduce(DataFrame.unionByName, [found, frames["warnings"]])

@@ -523,14 +523,18 @@ def _control(c: dict[str, Any]) -> str:
     return f'<hp:{name}{chart}><hp:sz width="{c.get("width") or 0}" height="{c.get("height") or 0}"/>{inner}{body}</hp:{name}>'
 
 
-def build(sections: list[list[dict[str, Any]]], parts: dict[str, bytes] | None = None, styles: list[str] = ["Normal"]) -> bytes:  # noqa: B006
+#: Fixed value: the font of packages that name none.
+BASE_FONT = "함초롬돋움"
+
+
+def build(sections: list[list[dict[str, Any]]], parts: dict[str, bytes] | None = None, styles: list[str] = ["Normal"], font: str = BASE_FONT) -> bytes:  # noqa: B006
     """A package of sections and further parts by path; a block has text, style, a control, and, for a table, cells."""
     box, parts = io.BytesIO(), dict(parts or {})
     with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as out:
         out.writestr(zipfile.ZipInfo("mimetype"), MIMETYPES[0], zipfile.ZIP_STORED)
         named = "".join(f'<hh:style id="{i}" type="PARA" name={quoteattr(s)} engName={quoteattr(s)} paraPrIDRef="0" charPrIDRef="0"/>' for i, s in enumerate(styles))
         usual = (
-            '<hh:fontfaces><hh:fontface lang="HANGUL"><hh:font id="0" face="함초롬돋움"/></hh:fontface></hh:fontfaces>'
+            f'<hh:fontfaces><hh:fontface lang="HANGUL"><hh:font id="0" face={quoteattr(font)}/></hh:fontface></hh:fontfaces>'
             '<hh:charProperties><hh:charPr id="0" height="1000" textColor="#000000"><hh:fontRef hangul="0"/></hh:charPr></hh:charProperties>'
             f'<hh:paraProperties><hh:paraPr id="0"><hh:align horizontal="LEFT"/></hh:paraPr></hh:paraProperties><hh:styles>{named}</hh:styles>'
         )
@@ -551,7 +555,7 @@ CELL = "struct<row: int, column: int, col_span: int, row_span: int, is_header: b
 CONTROL = "struct<kind: string, width: int, height: int, detail: string, hint: string, text: string, points: array<struct<x: int, y: int>>>"
 
 
-def encode(blocks: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+def encode(blocks: DataFrame, parts: DataFrame | None = None, font: str = BASE_FONT) -> DataFrame:
     """(doc_id, content) packages of blocks (doc_id, section, ordinal, text, style, cells, control).
 
     The last three may be missing. ``parts`` (doc_id, path, data) are further
@@ -578,7 +582,7 @@ def encode(blocks: DataFrame, parts: DataFrame | None = None) -> DataFrame:
                 for b in sorted(map(dict, map(plain, blocks)), key=lambda b: (b["section"], b["ordinal"])):
                     cells = [dict(plain(c)) for c in b["cells"]] if b["cells"] is not None else None
                     sections.setdefault(b["section"], []).append(b | {"cells": cells, "control": plain(b["control"])})
-                made.append(build(list(sections.values()), {plain(x)["path"]: bytes(plain(x)["data"]) for x in extra} if extra is not None else None))
+                made.append(build(list(sections.values()), {plain(x)["path"]: bytes(plain(x)["data"]) for x in extra} if extra is not None else None, font=font))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "content": made})
 
     return whole.mapInPandas(run, "doc_id string, content binary")

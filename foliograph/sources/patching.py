@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 from xml.parsers import expat
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_FACE = re.compile(r"""(<(?:\w+:)?font\b[^>]*?\bface=)("[^"]*"|'[^']*')""")
+
+
 class Slot(NamedTuple):
     path: str
     text: str
@@ -133,3 +137,36 @@ def apply(files: DataFrame, changes: DataFrame) -> DataFrame:
 
     joined = files.select(F.col("path").alias("doc_id"), "content").join(own, "doc_id", "left")
     return joined.mapInPandas(run, "doc_id string, content binary, error string")
+
+
+def with_font(data: bytes, face: str) -> bytes:
+    """The package with another face for its first font, wherever that stands in the header."""
+    with zipfile.ZipFile(io.BytesIO(data)) as box:
+        if "Contents/header.xml" not in box.namelist():
+            raise Refused("no header part")
+        xml = box.read("Contents/header.xml").decode()
+        first = _FACE.search(xml)
+        if first is None:
+            return data
+        new = _FACE.sub(lambda m: f"{m[1]}{quoteattr(face)}" if m[2] == first[2] else m[0], xml)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as target:
+            for info in box.infolist():
+                target.writestr(info, new.encode() if info.filename == "Contents/header.xml" else box.read(info))
+    return out.getvalue()
+
+
+def restyle(files: DataFrame, face: str) -> DataFrame:
+    """(doc_id, content, error): packages with another face for their first font; one that cannot be read keeps its bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[Any, bytes, str | None]] = []
+            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+                try:
+                    out.append((doc, with_font(bytes(content), face), None))
+                except (Refused, zipfile.BadZipFile, UnicodeDecodeError) as e:
+                    out.append((doc, bytes(content), str(e)))
+            yield pd.DataFrame(out, columns=["doc_id", "content", "error"]).astype({"error": "object"})
+
+    return files.select(F.col("path").alias("doc_id"), "content").mapInPandas(run, "doc_id string, content binary, error string")

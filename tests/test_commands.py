@@ -17,6 +17,7 @@ def test_commands_over_folders(spark, tmp_path, capsys):
     rows = commands.convert(spark, str(md)).collect()
     (made / "a.zip").write_bytes(bytes(rows[0].content))
     found = {r.section: (r.paragraphs, r.deep_paragraphs, r.tables) for r in commands.inspect(spark, str(made)).collect()}
+    assert packages.parse(bytes(commands.convert(spark, str(md), "classic").head().content))["fonts"][0]["face"] == "바탕"
     assert found == {0: (3, 4, 1), 1: (1, 1, 0)}
     text = commands.to_md(spark, str(made)).head().markdown
     assert "text here" in text and "| c1 |" in text and text.endswith("second")
@@ -27,7 +28,10 @@ def test_commands_over_folders(spark, tmp_path, capsys):
     (js / "a.json").write_text(exported)
     again = packages.parse(bytes(commands.from_json(spark, str(js)).head().content))
     assert [r["text"] for r in again["runs"]] == ["Head", "text here", "second"]
-    assert {r.new_face for r in commands.restyle(spark, str(made), "modern").collect()} == {"맑은 고딕"}
+    restyled = commands.restyle(spark, str(made), "modern").collect()
+    assert [(packages.parse(bytes(r.content))["fonts"][0]["face"], r.error) for r in restyled] == [("맑은 고딕", None)]
+    old = packages.parse((made / "a.zip").read_bytes())
+    assert [r["text"] for r in packages.parse(bytes(restyled[0].content))["runs"]] == [r["text"] for r in old["runs"]]
     slot = packages.parse((made / "a.zip").read_bytes())
     assert slot["warnings"] == []
     from foliograph.sources.patching import export
