@@ -484,7 +484,7 @@ def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_legacy_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of legacy compound files with compressed streams."""
     found = compound.frame(compound.decode(_legacy(spark, sf_dir)), "paragraphs").filter("text <> ''")
-    return found.select("doc_id", "section", F.expr("CAST((ordinal - 1) div 2 AS INT)").alias("turn"), "text")
+    return found.select("doc_id", "section", F.col("ordinal").alias("turn"), "text")
 
 
 @query("""
@@ -513,6 +513,43 @@ def ref_legacy_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "section", n.alias("ordinal"), "text")
 
 
+@query("""
+    WITH c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS "row",
+                      row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) - 1 AS "column" FROM lineitem)
+    SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST("row" AS INTEGER) AS "row", CAST("column" AS INTEGER) AS "column", CAST(l_linenumber AS INTEGER) AS col_span, CAST(l_partkey AS INTEGER) AS width, CAST(l_suppkey AS INTEGER) AS height,
+           l_linestatus = 'F' AS is_header, l_returnflag || chr(10) || l_linestatus AS text, 'table/tc/subList' AS container FROM c
+""")
+def ref_legacy_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of tables in legacy record streams, with the paragraphs inside them."""
+    lines = _t(spark, sf_dir, "lineitem")
+    row = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    column = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_ROW[1:])) - 1
+    cell = F.struct(row.alias("row"), column.alias("column"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    own = lines.select("l_orderkey", cell.alias("c")).groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list("c")).alias("own"))
+
+    @F.pandas_udf("binary")
+    def made(tables: pd.Series) -> pd.Series:
+        units = lambda text: text.encode("utf-16-le")
+        head, paragraph = _LEGACY.ljust(32, b"\0") + struct.pack("<II", 0x05010100, 0), bytes(24)
+
+        def one(cells: list[dict]) -> bytes:  # type: ignore[type-arg]
+            r = compound.make_record
+            body = [r(66, 0, paragraph), r(67, 1, units("table")), r(71, 1, b" lbt"), r(77, 2, struct.pack("<IHH", 6, 1, 1))]
+            for c in cells:
+                marks = layouts.HEADER_CELL if c["l_linestatus"] == "F" else 0
+                place = struct.pack("<4H2i4hH", c["column"], c["row"], c["l_linenumber"], 1, c["l_partkey"], c["l_suppkey"], 0, 0, 0, 0, 1)
+                body.append(r(72, 2, struct.pack("<II", 2, marks) + place))
+                body += [r(66, 2, paragraph), r(67, 3, units(c["l_returnflag"])), r(66, 2, paragraph), r(67, 3, units(c["l_linestatus"]))]
+            return compound.build({"FileHeader": head, "BodyText/Section0": b"".join(body)})
+
+        return pd.Series([one(list(t)) for t in tables])
+
+    nested = compound.decode(own.select("path", made("own").alias("content")))
+    inside = compound.frame(nested, "paragraphs").filter("cell IS NOT NULL").groupBy("doc_id", "cell", "container").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("own"))
+    texts = inside.select("doc_id", "cell", "container", F.array_join(F.transform("own", lambda p: p["text"]), "\n").alias("text"))
+    return compound.frame(nested, "cells").join(texts, ["doc_id", "cell"]).select("doc_id", "row", "column", "col_span", "width", "height", "is_header", "text", "container")
+
+
 @query("""
     SELECT p_partkey, CASE WHEN p_size = 7 THEN NULL WHEN p_size > 40 THEN NULL ELSE '5.' || p_size || '.3.4' END AS version, CASE WHEN p_size = 7 THEN false ELSE p_partkey % 2 = 1 END AS compressed,
            CASE WHEN p_size = 7 THEN 'signature' WHEN p_partkey & 2 > 0 THEN 'password' WHEN p_partkey & 4 > 0 THEN 'distribution' WHEN p_size > 40 THEN 'version' END AS problem FROM part

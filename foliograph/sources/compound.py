@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.schema import LIMITS, TAG_NAMES
+from foliograph.schema import LANGUAGES, LIMITS, TAG_NAMES
+from foliograph.sources import layouts
 
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
 _FREE = 0xFFFFFFFA  # sector numbers from here on are marks
@@ -211,6 +212,79 @@ def paragraph_text(data: bytes) -> str:
     return "".join(out)
 
 
+#: Controls by their four letters, and where the paragraphs of each stand.
+_CONTROLS = {
+    "tbl ": ("Table", "table/tc/subList"), "gso ": ("Shape", "rect/drawText/subList"), "head": ("Header", "header/subList"), "foot": ("Footer", "footer/subList"),
+    "fn  ": ("Footnote", "footnote/subList"), "en  ": ("Endnote", "endnote/subList"), "eqed": ("Equation", None), "secd": ("Section", None), "cold": ("Columns", None),
+    "pgnp": ("PageNumber", None), "bokm": ("Bookmark", None), "%hlk": ("Hyperlink", None), "%clk": ("Field", None), "idxm": ("IndexMark", None),
+}
+#: What the payload of a drawing makes of it.
+_DRAWN = {"ShapeComponentLine": "Line", "ShapeComponentRectangle": "Rect", "ShapeComponentEllipse": "Ellipse", "ShapeComponentArc": "Arc", "ShapeComponentPolygon": "Polygon", "ShapeComponentCurve": "Curve", "ShapeComponentOle": "OleObject", "ShapeComponentPicture": "Image"}
+
+
+def body(section: int, found: list[Record]) -> dict[str, list[dict[str, Any]]]:
+    """Paragraphs, controls, tables, cells and style runs of a section's records.
+
+    Levels nest: a control belongs to the paragraph before it, a paragraph to
+    the innermost control that lies above it, and a list header of a table
+    begins a cell. A drawing with a list is a text box; otherwise its one
+    payload names it.
+    """
+    out: dict[str, list[dict[str, Any]]] = {n: [] for n in ("paragraphs", "controls", "tables", "cells", "char_runs", "pages", "warnings")}
+    open_controls: list[tuple[int, dict[str, Any]]] = []
+    paragraph: dict[str, Any] | None = None
+    table_of: dict[int, int] = {}
+    cell_of: dict[int, dict[str, Any]] = {}
+
+    def owner(level: int) -> dict[str, Any] | None:
+        while open_controls and open_controls[-1][0] >= level:
+            open_controls.pop()
+        return open_controls[-1][1] if open_controls else None
+
+    for ordinal, r in enumerate(found):
+        name = TAG_NAMES.get(r.tag)
+        try:
+            if name == "ParaHeader":
+                held = owner(r.level)
+                own = held["control"] if held is not None else None
+                container = held["container"] if held is not None else "body"
+                cell = cell_of.get(own) if own is not None else None
+                shape = struct.unpack_from("<H", r.data, 8)[0] if len(r.data) >= 10 else 0
+                style = r.data[10] if len(r.data) >= 11 else 0
+                paragraph = {"section": section, "ordinal": len(out["paragraphs"]), "level": r.level, "container": container, "owner": own, "cell": cell["cell"] if cell else None, "para_shape": shape, "style": style, "text": ""}
+                out["paragraphs"].append(paragraph)
+            elif name == "ParaText" and paragraph is not None:
+                paragraph["text"] = paragraph_text(r.data)
+            elif name == "ParaCharShape" and paragraph is not None:
+                out["char_runs"] += [{"section": section, "ordinal": paragraph["ordinal"], **x} for x in layouts.char_runs(r.data)]
+            elif name == "CtrlHeader" and paragraph is not None:
+                held = owner(r.level)
+                letters = r.data[:4][::-1].decode("latin-1")
+                kind, container = _CONTROLS.get(letters, (f"Unknown({letters})", f"unknown/{letters.strip()}/subList"))
+                control = {"section": section, "control": len(out["controls"]), "kind": kind, "container": container, "anchor": paragraph["ordinal"], "owner": held["control"] if held is not None else None}
+                out["controls"].append(control)
+                open_controls.append((r.level, control))
+            elif name == "Table" and (held := owner(r.level)) is not None:
+                table_of[held["control"]] = len(out["tables"])
+                out["tables"].append({"section": section, "table": len(out["tables"]), "control": held["control"], **layouts.table(r.data)})
+            elif name == "ListHeader" and (held := owner(r.level)) is not None:
+                if held["control"] in table_of:
+                    cell = {"section": section, "table": table_of[held["control"]], "cell": len(out["cells"]), **layouts.cell(r.data)}
+                    out["cells"].append({k: v for k, v in cell.items() if k != "margin"})
+                    cell_of[held["control"]] = cell
+                elif held["kind"] == "Shape":
+                    held["kind"] = "TextBox"
+            elif name in _DRAWN and (held := owner(r.level)) is not None and held["kind"] == "Shape":
+                held["kind"] = _DRAWN[name]
+            elif name == "PageDef":
+                out["pages"].append({"section": section, **layouts.page(r.data)})
+            elif name is None:
+                out["warnings"].append({"code": 5100, "detail": f"section {section}: tag 0x{r.tag:04X} is not known"})
+        except (ValueError, struct.error) as e:
+            out["warnings"].append({"code": 5101, "detail": f"section {section}, record {ordinal}: {e}"})
+    return out
+
+
 def header(data: bytes) -> dict[str, Any]:
     """Version and flags of the file header, and what forbids reading on."""
     if not data.startswith(b"HWP Document File") or len(data) < 40:
@@ -222,7 +296,7 @@ def header(data: bytes) -> dict[str, Any]:
 
 def parse(data: bytes) -> dict[str, list[dict[str, Any]]]:
     """Rows of entries, records, paragraphs and warnings of one file."""
-    out: dict[str, list[dict[str, Any]]] = {"entries": [], "records": [], "paragraphs": [], "warnings": []}
+    out: dict[str, list[dict[str, Any]]] = {n: [] for n in _PARTS}
     try:
         found = entries(data)
         out["entries"] = [{"path": e.path, "kind": e.kind, "size": len(e.data)} for e in found]
@@ -234,13 +308,20 @@ def parse(data: bytes) -> dict[str, list[dict[str, Any]]]:
         if len(sections) > LIMITS["sections"]:
             raise ValueError("too many sections")
         for name in [n for n in ("DocInfo",) if n in streams] + sections:
-            body = inflate(streams[name]) if head["compressed"] else streams[name]
-            for i, r in enumerate(records(body)):
-                out["records"].append({"stream": name, "ordinal": i, "tag": r.tag, "level": r.level, "size": len(r.data), "data": r.data})
-                if r.tag not in TAG_NAMES:
-                    out["warnings"].append({"code": 5100, "detail": f"{name}: tag 0x{r.tag:04X} is not known"})
-                elif TAG_NAMES[r.tag] == "ParaText":
-                    out["paragraphs"].append({"section": sections.index(name), "ordinal": i, "level": r.level, "text": paragraph_text(r.data)})
+            found_records = list(records(inflate(streams[name]) if head["compressed"] else streams[name]))
+            out["records"] += [{"stream": name, "ordinal": i, "tag": r.tag, "level": r.level, "size": len(r.data), "data": r.data} for i, r in enumerate(found_records)]
+            if name == "DocInfo":
+                info, problems = layouts.read_info((r.tag, r.data) for r in found_records)
+                out["fonts"] = layouts.fonts(info, LANGUAGES)
+                out["char_shapes"] = [{"idx": x["idx"], "size": x["size"], "bold": x["bold"], "italic": x["italic"], "color": x["color"], "font": x["fonts"][0]} for x in info["CharShape"]]
+                out["para_shapes"] = [{k: x[k] for k in ("idx", "alignment", "heading", "level")} for x in info["ParaShape"]]
+                out["styles"] = [{k: x[k] for k in ("idx", "name", "english", "kind", "para_shape", "char_shape")} for x in info["Style"]]
+                out["binaries"] = [{k: x[k] for k in ("idx", "kind", "id", "extension", "storage_name")} for x in info["BinData"]]
+                out["warnings"] += [{"code": 5101, "detail": f"DocInfo: {p}"} for p in problems]
+                out["warnings"] += [{"code": 5100, "detail": f"DocInfo: tag 0x{r.tag:04X} is not known"} for r in found_records if r.tag not in TAG_NAMES]
+                continue
+            for part, rows in body(sections.index(name), found_records).items():
+                out[part] += rows
     except (ValueError, struct.error) as e:
         out["warnings"].append({"code": 5000, "detail": str(e)})
     return out
@@ -285,7 +366,17 @@ def inflated(streams: DataFrame, data: str = "data") -> DataFrame:
 _PARTS = {
     "entries": "path: string, kind: string, size: bigint",
     "records": "stream: string, ordinal: int, tag: int, level: int, size: bigint, data: binary",
-    "paragraphs": "section: int, ordinal: int, level: int, text: string",
+    "paragraphs": "section: int, ordinal: int, level: int, container: string, owner: int, cell: int, para_shape: int, style: int, text: string",
+    "controls": "section: int, control: int, kind: string, container: string, anchor: int, owner: int",
+    "tables": "section: int, table: int, control: int, rows: int, columns: int, page_break: string, repeat_header: boolean, cell_spacing: int, border_fill: int",
+    "cells": "section: int, table: int, cell: int, paragraphs: int, column: int, row: int, col_span: int, row_span: int, width: int, height: int, vertical: string, is_header: boolean, border_fill: int",
+    "char_runs": "section: int, ordinal: int, start: int, shape: int",
+    "pages": "section: int, width: int, height: int, left: int, right: int, top: int, bottom: int, header: int, footer: int, gutter: int, landscape: boolean",
+    "fonts": "language: string, idx: int, face: string",
+    "char_shapes": "idx: int, size: int, bold: boolean, italic: boolean, color: int, font: int",
+    "para_shapes": "idx: int, alignment: string, heading: string, level: int",
+    "styles": "idx: int, name: string, english: string, kind: string, para_shape: int, char_shape: int",
+    "binaries": "idx: int, kind: string, id: int, extension: string, storage_name: string",
     "warnings": "code: int, detail: string",
 }
 
@@ -296,12 +387,18 @@ def decode(files: DataFrame, id_col: str = "path", content: str = "content") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [{"doc_id": d} | parse(bytes(c) if c is not None else b"") for d, c in zip(batch["doc_id"], batch["content"], strict=True)]
+            for row in out:
+                for part, names in _FIELDS.items():
+                    row[part] = [{n: r.get(n) for n in names} for r in row[part]]
             yield pd.DataFrame(out, columns=["doc_id", *_PARTS])
 
     schema = "doc_id string, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in _PARTS.items())
     return files.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, schema)
 
 
+_FIELDS = {part: [f.split(":")[0].strip() for f in ddl.split(",")] for part, ddl in _PARTS.items()}
+
+
 def frame(nested: DataFrame, name: str) -> DataFrame:
     return nested.select("doc_id", F.inline(name))
 
@@ -324,7 +421,29 @@ def stream_sizes(rows: DataFrame) -> DataFrame:
 
 
 def convert(nested: DataFrame) -> DataFrame:
-    """(doc_id, content) packages of the paragraphs of decoded files; files that could not be read give none."""
-    from foliograph.sources.packages import encode
-
-    return encode(frame(nested, "paragraphs").select("doc_id", "section", "ordinal", "text"))
+    """(doc_id, content) packages of decoded files: body paragraphs, tables, notes, text boxes, headers and footers.
+
+    A paragraph's table, its text and its first other control come out as one
+    block each, in this order; a section without paragraphs gets an empty one.
+    Files that could not be read give none.
+    """
+    from foliograph.sources.packages import CELL, CONTROL, encode
+
+    keys = ["doc_id", "section"]
+    paragraphs, controls = frame(nested, "paragraphs"), frame(nested, "controls")
+    inner = paragraphs.filter("owner IS NOT NULL").groupBy(*keys, "owner", "cell").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("own"))
+    inner = inner.select(*keys, "owner", "cell", F.array_join(F.transform("own", lambda p: p["text"]), "\n").alias("text"))
+    of_cells = inner.filter("cell IS NOT NULL").select(*keys, "cell", "text")
+    cell = F.struct("row", "column", "col_span", "row_span", "is_header", "width", "height", "text").cast(CELL)
+    cells = frame(nested, "cells").join(of_cells, [*keys, "cell"], "left").groupBy(*keys, "table").agg(F.collect_list(cell).alias("cells"))
+    anchored = controls.filter("owner IS NULL").select(*keys, "control", "kind", "anchor")
+    drawn = frame(nested, "tables").join(anchored, [*keys, "control"]).join(cells, [*keys, "table"])
+    none = lambda kind: F.lit(None).cast(kind)
+    tables = drawn.select(*keys, (F.col("anchor") * 4).alias("ordinal"), F.lit("").alias("text"), F.lit(0).alias("style"), "cells", none(CONTROL).alias("control"), F.col("control").alias("n"))
+    texts = paragraphs.filter("container = 'body'").select(*keys, (F.col("ordinal") * 4 + 1).alias("ordinal"), F.replace("text", F.lit("\ufffc"), F.lit("")).alias("text"), "style", none(f"array<{CELL}>").alias("cells"), none(CONTROL).alias("control"), F.lit(0).alias("n"))
+    noted = anchored.filter(F.col("kind").isin("Footnote", "Endnote", "TextBox", "Header", "Footer")).join(inner.select(*keys, F.col("owner").alias("control"), F.col("text").alias("inner")), [*keys, "control"])
+    held = F.struct("kind", F.lit(1).alias("width"), F.lit(1).alias("height"), none("string").alias("detail"), none("string").alias("hint"), F.col("inner").alias("text"), none("array<struct<x: int, y: int>>").alias("points")).cast(CONTROL)
+    notes = noted.select(*keys, (F.col("anchor") * 4 + 2).alias("ordinal"), F.lit("").alias("text"), F.lit(0).alias("style"), none(f"array<{CELL}>").alias("cells"), held.alias("control"), F.col("control").alias("n"))
+    blocks = tables.unionByName(texts).unionByName(notes)
+    numbered = blocks.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", "n")))
+    return encode(numbered.drop("n"))

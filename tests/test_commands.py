@@ -51,7 +51,7 @@ def test_legacy_conversion_audits_clean(spark, tmp_path):
     from foliograph.sources import compound
     import struct
 
-    text = lambda s: compound.make_record(67, 1, s.encode("utf-16-le"))
+    text = lambda s: compound.make_record(66, 0, b"") + compound.make_record(67, 1, s.encode("utf-16-le"))
     data = compound_file({"FileHeader": b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", 0x05010100, 0), "BodyText/Section0": padded(text("one") + text("두 번째"))})
     source, output = tmp_path / "in", tmp_path / "out"
     for d in (source, output):

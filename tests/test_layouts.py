@@ -72,7 +72,29 @@ def test_charts():
         charts.parse(f'<c:chartSpace xmlns:c="{c}"><c:barChart>{ser * 300}</c:barChart></c:chartSpace>'.encode())
 
 
-def test_legacy_paragraphs_become_packages(spark):
-    rows = spark.createDataFrame([("d", [(0, 1, 1, "one"), (0, 5, 1, "two"), (1, 1, 1, "three")])], "doc_id string, paragraphs array<struct<section: int, ordinal: int, level: int, text: string>>")
-    back = packages.frame(packages.decode(compound.convert(rows), "doc_id"), "runs")
-    assert sorted((r.section, r.text) for r in back.collect()) == [(0, "one"), (0, "two"), (1, "three")]
+def test_legacy_sections_become_packages(spark):
+    """Paragraphs, a table with nested cells' text, a note, a header and a text box come over; levels tell what belongs where."""
+    r, u = compound.make_record, lambda text: text.encode("utf-16-le")
+    head = lambda level: r(66, level, bytes(24))
+    ctrl = lambda letters: r(71, 1, letters[::-1].encode())
+    cell = lambda column, row: r(72, 2, struct.pack("<II", 1, 0) + struct.pack("<4H2i4hH", column, row, 1, 1, 10, 20, 0, 0, 0, 0, 3))
+    stream = head(0) + r(67, 1, u("one")) + ctrl("tbl ") + r(77, 2, struct.pack("<IHH", 6, 1, 2))
+    stream += cell(0, 0) + head(2) + r(67, 3, u("a")) + head(2) + r(67, 3, u("b")) + cell(1, 0) + head(2) + r(67, 3, u("c"))
+    stream += head(0) + r(67, 1, u("two")) + ctrl("fn  ") + r(72, 2, bytes(8)) + head(2) + r(67, 3, u("note"))
+    stream += ctrl("head") + r(72, 2, bytes(8)) + head(2) + r(67, 3, u("top")) + ctrl("gso ") + r(76, 2, b"") + r(72, 2, bytes(8)) + head(2) + r(67, 3, u("box"))
+    stream += head(0) + ctrl("gso ") + r(79, 2, b"") + r(0x3FF, 1, b"?")
+    data = compound.build({"FileHeader": b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", 0x05010100, 0), "DocInfo": r(21, 0, bytes(42) + struct.pack("<iI", 1200, 3) + bytes(20)), "BodyText/Section0": stream})
+    nested = compound.decode(spark.createDataFrame([("d", bytearray(data))], "path string, content binary")).cache()
+    frame = lambda n: compound.frame(nested, n).collect()
+    assert [(p.container, p.text) for p in frame("paragraphs")] == [
+        ("body", "one"), ("table/tc/subList", "a"), ("table/tc/subList", "b"), ("table/tc/subList", "c"), ("body", "two"), ("footnote/subList", "note"), ("header/subList", "top"), ("rect/drawText/subList", "box"), ("body", ""),
+    ]
+    assert [c.kind for c in frame("controls")] == ["Table", "Footnote", "Header", "TextBox", "Rect"]
+    assert [(c.size, c.bold, c.italic) for c in frame("char_shapes")] == [(1200, True, True)]
+    assert [w.code for w in frame("warnings")] == [5100]
+    made = packages.decode(compound.convert(nested), "doc_id").cache()
+    cells = packages.frame(made, "cells").collect()
+    assert sorted((c.row, c.column, c.text, c.width) for c in cells) == [(0, 0, "a\nb", 10), (0, 1, "c", 10)]
+    assert {(c.kind) for c in packages.frame(made, "controls").collect()} == {"Footnote", "TextBox"}
+    texts = [t.text for t in packages.frame(made, "runs").filter("kind = 'text'").collect()]
+    assert [t for t in texts if t in ("one", "two", "note", "top", "box")] and {"one", "two", "note", "top", "box"} <= set(texts)
