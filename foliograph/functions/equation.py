@@ -24,6 +24,7 @@ GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 #: Words and signs with a command of another name.
 OTHER = {"leq": r"\le", "geq": r"\ge", "neq": r"\ne", "<=": r"\le", ">=": r"\ge", "!=": r"\ne", "inf": r"\infty", "mod": r"\bmod", "prime": "'"}
 WORDS = {w: f"\\{w}" for w in SAME} | {w.upper(): f"\\{w.capitalize()}" for w in GREEK} | OTHER
+#: Words whose bounds follow, accents, and words that shape what stands around them.
 BOUNDED = {w: f"\\{w}" for w in ("sum", "int", "prod", "lim")}
 ACCENTS = {"vec": r"\vec", "hat": r"\hat", "bar": r"\overline", "dot": r"\dot", "tilde": r"\tilde"}
 STRUCTURAL = {"over", "sqrt", "from", "to", "left", "right", "matrix", "cases", *BOUNDED, *ACCENTS}

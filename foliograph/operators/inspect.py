@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions.text import semantic_text, trim
+from foliograph.schema import TAG_NAMES
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,3 +163,17 @@ def list_reference(kind: Column, level: Column, checked: Column) -> list[Column]
     """heading, level and checked of a paragraph's list reference: outline, number, bullet, or a bullet to check."""
     heading = F.when(kind == "CheckBullet", "BULLET").when(kind.isin("Outline", "Number", "Bullet"), F.upper(kind)).otherwise("NONE")
     return [heading.alias("heading"), F.when(heading != "NONE", level).alias("level"), F.when(kind == "CheckBullet", checked).alias("checked")]
+
+
+def content_summary(rows: DataFrame, doc: str, section: str, text: str) -> DataFrame:
+    """Paragraphs, sections, characters and Markdown lines of each document."""
+    return rows.groupBy(doc).agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.countDistinct(section).alias("sections"), F.sum(F.length(text)).cast("long").alias("chars"), F.sum(F.size(F.split(text, "\n"))).cast("long").alias("md_lines")
+    )
+
+
+def tag_ranges(tag: Column) -> list[Column]:
+    """name, in_info and in_body of record tags."""
+    names = F.create_map(*[F.lit(x) for pair in TAG_NAMES.items() for x in pair])
+    name = F.coalesce(F.try_element_at(names, tag), F.format_string("Unknown(0x%04X)", tag))
+    return [name.alias("name"), tag.between(16, 63).alias("in_info"), tag.between(66, 115).alias("in_body")]

@@ -137,3 +137,9 @@ def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: i
     """)
     spark.catalog.dropTempView(view)  # the query is resolved by now
     return found
+
+
+def with_known(rows: DataFrame, defined: DataFrame, key: str, builtin: int = 3) -> DataFrame:
+    """Rows with whether their reference is built in (below ``builtin``) or defined."""
+    there = defined.select(key).distinct().withColumn("__d", F.lit(True))
+    return rows.join(there, key, "left").withColumn("known", (F.col(key) < builtin) | F.col("__d").isNotNull()).drop("__d")

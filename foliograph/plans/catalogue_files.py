@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliograph.functions import content
 from foliograph.operators import deep, order, patch, styled
 from foliograph.plans.catalogue import _ROW, _t, query
 from foliograph.sources import charts, compound, exchange, layouts, lossless, markdown, packages, patching
@@ -223,6 +224,28 @@ def ref_page_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(packages.encode(blocks), "sections").select("doc_id", "section", "width", "height", "left", "right", "top", "bottom", "has_header", "has_footer", "page_number")
 
 
+_BUILT = [
+    ("TextBox", 11, 12, None, None), ("Footnote", 0, 0, None, None), ("Endnote", 0, 0, None, None), ("Memo", 0, 0, None, None), ("Bookmark", 0, 0, "name", None), ("IndexMark", 0, 0, "name", None),
+    ("Hyperlink", 0, 0, "url", "name"), ("Field", 0, 0, "click", "name"), ("CrossRef", 0, 0, "name", "brand"), ("Equation", 8779, 2600, "name", None), ("Chart", 5, 6, "name", None), ("Dutmal", 0, 0, "name", "brand"),
+    ("Compose", 0, 0, "name", None), ("Ellipse", 3, 4, None, None), ("Polygon", 20, 30, None, None), ("Curve", 20, 1, None, None),
+]
+_VALUE = {None: "NULL", "name": "p_name", "brand": "p_brand", "url": "'https://e.org/' || p_partkey", "click": "'CLICK_HERE'"}
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS doc_id, {n} AS control, '{kind}' AS kind, {w} AS width, {h} AS height, {_VALUE[d]} AS detail, {_VALUE[x]} AS hint FROM part" for n, (kind, w, h, d, x) in enumerate(_BUILT)))
+def ref_content_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of content that can be made, through a package and back."""
+    name, brand, url = F.col("p_name"), F.col("p_brand"), F.concat(F.lit("https://e.org/"), F.col("p_partkey").cast("string"))
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    made = [
+        content.text_box(name, 11, 12), content.footnote(name), content.endnote(name), content.memo(name), content.bookmark(name), content.index_mark(name), content.hyperlink(name, url),
+        content.field(F.lit("CLICK_HERE"), name), content.cross_reference(name, brand), content.equation(name), content.chart(name, 5, 6), content.dutmal(name, brand), content.compose(name), content.ellipse(3, 4),
+        content.polygon(F.array(corner(0, 0), corner(20, 0), corner(5, 30))), content.curve(F.array(corner(0, 7), corner(20, 7))),
+    ]
+    blocks = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.posexplode(F.array(*made)).alias("ordinal", "control"))
+    return _read(packages.encode(blocks.withColumns({"section": F.lit(0), "text": F.lit("")})), "controls").select("doc_id", "control", "kind", "width", "height", "detail", "hint")
+
+
 # -- lists of the header ----------------------------------------------------------------------------------------
 def _listed(rows: DataFrame, doc: str, idx: str, xml: Column, around: str) -> DataFrame:
     """Packages whose header has a list of one kind of elements."""
@@ -249,8 +272,8 @@ _RANKED = "SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_par
 def ref_char_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character shapes of package headers."""
     size = F.col("p_size")
-    flags = F.concat(F.when(size > 25, "<hh:bold/>").otherwise(""), F.when(size < 10, "<hh:italic/>").otherwise(""), F.when(size > 40, '<hh:underline type="BOTTOM"/>').otherwise(""))
-    xml = _xml('<hh:charPr id="', F.col("idx"), '" height="', size * 100, '" textColor="#FF10', F.lpad(F.hex(size.cast("long")), 2, "0"), '">', flags, "</hh:charPr>")
+    colour = F.concat(F.lit("#FF10"), F.lpad(F.hex(size.cast("long")), 2, "0"))
+    xml = content.char_shape(F.col("idx"), size * 100, colour, size > 25, size < 10, F.when(size > 40, "BOTTOM").otherwise("NONE"))
     return _read(_listed(_ranked(spark, sf_dir), "p_brand", "idx", xml, "charProperties"), "char_shapes").select("doc_id", "idx", "size", "bold", "italic", "underline", "color")
 
 
@@ -261,16 +284,15 @@ def ref_char_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_para_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph shapes of package headers."""
     size = F.col("p_size")
-    align = F.element_at(F.array(F.lit("BOTH"), F.lit("CENTER"), F.lit("LEFT")), (size % 3 + 1).cast("int"))
-    heading = F.when(size > 30, _xml('<hh:heading type="OUTLINE" idRef="0" level="', size % 7, '"/>')).otherwise("")
-    xml = _xml('<hh:paraPr id="', F.col("idx"), '"><hh:align horizontal="', align, '"/>', heading, '<hh:margin><hh:left value="', size * 10, '"/></hh:margin><hh:lineSpacing type="PERCENT" value="', size + 100, '"/></hh:paraPr>')
+    align = F.element_at(F.array(F.lit("JUSTIFY"), F.lit("CENTER"), F.lit("LEFT")), (size % 3 + 1).cast("int"))
+    xml = content.para_shape(F.col("idx"), align, F.when(size > 30, "OUTLINE").otherwise("NONE"), size % 7, size * 10, size + 100)
     return _read(_listed(_ranked(spark, sf_dir), "p_brand", "idx", xml, "paraProperties"), "para_shapes").select("doc_id", "idx", "alignment", "heading", "level", "indent", "line_spacing")
 
 
 @query(f"SELECT p_brand AS doc_id, idx, p_name AS name, p_type AS english, p_size AS para_shape, p_size + 1 AS char_shape FROM ({_RANKED})")
 def ref_style_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named styles of package headers."""
-    xml = _xml('<hh:style id="', F.col("idx"), '" type="PARA" name="', F.col("p_name"), '" engName="', F.col("p_type"), '" paraPrIDRef="', F.col("p_size"), '" charPrIDRef="', F.col("p_size") + 1, '"/>')
+    xml = content.style(F.col("idx"), F.col("p_name"), F.col("p_type"), F.col("p_size"), F.col("p_size") + 1)
     return _read(_listed(_ranked(spark, sf_dir), "p_brand", "idx", xml, "styles"), "styles").select("doc_id", "idx", "name", "english", "para_shape", "char_shape")
 
 
@@ -281,10 +303,9 @@ def ref_style_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_border_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Border fills of package headers: sides, and what fills them."""
     size = F.col("p_size")
-    colour = _xml('<hc:fillBrush xmlns:hc="x"><hc:winBrush faceColor="#0000', F.lpad(F.hex(size.cast("long")), 2, "0"), '"/></hc:fillBrush>')
-    image = _xml('<hc:fillBrush xmlns:hc="x"><hc:imgBrush mode="TILE"><hc:img binaryItemIDRef="', F.col("p_name"), '"/></hc:imgBrush></hc:fillBrush>')
-    side = F.when(size > 20, "SOLID").otherwise("DASH")
-    xml = _xml('<hh:borderFill id="', F.col("idx"), '"><hh:leftBorder type="', side, '"/><hh:rightBorder/>', F.when(size > 20, colour).when(size > 10, image).otherwise(""), "</hh:borderFill>")
+    colour = F.when(size > 20, F.concat(F.lit("#0000"), F.lpad(F.hex(size.cast("long")), 2, "0")))
+    sides = {"left": F.when(size > 20, "SOLID").otherwise("DASH"), "right": F.lit(None).cast("string")}
+    xml = content.border_fill(F.col("idx"), sides, colour, F.when(size > 10, F.col("p_name")))
     return _read(_listed(_ranked(spark, sf_dir), "p_brand", "idx", xml, "borderFills"), "borders").select("doc_id", "idx", "left", "right", "fill", "color", "image")
 
 
@@ -294,8 +315,8 @@ def ref_border_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_tab_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab stops of package headers."""
     size = F.col("p_size")
-    more = F.when(size > 25, _xml('<hh:tabItem pos="', size * 2, '" type="DECIMAL" leader="DOT"/>')).otherwise("")
-    xml = _xml('<hh:tabPr id="', F.col("idx"), '"><hh:tabItem pos="', size, '" type="LEFT" leader="DOT"/>', more, "</hh:tabPr>")
+    stop = lambda at, kind: F.struct(at.alias("position"), F.lit(kind).alias("type"), F.lit("DOT").alias("leader"))
+    xml = content.tab_stops(F.col("idx"), F.when(size > 25, F.array(stop(size, "LEFT"), stop(size * 2, "DECIMAL"))).otherwise(F.array(stop(size, "LEFT"))))
     return _read(_listed(_ranked(spark, sf_dir), "p_brand", "idx", xml, "tabProperties"), "tabs").select("doc_id", "idx", "stop", "position", "type", "leader")
 
 
@@ -306,9 +327,9 @@ def ref_tab_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_list_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numberings by level and bullets with their checked marks, from package headers."""
     ranked, size = _ranked(spark, sf_dir), F.col("p_size")
-    head = lambda n, name: f'<hh:paraHead level="{n}" numFormat="{name}">^{n}.</hh:paraHead>'
-    numbers = _xml('<hh:numbering id="', F.col("idx"), f'" start="1">{head(1, "DIGIT")}{head(2, "LATIN_SMALL")}</hh:numbering>')
-    marks = _xml('<hh:bullet id="', F.col("idx"), '" char="', F.when(size > 25, '●" checkedChar="☑').otherwise("-"), '"/>')
+    head = lambda n, name: F.struct(F.lit(n).alias("level"), F.lit(name).alias("format"), F.lit(f"^{n}.").alias("text"))
+    numbers = content.numbering(F.col("idx"), F.lit(1), F.array(head(1, "DIGIT"), head(2, "LATIN_SMALL")))
+    marks = content.bullet(F.col("idx"), F.when(size > 25, "●").otherwise("-"), F.when(size > 25, "☑"))
     first = _read(_listed(ranked, "p_brand", "idx", numbers, "numberings"), "numberings").select("doc_id", "idx", F.lit("numbering").alias("kind"), "level", F.col("format").alias("shown"), "text")
     second = _read(_listed(ranked, "p_brand", "idx", marks, "bullets"), "bullets").select("doc_id", "idx", F.lit("bullet").alias("kind"), F.lit(0).alias("level"), F.col("mark").alias("shown"), F.col("checked_mark").alias("text"))
     return first.unionByName(second)

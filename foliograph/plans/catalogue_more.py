@@ -61,9 +61,8 @@ def ref_code_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_size, p_size < 3 OR p_size IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS known FROM part")
 def ref_known_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab references that are built in or defined."""
-    defined = _t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("p_size"), F.lit(True).alias("d"))
-    joined = _t(spark, sf_dir, "part").select("p_partkey", "p_size").join(defined, "p_size", "left")
-    return joined.select("p_partkey", "p_size", ((F.col("p_size") < 3) | F.col("d").isNotNull()).alias("known"))
+    defined = _t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("p_size"))
+    return lookup.with_known(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), defined, "p_size").select("p_partkey", "p_size", "known")
 
 
 _NAMES = ", ".join(f"({k}, '{v}')" for k, v in TAG_NAMES.items())
@@ -76,10 +75,8 @@ _NAMES = ", ".join(f"({k}, '{v}')" for k, v in TAG_NAMES.items())
 """)
 def ref_tag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record tags with names and ranges."""
-    names = F.create_map(*[F.lit(x) for pair in TAG_NAMES.items() for x in pair])
     counted = _t(spark, sf_dir, "events").groupBy((F.col("event_id") % 130).cast("int").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-    name = F.coalesce(F.try_element_at(names, F.col("tag")), F.format_string("Unknown(0x%04X)", "tag"))
-    return counted.select("tag", name.alias("name"), F.col("tag").between(16, 63).alias("in_info"), F.col("tag").between(66, 115).alias("in_body"), "n")
+    return counted.select("tag", *inspect.tag_ranges(F.col("tag")), "n")
 
 
 @query(f"""
@@ -173,10 +170,7 @@ def ref_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def ref_integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections, paragraphs, characters and Markdown lines of each document."""
-    turns = _t(spark, sf_dir, "conversations")
-    return turns.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("paragraphs"), F.countDistinct("role").alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum(F.size(F.split("text", "\n"))).cast("long").alias("md_lines")
-    )
+    return inspect.content_summary(_t(spark, sf_dir, "conversations"), "conv_id", "role", "text")
 
 
 @query("""
