@@ -108,3 +108,27 @@ def control_text(controls: DataFrame, paragraphs: DataFrame, runs: DataFrame) ->
         .otherwise("")
     )
     return found.select(*keys, "kind", shown.alias("shown"))
+
+
+def note_definitions(controls: DataFrame, paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, definitions): the texts of a document's notes, footnotes first, each behind the reference that stands for it.
+
+    The texts of a note's paragraphs are joined by spaces and trimmed.
+    """
+    keys = ["doc_id", "section", "control"]
+    texts = runs.filter("kind = 'text'").groupBy(*_KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "").alias("t"))
+    owned = paragraphs.filter("owner IS NOT NULL").join(texts, _KEYS, "left").select("doc_id", "section", F.col("owner").alias("control"), "ordinal", F.coalesce("t", F.lit("")).alias("t"))
+    inner = owned.groupBy(*keys).agg(text.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "t"))), lambda r: r["t"]), " ")).alias("body"))
+    numbered = footnotes(controls).join(inner, keys, "left")
+    mark = F.concat(F.when(F.col("kind") == "Footnote", "[^").otherwise("[^e"), F.col("number").cast("string"), F.lit("]: "), F.coalesce("body", F.lit("")))
+    line = F.struct((F.col("kind") != "Footnote").alias("late"), "number", mark.alias("line"))
+    return numbered.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("definitions"))
+
+
+def image_map(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, path, data): the images that runs show, each once, under the path that the Markdown names."""
+    shown = runs.filter("kind = 'image'").select("doc_id", F.col("text").alias("key")).distinct()
+    stem = F.regexp_replace("key", r"\.[^.]*$", "")
+    stored = images.select("doc_id", stem.alias("stem"), F.col("key").alias("file"), "data")
+    found = shown.join(stored, (shown["doc_id"] == stored["doc_id"]) & ((shown["key"] == stored["stem"]) | (shown["key"] == stored["file"])))
+    return found.select(shown["doc_id"], F.concat(F.lit("images/"), "file").alias("path"), "data")

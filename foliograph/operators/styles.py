@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,3 +155,61 @@ def style_id(name: Column, version: str = "modern") -> Column:
     """Id of a built-in style by its Korean or English name, or null."""
     ids = {n: i for i, own in reversed(list(enumerate(style_set(version)))) for n in own[:2]}
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), name)
+
+
+#: What a character shape has where neither a style nor its parents say otherwise; font and size have no default.
+CHAR_DEFAULTS: dict[str, object] = {
+    "bold": False, "italic": False, "color": 0, "underline_type": "None", "underline_color": None, "strikeout_shape": "None", "strikeout_color": None, "outline": "None", "shadow": "None", "emboss": False, "engrave": False,
+    "vertical_position": "Normal", "shade_color": None, "emphasis": "None", "ratio": 100, "spacing": 0, "rel_sz": 100, "offset": 0, "use_kerning": False, "use_font_space": False, "char_border_fill_id": None,
+}
+#: The same for paragraph shapes.
+PARA_DEFAULTS: dict[str, object] = {
+    "alignment": "Left", "line_spacing_type": "Percentage", "line_spacing": 160.0, "space_before": 0, "space_after": 0, "indent_left": 0, "indent_right": 0, "indent_first_line": 0, "break_type": "None", "keep_with_next": False,
+    "keep_lines_together": False, "widow_orphan": True, "tab_def_id": 0,
+}
+
+
+def resolve_styles(child: DataFrame, parent: DataFrame, key: str, defaults: dict[str, object], required: Sequence[str] = ()) -> DataFrame:
+    """Styles of both, field by field from the child, else the parent, else the default, with the first required field that is missing.
+
+    The frames may lack fields; a nested field has a column of its own, so it is
+    merged by itself.
+    """
+    fields = [*required, *(f for f in defaults if f not in required)]
+    a = child.select(key, *[F.col(f).alias(f"{f}_c") for f in fields if f in child.columns])
+    b = parent.select(key, *[F.col(f).alias(f"{f}_p") for f in fields if f in parent.columns])
+    both = a.join(b, key, "full_outer")
+    value = lambda f: F.coalesce(*[F.col(f"{f}{s}") for s in ("_c", "_p") if f"{f}{s}" in both.columns], F.lit(defaults.get(f)))
+    problem = F.coalesce(*[F.when(value(f).isNull(), f) for f in required], F.lit(None).cast("string"))
+    return both.select(key, *[value(f).alias(f) for f in fields], problem.alias("missing"))
+
+
+def registry_problems(templates: DataFrame, rows: DataFrame, tabs: DataFrame, lists: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(template, issue, subject) of everything that keeps templates from becoming a registry.
+
+    ``rows`` are styles (template, name, font, size, tab), ``tabs`` definitions
+    (template, id), ``lists`` numberings and bullets (template, kind, id), and
+    ``mappings`` references (template, field, style).
+    """
+    key = "template"
+
+    def issue(df: DataFrame, name: str, subject: Column) -> DataFrame:
+        return df.select(key, F.lit(name).alias("issue"), subject.cast("string").alias("subject"))
+
+    def repeated(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(key, *by).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+
+    wanted = rows.filter("tab >= 3").join(tabs.select(key, F.col("id").alias("tab")).distinct(), [key, "tab"], "left_anti")
+    named = rows.select(key, F.col("name").alias("style")).distinct()
+    parts = [
+        issue(templates.select(key).join(rows.select(key).distinct(), key, "left_anti"), "EmptyStyleMap", F.lit(None)),
+        issue(rows.filter(~valid_name(F.col("name"))), "InvalidStyleName", F.col("name")),
+        issue(rows.filter("font IS NULL"), "FontRequired", F.col("name")),
+        issue(rows.filter("size IS NULL"), "SizeRequired", F.col("name")),
+        issue(wanted, "UnknownTabReference", F.col("name")),
+        issue(tabs.filter("id < 3"), "ReservedTabDefinition", F.col("id")),
+        issue(repeated(tabs.filter("id >= 3"), "id"), "DuplicateTabDefinition", F.col("id")),
+        issue(repeated(lists, "kind", "id"), "DuplicateListDefinition", F.concat("kind", F.lit(" "), F.col("id").cast("string"))),
+        issue(mappings.filter("style IS NOT NULL").join(named, [key, "style"], "left_anti"), "InvalidMappingReference", F.concat("field", F.lit(" "), "style")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.functions import text
-from foliograph.operators import deep, inspect, order, rules, shapes, styles
+from foliograph.functions import content, text
+from foliograph.operators import deep, inspect, order, rules, shapes, styled, styles
 from foliograph.plans.catalogue import _t, query
 from foliograph.plans.catalogue_files import _EVENTS, _LEGACY, _chats, _controls, _read, _streams
 from foliograph.sources import compound, packages
@@ -156,6 +156,28 @@ def ref_stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compound.stream_sizes(compound.frame(compound.decode(files), "entries"))
 
 
+@query(f"""
+    WITH e AS ({_EVENTS}), n AS (SELECT doc_id, n, props, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM e WHERE kind = 'Footnote')
+    SELECT doc_id, string_agg('[^' || k || ']: ' || trim(props), chr(10) ORDER BY k) AS definitions FROM n GROUP BY doc_id
+""")
+def ref_note_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of the notes of packages."""
+    nested = packages.decode(_controls(spark, sf_dir), "doc_id")
+    return styled.note_definitions(*(packages.frame(nested, n) for n in ("controls", "paragraphs", "runs")))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, 'images/p' || page_id || '.png' AS path, html AS body FROM pages")
+def ref_image_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that packages show, under the names that Markdown gives them."""
+    pages = _t(spark, sf_dir, "pages")
+    doc, name = F.col("page_id").cast("string").alias("doc_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    parts = pages.select(doc, F.concat(F.lit("BinData/"), name, F.lit(".png")).alias("path"), F.col("html").alias("data"))
+    parts = parts.unionByName(pages.select(doc, F.lit("BinData/unused.png").alias("path"), F.lit("x").alias("data")))
+    blocks = pages.select(doc, F.lit(0).alias("section"), F.lit(0).alias("ordinal"), F.lit("").alias("text"), content.image(name).alias("control"))
+    nested = packages.decode(packages.encode(blocks, parts), "doc_id")
+    return styled.image_map(packages.frame(nested, "runs"), packages.frame(nested, "images")).select("doc_id", "path", F.decode("data", "UTF-8").alias("body"))
+
+
 # -- tables and shapes ------------------------------------------------------------------------------------------
 @query("""
     SELECT l_orderkey, bool_or(l_linenumber > 4 OR l_tax > 0.06) AS has_merge, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AS has_nested_table FROM lineitem GROUP BY l_orderkey
@@ -311,3 +333,45 @@ def ref_outline_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outline numbering of new documents."""
     return styles.outline_numbering(spark)
 
+
+@query("""
+    WITH c AS (SELECT p_partkey AS k, CASE WHEN p_size > 5 THEN p_brand END AS font, CASE WHEN p_size > 20 THEN p_size END AS size, CASE WHEN p_size > 30 THEN true END AS bold, CASE WHEN p_size > 40 THEN 90 END AS ratio FROM part WHERE p_retailprice > 950),
+    p AS (SELECT p_partkey AS k, CASE WHEN p_size > 3 THEN p_type END AS font, p_size + 1 AS size, CASE WHEN p_size < 30 THEN 'Bottom' END AS underline_type, CASE WHEN p_size < 10 THEN 80 END AS ratio, CASE WHEN p_size > 45 THEN 7 END AS color FROM part WHERE p_size < 48)
+    SELECT coalesce(c.k, p.k) AS k, coalesce(c.font, p.font) AS font, coalesce(c.size, p.size) AS size, coalesce(c.bold, false) AS bold, coalesce(p.underline_type, 'None') AS underline_type, coalesce(c.ratio, p.ratio, 100) AS ratio, coalesce(p.color, 0) AS color,
+           'Normal' AS vertical_position, CASE WHEN coalesce(c.font, p.font) IS NULL THEN 'font' WHEN coalesce(c.size, p.size) IS NULL THEN 'size' END AS missing FROM c FULL JOIN p ON c.k = p.k
+""")
+def ref_resolved_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character shapes of styles and their parents with all defaults, and the field that is missing."""
+    part, size = _t(spark, sf_dir, "part"), F.col("p_size")
+    child = part.filter("p_retailprice > 950").select(
+        F.col("p_partkey").alias("k"), F.when(size > 5, F.col("p_brand")).alias("font"), F.when(size > 20, size).alias("size"), F.when(size > 30, F.lit(True)).alias("bold"), F.when(size > 40, 90).alias("ratio")
+    )
+    parent = part.filter("p_size < 48").select(
+        F.col("p_partkey").alias("k"), F.when(size > 3, F.col("p_type")).alias("font"), (size + 1).alias("size"), F.when(size < 30, "Bottom").alias("underline_type"), F.when(size < 10, 80).alias("ratio"), F.when(size > 45, 7).alias("color")
+    )
+    found = styles.resolve_styles(child, parent, "k", styles.CHAR_DEFAULTS, ["font", "size"])
+    return found.select("k", "font", "size", "bold", "underline_type", "ratio", "color", "vertical_position", "missing")
+
+
+@query("""
+    WITH r AS (SELECT p_brand AS t, CASE WHEN p_size > 45 THEN p_name ELSE 's' || p_partkey END AS name, CASE WHEN p_size > 4 THEN p_type END AS font, CASE WHEN p_size < 47 THEN p_size END AS size, p_size AS tab FROM part WHERE p_brand <> 'Brand#2'),
+    d AS (SELECT p_brand AS t, CAST(p_partkey // 3 % 40 AS INTEGER) AS id FROM part), l AS (SELECT p_brand AS t, p_type AS kind, p_size % 9 AS id FROM part), m AS (SELECT DISTINCT p_brand AS t, 'body' AS field, 's' || p_size AS style FROM part)
+    SELECT t AS template, issue, subject FROM (
+        SELECT DISTINCT p_brand AS t, 'EmptyStyleMap' AS issue, NULL AS subject FROM part WHERE p_brand = 'Brand#2'
+        UNION ALL SELECT t, 'InvalidStyleName', name FROM r WHERE NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')
+        UNION ALL SELECT t, 'FontRequired', name FROM r WHERE font IS NULL UNION ALL SELECT t, 'SizeRequired', name FROM r WHERE size IS NULL
+        UNION ALL SELECT t, 'UnknownTabReference', name FROM r WHERE tab >= 3 AND NOT EXISTS (SELECT 1 FROM d WHERE d.t = r.t AND d.id = r.tab)
+        UNION ALL SELECT t, 'ReservedTabDefinition', CAST(id AS VARCHAR) FROM d WHERE id < 3
+        UNION ALL SELECT t, 'DuplicateTabDefinition', CAST(id AS VARCHAR) FROM d WHERE id >= 3 GROUP BY t, id HAVING count(*) > 1
+        UNION ALL SELECT t, 'DuplicateListDefinition', kind || ' ' || id FROM l GROUP BY t, kind, id HAVING count(*) > 1
+        UNION ALL SELECT t, 'InvalidMappingReference', field || ' ' || style FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.t = m.t AND r.name = m.style))
+""")
+def ref_registry_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that keeps templates from becoming a registry."""
+    part, size = _t(spark, sf_dir, "part").withColumn("template", F.col("p_brand")), F.col("p_size")
+    name = F.when(size > 45, F.col("p_name")).otherwise(F.concat(F.lit("s"), F.col("p_partkey").cast("string")))
+    rows = part.filter("p_brand <> 'Brand#2'").select("template", name.alias("name"), F.when(size > 4, F.col("p_type")).alias("font"), F.when(size < 47, size).alias("size"), size.alias("tab"))
+    tabs = part.select("template", F.expr("CAST(p_partkey div 3 % 40 AS INT)").alias("id"))
+    lists = part.select("template", F.col("p_type").alias("kind"), (size % 9).alias("id"))
+    mappings = part.select("template", F.lit("body").alias("field"), F.concat(F.lit("s"), size.cast("string")).alias("style")).distinct()
+    return styles.registry_problems(part.select("template").distinct(), rows, tabs, lists, mappings)
