@@ -323,7 +323,7 @@ def identify(docs: DataFrame, samples: Samples) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, samples: Samples | None = None) -> DataFrame:
-    """The rows of ``docs`` in some language: those predicted ``und`` go.
+    """The rows of ``docs`` in some language: those predicted ``und`` go, null texts and texts without a letter.
 
     The decision is taken row by row in the scan, so nothing is shuffled and
     columns of any name pass through untouched.

@@ -151,9 +151,9 @@ def solve(members: DataFrame, classifier: Classifier, targets: dict[str, float],
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0) -> tuple[DataFrame, Mixture]:
     """(doc_id, n_tokens, rate, memberships) for every row, and the mixture.
 
-    Null and empty texts have no token and the prior's memberships; repeated
-    rows are rated alike, a row each; an empty table gives none. Without any
-    label there is no domain and every rate is 1.
+    Null and empty texts have no token and the prior's memberships; texts of any
+    length are scored whole; repeated rows are rated alike, a row each; an empty
+    table gives none. Without any label there is no domain and every rate is 1.
     """
     classifier = learn(docs, labelled)
     members = cut(memberships(docs, classifier))
@@ -192,7 +192,8 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     A row with rate r comes floor(r) times, and once more with probability
     r - floor(r), decided by a hash of id and text. Rates are worked out again
     row by row in the scan, so no text is shuffled and columns of any name pass
-    through untouched.
+    through untouched. Null texts and null ids are rows like any other; without
+    any label every row comes once, and an empty table gives none.
     """
     classifier = learn(docs, labelled)
     mixture = solve(cut(memberships(docs, classifier)), classifier, targets, budget)

@@ -202,19 +202,6 @@ def test_one_hot_text(spark, size):
     assert tuple(own) == (size - 1, size - 1, 1, size)
 
 
-def test_bit_counts_are_exact():
-    from foliograph.llm import sketches
-
-    rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 10, 257):
-        rows = rng.integers(0, 1 << 63, (3, n, 2), dtype=np.uint64)
-        plain = np.unpackbits(rows.view(np.uint8).reshape(3, n, 16), axis=2, bitorder="little").sum(axis=1)
-        assert (sketches.bit_counts(rows) == plain).all()
-    texts = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 5, 40_000, 1, 300)]
-    together = sketches.sketch(texts, 4)
-    assert together == [sketches.sketch([t], 4)[0] for t in texts] and together[0] == bytes(32)
-
-
 def test_similar_texts_keep_one(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -327,3 +314,16 @@ def test_the_threshold_is_exact(spark):
             texts += [" ".join([f"s{total}x{n}", *base]), " ".join([f"s{total}x{n}", *base, *fresh(total - kept)])]
     found, expected = kept_and_expected(spark, texts)
     assert len(expected) < len(texts) and found == expected
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from foliograph.llm.common import shared_folder
+
+    asked = []
+    session = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: "there" if asked else None, setCheckpointDir=asked.append, master=master), conf=SimpleNamespace(get=lambda *_: folder))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master, None))
+    assert shared_folder(session("yarn", "hdfs://x")) == "there" and asked == ["hdfs://x"]
