@@ -71,6 +71,40 @@ def ref_package_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "row", "column", "is_header", "width", "height", "text", "rows")
 
 
+@query("""
+    WITH c AS (SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, l_linestatus = 'F' AS flag FROM lineitem),
+    r AS (SELECT l_orderkey, r, bool_and(flag) AS whole, bool_or(flag) AS marked FROM c GROUP BY ALL),
+    w AS (SELECT *, min(CASE WHEN NOT whole THEN r END) OVER (PARTITION BY l_orderkey) AS broken FROM r)
+    SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(4003 AS INTEGER) AS code, count(*) AS n FROM w WHERE marked AND NOT whole GROUP BY 1
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 4004, count(*) FROM w WHERE whole AND r > broken GROUP BY 1
+""")
+def ref_table_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables that mix header cells with others, and header rows that do not lead."""
+    lines = _t(spark, sf_dir, "lineitem")
+    row = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    column = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_ROW[1:])) - 1
+    cell = F.struct(row.alias("row"), column.alias("column"), F.lit(1).alias("col_span"), F.lit(1).alias("row_span"), (F.col("l_linestatus") == "F").alias("is_header"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit("x").alias("text"))
+    cells = lines.select("l_orderkey", cell.alias("cell")).groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.collect_list("cell").alias("cells"))
+    warned = _read(packages.encode(cells.withColumns({"section": F.lit(0), "ordinal": F.lit(0), "text": F.lit("")})), "warnings")
+    return warned.groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'paragraphs[0].runs[' || n || ']' AS path, CASE WHEN p_size > 25 THEN 'BOTTOM' ELSE 'LEFT' END AS side, CASE WHEN p_size > 25 THEN p_size ELSE 850 END AS gap, p_name || ' ' || n AS text
+    FROM part, (VALUES (0), (1)) v(n)
+""")
+def ref_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of tables and images, with the side and the gap that go without saying."""
+    part, size = _t(spark, sf_dir, "part"), F.col("p_size")
+    doc = F.col("p_partkey").cast("string").alias("doc_id")
+    placed = F.when(size > 25, _xml(' side="BOTTOM" gap="', size, '"')).otherwise("")
+    caption = lambda n: _xml("<caption", placed, "><subList><p><run><t>", F.col("p_name"), f" {n}</t></run></p></subList></caption>")
+    body = _xml('<sec><p><run><tbl rowCnt="0">', caption(0), '</tbl><pic><img binaryItemIDRef="x"/>', caption(1), "</pic></run></p></sec>")
+    parts = part.select(doc, F.lit("Contents/section0.xml").alias("path"), body.alias("data"))
+    blocks = part.select(doc, F.lit(0).alias("section"), F.lit(0).alias("ordinal"), F.lit("").alias("text"))
+    return _read(packages.encode(blocks, parts), "captions").select("doc_id", "path", "side", "gap", "text")
+
+
 def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of events as controls: a document for each user, a paragraph for each event."""
     events = _t(spark, sf_dir, "events")

@@ -23,6 +23,7 @@ FRAMES: dict[str, T.StructType] = {
     "runs": _struct("doc_id string, section int, path string, ordinal int, run int, kind string, text string, char_shape int, control int"),
     "controls": _struct("doc_id string, section int, control int, kind string, container string, anchor int, width int, height int, detail string, hint string"),
     "points": _struct("doc_id string, section int, control int, point int, x int, y int"),
+    "captions": _struct("doc_id string, section int, path string, side string, gap int, text string"),
     "charts": _struct("doc_id string, chart string, kind string, title string, categories int, series int"),
     "chart_points": _struct("doc_id string, chart string, series int, name string, point int, category string, x double, y double"),
     "masters": _struct("doc_id string, master int, type string, ordinal int, para_shape int, text string"),

@@ -220,8 +220,10 @@ class _Section:
             self.rows["runs"].append(at | {"kind": "text", "text": text_of(e), "control": None})
         elif kind == "tbl":
             self.rows["runs"].append(at | {"kind": "table", "text": None, "control": None})
+            self.caption(e, path, None, depth)
             self.table(e, path, container, depth)
         elif kind == "pic":
+            self.caption(e, path, None, depth)
             image = next((k for k in e.iter() if _name(k) == "img"), None)
             self.rows["runs"].append(at | {"kind": "image", "text": image.get("binaryItemIDRef") if image is not None else None, "control": None})
         elif kind == "ctrl":
@@ -284,8 +286,16 @@ class _Section:
         corners += [(k, f"x{n}", f"y{n}") for k in e.iter() if _name(k) == "seg" for n in (1, 2)]
         self.rows["points"] += [{"section": self.index, "control": number, "point": n, "x": _int(k, x), "y": _int(k, y)} for n, (k, x, y) in enumerate(corners)]
         self.rows["runs"].append(at | {"kind": "control", "text": None, "control": number})
+        self.caption(e, path, number, depth)
         self.nested(e, path, {"TextBox": "rect/drawText/subList"}.get(kind, f"{kind.lower()}/subList"), number, depth)
 
+    def caption(self, e: ElementTree.Element, path: str, owner: int | None, depth: int) -> None:
+        """The caption of a table, an image or a shape, whose paragraphs come before what is in it."""
+        for k in _kids(e, "caption"):
+            texts = ["".join(text_of(t) for t in p.iter() if _name(t) == "t") for s in _kids(k, "subList") for p in _kids(s, "p")]
+            self.rows["captions"].append({"section": self.index, "path": path, "side": k.get("side", "LEFT"), "gap": _int(k, "gap", 850), "text": "\n".join(texts)})
+            self.nested(k, f"{path}.caption", "caption/subList", owner, depth)
+
     def nested(self, e: ElementTree.Element, path: str, container: str, owner: int | None, depth: int) -> None:
         for k in e:
             if _name(k) in ("subList", "drawText"):
@@ -366,7 +376,7 @@ class _Section:
 
 
 PARTS = (
-    "sections", "paragraphs", "runs", "controls", "points", "tables", "cells", "charts", "chart_points", "masters", "char_shapes", "para_shapes", "styles",
+    "sections", "paragraphs", "runs", "controls", "points", "tables", "cells", "captions", "charts", "chart_points", "masters", "char_shapes", "para_shapes", "styles",
     "fonts", "borders", "tabs", "numberings", "bullets", "begins", "entries", "xml_paths", "images", "warnings",
 )
 
@@ -543,7 +553,8 @@ def build(sections: list[list[dict[str, Any]]], parts: dict[str, bytes] | None =
         out.writestr("Contents/header.xml", f'<hh:head {_HH} secCnt="{len(sections)}">{head}</hh:head>')
         for i, blocks in enumerate(sections):
             body = "".join(_p(b.get("text") or "", 0, b.get("style") or 0, (_table(b["cells"]) if b.get("cells") else "") + (_control(b["control"]) if b.get("control") else "")) for b in blocks)
-            out.writestr(f"Contents/section{i}.xml", f"<hs:sec {_HP}>{body}</hs:sec>")
+            if f"Contents/section{i}.xml" not in parts:
+                out.writestr(f"Contents/section{i}.xml", f"<hs:sec {_HP}>{body}</hs:sec>")
         for path, data in sorted(parts.items()):
             out.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_STORED)
         items = "".join(f'<opf:item id="section{i}" href="Contents/section{i}.xml"/>' for i in range(len(sections)))
@@ -559,8 +570,8 @@ def encode(blocks: DataFrame, parts: DataFrame | None = None, font: str = BASE_F
     """(doc_id, content) packages of blocks (doc_id, section, ordinal, text, style, cells, control).
 
     The last three may be missing. ``parts`` (doc_id, path, data) are further
-    parts of the packages: images, charts, master pages, or as ``refList`` the
-    lists of the header.
+    parts of the packages: images, charts, master pages, whole sections, or as
+    ``refList`` the lists of the header.
     """
     absent = {"style": F.lit(0), "cells": F.lit(None).cast(f"array<{CELL}>"), "control": F.lit(None).cast(CONTROL)}
     rows = blocks.withColumns({k: v for k, v in absent.items() if k not in blocks.columns})
