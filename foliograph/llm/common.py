@@ -39,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and drop its lineage."""
     shared_folder(df.sparkSession)
@@ -54,7 +64,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.place, self.tables = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+        self.spark, self.place, self.tables = spark, scratch_folder(spark, "tables"), 0
 
     def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.tables += 1

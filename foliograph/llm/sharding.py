@@ -22,14 +22,13 @@ repeats nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import Scratch, remove, shared_folder, table, text_bytes
+from foliograph.llm.common import Scratch, remove, scratch_folder, table, text_bytes
 
 #: The layout that the query brings to eight shards: shards, files of a shard, atoms of a file.
 OLD_SHARDS, FILES, ATOMS = 6, 64, 64
@@ -241,7 +240,7 @@ def assign(docs: DataFrame, shards: int = 8, old_shards: int = OLD_SHARDS, files
     no row; other columns are not looked at.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    path = f"{shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "layout")
     write_layout(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, old_shards, files)
     reshard(spark, path, shards, atoms)
     body = text_bytes("row.text")
