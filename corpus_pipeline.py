@@ -7,13 +7,12 @@ again for the next stage, so a lost executor costs tasks of one stage only.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from foliograph.llm import contamination, langid, mixing, sharding, simhash
-from foliograph.llm.common import shared_folder, table
+from foliograph.llm.common import scratch_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of ``sf_dir``."""
-    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    place = scratch_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
