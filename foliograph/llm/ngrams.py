@@ -109,7 +109,7 @@ def logistic(rows: list[np.ndarray], amounts: list[np.ndarray], values: np.ndarr
         way, square = rest, rest @ rest
         first = square
         for _ in range(30):
-            if square <= 1e-4 * first or not first:
+            if square <= 1e-3 * first or not first:
                 break
             bent = back(curve * forward(way)) + ridge * way
             length = square / (way @ bent)
@@ -156,7 +156,9 @@ def _model(found: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, ratio:
     classes, texts = len(size), len(goal)
     weights, bias = np.zeros((1 + len(order), classes)), np.zeros(classes)
     for k in range(classes):
-        if 0 < size[k] < texts:
+        if classes == 2 and k and texts:  # the other side of the same question
+            weights[:, 1], bias[1] = -weights[:, 0], -bias[0]
+        elif 0 < size[k] < texts:
             values = np.concatenate(([0.0], ratio[k, order]))
             own, bias[k] = logistic([n for n, _ in found], [x for _, x in found], values, goal == k, strength)
             weights[:, k] = own * values
