@@ -256,6 +256,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _clean(shared: Broadcast, seed: int, threshold: float):  # type: ignore[no-untyped-def]
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        index = index_of(shared, seed)
+        bodies = ((t.as_py() or "").encode("utf-8", "replace") for t in texts)
+        return pa.array([all(c < threshold * n for _, _, c, n in index.leaks(b)) for b in bodies], pa.bool_())
+
+    return clean
+
+
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that leak no benchmark item.
 
@@ -266,15 +276,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold
     """
     for shared, only in item_blocks(benchmark, block_bytes):
 
-        @F.pandas_udf("boolean")
-        def clean(texts, shared=shared):  # type: ignore[no-untyped-def]
-            import pandas as pd
-
-            index = index_of(shared, seed)
-            bodies = (t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts)
-            return pd.Series([all(c < threshold * n for _, _, c, n in index.leaks(b)) for b in bodies], dtype="bool")
-
-        docs = docs.filter(clean(docs["text"].cast("string")))
+        docs = docs.filter(_clean(shared, seed, threshold)(docs["text"].cast("string")))
         if not only:
             docs = cut(docs)
             shared.unpersist()

@@ -18,6 +18,7 @@ parses are one, because they continue alike from equal places.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,34 +70,51 @@ class Parser:
         return to
 
 
-def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
-    """Transitions of the smallest automaton that accepts every substring; state 0 is the root."""
-    moves: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
+    """Transitions of the smallest automaton that accepts every substring; state 0 is the root.
+
+    The moves by the first ``COLUMNS`` symbols are a table of states, -1 for
+    none; those by other symbols are given by state.
+    """
+    wide = COLUMNS
+    table = array("i", [-1]) * (wide * (2 * len(symbols) + 1))
+    rare: dict[int, dict[int, int]] = {}
+    link, length, last, states = [-1], [0], 0, 1
+
+    def move(state: int, c: int) -> int:
+        return table[state * wide + c] if c < wide else rare.get(state, {}).get(c, -1)
+
+    def put(state: int, c: int, to: int) -> None:
+        if c < wide:
+            table[state * wide + c] = to
+        else:
+            rare.setdefault(state, {})[c] = to
+
     for c in symbols:
-        cur = len(moves)
-        moves.append({})
+        cur, states = states, states + 1
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in moves[p]:
-            moves[p][c] = cur
+        while p >= 0 and move(p, c) < 0:
+            put(p, c, cur)
             p = link[p]
         if p >= 0:
-            q = moves[p][c]
+            q = move(p, c)
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                copy = len(moves)
-                moves.append(dict(moves[q]))
+                copy, states = states, states + 1
+                table[copy * wide : (copy + 1) * wide] = table[q * wide : (q + 1) * wide]
+                if q in rare:
+                    rare[copy] = dict(rare[q])
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and moves[p].get(c) == q:
-                    moves[p][c] = copy
+                while p >= 0 and move(p, c) == q:
+                    put(p, c, copy)
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    return moves
+    return np.frombuffer(table, np.int32).reshape(-1, wide)[:states], rare
 
 
 def encode(text: str, symbols: np.ndarray) -> np.ndarray:
@@ -118,22 +136,19 @@ def build(samples: Samples) -> Parser:
     width = max(2 + len(alphabet), COLUMNS)
     parts, roots, restarts, rare, base = [], [], [], [], 0
     for _, texts in samples.texts:
-        moves = suffix_automaton(encode(" ".join(texts), symbols).tolist())
-        moves.append({})  # where a phrase of one unseen symbol ends
-        dense = np.full((len(moves), COLUMNS), -1, np.int32)
-        for state, own in enumerate(moves):
-            for c, to in own.items():
-                if c < COLUMNS:
-                    dense[state, c] = base + to
-                else:
-                    rare.append(((base + state << 21) + c, base + to))
-        restart = np.full(width, base + len(moves) - 1, np.int32)
-        for c, to in moves[0].items():
+        moves, beyond = suffix_automaton(encode(" ".join(texts), symbols).tolist())
+        dense = np.full((len(moves) + 1, COLUMNS), -1, np.int32)  # the last state is where a phrase of one unseen symbol ends
+        dense[:-1] = np.where(moves < 0, -1, moves + base)
+        rare += [((base + state << 21) + c, base + to) for state, own in beyond.items() for c, to in own.items()]
+        restart = np.full(width, base + len(moves), np.int32)
+        first = np.flatnonzero(moves[0] >= 0)
+        restart[first] = base + moves[0][first]
+        for c, to in beyond.get(0, {}).items():
             restart[c] = base + to
         restarts.append(restart)
         roots.append(base)
         parts.append(dense)
-        base += len(moves)
+        base += len(dense)
     step = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
     keys = np.array(sorted(rare), np.int64).reshape(-1, 2)
     return Parser(
@@ -330,15 +345,13 @@ def keep_known(docs: DataFrame, samples: Samples | None = None) -> DataFrame:
     """
     learned = learn(docs) if samples is None else samples
 
-    @F.pandas_udf("boolean")
-    def known(texts):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
         verdicts: list[bool] = []
-        for at in range(0, len(texts), 512):
-            langs, _ = classify(learned, [t if isinstance(t, str) else "" for t in texts.iloc[at : at + 512]])
+        for at in range(0, len(texts), 512):  # a bounded number of texts is decoded at a time
+            langs, _ = classify(learned, [t if t is not None else "" for t in texts.slice(at, 512).to_pylist()])
             verdicts += [x != UNKNOWN for x in langs]
-        return pd.Series(verdicts, dtype="bool")
+        return pa.array(verdicts, pa.bool_())
 
     return docs.filter(known(docs["text"].cast("string")))
 

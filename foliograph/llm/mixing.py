@@ -199,13 +199,11 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     mixture = solve(cut(memberships(docs, classifier)), classifier, targets, budget)
     shared = docs.sparkSession.sparkContext.broadcast(mixture)
 
-    @F.pandas_udf("double")
-    def rate(texts):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def rate(texts: pa.Array) -> pa.Array:
         model = shared.value.classifier
-        found = [model.posterior(t.encode("utf-8", "replace") if isinstance(t, str) else b"")[1] for t in texts]
-        return pd.Series(rates(np.array(found).reshape(len(found), len(model.domains)), shared.value.gradients))
+        found = [model.posterior((t.as_py() or "").encode("utf-8", "replace"))[1] for t in texts]
+        return pa.array(rates(np.array(found).reshape(len(found), len(model.domains)), shared.value.gradients))
 
     chance = F.pmod(F.xxhash64(docs["doc_id"].cast("string"), docs["text"].cast("string")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(rate(docs["text"].cast("string")) + chance).cast("int")
