@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,6 +85,29 @@ def remove(spark: SparkSession, *folders: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of an Arrow batch at most, unless one row is longer; Spark's own bound is several times as much.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, so that workers hold few texts at a time; a lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    if own is None or not own.rstrip("b").isdigit() or int(own.rstrip("b")) > BATCH or int(own.rstrip("b")) <= 0:
+        spark.conf.set(name, str(BATCH))
+
+
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process holds for the operator at work: made once, and let go when another operator needs its own."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null is the empty text."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b""))

@@ -30,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ASCII_LOWER, cut, table, text_bytes, windows
+from foliograph.llm.common import ASCII_LOWER, cut, resident, small_batches, table, text_bytes, windows
 
 #: Bytes to spaces: ASCII that is no letter or digit.
 _TOKEN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
@@ -173,16 +173,10 @@ class Index:
                 yield item_id, len(found), sum(x[2] for x in found), len(item)
 
 
-_indexed: dict[tuple[str, int], Index] = {}
-
-
 def index_of(shared: Broadcast, seed: int) -> Index:
     """The index of a block of items, built once in a worker process."""
     name, items = shared.value
-    if (name, seed) not in _indexed:
-        _indexed.clear()
-        _indexed[name, seed] = Index(items, seed)
-    return _indexed[name, seed]
+    return resident(("items", name, seed), lambda: Index(items, seed))
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
@@ -198,6 +192,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Broadc
     blocks = max(1, -(-total // block_bytes))
     dealt = F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks))
     context = benchmark.sparkSession.sparkContext
+    small_batches(benchmark.sparkSession)
     for n in range(blocks):
         rows = items.filter(dealt == n).collect()
         own = sorted(((r[0], bytes(r[1])) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))

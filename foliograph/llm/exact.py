@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut, table, text_bytes, windows
+from foliograph.llm.common import cut, small_batches, table, text_bytes, windows
 
 #: Bytes that decide a cut; cuts come every 2 ** CUT_BITS bytes on average, and LEAST and MOST bound a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 11, 512, 16_384
@@ -90,6 +90,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
     alone. More than ``most`` such digests are refused: 128 bits have none in
     practice, so the function would be at fault.
     """
+    small_batches(docs.sparkSession)
     doubtful = frozenset(bytes(r[0]) for r in clashes(docs, text_col, named).limit(most + 1).collect())
     if len(doubtful) > most:
         raise ValueError(f"more than {most} digests have several contents")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import held_out, table, text_bytes, windows
+from foliograph.llm.common import held_out, resident, small_batches, table, text_bytes, windows
 
 #: Symbols of a block, and cells (blocks by languages by symbols) that are walked at a time; neither changes a result.
 BLOCK, CELLS = 1024, 1 << 23
@@ -252,16 +252,9 @@ def phrases(parser: Parser, coded: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-_built: dict[int, tuple[Samples, Parser]] = {}
-
-
 def parser_of(samples: Samples) -> Parser:
     """The automata of these samples, built once in a worker process."""
-    key = zlib.crc32(repr(samples).encode())
-    if key not in _built or _built[key][0] != samples:
-        _built.clear()
-        _built[key] = (samples, build(samples))
-    return _built[key][1]
+    return resident(("parser", zlib.crc32(repr(samples).encode()), samples), lambda: build(samples))
 
 
 def classify(samples: Samples, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -333,6 +326,7 @@ def identify(docs: DataFrame, samples: Samples) -> DataFrame:
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_bytes().alias("body"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -343,6 +337,7 @@ def keep_known(docs: DataFrame, samples: Samples | None = None) -> DataFrame:
     The decision is taken row by row in the scan, so nothing is shuffled and
     columns of any name pass through untouched.
     """
+    small_batches(docs.sparkSession)
     learned = learn(docs) if samples is None else samples
 
     @F.arrow_udf("boolean")

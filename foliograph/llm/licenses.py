@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ASCII_LOWER, table, text_bytes, windows
+from foliograph.llm.common import ASCII_LOWER, small_batches, table, text_bytes, windows
 
 #: Phrases of the base labels.
 PHRASES = (
@@ -166,6 +166,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     templates with one label give the label once, of equally good lines all are
     listed, in order.
     """
+    small_batches(docs.sparkSession)
     templates = Templates(frequencies(docs, text_col), threshold)
     frequency = {w: n for w, n in ((w, templates.order(w)[0]) for w in templates.known)}
     phrases = [([w for w in words(p.encode())], label) for p, label in PHRASES]

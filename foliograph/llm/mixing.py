@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import cut, table, text_bytes, windows
+from foliograph.llm.common import cut, small_batches, table, text_bytes, windows
 from foliograph.llm.ngrams import Model, fit_frame, probabilities, sample
 
 #: Production targets: shares of the corpus's tokens by domain of the labelled table.
@@ -84,6 +84,7 @@ class Mixture:
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(doc_id, n_tokens, p): p has the domains in the classifier's order."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

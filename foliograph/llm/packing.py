@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import Scratch, table, text_bytes, windows
+from foliograph.llm.common import Scratch, small_batches, table, text_bytes, windows
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
@@ -151,6 +151,7 @@ def pieces(docs: DataFrame, row: int, vocabulary: bytes, pattern: str, separator
                 out += [(doc, doc_id, at, len(ids[at : at + row]), ids[at : at + row].tobytes()) for at in range(0, len(ids), row)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc", "doc_id", "start", "n", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     return rows.mapInArrow(run, "doc long, doc_id long, start long, n int, ids binary")
 

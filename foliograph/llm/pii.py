@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_bytes, windows
+from foliograph.llm.common import small_batches, table, text_bytes, windows
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -354,6 +354,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     return rows.mapInArrow(
         run, "doc_id long, spans array<struct<kind: string, start: long, end: long, text: string, added: boolean>>"

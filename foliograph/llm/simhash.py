@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ASCII_LOWER, Scratch, cut, table, text_bytes, windows
+from foliograph.llm.common import ASCII_LOWER, Scratch, cut, resident, small_batches, table, text_bytes, windows
 from foliograph.llm.components import components
 
 SEED, BITS, BYTES = 42, 64, 8
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             values = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
@@ -227,6 +228,7 @@ def heat(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarray:
     """For each bucket of shingles how many occurrences its crowded tasks count, 0 for buckets crowded nowhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("shingles", bool)
         counts = np.zeros(1 << HEAT_BITS, np.int64)
         for batch in windows(batches, "body"):
             own = np.concatenate([shingles(t, width) for t in batch.column(0).to_pylist()])
@@ -440,6 +442,7 @@ def chosen_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     ``text_key`` is a 64-bit hash of the text, which tells rows that repeat an
     id apart.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     named = docs.filter(F.col("doc_id").isNotNull())
     rows = shingled(named, heat(named, width), similarity, width)
@@ -474,12 +477,10 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     unsure = Scratch(docs.sparkSession).put(judged.filter("stays IS NULL OR count > 1"))
     packed = bitmap(unsure)
 
-    @F.pandas_udf("boolean")
-    def sure(ids, keys):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def sure(slots: pa.Array, ids: pa.Array) -> pa.Array:
         marked = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
-        return pd.Series(~marked[ids.to_numpy()] | keys.isna().to_numpy())
+        return pa.array(~marked[slots.to_numpy()] | ids.is_null().to_numpy(zero_copy_only=False))
 
     is_sure = sure(F.pmod(F.xxhash64(row_id, key), F.lit(SLOTS)), row_id)
     rest = docs.filter(~is_sure)

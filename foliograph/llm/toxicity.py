@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import held_out, table, text_bytes, windows
+from foliograph.llm.common import held_out, small_batches, table, text_bytes, windows
 from foliograph.llm.ngrams import Model, fit_frame, probabilities, sample
 
 THRESHOLD = 0.3
@@ -41,6 +41,7 @@ def rate(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     digits) and nothing is predicted toxic; repeated rows give repeated rows and
     an empty table none.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
