@@ -139,13 +139,20 @@ def ratios(counts: np.ndarray, size: np.ndarray, smoothing: float) -> tuple[np.n
     return ratio, sure * ((size > 0) & (size < size.sum())) * (counts.sum(axis=0) > 0)
 
 
-def chosen(sure: np.ndarray, certainty: float, most: int) -> np.ndarray:
+def chosen(counts: np.ndarray, size: np.ndarray, smoothing: float, certainty: float, most: int) -> np.ndarray:
     """The slots that become features 1, 2, ...: the surest for some class, of equal ones the first."""
-    best = sure.max(axis=0, initial=0.0)
+    best = np.zeros(counts.shape[1])
+    for at in range(0, len(best), 1 << 16):  # a part of the table at a time
+        best[at : at + (1 << 16)] = ratios(counts[:, at : at + (1 << 16)], size, smoothing)[1].max(axis=0, initial=0.0)
     best[best < certainty] = 0
     return np.argsort(-best, kind="stable")[: min(most, int((best > 0).sum()))]
 
 
+def _ratio_of(counts: np.ndarray, size: np.ndarray, smoothing: float, order: np.ndarray) -> np.ndarray:
+    """Ratios of the chosen slots, by class."""
+    return ratios(counts[:, order], size, smoothing)[0]
+
+
 def _numbered(order: np.ndarray) -> np.ndarray:
     slots = np.zeros(1 << TABLE_BITS, np.int32)
     slots[order] = np.arange(1, len(order) + 1)
@@ -159,7 +166,7 @@ def _model(found: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, ratio:
         if classes == 2 and k and texts:  # the other side of the same question
             weights[:, 1], bias[1] = -weights[:, 0], -bias[0]
         elif 0 < size[k] < texts:
-            values = np.concatenate(([0.0], ratio[k, order]))
+            values = np.concatenate(([0.0], ratio[k]))
             own, bias[k] = logistic([n for n, _ in found], [x for _, x in found], values, goal == k, strength)
             weights[:, k] = own * values
         else:
@@ -180,14 +187,13 @@ def fit(texts: list[bytes], labels: list[int], classes: int, smoothing: float =
     the prior's log odds; without any text no class has a chance.
     """
     goal = np.array(labels, np.int64)
-    counts = np.zeros((classes, 1 << TABLE_BITS))
+    counts = np.zeros((classes, 1 << TABLE_BITS), np.int32)
     for text, label in zip(texts, labels, strict=True):
         counts[label, present(text)] += 1
     size = np.bincount(goal, minlength=classes)
-    ratio, sure = ratios(counts, size, smoothing)
-    order = chosen(sure, certainty, most)
+    order = chosen(counts, size, smoothing, certainty, most)
     slots = _numbered(order)
-    return _model([features(slots, t) for t in texts], goal, ratio, order, size, strength)
+    return _model([features(slots, t) for t in texts], goal, _ratio_of(counts, size, smoothing, order), order, size, strength)
 
 
 def sample(docs: DataFrame, marks: DataFrame, rows: int, longest: int, characters: int) -> DataFrame:
@@ -216,19 +222,22 @@ def fit_frame(rows: DataFrame, classes: int, smoothing: float = 1.0, certainty:
         for batch in batches:
             for label, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[label, present(body)] += 1
-        for label in range(classes):
-            held = np.flatnonzero(counts[label]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), label, np.int32)), pa.array(held), pa.array(counts[label][held])], ["label", "slot", "n"])
-
-    table = rows.select("label", "body").mapInArrow(count, "label int, slot int, n int").groupBy("label", "slot").agg(F.sum("n").alias("n"))
-    held = table.toArrow()  # a row for each class and slot of the table at most
-    counts = np.zeros((classes, 1 << TABLE_BITS))
-    counts[held.column("label").to_numpy(), held.column("slot").to_numpy()] = held.column("n").to_numpy()
+        held = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(own[held]) for own in counts)], ["slot", *names])
+
+    names = [f"n{k}" for k in range(classes)]
+    table = rows.select("label", "body").mapInArrow(count, ", ".join(["slot int", *(f"{n} int" for n in names)]))
+    held = table.groupBy("slot").agg(F.count(F.lit(1)).alias("tasks"), *[F.sum(n).cast("int").alias(n) for n in names]).drop("tasks").toArrow()  # a row for each slot of the table at most
+    counts = np.zeros((classes, 1 << TABLE_BITS), np.int32)
+    for k, n in enumerate(names):
+        counts[k, held.column("slot").to_numpy()] = held.column(n).to_numpy()
+    del held
     size = np.zeros(classes, np.int64)
     for label, n in rows.groupBy("label").count().collect():
         size[label] = n
-    ratio, sure = ratios(counts, size, smoothing)
-    order = chosen(sure, certainty, most)
+    order = chosen(counts, size, smoothing, certainty, most)
+    ratio = _ratio_of(counts, size, smoothing, order)
+    del counts
     shared = rows.sparkSession.sparkContext.broadcast(_numbered(order))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
