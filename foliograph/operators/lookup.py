@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.plans.staging import settled
+
 
 def style_lookup(rows: DataFrame, styles: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Every row with its style's values; nulls where there is no such style. Spark picks the side to send."""
@@ -118,25 +120,25 @@ def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: i
     """(node, ancestor, distance, error) of parent edges (node, parent).
 
     A chain that returns to itself, leads to a parent that is no node, or is
-    longer than ``depth`` ends in a row that names the error. A recursive query:
-    each level is one join of the frontier with the edges.
+    longer than ``depth`` ends in a row that names the error. Each level is one
+    join of the frontier with the edges, whose rows are kept; a recursive query
+    would hold them in memory and stop at a number of rows.
     """
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.createOrReplaceTempView(view)
-    found = spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, distance, seen, error) AS (
-            SELECT node, parent, 1, array(node), CASE WHEN parent = node THEN 'circular' END FROM {view} WHERE parent IS NOT NULL
-            UNION ALL
-            SELECT u.node, e.parent, u.distance + 1, array_append(u.seen, u.ancestor),
-                   CASE WHEN array_contains(u.seen, e.parent) OR e.parent = u.ancestor THEN 'circular' WHEN u.distance + 1 > {depth} THEN 'too deep' END
-            FROM up u JOIN {view} e ON e.node = u.ancestor
-            WHERE e.parent IS NOT NULL AND u.error IS NULL
-        )
-        SELECT u.node, u.ancestor, u.distance, CASE WHEN u.error IS NOT NULL THEN u.error WHEN e.node IS NULL THEN 'not found' END AS error
-        FROM up u LEFT JOIN (SELECT DISTINCT node FROM {view}) e ON e.node = u.ancestor
-    """)
-    spark.catalog.dropTempView(view)  # the query is resolved by now
-    return found
+    own = settled(edges.select("node", "parent"))
+    above = own.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
+    error = F.when(F.col("parent") == F.col("node"), "circular")
+    levels = [settled(own.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("node").alias("seen"), error.alias("error")))]
+    for distance in range(2, max(depth, 1) + 2):
+        error = F.when(F.array_contains("seen", F.col("next")) | (F.col("next") == F.col("ancestor")), "circular").when(F.lit(distance > depth), "too deep")
+        up = levels[-1].filter("error IS NULL").join(above, "ancestor")
+        level = settled(up.select("node", F.col("next").alias("ancestor"), F.lit(distance).alias("distance"), F.array_append("seen", F.col("ancestor")).alias("seen"), error.alias("error")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    found = reduce(DataFrame.unionAll, [level.drop("seen") for level in levels])
+    known = own.select(F.col("node").alias("ancestor")).distinct().withColumn("known", F.lit(True))
+    missing_parent = F.when(F.col("known").isNull(), "not found")
+    return found.join(known, "ancestor", "left").select("node", "ancestor", "distance", F.coalesce("error", missing_parent).alias("error"))
 
 
 def with_known(rows: DataFrame, defined: DataFrame, key: str, builtin: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from foliograph.operators import lookup
 from foliograph.plans.registry import QUERIES
 from foliograph.sources import columns, packages
 
@@ -28,3 +29,17 @@ def test_wide_rows_become_python_values_a_few_at_a_time():
 @pytest.mark.parametrize("name", ["ref_deep_summary"])
 def test_packages_are_decoded_once_for_all_frames(spark, sf_dir, name):
     assert "MapIn" not in plan(QUERIES[name](spark, sf_dir))  # rows that were read once are in a folder
+
+
+@pytest.fixture
+def few_recursive_rows(spark):
+    name = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(name, "50")
+    yield
+    spark.conf.unset(name)
+
+
+def test_ancestors_are_not_bound_by_the_rows_of_a_recursive_query(spark, few_recursive_rows):
+    edges = spark.createDataFrame([(n, n // 10 if n > 10 else None) for n in range(1, 200)], "node long, parent long")
+    found = lookup.ancestors(spark, edges).collect()
+    assert len(found) == 189 + 90 and not any(r.error for r in found)
