@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from foliograph.operators import lookup
+from foliograph.operators import lookup, styles
 from foliograph.plans.registry import QUERIES
 from foliograph.sources import columns, packages
 
@@ -43,3 +43,9 @@ def test_ancestors_are_not_bound_by_the_rows_of_a_recursive_query(spark, few_rec
     edges = spark.createDataFrame([(n, n // 10 if n > 10 else None) for n in range(1, 200)], "node long, parent long")
     found = lookup.ancestors(spark, edges).collect()
     assert len(found) == 189 + 90 and not any(r.error for r in found)
+
+
+def test_inheritance_is_not_bound_by_the_rows_of_a_recursive_query(spark, few_recursive_rows):
+    rows = spark.createDataFrame([(n, n // 10 if n > 10 else None, "x" if n < 10 else None) for n in range(1, 200)], "name long, parent long, a string")
+    found = styles.inherit(spark, rows, "name", "parent", ["a"]).collect()
+    assert len(found) == 199 and all(r.a == "x" for r in found if r.name not in (10, *range(100, 110)))
