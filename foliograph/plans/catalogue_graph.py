@@ -125,7 +125,7 @@ def ref_xml_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_path_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in a path inventory sorted by five keys, missing ones first."""
     rows = _t(spark, sf_dir, "events").select(
-        "event_id", "user_id", (F.col("value") > 20).cast("int").alias("section"), F.col("event_type").alias("path"), F.col("props").alias("kind"), F.when(F.col("value") > 10, F.round("value").cast("int")).alias("ref_id"),
+        "event_id", "user_id", (F.col("value") > 20).cast("int").alias("section"), F.col("event_type").alias("path"), F.col("props").alias("kind"), F.when(F.col("value") > 10, F.rint("value").cast("int")).alias("ref_id"),
         F.col("event_id").cast("string").alias("text"),
     )
     return order.path_order(rows, ["user_id"]).select("event_id", F.col("rank").cast("long").alias("rank"))

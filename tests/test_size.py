@@ -62,3 +62,9 @@ def test_more_master_pages_than_a_package_may_hold(spark, tmp_path):
     found = QUERIES["ref_master_pages"](spark, str(tmp_path)).collect()
     owner = [0, 1, 1, 2, 2, 2, 3, 3, 3, 3]
     assert sorted((r.doc_id, r.master, r.text, r.section if r.section is not None else -1) for r in found) == [("7", n, f"n{n}", owner[n] if n < 10 else -1) for n in range(10_002)]
+
+
+def test_references_of_paths_are_rounded_to_even(spark, tmp_path):
+    spark.sql("SELECT event_id, 1L AS user_id, 'click' AS event_type, '' AS props, value FROM VALUES (2L, 12.5D), (1L, 12.4D), (3L, 11.5D), (4L, 13.5D) AS t(event_id, value)").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.event_id: r["rank"] for r in QUERIES["ref_path_ranks"](spark, str(tmp_path)).collect()}
+    assert found == {1: 0, 2: 1, 3: 2, 4: 3}  # references 12, 12, 12 and 14
