@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliograph.functions import content, text
 from foliograph.operators import deep, inspect, order, rules, shapes, styled, styles
 from foliograph.plans.catalogue import _t, query
-from foliograph.plans.catalogue_files import _EVENTS, _LEGACY, _chats, _controls, _read, _streams
+from foliograph.plans.catalogue_files import _EVENTS, _LEGACY, _chats, _controls, _frames, _read, _streams
 from foliograph.sources import compound, packages
 
 # -- graphs -----------------------------------------------------------------------------------------------------
@@ -105,8 +105,7 @@ def ref_parser_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def ref_document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each document over its sections."""
-    nested = packages.decode(_controls(spark, sf_dir), "doc_id")
-    found = deep.totals(deep.summary({n: packages.frame(nested, n) for n in ("sections", "paragraphs", "runs", "controls", "xml_paths")}))
+    found = deep.totals(deep.summary(_frames(_controls(spark, sf_dir), "sections", "paragraphs", "runs", "controls", "xml_paths")))
     return found.select("doc_id", "sections", "paragraphs", "non_empty", "deep_paragraphs", "tables", "text_boxes", "headers", "page_numbers")
 
 
