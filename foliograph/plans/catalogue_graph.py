@@ -161,8 +161,7 @@ def ref_stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def ref_note_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of the notes of packages."""
-    nested = packages.decode(_controls(spark, sf_dir), "doc_id")
-    return styled.note_definitions(*(packages.frame(nested, n) for n in ("controls", "paragraphs", "runs")))
+    return styled.note_definitions(*_frames(_controls(spark, sf_dir), "controls", "paragraphs", "runs").values())
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, 'images/p' || page_id || '.png' AS path, html AS body FROM pages")

@@ -26,7 +26,7 @@ def test_wide_rows_become_python_values_a_few_at_a_time():
     assert [r["own"] for _, r in columns.rows([batch, batch.slice(1)], "own", 1)] == [*batch.column(1).to_pylist(), *batch.column(1).to_pylist()[1:]]
 
 
-@pytest.mark.parametrize("name", ["ref_deep_summary", "ref_document_totals", "ref_styled_controls"])
+@pytest.mark.parametrize("name", ["ref_deep_summary", "ref_document_totals", "ref_note_definitions", "ref_styled_controls"])
 def test_packages_are_decoded_once_for_all_frames(spark, sf_dir, name):
     assert "MapIn" not in plan(QUERIES[name](spark, sf_dir))  # rows that were read once are in a folder
 
