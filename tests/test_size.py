@@ -31,6 +31,10 @@ def test_packages_are_decoded_once_for_all_frames(spark, sf_dir, name):
     assert "MapIn" not in plan(QUERIES[name](spark, sf_dir))  # rows that were read once are in a folder
 
 
+def test_content_controls_decode_no_other_frames(spark, sf_dir):
+    assert "xml_paths" not in plan(QUERIES["ref_content_controls"](spark, sf_dir))
+
+
 @pytest.mark.parametrize(("name", "exchanges"), [("ref_package_tables", 1), ("ref_table_warnings", 2), ("ref_legacy_tables", 1), ("ref_shape_points", 2)])
 def test_cells_and_corners_are_dealt_out_no_more_than_needed(spark, sf_dir, name, exchanges):
     text = plan(QUERIES[name](spark, sf_dir))
