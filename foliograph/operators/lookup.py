@@ -122,7 +122,9 @@ def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: i
     A chain that returns to itself, leads to a parent that is no node, or is
     longer than ``depth`` ends in a row that names the error. Each level is one
     join of the frontier with the edges, whose rows are kept; a recursive query
-    would hold them in memory and stop at a number of rows.
+    would hold them in memory and stop at a number of rows. All sides are merged:
+    files of edges are far smaller than their rows, so no size that the planner
+    knows would bound what it broadcasts.
     """
     own = settled(edges.select("node", "parent"))
     above = own.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
@@ -130,7 +132,7 @@ def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: i
     levels = [settled(own.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("node").alias("seen"), error.alias("error")))]
     for distance in range(2, max(depth, 1) + 2):
         error = F.when(F.array_contains("seen", F.col("next")) | (F.col("next") == F.col("ancestor")), "circular").when(F.lit(distance > depth), "too deep")
-        up = levels[-1].filter("error IS NULL").join(above, "ancestor")
+        up = levels[-1].filter("error IS NULL").join(above.hint("merge"), "ancestor")
         level = settled(up.select("node", F.col("next").alias("ancestor"), F.lit(distance).alias("distance"), F.array_append("seen", F.col("ancestor")).alias("seen"), error.alias("error")))
         if level.isEmpty():
             break
@@ -138,7 +140,7 @@ def ancestors(spark, edges: DataFrame, depth: int = 10) -> DataFrame:  # type: i
     found = reduce(DataFrame.unionAll, [level.drop("seen") for level in levels])
     known = own.select(F.col("node").alias("ancestor")).distinct().withColumn("known", F.lit(True))
     missing_parent = F.when(F.col("known").isNull(), "not found")
-    return found.join(known, "ancestor", "left").select("node", "ancestor", "distance", F.coalesce("error", missing_parent).alias("error"))
+    return found.join(known.hint("merge"), "ancestor", "left").select("node", "ancestor", "distance", F.coalesce("error", missing_parent).alias("error"))
 
 
 def with_known(rows: DataFrame, defined: DataFrame, key: str, builtin: int = 3) -> DataFrame:

@@ -24,7 +24,7 @@ def inherit(spark, templates: DataFrame, name: str, parent: str, fields: Sequenc
     none = F.lit(None).cast("string").alias("error")
     reach = chain.unionByName(own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"), none))
     order = F.when(F.col("distance") == 0, F.lit(-1_000_000)).otherwise(F.col("distance") * (-1 if root_first else 1))
-    joined = reach.join(own.select(F.col("node").alias("ancestor"), *fields), "ancestor", "left").withColumn("__o", order)
+    joined = reach.join(own.select(F.col("node").alias("ancestor"), *fields).hint("merge"), "ancestor", "left").withColumn("__o", order)
     picks = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("__o"))).alias(f) for f in fields]
     resolved = joined.groupBy(F.col("node").alias(name)).agg(F.max("distance").alias("depth"), F.max("error").alias("error"), *picks)
     return resolved.select(name, "depth", "error", *[F.when(F.col("error").isNull(), F.col(f)).alias(f) for f in fields])

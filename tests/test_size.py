@@ -70,6 +70,13 @@ def test_inheritance_is_not_bound_by_the_rows_of_a_recursive_query(spark, few_re
     assert len(found) == 199 and all(r.a == "x" for r in found if r.name not in (10, *range(100, 110)))
 
 
+def test_inheritance_broadcasts_no_templates(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lookup, "settled", lambda df, own=lookup.settled: (plans.append(plan(df)), own(df))[1])
+    plans.append(plan(QUERIES["ref_inheritance"](spark, sf_dir)))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 12 and not any("Broadcast" in p for p in plans)
+
+
 def test_charts_of_more_points_than_a_part_may_hold(spark, tmp_path):
     spark.range(10_002).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'b' AS p_brand", "CAST(id % 50 AS INT) AS p_size", "id / 4 AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     found = QUERIES["ref_chart_points"](spark, str(tmp_path)).filter("doc_id = 'b' AND chart = 'Chart/chart1.xml'").collect()
